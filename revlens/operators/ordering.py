@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.session import checkpoint_dir
+
 
 def first_by_order(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], descending: bool = False
@@ -51,12 +53,17 @@ def row_position(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
+    # The task id and in-task index are materialised once (reliable checkpoint
+    # in spark.checkpoint.dir): the count branch and the join branch below
+    # must see the same values, which re-running the range shuffle (with
+    # adaptive coalescing or after an executor loss) does not guarantee.
+    checkpoint_dir(spark)
     ranged = (
         df.repartitionByRange(n, *sort_cols)
         .sortWithinPartitions(*sort_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id())
-    )
+    ).checkpoint(eager=True)
     # Per (task, key): how many rows and where they start. Bounded by
     # (#tasks x #keys), independent of how many rows one key has.
     counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__start"))

@@ -80,7 +80,7 @@ def sev_norm_sql(sev: str) -> str:
 
 def title_sql(s: str) -> str:
     marked = f"regexp_replace({s}, '([-\\s(\\{{\\[<])', '\\1' || chr(1), 'g')"
-    return f"array_to_string(list_transform(string_split({marked}, chr(1)), p -> upper(p[1:1]) || lower(p[2:])), '')"
+    return f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda p: upper(p[1:1]) || lower(p[2:])), '')"
 
 
 def line_suffix_sql(line: str, prefix: str, suffix: str = "") -> str:

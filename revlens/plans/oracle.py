@@ -22,9 +22,14 @@ def u(s: str) -> str:
     return q(s)
 
 
+def views_cte(*names: str) -> str:
+    """CTE list defining the derived inputs `names` (DuckDB dialect)."""
+    return ",\n".join(f"{n} AS ({derived_sql(n, 'duckdb')})" for n in names)
+
+
 def with_views(*names: str) -> str:
     """`WITH` prefix defining the derived inputs `names` (DuckDB dialect)."""
-    return "WITH " + ",\n".join(f"{n} AS ({derived_sql(n, 'duckdb')})" for n in names)
+    return "WITH " + views_cte(*names)
 
 
 def language_sql(path: str) -> str:

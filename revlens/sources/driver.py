@@ -138,6 +138,7 @@ SELECT
   CASE WHEN user_id % 13 = 12 THEN NULL WHEN user_id % 2 = 0 THEN 'complete'
        ELSE 'parsing_complete' END AS status,
   event_type,
+  event_id AS write_seq,
   ts
 FROM events
 """

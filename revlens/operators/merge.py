@@ -61,17 +61,21 @@ def rank_findings(deduped: DataFrame) -> DataFrame:
 def verdicts(reviews: DataFrame, ranked: DataFrame) -> DataFrame:
     """Per review: counts per bucket and the verdict. Starts from `reviews`
     (left join), so a review without findings approves."""
+    if "ts" in ranked.columns:
+        # elapsed time between the first and last finding, truncated to ms
+        latency = F.floor(
+            (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp"))))
+            / 1000
+        ).cast("bigint")
+    else:
+        latency = F.lit(0).cast("bigint")
     counts = ranked.groupBy("review_id").agg(
         F.count_if(F.col("bucket") == "critical").alias("n_critical"),
         F.count_if(F.col("bucket") == "warning").alias("n_warning"),
         F.count_if(F.col("bucket") == "info").alias("n_info"),
         F.count(F.lit(1)).alias("total_findings"),
         F.count_distinct(F.when(F.col("file") != "", F.col("file"))).alias("distinct_files"),
-        # elapsed time between the first and last finding, truncated to ms
-        F.floor(
-            (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp"))))
-            / 1000
-        ).cast("bigint").alias("latency_ms"),
+        latency.alias("latency_ms"),
     )
     out = reviews.select("review_id").join(counts, "review_id", "left")
     zero = F.lit(0).cast("bigint")

@@ -1 +1,233 @@
-"""placeholder"""
+"""Model scoring of diff chunks (the one place user Python runs per row).
+
+* `chunk_prompts` builds each chunk's prompt with native string functions.
+* `score` runs a user-supplied scorer over (prompt, system prompt, model)
+  rows with `mapInPandas`: Arrow batches, one client per task, retries with
+  exponential back-off on throttling, and per-row error capture so a failed
+  chunk only loses its own findings. `max_concurrency` repartitions the input
+  to cap how many tasks call the model service at once.
+* `OfflineScorer` is a deterministic stand-in used by the tests and the
+  registered queries; it needs no network.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revlens import rules
+
+SCORED_SCHEMA = (
+    "text string, tokens_in bigint, tokens_out bigint, latency_ms bigint, attempts int, waited_s double, error string"
+)
+
+
+class ModelError(Exception):
+    """A failed model call; `code` decides whether it is retried."""
+
+    def __init__(self, code: str, message: str = ""):
+        super().__init__(f"{code}: {message}")
+        self.code = code
+
+
+def reviewer_table(spark: SparkSession) -> DataFrame:
+    """The four reviewers: name, default category, event type, system prompt,
+    error rule. Fixed size (4 rows): safe to broadcast."""
+    return spark.createDataFrame(
+        [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a]) for a, c, e in rules.REVIEWERS],
+        "agent string, default_category string, event_type string, system_prompt string, on_invalid string",
+    )
+
+
+def route_table(spark: SparkSession, routes: dict[str, str] | None = None) -> DataFrame:
+    routes = rules.MODEL_ROUTES if routes is None else routes
+    return spark.createDataFrame(list(routes.items()), "route_key string, routed_model string")
+
+
+def route_models(df: DataFrame, routes: DataFrame, default: str = rules.DEFAULT_MODEL) -> DataFrame:
+    """Add `model_id` = routing table entry for `agent`, else `default`.
+    The routing table is configuration (a handful of rows): broadcast."""
+    joined = df.join(F.broadcast(routes), F.col("agent") == F.col("route_key"), "left")
+    return joined.withColumn("model_id", F.coalesce(F.col("routed_model"), F.lit(default))).drop(
+        "route_key", "routed_model"
+    )
+
+
+def chunk_prompts(assigned: DataFrame) -> DataFrame:
+    """One prompt per chunk: a heading line, then per file a `### File:` line
+    and the fenced diff, pieces joined by newlines.
+
+    The files of a chunk are bounded by the chunk's line budget, so gathering
+    them is a bounded group.
+    """
+    block = F.concat(
+        F.lit("### File: "), F.col("path"), F.lit(" (language: "), F.col("language"), F.lit(")\n```diff\n"),
+        F.col("patch"), F.lit("\n```\n"),
+    )
+    per_chunk = assigned.groupBy("review_id", "chunk_index").agg(
+        F.max("total_chunks").alias("total_chunks"),
+        F.array_sort(F.collect_list(F.struct(F.col("ordinal"), block.alias("block")))).alias("__blocks"),
+        F.count(F.lit(1)).alias("n_files"),
+    )
+    head = F.concat(
+        F.lit("Review this code diff (chunk "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"),
+        F.col("total_chunks").cast("string"), F.lit("):\n"),
+    )
+    return per_chunk.select(
+        "review_id",
+        "chunk_index",
+        "total_chunks",
+        "n_files",
+        F.concat(head, F.lit("\n"), F.array_join(F.transform("__blocks", lambda b: b["block"]), "\n")).alias("prompt"),
+    )
+
+
+def fan_out(chunks: DataFrame, reviewers: DataFrame) -> DataFrame:
+    """Every chunk goes to every reviewer: a cross join with the 4-row
+    reviewer table (broadcast; the row count is fixed by configuration)."""
+    return chunks.crossJoin(F.broadcast(reviewers))
+
+
+def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base):
+    waited = 0.0
+    for attempt in range(max_attempts):
+        try:
+            out = scorer(prompt, system_prompt, model_id)
+            return out, attempt + 1, waited, None
+        except ModelError as e:
+            if e.code in rules.RETRYABLE_ERRORS and attempt + 1 < max_attempts:
+                wait = base * (2**attempt)
+                sleep(wait)
+                waited += wait
+                continue
+            if e.code in rules.RETRYABLE_ERRORS:
+                waited += base * (2**attempt)
+                sleep(base * (2**attempt))
+            return None, attempt + 1, waited, e.code
+        except Exception as e:  # any other failure: no retry
+            return None, attempt + 1, waited, type(e).__name__
+    return None, max_attempts, waited, "exhausted"
+
+
+def score(
+    rows: DataFrame,
+    scorer_factory: Callable[[], Callable[[str, str, str], dict]],
+    sleep: Callable[[float], None] = time.sleep,
+    max_attempts: int = rules.MAX_MODEL_ATTEMPTS,
+    backoff_base: float = rules.BACKOFF_BASE_SECONDS,
+    max_concurrency: int | None = None,
+) -> DataFrame:
+    """Score `rows` (needs prompt, system_prompt, model_id) and append the
+    scored columns of SCORED_SCHEMA.
+
+    `scorer_factory()` is called once per task (client reuse); the scorer
+    returns a dict with text / tokens_in / tokens_out / latency_ms and raises
+    `ModelError(code)` on failure. Temperature and token cap are the fixed
+    call parameters and are the scorer's concern.
+    """
+    if max_concurrency:
+        rows = rows.repartition(max_concurrency)
+    in_schema = rows.schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in in_schema.fields) + ", " + SCORED_SCHEMA
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = scorer_factory()
+        for pdf in batches:
+            texts, tin, tout, lat, attempts, waited, errors = [], [], [], [], [], [], []
+            for prompt, system_prompt, model_id in zip(pdf["prompt"], pdf["system_prompt"], pdf["model_id"]):
+                out, n, w, err = _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, backoff_base)
+                out = out or {}
+                texts.append(out.get("text"))
+                tin.append(int(out.get("tokens_in", 0)) if out else 0)
+                tout.append(int(out.get("tokens_out", 0)) if out else 0)
+                lat.append(int(out.get("latency_ms", 0)) if out else 0)
+                attempts.append(n)
+                waited.append(float(w))
+                errors.append(err)
+            yield pdf.assign(
+                text=texts, tokens_in=tin, tokens_out=tout, latency_ms=lat,
+                attempts=attempts, waited_s=waited, error=errors,
+            )
+
+    return rows.mapInPandas(run, ddl)
+
+
+# ---------------------------------------------------------------------------
+# Deterministic offline scorer
+# ---------------------------------------------------------------------------
+_FILE_BLOCK = re.compile(r"### File: ([^\n]*) \(language: ([^)\n]*)\)\n```diff\n(.*?)\n```\n", re.S)
+_CHUNK_NO = re.compile(r"\(chunk (\d+)/(\d+)\)")
+_SYSTEM_TO_AGENT = {p: a for a, p in rules.REVIEWER_PROMPTS.items()}
+
+
+def offline_findings(agent: str, files: list[tuple[str, str, str]]) -> list[dict]:
+    """What the offline model reports for a chunk, by reviewer and file."""
+    out = []
+    for path, language, patch in files:
+        n_lines = len(patch.split("\n"))
+        if agent == "security" and patch != "":
+            out.append({"severity": "WARNING", "category": "hardcoded_secret", "file": path, "line": n_lines,
+                        "message": "Credential-like value on the last added line", "suggestion": "Load it at runtime"})
+        elif agent == "performance" and language in ("python", "go", "sql", "tsx"):
+            out.append({"severity": "info" if n_lines < 30 else "warning", "category": "algorithm", "file": path,
+                        "line": 1, "message": f"Review loop cost over {n_lines} lines", "suggestion": "Batch the work"})
+        elif agent == "style" and n_lines % 2 == 0:
+            out.append({"severity": "info", "category": "naming", "file": path, "line": 2,
+                        "message": "Inconsistent naming", "suggestion": "Follow the project convention"})
+        elif agent == "test" and language == "dockerfile":
+            out.append({"severity": "warning", "category": "missing_test", "file": path, "line": 0,
+                        "message": "Container build is untested", "suggestion": "Add a build check"})
+    return out
+
+
+class OfflineScorer:
+    """Deterministic scorer: parses the prompt like a model would read it.
+
+    Failure injection by chunk index (0-based): `% 11 == 10` a non-retryable
+    ValidationException; `% 13 == 12` throttled on every attempt; `% 5 == 3`
+    throttled on the first attempt only. Replies of the security reviewer for
+    `% 7 == 6` come fenced inside prose; performance replies for `% 9 == 8`
+    are not JSON.
+    """
+
+    def __init__(self, inject_failures: bool = True):
+        self.inject = inject_failures
+        self.calls: dict[str, int] = {}
+
+    def __call__(self, prompt: str, system_prompt: str, model_id: str) -> dict:
+        m = _CHUNK_NO.search(prompt)
+        chunk_index = int(m.group(1)) - 1 if m else 0
+        agent = _SYSTEM_TO_AGENT.get(system_prompt, "security")
+        key = f"{agent}|{prompt[:64]}|{len(prompt)}|{chunk_index}"
+        attempt = self.calls.get(key, 0)
+        self.calls[key] = attempt + 1
+        if self.inject:
+            if chunk_index % 11 == 10:
+                raise ModelError("ValidationException", "input rejected")
+            if chunk_index % 13 == 12:
+                raise ModelError("ThrottlingException", "rate exceeded")
+            if chunk_index % 5 == 3 and attempt == 0:
+                raise ModelError("ThrottlingException", "rate exceeded")
+        files = _FILE_BLOCK.findall(prompt)
+        body = json.dumps({"findings": offline_findings(agent, files)})
+        if agent == "security" and chunk_index % 7 == 6:
+            text = "Findings below.\n```json\n" + body + "\n```\nEnd of review."
+        elif agent == "performance" and chunk_index % 9 == 8:
+            text = "No structured answer available."
+        else:
+            text = body
+        return {"text": text, "tokens_in": (len(prompt) + 3) // 4, "tokens_out": len(text) // 4, "latency_ms": 0}
+
+
+def offline_scorer_factory() -> Callable[[str, str, str], dict]:
+    return OfflineScorer()
+
+
+def no_sleep(_seconds: float) -> None:
+    """Injected sleep for tests and the offline scorer (waits are recorded)."""

@@ -192,7 +192,9 @@ def q_finding_render(spark, sf_dir):
     return merge.rendered_findings(ranked_findings(spark, sf_dir)).select("review_id", "sk", "md")
 
 
-def _comment_sql() -> str:
+def comment_tail_sql() -> str:
+    """`, items AS (...) SELECT review_id, verdict, comment` over CTEs named
+    `ranked` (with bucket, sk and finding fields) and `verdicts`."""
     from revlens.functions import render as r
 
     brand = r.DEFAULT_BRAND
@@ -218,14 +220,15 @@ def _comment_sql() -> str:
         f" || {nl} || '---' || {nl} || {o.q(r.FOOTER.format(brand=brand))} || cast(distinct_files AS varchar) || ' files (0 additions) in '"
         f" || cast(latency_ms AS varchar) || 'ms.*'"
     )
-    return (
-        _KEYED
-        + f""", items AS (
+    return f""", items AS (
   SELECT review_id, {items('critical')} AS ci, {items('warning')} AS wi, {items('info')} AS ii
   FROM ranked GROUP BY review_id)
 SELECT v.review_id, verdict, {text} AS comment
 FROM verdicts v LEFT JOIN items USING (review_id)"""
-    )
+
+
+def _comment_sql() -> str:
+    return _KEYED.rstrip() + comment_tail_sql()
 
 
 @register("review_comment_render", _comment_sql())

@@ -182,19 +182,20 @@ FROM conversations
 WHERE role = 'assistant'
 """
 
-# Webhook requests, one per order. Event header, action, signature state,
-# base64 flag and malformed bodies cycle with different moduli.
+# Webhook requests, one per order; two consecutive orders are two deliveries
+# for the same pull request (pr_no = o_orderkey / 2). Event header, action,
+# signature state, base64 flag and malformed bodies cycle with different moduli.
 _ACTIONS = ["opened", "synchronize", "reopened", "closed", "labeled"]
 _BODY = (
     f"CASE WHEN o_orderkey % 11 = 10 THEN '{{' || {_Q} || 'action' || {_Q} || ': ' || {_Q} || 'opened' || {_Q} || ', '"
     f" ELSE '{{' || {_Q} || 'action' || {_Q} || ': ' || {_Q} || "
     f"CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {chr(39)}{a}{chr(39)}' for i, a in enumerate(_ACTIONS))} END || {_Q}"
-    f" || ', ' || {_Q} || 'number' || {_Q} || ': ' || {_s('o_orderkey')}"
-    f" || ', ' || {_Q} || 'pull_request' || {_Q} || ': {{' || {_Q} || 'number' || {_Q} || ': ' || {_s('o_orderkey')}"
+    f" || ', ' || {_Q} || 'number' || {_Q} || ': ' || {_s('pr_no')}"
+    f" || ', ' || {_Q} || 'pull_request' || {_Q} || ': {{' || {_Q} || 'number' || {_Q} || ': ' || {_s('pr_no')}"
     f" || ', ' || {_Q} || 'title' || {_Q} || ': ' || {_Q} || 'Order ' || o_orderpriority || {_Q}"
-    f" || ', ' || {_Q} || 'html_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('o_orderkey')} || {_Q}"
-    f" || ', ' || {_Q} || 'diff_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('o_orderkey')} || '.diff' || {_Q}"
-    f" || ', ' || {_Q} || 'head' || {_Q} || ': {{' || {_Q} || 'sha' || {_Q} || ': ' || {_Q} || md5({_s('o_orderkey')}) || {_Q}"
+    f" || ', ' || {_Q} || 'html_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('pr_no')} || {_Q}"
+    f" || ', ' || {_Q} || 'diff_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('pr_no')} || '.diff' || {_Q}"
+    f" || ', ' || {_Q} || 'head' || {_Q} || ': {{' || {_Q} || 'sha' || {_Q} || ': ' || {_Q} || md5({_s('pr_no')}) || {_Q}"
     f" || ', ' || {_Q} || 'ref' || {_Q} || ': ' || {_Q} || 'feature/' || o_orderstatus || {_Q} || '}}'"
     f" || CASE WHEN o_orderkey % 13 = 12 THEN '' ELSE ', ' || {_Q} || 'base' || {_Q} || ': {{' || {_Q} || 'ref' || {_Q} || ': ' || {_Q} || 'main' || {_Q} || '}}' END"
     f" || '}}, ' || {_Q} || 'repository' || {_Q} || ': {{' || {_Q} || 'full_name' || {_Q} || ': ' || {_Q} || 'org/shop-' || {_s('o_custkey % 9')} || {_Q}"
@@ -233,7 +234,8 @@ SELECT
   request_id % 3 = 2 AS is_base64,
   CASE WHEN request_id % 3 = 2 THEN {_b64('body_raw', dialect)} ELSE body_raw END AS body,
   o_orderdate AS received_at
-FROM (SELECT o_orderkey AS request_id, o_orderdate, {_BODY} AS body_raw FROM orders) r
+FROM (SELECT o_orderkey AS request_id, o_orderdate, {_BODY} AS body_raw
+      FROM (SELECT *, cast(floor(o_orderkey / 2) AS bigint) AS pr_no FROM orders) o) r
 """
 
 
@@ -260,6 +262,56 @@ WHERE event_type = 'error'
 """
 
 
+def _json_str(expr: str) -> str:
+    """JSON string literal of `expr` (escape backslash, quote, CR, LF, TAB)."""
+    e = f"replace({expr}, chr(92), chr(92) || chr(92))"
+    e = f"replace({e}, chr(34), chr(92) || chr(34))"
+    e = f"replace({e}, chr(10), chr(92) || 'n')"
+    e = f"replace({e}, chr(13), chr(92) || 'r')"
+    e = f"replace({e}, chr(9), chr(92) || 't')"
+    return f"chr(34) || {e} || chr(34)"
+
+
+# Changed files as landed by the hosting API: one JSON object per file, with
+# `patch` null for some (binary) files and `previous_filename` only on renames.
+PR_FILE_JSON_SQL = f"""
+SELECT review_id, ordinal,
+  '{{"filename": ' || {_json_str('filename')} || ', "status": ' || {_json_str('status')}
+  || ', "additions": ' || {_s('additions')} || ', "deletions": ' || {_s('deletions')}
+  || ', "patch": ' || CASE WHEN ordinal % 29 = 28 THEN 'null' ELSE {_json_str('patch')} END
+  || CASE WHEN previous_filename IS NULL THEN '' ELSE ', "previous_filename": ' || {_json_str('previous_filename')} END
+  || '}}' AS file_json
+FROM ({PR_FILES_SQL}) f
+"""
+
+# Pull-request metadata as landed by the hosting API, one object per order.
+PR_META_JSON_SQL = f"""
+SELECT o_orderkey AS pr_number,
+  '{{"title": "Order ' || {_s('o_orderkey')} || '", "body": '
+  || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE {_json_str('o_orderpriority')} END
+  || ', "html_url": "https://example.com/pull/' || {_s('o_orderkey')} || '"'
+  || ', "diff_url": "https://example.com/pull/' || {_s('o_orderkey')} || '.diff"'
+  || ', "head": {{"sha": "' || md5({_s('o_orderkey')}) || '", "ref": "feature/' || o_orderstatus || '"}}'
+  || ', "base": {{"ref": "main"}}, "user": {{"login": "user' || {_s('o_custkey')} || '"}}'
+  || ', "labels": [' || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{{"name": "p' || {_s('o_orderkey % 5')} || '"}}'
+       ELSE '{{"name": "' || o_orderstatus || '"}}, {{"name": "triage"}}' END || ']'
+  || ', "created_at": "' || {_s('o_orderdate')} || '"'
+  || ', "updated_at": ' || CASE WHEN o_orderkey % 6 = 5 THEN 'null' ELSE '"' || {_s('o_orderdate')} || '"' END
+  || '}}' AS meta_json
+FROM orders
+"""
+
+# review.complete messages (one per events row); review_id is empty for
+# error events, which the consumers must skip.
+COMPLETE_EVENTS_SQL = f"""
+SELECT event_id AS message_id, ts,
+  '{{"review_id": "' || CASE WHEN event_type = 'error' THEN '' ELSE 'rev-' || {_s('user_id')} END
+  || '", "verdict": "' || CASE user_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'comment' ELSE 'request_changes' END
+  || '", "latency_ms": ' || {_s('event_id % 997')} || '}}' AS body
+FROM events
+"""
+
+
 _STATIC_SQL: dict[str, str] = {
     "pr_files": PR_FILES_SQL,
     "findings_in": FINDINGS_SQL,
@@ -267,6 +319,9 @@ _STATIC_SQL: dict[str, str] = {
     "responses": RESPONSES_SQL,
     "invocations": INVOCATIONS_SQL,
     "receives": RECEIVES_SQL,
+    "pr_file_json": PR_FILE_JSON_SQL,
+    "pr_meta_json": PR_META_JSON_SQL,
+    "complete_events": COMPLETE_EVENTS_SQL,
 }
 DERIVED_NAMES = tuple(_STATIC_SQL) + ("requests",)
 
@@ -292,6 +347,9 @@ _SOURCE_TABLE = {
     "invocations": "events",
     "receives": "events",
     "requests": "orders",
+    "pr_file_json": "documents",
+    "pr_meta_json": "orders",
+    "complete_events": "events",
 }
 
 

@@ -198,18 +198,6 @@ def q_health_flag(spark, sf_dir):
     return f.unionByName(q)
 
 
-@register(
-    "overview_kpi",
-    None,
-)
-def q_overview_kpi(spark, sf_dir):
-    sev = dash.severity_kpi(derived(spark, sf_dir, "findings_in"))
-    revs = dash.review_count_kpi(items(spark, sf_dir))
-    qd = dash.queue_depth_all(spark, dash.queue_depth(routes(spark, sf_dir)))
-    fm = dash.function_metrics_all(spark, metrics(spark, sf_dir))
-    return dash.overview(sev, revs, qd, fm).withColumn("queues", F.to_json("queues"))
-
-
 # --- reviews -------------------------------------------------------------------
 _PROJ = (
     _REVIEWS
@@ -366,16 +354,3 @@ def q_latest_item_upsert(spark, sf_dir):
         F.col("event_type").alias("last_event"),
     )
     return store.upsert_latest(writes).select("pk", "sk", "last_event")
-
-
-# --- tokens --------------------------------------------------------------------
-@register("token_usage", None)
-def q_token_usage(spark, sf_dir):
-    return dash.token_usage(decoded_replies(spark, sf_dir))
-
-
-@register("reviewer_config", None)
-def q_reviewer_config(spark, sf_dir):
-    from revlens.operators.score import reviewer_table
-
-    return reviewer_table(spark)

@@ -1 +1,268 @@
-"""q_stream queries."""
+"""Streaming family: each key replays its benchmark table as a file stream
+(availableNow), writes through an idempotent sink under spark.checkpoint.dir
+and returns the sink's table - comparable with the batch oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revlens.operators import dashboard as dash
+from revlens.operators.score import no_sleep, offline_scorer_factory
+from revlens.plans import oracle as o
+from revlens.plans.batch import review_batch
+from revlens.plans.q_dashboard import _FUNCS_BODY, _ROUTES_BODY, _sev_kpi_sql
+from revlens.plans.q_findings import comment_tail_sql
+from revlens.plans.q_ingest import _COMPLETE
+from revlens.plans.q_score import _PIPE
+from revlens.plans.registry import register
+from revlens.session import configure
+from revlens.sources import landed
+from revlens.sources.driver import EVENTS_NOW, derived, derived_stream
+from revlens.streaming import runner, sinks
+from revlens.streaming.barrier import barrier_stream
+
+_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _fmt(col: str) -> F.Column:
+    return F.date_format(F.col(col), _TS).alias(col)
+
+
+# --- completion barrier -------------------------------------------------------------
+@register(
+    "completion_barrier",
+    o.with_views("findings_in")
+    + """, first AS (SELECT review_id, agent, min(ts) AS first_ts FROM findings_in GROUP BY ALL),
+opened AS (SELECT review_id, min(first_ts) AS t0 FROM first GROUP BY review_id),
+per AS (
+  SELECT review_id, count(*) FILTER (WHERE first_ts <= t0 + INTERVAL 15 SECONDS) AS seen_agents,
+         max(first_ts) FILTER (WHERE first_ts <= t0 + INTERVAL 15 SECONDS) AS last_in_window, min(t0) AS t0
+  FROM first JOIN opened USING (review_id) GROUP BY review_id)
+SELECT review_id, cast(seen_agents AS INTEGER) AS seen_agents, seen_agents >= 4 AS complete,
+  strftime(CASE WHEN seen_agents >= 4 THEN last_in_window ELSE t0 + INTERVAL 15 SECONDS END, '%Y-%m-%d %H:%M:%S.%f') AS fired_at
+FROM per""",
+)
+def q_completion_barrier(spark, sf_dir):
+    configure(spark)
+    fired = barrier_stream(derived_stream(spark, sf_dir, "findings_in"))
+    folder = runner.run(fired, "barrier")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("review_id", "seen_agents", "complete", _fmt("fired_at"))
+
+
+@register(
+    "emit_once_per_review",
+    _COMPLETE + "SELECT DISTINCT review_id, verdict FROM parsed WHERE review_id <> ''",
+)
+def q_emit_once_per_review(spark, sf_dir):
+    configure(spark)
+    c = derived_stream(spark, sf_dir, "complete_events")
+    parsed = c.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.coalesce(F.get_json_object("body", "$.review_id"), F.lit("")).alias("review_id"),
+        F.get_json_object("body", "$.verdict").alias("verdict"),
+    ).filter(F.col("review_id") != "")
+    # A review's completion messages arrive within its lifetime (< 31 days
+    # here); duplicates inside that horizon are dropped, state expires after.
+    once = parsed.withWatermark("ts", "31 days").dropDuplicatesWithinWatermark(["review_id"])
+    folder = runner.run(once.select("review_id", "verdict"), "emit-once")
+    return spark.read.parquet(f"{folder}/out").select("review_id", "verdict")
+
+
+@register("periodic_refresh", o.with_views("findings_in") + " " + _sev_kpi_sql("findings_in"))
+def q_periodic_refresh(spark, sf_dir):
+    """Severity KPI as a complete-mode streaming aggregate. In production the
+    trigger is processingTime='30 seconds'; the replay drains and stops."""
+    configure(spark)
+    f = derived_stream(spark, sf_dir, "findings_in")
+    kpi = dash.severity_kpi(f)
+    spark_ = spark
+    folder_holder: dict[str, str] = {}
+
+    def overwrite(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(folder_holder["path"])
+
+    from revlens.session import scratch_path
+    import uuid
+
+    folder_holder["path"] = scratch_path(spark_, f"refresh-{uuid.uuid4().hex[:12]}")
+    runner.run(kpi, "refresh", sink=overwrite, output_mode="complete")
+    return spark.read.parquet(folder_holder["path"])
+
+
+# --- sinks of the batch pipeline ---------------------------------------------------
+def _pipeline(spark, sf_dir):
+    configure(spark)
+    return review_batch(derived(spark, sf_dir, "pr_files"), offline_scorer_factory, sleep=no_sleep)
+
+
+def _write_read(spark, df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
+    import uuid
+
+    path = sinks.table_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    sinks.write_batch(df, path, 0)
+    return sinks.read_latest(spark, path, keys, order)
+
+
+@register(
+    "write_reviews",
+    _PIPE
+    + """, stats AS (
+  SELECT review_id, count(*) FILTER (WHERE NOT is_generated) AS files_count,
+         coalesce(array_to_string(list_sort(list_distinct(list(language) FILTER (WHERE NOT is_generated AND language <> 'unknown'))), ','), '') AS languages
+  FROM changes GROUP BY review_id),
+nchunks AS (SELECT review_id, max(total_chunks) AS chunks_count FROM assigned GROUP BY review_id)
+SELECT 'REV#' || review_id AS pk, 'META' AS sk, 'parsing_complete' AS status, files_count,
+       coalesce(chunks_count, 0) AS chunks_count, languages
+FROM stats LEFT JOIN nchunks USING (review_id)""",
+)
+def q_write_reviews(spark, sf_dir):
+    b = _pipeline(spark, sf_dir)
+    chunks = b.assigned.groupBy("review_id").agg(F.max("total_chunks").alias("chunks_count"))
+    meta = b.stats.join(chunks, "review_id", "left").select(
+        F.concat(F.lit("REV#"), F.col("review_id")).alias("pk"),
+        F.lit("META").alias("sk"),
+        F.lit("parsing_complete").alias("status"),
+        F.col("total_files").alias("files_count"),
+        F.coalesce(F.col("chunks_count"), F.lit(0)).alias("chunks_count"),
+        F.array_join("languages", ",").alias("languages"),
+        F.lit(0).alias("write_seq"),
+    )
+    return _write_read(spark, meta, "reviews", ["pk", "sk"], ["write_seq"]).drop("write_seq")
+
+
+@register(
+    "write_findings",
+    _PIPE + "SELECT 'REV#' || review_id AS pk, sk, severity, category, file, line, agent FROM keyed",
+)
+def q_write_findings(spark, sf_dir):
+    b = _pipeline(spark, sf_dir)
+    f = b.findings.select(
+        F.concat(F.lit("REV#"), F.col("review_id")).alias("pk"), "sk", "severity", "category", "file", "line", "agent",
+        F.lit(0).alias("write_seq"),
+    )
+    return _write_read(spark, f, "findings", ["pk", "sk"], ["write_seq"]).drop("write_seq")
+
+
+@register(
+    "write_comments",
+    _PIPE.rstrip()
+    + comment_tail_sql().replace(
+        "SELECT v.review_id, verdict,",
+        "SELECT v.review_id, verdict, CASE WHEN verdict = 'request_changes' THEN 'failure' ELSE 'success' END AS state,",
+    ),
+)
+def q_write_comments(spark, sf_dir):
+    b = _pipeline(spark, sf_dir)
+    out = b.comments.join(b.status.select("review_id", "state"), "review_id").withColumn("write_seq", F.lit(0))
+    return _write_read(spark, out, "comments", ["review_id"], ["write_seq"]).select("review_id", "verdict", "state", "comment")
+
+
+@register(
+    "publish_complete",
+    _PIPE
+    + """SELECT review_id, to_json({'review_id': review_id, 'verdict': verdict, 'total_findings': total_findings,
+  'latency_ms': latency_ms})::VARCHAR AS value, 'review.complete' AS event_type FROM verdicts""",
+)
+def q_publish_complete(spark, sf_dir):
+    b = _pipeline(spark, sf_dir)
+    v = b.verdicts
+    return v.select(
+        "review_id",
+        F.to_json(F.struct("review_id", "verdict", "total_findings", F.col("latency_ms").cast("int").alias("latency_ms"))).alias("value"),
+        F.lit("review.complete").alias("event_type"),
+    )
+
+
+# --- streaming pipeline --------------------------------------------------------------
+def _pipe_from_landed() -> str:
+    """The batch pipeline's SQL with file rows read from the landed JSON."""
+    landed_files = """pr_files AS (
+  SELECT review_id, ordinal, json_extract_string(file_json, '$.filename') AS filename,
+         json_extract_string(file_json, '$.status') AS status,
+         cast(json_extract(file_json, '$.additions') AS BIGINT) AS additions,
+         cast(json_extract(file_json, '$.deletions') AS BIGINT) AS deletions,
+         coalesce(json_extract_string(file_json, '$.patch'), '') AS patch,
+         json_extract_string(file_json, '$.previous_filename') AS previous_filename
+  FROM pr_file_json)"""
+    head = o.with_views("pr_files")
+    assert _PIPE.startswith(head)
+    return "WITH " + o.views_cte("pr_file_json") + ",\n" + landed_files + _PIPE[len(head):]
+
+
+@register(
+    "review_pipeline_stream",
+    _pipe_from_landed().rstrip()
+    + comment_tail_sql().replace("SELECT v.review_id, verdict,", "SELECT v.review_id, verdict, n_critical,"),
+)
+def q_review_pipeline_stream(spark, sf_dir):
+    """Landed file objects stream in; each micro-batch is reviewed as a batch
+    (files of one PR land together in one file, so a micro-batch holds whole
+    PRs) and the comments go to an idempotent sink."""
+    configure(spark)
+    files = landed.pr_files(derived_stream(spark, sf_dir, "pr_file_json"))
+    import uuid
+
+    from revlens.session import scratch_path
+
+    out_path = scratch_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
+
+    def review_micro_batch(df: DataFrame, batch_id: int) -> None:
+        b = review_batch(df, offline_scorer_factory, sleep=no_sleep)
+        res = b.comments.join(b.verdicts.select("review_id", "n_critical"), "review_id")
+        sinks.write_batch(res, out_path, batch_id)
+
+    runner.run(files, "pipeline", sink=review_micro_batch)
+    return spark.read.parquet(out_path).select("review_id", "verdict", "n_critical", "comment")
+
+
+# --- dashboard ------------------------------------------------------------------------
+_OVERVIEW_SQL = (
+    o.with_views("findings_in", "review_events", "receives", "invocations")
+    + _ROUTES_BODY
+    + _FUNCS_BODY
+    + """, sev AS ("""
+    + _sev_kpi_sql("findings_in")
+    + """),
+revs AS (SELECT count(DISTINCT review_id) AS total_reviews FROM review_events)
+SELECT total_reviews, total AS total_findings, critical, warning, info,
+  (SELECT cast(sum(depth) AS BIGINT) FROM queue_all WHERE NOT is_dlq) AS queue_depth,
+  (SELECT cast(sum(depth) AS BIGINT) FROM queue_all WHERE is_dlq) AS dlq_depth,
+  (SELECT cast(sum(invocations_24h) AS BIGINT) FROM func_all) AS invocations_24h,
+  (SELECT cast(sum(errors_24h) AS BIGINT) FROM func_all) AS errors_24h
+FROM sev, revs"""
+)
+
+
+def _overview(spark, sf_dir) -> DataFrame:
+    from revlens.plans.q_dashboard import items, metrics, routes
+
+    sev = dash.severity_kpi(derived(spark, sf_dir, "findings_in"))
+    revs = dash.review_count_kpi(items(spark, sf_dir))
+    qd = dash.queue_depth_all(spark, dash.queue_depth(routes(spark, sf_dir)))
+    fm = dash.function_metrics_all(spark, metrics(spark, sf_dir))
+    ov = dash.overview(sev, revs, qd, fm)
+    depth_main = F.aggregate(F.map_values(F.map_filter("queues", lambda k, v: ~k.contains("dlq"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    depth_dlq = F.aggregate(F.map_values(F.map_filter("queues", lambda k, v: k.contains("dlq"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ov.select(
+        "total_reviews", "total_findings", "critical", "warning", "info",
+        depth_main.alias("queue_depth"), depth_dlq.alias("dlq_depth"), "invocations_24h", "errors_24h",
+    )
+
+
+@register("overview_kpi", _OVERVIEW_SQL)
+def q_overview_kpi(spark, sf_dir):
+    configure(spark)
+    return _overview(spark, sf_dir)
+
+
+@register("dashboard_refresh", _OVERVIEW_SQL)
+def q_dashboard_refresh(spark, sf_dir):
+    """One refresh of the dashboard tables (KPIs, queues, functions -> the
+    overview row); `periodic_refresh` shows the 30 s streaming form."""
+    configure(spark)
+    return _overview(spark, sf_dir)
+
+
+__all__ = ["EVENTS_NOW", "SparkSession"]

@@ -357,3 +357,28 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived input as a lazy DataFrame over the benchmark table."""
     register_base(spark, sf_dir, (_SOURCE_TABLE[name],))
     return spark.sql(derived_sql(name, "spark"))
+
+
+_TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def derived_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+    """A derived input over a *stream* of its benchmark table (file source on
+    the table's landing folder). Row-level views apply to streams unchanged."""
+    table = _SOURCE_TABLE[name]
+    stream = (
+        spark.readStream.schema(_TABLE_SCHEMAS[table])
+        .option("pathGlobFilter", f"{table}.parquet")
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(sf_dir)
+    )
+    view = f"{table}_stream"
+    stream.createOrReplaceTempView(view)
+    text = derived_sql(name, "spark")
+    return spark.sql(text.replace(f"FROM {table}\n", f"FROM {view}\n").replace(f"FROM {table})", f"FROM {view})"))

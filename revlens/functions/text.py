@@ -24,7 +24,10 @@ def code_fence_extract(text: Column) -> Column:
     first two; strip again.
     """
     s = py_strip(text)
-    after_json = F.regexp_extract(s, r"(?s)```json(.*?)(?:```|\z)", 1)
+    # The segment runs to the next "```json" (split semantics), then is cut at
+    # its first "```".
+    segment = F.regexp_extract(s, r"(?s)```json(.*?)(?:```json|\z)", 1)
+    after_json = F.regexp_extract(segment, r"(?s)^(.*?)(?:```|\z)", 1)
     between = F.regexp_extract(s, r"(?s)```(.*?)(?:```|\z)", 1)
     picked = F.when(s.contains("```json"), after_json).when(s.contains("```"), between).otherwise(s)
     return py_strip(picked)

@@ -74,7 +74,7 @@ def strip_sql(s: str) -> str:
 def fence_sql(text: str) -> str:
     s = strip_sql(text)
     return strip_sql(
-        f"CASE WHEN contains({s}, '```json') THEN regexp_extract({s}, '(?s)```json(.*?)(?:```|\\z)', 1) "
+        f"CASE WHEN contains({s}, '```json') THEN regexp_extract(regexp_extract({s}, '(?s)```json(.*?)(?:```json|\\z)', 1), '(?s)^(.*?)(?:```|\\z)', 1) "
         f"WHEN contains({s}, '```') THEN regexp_extract({s}, '(?s)```(.*?)(?:```|\\z)', 1) ELSE {s} END"
     )
 

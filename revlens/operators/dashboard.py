@@ -1,8 +1,10 @@
 """Dashboard tables: KPIs, queue depth, function metrics, health flags.
 
 Everything is a partial aggregate followed (where the dashboard lists a fixed
-set of names) by a left join against a tiny fixed table, broadcast because
-its size is fixed by configuration (14 queues, 6 functions), never by data.
+set of names) by a left join against a tiny fixed table. Only the fixed
+tables carry a broadcast hint (their size is set by configuration: 14 queues,
+6 functions); the aggregated side is sized by data, so the join strategy for
+it is left to AQE's runtime statistics.
 """
 
 from __future__ import annotations
@@ -84,8 +86,8 @@ def queue_depth(routes: DataFrame) -> DataFrame:
 def queue_depth_all(spark: SparkSession, depth: DataFrame) -> DataFrame:
     """Every configured queue, depth 0 when absent, plus health columns."""
     return (
-        queue_table(spark)
-        .join(F.broadcast(depth), "queue", "left")
+        F.broadcast(queue_table(spark))
+        .join(depth, "queue", "left")
         .select(
             "queue",
             F.coalesce(F.col("depth"), F.lit(0)).cast("bigint").alias("depth"),
@@ -110,7 +112,7 @@ def function_metrics(invocations: DataFrame, now: str, hours: int = rules.METRIC
 def function_metrics_all(spark: SparkSession, metrics: DataFrame) -> DataFrame:
     """Every configured function with its configuration, metrics 0 when absent,
     and the health flag (`warning` when it had errors, else `active`)."""
-    m = function_table(spark).join(F.broadcast(metrics), "function", "left")
+    m = F.broadcast(function_table(spark)).join(metrics, "function", "left")
     errors = F.coalesce(F.col("errors_24h"), F.lit(0)).cast("bigint")
     return m.select(
         "function",

@@ -10,8 +10,10 @@ Two forms with the same result:
 * `barrier_batch` - two partial aggregations (first event per reviewer, then
   per review); skew-safe.
 * `barrier_stream` - `applyInPandasWithState` with an event-time timeout; the
-  state per review is (t0, reviewer set, fired) - a few bytes, whatever the
-  review's size. Late events go to the `late` output column.
+  state per review is (t0, reviewer set, fired, late count) - a few bytes,
+  whatever the review's size - and each Arrow chunk of a micro-batch is
+  reduced to first arrivals per reviewer before it touches the state.
+  Events of a review after it fired are counted in `late_events`.
 """
 
 from __future__ import annotations
@@ -68,29 +70,38 @@ def _barrier_fn(timeout_s: int, expected: int):
             return
         if state.exists:
             t0_us, agents, fired, late = state.get
-            agents = list(agents)
         else:
             t0_us, agents, fired, late = None, [], False, 0
-        frames = [b[["agent", "ts"]] for b in batches]
-        pdf = pd.concat(frames) if frames else pd.DataFrame({"agent": [], "ts": []})
-        if len(pdf) == 0:
+        # Reduce each Arrow chunk to the first arrival per reviewer (<= 4 rows):
+        # memory stays constant however many events a hot review has.
+        first: dict[str, int] = {}
+        n_events = 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            n_events += len(pdf)
+            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
+            mins = pd.Series(us.to_numpy()).groupby(pdf["agent"].to_numpy()).min()
+            for agent, t in mins.items():
+                first[agent] = min(int(t), first.get(agent, int(t)))
+        if not first:
             return
-        us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
         if t0_us is None:
-            t0_us = int(us.min())
-        pdf = pdf.assign(us=us.to_numpy()).sort_values("us")
+            t0_us = min(first.values())
+        deadline = t0_us + timeout_us
         fired_row = None
-        for agent, t in zip(pdf["agent"], pdf["us"]):
-            if fired or t > t0_us + timeout_us:
-                late += 1
-                continue
-            if agent not in agents:
-                agents.append(agent)
+        if fired:
+            late += n_events
+        else:
+            for agent, t in sorted(first.items(), key=lambda kv: kv[1]):
+                if t > deadline or agent in agents:
+                    continue
+                agents = [*agents, agent]
                 if len(agents) >= expected:
-                    fired = True
-                    fired_row = int(t)
-        state.update((int(t0_us), agents, bool(fired), int(late)))
-        deadline_ms = int((t0_us + timeout_us) // 1000) + 1
+                    fired, fired_row = True, t
+                    break
+        state.update((int(t0_us), list(agents), bool(fired), int(late)))
+        deadline_ms = int(deadline // 1000) + 1
         state.setTimeoutTimestamp(max(deadline_ms, int(state.getCurrentWatermarkMs()) + 1))
         if fired_row is not None:
             yield pd.DataFrame({

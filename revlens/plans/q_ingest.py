@@ -14,7 +14,7 @@ from revlens.operators.ordering import first_by_order
 from revlens.plans import oracle as o
 from revlens.plans.q_dashboard import _ROUTES
 from revlens.plans.registry import register
-from revlens.session import configure
+from revlens.session import checkpoint_dir, configure
 from revlens.sources import landed, store
 from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 
@@ -22,7 +22,12 @@ from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows as landed envelopes (mixed-case header names)."""
     configure(spark)
-    r = derived(spark, sf_dir, "requests")
+    # Landed envelopes are a stored table in production. The derived stand-in
+    # is built by a large string expression; it is materialised once (reliable
+    # checkpoint in the shared folder) so that filters pushed below the
+    # admission projection see plain columns, not the builder expression.
+    checkpoint_dir(spark)
+    r = derived(spark, sf_dir, "requests").checkpoint(eager=True)
     headers = F.map_filter(
         F.create_map(
             F.lit("X-GitHub-Event"), F.col("header_event"),

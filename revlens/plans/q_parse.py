@@ -49,7 +49,7 @@ def q_map_file_status(spark, sf_dir):
 def q_file_change_project(spark, sf_dir):
     return drop_generated(changes(spark, sf_dir)).select(
         "review_id", "ordinal", "path", "language", "status", "additions", "deletions",
-        F.length("patch").alias("patch_chars"), F.md5("patch").alias("patch_md5"), "source_path",
+        F.length("patch").cast("bigint").alias("patch_chars"), F.md5("patch").alias("patch_md5"), "source_path",
     )
 
 

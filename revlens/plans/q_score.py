@@ -131,7 +131,7 @@ outcomes AS (
 )
 def q_chunk_prompt_build(spark, sf_dir):
     p = batch(spark, sf_dir).prompts
-    return p.select("review_id", "chunk_index", "n_files", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+    return p.select("review_id", "chunk_index", "n_files", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
 @register(

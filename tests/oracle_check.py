@@ -21,6 +21,10 @@ from revlens.plans.registry import ORACLE, QUERIES, load_all  # noqa: E402
 from revlens.sources.driver import BASE_TABLES  # noqa: E402
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+                  "double": "DOUBLE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _norm(v):
     if v is None:
         return "∅"
@@ -53,11 +57,18 @@ def compare(spark, con, sf_dir, key):
     names = [d[0] for d in cur.description]
     drows = [dict(zip(names, r)) for r in cur.fetchall()]
     ok_cols = scols == dcols
+    duck_types = {d[0]: str(d[1]).upper() for d in cur.description}
+    spark_types = dict(sdf.dtypes)
+    type_diff = {
+        c: (spark_types[c], duck_types.get(c))
+        for c in scols
+        if c in duck_types and _SPARK_TO_DUCK.get(spark_types[c], spark_types[c].upper()) != duck_types[c]
+    }
     ok_rows = len(srows) == len(drows)
     ok_hash = ok_cols and digest(srows, scols) == digest(drows, dcols)
     status = "OK" if (ok_cols and ok_rows and ok_hash) else "MISMATCH"
     return dict(key=key, rows=len(srows), oracle_rows=len(drows), cols=ok_cols, hash=ok_hash,
-                status=status, secs=round(t1 - t0, 2), scols=scols, dcols=dcols)
+                status=status, secs=round(t1 - t0, 2), type_diff=type_diff, scols=scols, dcols=dcols)
 
 
 def main(argv):

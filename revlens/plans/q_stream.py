@@ -201,20 +201,17 @@ def q_review_pipeline_stream(spark, sf_dir):
     (files of one PR land together in one file, so a micro-batch holds whole
     PRs) and the comments go to an idempotent sink."""
     configure(spark)
+    from revlens.streaming.pipeline import review_micro_batches
+
     files = landed.pr_files(derived_stream(spark, sf_dir, "pr_file_json"))
     import uuid
 
     from revlens.session import scratch_path
 
-    out_path = scratch_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
-
-    def review_micro_batch(df: DataFrame, batch_id: int) -> None:
-        b = review_batch(df, offline_scorer_factory, sleep=no_sleep)
-        res = b.comments.join(b.verdicts.select("review_id", "n_critical"), "review_id")
-        sinks.write_batch(res, out_path, batch_id)
-
-    runner.run(files, "pipeline", sink=review_micro_batch)
-    return spark.read.parquet(out_path).select("review_id", "verdict", "n_critical", "comment")
+    out_dir = scratch_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
+    runner.run(files, "pipeline", sink=review_micro_batches(out_dir, offline_scorer_factory, sleep=no_sleep))
+    comments = spark.read.parquet(f"{out_dir}/comments")
+    return comments.select("review_id", "verdict", "n_critical", "comment")
 
 
 # --- dashboard ------------------------------------------------------------------------

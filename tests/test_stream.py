@@ -33,3 +33,44 @@ def test_barrier_complete_and_timeout(spark):
     got = {r.review_id: (r.seen_agents, r.complete, r.fired_at) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got["full"] == batch["full"]
     assert got["slow"] == batch["slow"]
+
+
+def test_admission_stream_dedupes_redeliveries(spark):
+    import json
+
+    from revlens.sources import landed
+    from revlens.streaming.pipeline import admission_stream
+
+    payload = {"action": "opened", "pull_request": {"number": 5, "head": {"sha": "s1"}}, "repository": {"full_name": "o/r"}}
+    other = {**payload, "pull_request": {"number": 6, "head": {"sha": "s2"}}}
+    t = dt.datetime(2024, 1, 1)
+    rows = [
+        ({"X-GitHub-Event": "pull_request"}, json.dumps(payload), False, t),
+        ({"X-GitHub-Event": "pull_request"}, json.dumps({**payload, "action": "synchronize"}), False, t + dt.timedelta(seconds=5)),
+        ({"X-GitHub-Event": "pull_request"}, json.dumps(other), False, t),
+        ({"X-GitHub-Event": "push"}, json.dumps(payload), False, t),
+    ]
+    schema = landed.ENVELOPE_SCHEMA.add("received_at", "timestamp")
+    land = tempfile.mkdtemp(prefix="revlens-env-")
+    spark.createDataFrame(rows, schema).write.mode("overwrite").json(os.path.join(land, "in"))
+    stream = spark.readStream.schema(schema).json(os.path.join(land, "in"))
+    folder = runner.run(admission_stream(stream, secret="").select("review_id", "pr_number"), "admission-test")
+    got = sorted(r.pr_number for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == [5, 6]
+
+
+def test_dead_letter_routing_stream(spark):
+    from revlens.streaming.pipeline import dead_letter_micro_batches
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", "parse-queue", t, 1, True), ("b", "test-queue", t, 2, False), ("b", "test-queue", t, 3, False),
+            ("b", "test-queue", t, 4, False), ("c", "style-queue", t, 5, False)]
+    schema = "message_id string, queue string, received_at timestamp, receive_seq long, succeeded boolean"
+    land = tempfile.mkdtemp(prefix="revlens-rcv-")
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(os.path.join(land, "in"))
+    stream = spark.readStream.schema(schema).parquet(os.path.join(land, "in"))
+    out = tempfile.mkdtemp(prefix="revlens-dlq-")
+    runner.run(stream, "dlq-test", sink=dead_letter_micro_batches(out))
+    main = {r.message_id: r.route for r in spark.read.parquet(f"{out}/main").collect()}
+    dead = {r.message_id: r.route for r in spark.read.parquet(f"{out}/dead_letter").collect()}
+    assert main == {"a": "acked", "c": "retry"} and dead == {"b": "dead"}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens import rules
-from revlens.functions.secrets import secret_rule_index, secret_rule_name, secret_rule_severity
+from revlens.functions.secrets import secret_candidate, secret_rule_index, secret_rule_name, secret_rule_severity
 
 
 def patch_lines(changes: DataFrame, added_only: bool = True) -> DataFrame:
@@ -31,9 +31,8 @@ def secret_scan(changes: DataFrame) -> DataFrame:
     Output: review_id, ordinal, severity, category, file, line, message,
     suggestion, agent, rule_index.
     """
-    hits = patch_lines(changes).withColumn("rule_index", secret_rule_index(F.col("text"))).filter(
-        F.col("rule_index").isNotNull()
-    )
+    candidates = patch_lines(changes).filter(secret_candidate(F.col("text")))
+    hits = candidates.withColumn("rule_index", secret_rule_index(F.col("text"))).filter(F.col("rule_index").isNotNull())
     return hits.select(
         "review_id",
         "ordinal",

@@ -102,3 +102,21 @@ def test_secret_rules(spark):
         assert got[i].severity == sev
         assert got[i].line == 3  # hunk header is line 1
         assert got[i].category == "hardcoded_secret" and got[i].agent == "security"
+
+
+def test_prefilter_is_exact(spark):
+    """Every line a rule matches passes the literal prefilter."""
+    import random
+
+    from revlens.functions.secrets import secret_candidate, secret_rule_index
+
+    rnd = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-=:'\"/.+ "
+    lines = [line for line, _, _ in CASES]
+    for _ in range(3000):
+        base = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))
+        lines.append(base)
+        lines.append(rnd.choice(lines[: len(CASES)]).replace("a", rnd.choice("aAxX")).upper() if rnd.random() < 0.3 else base)
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    bad = df.filter(secret_rule_index(F.col("t")).isNotNull() & ~secret_candidate(F.col("t"))).count()
+    assert bad == 0

@@ -71,13 +71,13 @@ def _element_ok(e: Column) -> Column:
     )
 
 
-def _finding(e: Column, default_category: Column, pos: Column) -> Column:
+def _finding(e: Column, line: Column, default_category: Column, pos: Column) -> Column:
     return F.struct(
         pos.alias("pos"),
         severity_normalise(F.coalesce(F.variant_get(e, "$.severity", "string"), F.lit("INFO"))).alias("severity"),
         F.coalesce(F.variant_get(e, "$.category", "string"), default_category).alias("category"),
         F.coalesce(F.variant_get(e, "$.file", "string"), F.lit("unknown")).alias("file"),
-        _line_value(e).alias("line"),
+        line.alias("line"),
         F.coalesce(F.variant_get(e, "$.message", "string"), F.lit("")).alias("message"),
         F.coalesce(F.variant_get(e, "$.suggestion", "string"), F.lit("")).alias("suggestion"),
     )
@@ -93,61 +93,68 @@ def decode_replies(replies: DataFrame) -> DataFrame:
     and the counted `tokens_in_counted` / `tokens_out_counted`.
 
     `replies` needs agent, text, tokens_in, tokens_out and optionally `error`
-    (non-NULL when the model call failed).
+    (non-NULL when the model call failed). Each intermediate (fenced text,
+    parsed VARIANT, element list with its line values) is its own column, so
+    every reply is parsed once.
     """
     agent = F.col("agent")
     default_category = _by_agent({a: c for a, c, _ in rules.REVIEWERS}, agent, "other")
     drop_chunk = _by_agent(rules.ON_INVALID, agent, "keep_prefix") == "drop_chunk"
     has_error = F.col("error").isNotNull() if "error" in replies.columns else F.lit(False)
 
-    js = code_fence_extract(F.col("text"))
-    v = F.try_parse_json(js)
-    top = F.schema_of_variant(v)
+    staged = replies.withColumn("__js", code_fence_extract(F.col("text")))
+    staged = staged.withColumn("__v", F.try_parse_json("__js"))
+    v, js = F.col("__v"), F.col("__js")
+    staged = staged.withColumn("__top", F.schema_of_variant(v)).withColumn("__ftype", _vtype(v, "$.findings"))
+    top, ftype = F.col("__top"), F.col("__ftype")
     ends_ok = (
         F.when(top.startswith("OBJECT"), js.endswith("}"))
         .when(top.startswith("ARRAY"), js.endswith("]"))
         .otherwise(F.lit(True))
     )
     bad_json = v.isNull() | ~ends_ok
-    ftype = _vtype(v, "$.findings")
-    elems = F.try_variant_get(v, "$.findings", "array<variant>")
     empty_iterable = (ftype == "OBJECT<>") | ((ftype == "STRING") & (F.variant_get(v, "$.findings", "string") == ""))
     shape_ok = top.startswith("OBJECT") & (ftype.isNull() | ftype.startswith("ARRAY") | empty_iterable)
-    elem_list = F.when(ftype.startswith("ARRAY"), elems).otherwise(F.array().cast("array<variant>"))
-    oks = F.transform(elem_list, _element_ok)
-    first_bad = F.array_position(oks, False)  # 1-based, 0 when all are fine
-
-    decoded = replies.withColumn("__elems", elem_list).withColumn("__first_bad", first_bad).withColumn(
+    elem_list = F.when(ftype.startswith("ARRAY"), F.try_variant_get(v, "$.findings", "array<variant>")).otherwise(
+        F.array().cast("array<variant>")
+    )
+    # one pass per element: its line value is computed once and reused
+    staged = staged.withColumn("__shape_ok", shape_ok).withColumn("__bad_json", bad_json).withColumn(
+        "__elems", F.transform(elem_list, lambda e: F.struct(e.alias("e"), _line_value(e).alias("line")))
+    )
+    oks = F.transform(
+        F.col("__elems"),
+        lambda x: F.coalesce(F.schema_of_variant(x["e"]).startswith("OBJECT"), F.lit(False))
+        & _str_ok(x["e"], "severity") & _str_ok(x["e"], "category") & _str_ok(x["e"], "file")
+        & _str_ok(x["e"], "message") & _str_ok(x["e"], "suggestion") & x["line"].isNotNull(),
+    )
+    staged = staged.withColumn("__first_bad", F.array_position(oks, False)).withColumn(
         "outcome",
         F.when(has_error, F.lit("model_error"))
-        .when(bad_json, F.lit("bad_json"))
-        .when(~shape_ok | (F.col("__first_bad") > 0), F.lit("invalid"))
+        .when(F.col("__bad_json"), F.lit("bad_json"))
+        .when(~F.col("__shape_ok") | (F.col("__first_bad") > 0), F.lit("invalid"))
         .otherwise(F.lit("ok")),
     )
-    all_findings = F.transform(F.col("__elems"), lambda e, i: _finding(e, default_category, i))
+    all_findings = F.transform(F.col("__elems"), lambda x, i: _finding(x["e"], x["line"], default_category, i))
     kept = (
         F.when(F.col("outcome") == "ok", all_findings)
-        .when((F.col("outcome") == "invalid") & ~drop_chunk & shape_ok, F.slice(all_findings, 1, F.col("__first_bad") - 1))
+        .when((F.col("outcome") == "invalid") & ~drop_chunk & F.col("__shape_ok"),
+              F.slice(all_findings, 1, F.col("__first_bad") - 1))
     )
-    empty = F.array().cast(_FINDINGS_TYPE)
     lost = (F.col("outcome") == "model_error") | ((F.col("outcome") == "invalid") & drop_chunk)
     return (
-        decoded.withColumn("findings", F.coalesce(kept, empty))
+        staged.withColumn("findings", F.coalesce(kept, F.array().cast(_FINDINGS_TYPE)))
         .withColumn("tokens_in_counted", F.when(lost, F.lit(0)).otherwise(F.col("tokens_in")).cast("bigint"))
         .withColumn("tokens_out_counted", F.when(lost, F.lit(0)).otherwise(F.col("tokens_out")).cast("bigint"))
-        .drop("__elems", "__first_bad")
+        .drop("__js", "__v", "__top", "__ftype", "__shape_ok", "__bad_json", "__elems", "__first_bad")
     )
 
 
 def reply_findings(decoded: DataFrame, keys: tuple[str, ...] = ("review_id", "agent", "chunk_index")) -> DataFrame:
-    """One row per kept finding: keys + pos (0-based in the reply) + fields."""
-    return decoded.select(*keys, F.explode("findings").alias("f")).select(
-        *keys,
-        F.col("f.pos").cast("bigint").alias("pos"),
-        "f.severity",
-        "f.category",
-        "f.file",
-        "f.line",
-        "f.message",
-        "f.suggestion",
-    )
+    """One row per kept finding: keys + pos (0-based in the reply) + fields.
+
+    `inline_outer` + a filter on its output instead of `explode`: for a plain
+    explode Spark infers `size(findings) > 0` and pushes it below every
+    projection, re-running the whole decode inside one uncompiled filter."""
+    out = decoded.select(*keys, F.inline_outer("findings")).filter(F.col("pos").isNotNull())
+    return out.select(*keys, F.col("pos").cast("bigint").alias("pos"), "severity", "category", "file", "line", "message", "suggestion")

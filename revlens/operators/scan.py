@@ -13,15 +13,19 @@ def patch_lines(changes: DataFrame, added_only: bool = True) -> DataFrame:
     """One row per patch line: review_id, ordinal, path, line_no (1-based
     within the patch, hunk headers included), text.
 
-    Empty patches are skipped explicitly (splitting '' yields one empty line).
-    The whole patch is split; nothing is truncated.
+    The whole patch is split; nothing is truncated. `posexplode_outer` and
+    filters on the generated `text` keep the patch expression out of filters
+    pushed below the generator (a plain explode infers `size(...) > 0` and
+    pushes it down to the scan). Splitting '' gives one empty line, which
+    is not an added line; with `added_only=False` empty patches are dropped
+    explicitly.
     """
-    lines = changes.filter(F.col("patch") != "").select(
-        "review_id", "ordinal", "path", F.posexplode(F.split(F.col("patch"), "\n")).alias("pos", "text")
+    lines = changes.select(
+        "review_id", "ordinal", "path", F.length("patch").alias("__patch_len"),
+        F.posexplode_outer(F.split(F.col("patch"), "\n")).alias("pos", "text"),
     )
-    if added_only:
-        lines = lines.filter(F.col("text").startswith("+"))
-    return lines.select("review_id", "ordinal", "path", (F.col("pos") + 1).alias("line_no"), "text")
+    keep = F.col("text").startswith("+") if added_only else (F.col("__patch_len") > 0) & F.col("pos").isNotNull()
+    return lines.filter(keep).select("review_id", "ordinal", "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
 def secret_scan(changes: DataFrame) -> DataFrame:

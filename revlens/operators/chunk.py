@@ -115,13 +115,21 @@ def _push_down(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _block_starts(summaries: DataFrame, fan_in: int) -> DataFrame:
-    widest = summaries.groupBy("review_id").count().agg(F.max("count")).first()[0] or 0
-    if widest <= fan_in:
+def _widest(blocks: DataFrame, fan_in: int, level: int) -> int:
+    """Most distinct tree nodes any review has at `level` (one scalar to the
+    driver, counted on the slim (review_id, node) input)."""
+    node = F.floor(F.col("node") / (fan_in**level)) if level else F.col("node")
+    per = blocks.groupBy("review_id").agg(F.count_distinct(node).alias("n"))
+    return per.agg(F.max("n")).first()[0] or 0
+
+
+def _block_starts(summaries: DataFrame, fan_in: int, blocks: DataFrame, level: int = 0) -> DataFrame:
+    """Start state of every node at `level` of the tree."""
+    if _widest(blocks, fan_in, level) <= fan_in:
         return summaries.groupBy("review_id").applyInPandas(_scan_top, _START_SCHEMA)
     with_parent = summaries.withColumn("parent", F.floor(F.col("node") / fan_in).cast("long"))
     parents = with_parent.groupBy("review_id", "parent").applyInPandas(_compose, _SUMMARY_SCHEMA)
-    parent_starts = _block_starts(parents, fan_in).select(
+    parent_starts = _block_starts(parents, fan_in, blocks, level + 1).select(
         "review_id",
         F.col("node").alias("parent"),
         F.col("start_state").alias("p_start_state"),
@@ -174,7 +182,7 @@ def assign_chunks(
         F.floor(F.col("ordinal") / block_files).cast("long").alias("node"),
     )
     summaries = slim.groupBy("review_id", "node").applyInPandas(_summarise(max_lines), _SUMMARY_SCHEMA)
-    starts = _block_starts(summaries, fan_in)
+    starts = _block_starts(summaries, fan_in, slim.select("review_id", "node"))
     numbered = (
         slim.join(starts, ["review_id", "node"])
         .groupBy("review_id", "node")

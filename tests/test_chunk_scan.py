@@ -120,3 +120,13 @@ def test_prefilter_is_exact(spark):
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     bad = df.filter(secret_rule_index(F.col("t")).isNotNull() & ~secret_candidate(F.col("t"))).count()
     assert bad == 0
+
+
+def test_chunk_sparse_ordinals_tree(spark):
+    """Sparse ordinals: every file in its own block, blocks spread over parents."""
+    rnd = random.Random(5)
+    lines = [rnd.choice([10, 200, 499, 700]) for _ in range(40)]
+    rows = [("r", i * 1000, n, 0) for i, n in enumerate(lines)]
+    df = spark.createDataFrame(rows, "review_id string, ordinal long, additions long, deletions long")
+    got = assign_chunks(df, block_files=1, fan_in=3).orderBy("ordinal").collect()
+    assert [r.chunk_index for r in got] == py_chunks(lines)

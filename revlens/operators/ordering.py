@@ -17,11 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.session import checkpoint_dir
+from revlens.session import materialise
 
 
 def first_by_order(
@@ -58,18 +57,14 @@ def row_position(
     # in spark.checkpoint.dir): the count branch and the join branch below
     # must see the same values, which re-running the range shuffle (with
     # adaptive coalescing or after an executor loss) does not guarantee.
-    checkpoint_dir(spark)
-    numbered = (
-        df.repartitionByRange(n, *sort_cols)
+    # The range partitioner samples its input in a separate job; reading a
+    # materialised input keeps that job from recomputing the upstream plan.
+    ranged = materialise(
+        materialise(df).repartitionByRange(n, *sort_cols)
         .sortWithinPartitions(*sort_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id())
     )
-    # Persist first so the checkpoint's write job reads the computed blocks
-    # instead of recomputing the sort (the blocks are dropped right after).
-    numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = numbered.checkpoint(eager=True)
-    numbered.unpersist()
     # Per (task, key): how many rows and where they start. Bounded by
     # (#tasks x #keys), independent of how many rows one key has.
     counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__start"))

@@ -26,6 +26,7 @@ from revlens.operators.parse import drop_generated, file_changes, pr_stats
 from revlens.operators.respond import decode_replies, reply_findings
 from revlens.operators.scan import secret_scan
 from revlens.operators.score import chunk_prompts, fan_out, reviewer_table, route_models, route_table, score
+from revlens.session import materialise
 
 # Order of a regex finding among the security reviewer's findings: file
 # ordinal first, then line. Lines of one patch stay below this factor.
@@ -51,7 +52,10 @@ def scored_chunks(assigned: DataFrame, scorer_factory, sleep, max_concurrency=No
     spark = assigned.sparkSession
     prompts = chunk_prompts(assigned)
     rows = route_models(fan_out(prompts, reviewer_table(spark)), route_table(spark))
-    return prompts, score(rows, scorer_factory, sleep=sleep, max_concurrency=max_concurrency)
+    # Model calls happen exactly once: the replies are materialised before any
+    # downstream stage (or a range-partition sampling job) could re-run them.
+    scored = score(rows, scorer_factory, sleep=sleep, max_concurrency=max_concurrency)
+    return prompts, materialise(scored.drop("prompt", "system_prompt"))
 
 
 def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:

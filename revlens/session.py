@@ -80,3 +80,18 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "revle
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def materialise(df):
+    """Compute `df` once and cut its lineage: reliable checkpoint into
+    spark.checkpoint.dir (survives executor loss), persisted first so the
+    checkpoint write does not recompute it. Used where recomputation would be
+    wrong or costly (model calls) and where two consumers must see identical
+    rows."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -10,7 +10,7 @@ from revlens.operators import dashboard as dash
 from revlens.operators.parse import drop_generated
 from revlens.operators.scan import secret_scan
 from revlens.plans import oracle as o
-from revlens.plans.q_findings import decoded_replies, keyed_findings
+from revlens.plans.q_findings import keyed_findings
 from revlens.plans.q_parse import _CHANGES, changes
 from revlens.plans.registry import register
 from revlens.session import configure

@@ -4,7 +4,9 @@ and returns the sink's table - comparable with the batch oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.operators import dashboard as dash
@@ -18,7 +20,7 @@ from revlens.plans.q_score import _PIPE
 from revlens.plans.registry import register
 from revlens.session import configure
 from revlens.sources import landed
-from revlens.sources.driver import EVENTS_NOW, derived, derived_stream
+from revlens.sources.driver import derived, derived_stream
 from revlens.streaming import runner, sinks
 from revlens.streaming.barrier import barrier_stream
 
@@ -75,20 +77,15 @@ def q_periodic_refresh(spark, sf_dir):
     """Severity KPI as a complete-mode streaming aggregate. In production the
     trigger is processingTime='30 seconds'; the replay drains and stops."""
     configure(spark)
-    f = derived_stream(spark, sf_dir, "findings_in")
-    kpi = dash.severity_kpi(f)
-    spark_ = spark
-    folder_holder: dict[str, str] = {}
+    kpi = dash.severity_kpi(derived_stream(spark, sf_dir, "findings_in"))
+    path = sinks.table_path(spark, f"refresh-{uuid.uuid4().hex[:12]}")
 
     def overwrite(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(folder_holder["path"])
-
-    from revlens.session import scratch_path
-    import uuid
+        # complete mode: every trigger replaces the dashboard table
+        df.write.mode("overwrite").parquet(path)
 
-    folder_holder["path"] = scratch_path(spark_, f"refresh-{uuid.uuid4().hex[:12]}")
     runner.run(kpi, "refresh", sink=overwrite, output_mode="complete")
-    return spark.read.parquet(folder_holder["path"])
+    return spark.read.parquet(path)
 
 
 # --- sinks of the batch pipeline ---------------------------------------------------
@@ -98,8 +95,6 @@ def _pipeline(spark, sf_dir):
 
 
 def _write_read(spark, df: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
-    import uuid
-
     path = sinks.table_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     sinks.write_batch(df, path, 0)
     return sinks.read_latest(spark, path, keys, order)
@@ -204,11 +199,7 @@ def q_review_pipeline_stream(spark, sf_dir):
     from revlens.streaming.pipeline import review_micro_batches
 
     files = landed.pr_files(derived_stream(spark, sf_dir, "pr_file_json"))
-    import uuid
-
-    from revlens.session import scratch_path
-
-    out_dir = scratch_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
+    out_dir = sinks.table_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
     runner.run(files, "pipeline", sink=review_micro_batches(out_dir, offline_scorer_factory, sleep=no_sleep))
     comments = spark.read.parquet(f"{out_dir}/comments")
     return comments.select("review_id", "verdict", "n_critical", "comment")
@@ -262,4 +253,3 @@ def q_dashboard_refresh(spark, sf_dir):
     return _overview(spark, sf_dir)
 
 
-__all__ = ["EVENTS_NOW", "SparkSession"]

@@ -14,6 +14,8 @@ whole review in one task, however many files it has:
 
 1. Files are cut into blocks of <= `block_files` consecutive ordinals; each
    block is summarised by its transition table (applyInPandas, bounded group).
+   When every review fits in one block, a single bounded pass does the whole
+   job (steps 2 and 3 are skipped).
 2. Block tables are composed up a tree with fan-in `fan_in` until each review
    has at most `fan_in` nodes; the top nodes are scanned in order from the
    empty state, and start states are pushed back down the tree.
@@ -161,10 +163,28 @@ def _assign(max_lines: int):
     return run
 
 
+def _assign_whole(max_lines: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ordinal")
+        state = np.array([0], dtype=np.int32)
+        opened_so_far = 0
+        idx = np.empty(len(pdf), dtype=np.int64)
+        for i, lines in enumerate(pdf["lines"].to_numpy()):
+            state, opened = _step(state, int(lines), max_lines)
+            opened_so_far += int(opened[0])
+            idx[i] = opened_so_far - 1
+        return pd.DataFrame(
+            {"review_id": pdf["review_id"].to_numpy(), "ordinal": pdf["ordinal"].to_numpy(),
+             "chunk_index": idx, "total_chunks": np.full(len(pdf), opened_so_far, dtype=np.int64)}
+        )
+
+    return run
+
+
 def assign_chunks(
     files: DataFrame,
     max_lines: int = rules.MAX_CHUNK_LINES,
-    block_files: int = 2048,
+    block_files: int = 16384,
     fan_in: int = 256,
 ) -> DataFrame:
     """Add `chunk_index` and `total_chunks` to kept files.
@@ -181,12 +201,17 @@ def assign_chunks(
         (F.col("additions") + F.col("deletions")).cast("long").alias("lines"),
         F.floor(F.col("ordinal") / block_files).cast("long").alias("node"),
     )
+    out_schema = "review_id string, ordinal long, chunk_index long, total_chunks long"
+    blocks = slim.select("review_id", "node")
+    if _widest(blocks, fan_in, 0) <= 1:
+        # Every review fits in one block (the common case): one bounded pass
+        # from the empty state numbers the files and counts the chunks.
+        numbered = slim.groupBy("review_id", "node").applyInPandas(_assign_whole(max_lines), out_schema)
+        return files.join(numbered, ["review_id", "ordinal"])
     summaries = slim.groupBy("review_id", "node").applyInPandas(_summarise(max_lines), _SUMMARY_SCHEMA)
-    starts = _block_starts(summaries, fan_in, slim.select("review_id", "node"))
+    starts = _block_starts(summaries, fan_in, blocks)
     numbered = (
-        slim.join(starts, ["review_id", "node"])
-        .groupBy("review_id", "node")
-        .applyInPandas(_assign(max_lines), "review_id string, ordinal long, chunk_index long, total_chunks long")
+        slim.join(starts, ["review_id", "node"]).groupBy("review_id", "node").applyInPandas(_assign(max_lines), out_schema)
     )
     return files.join(numbered, ["review_id", "ordinal"])
 

@@ -27,11 +27,13 @@ def security_dedupe(findings: DataFrame) -> DataFrame:
     )
 
 
-def assign_finding_keys(findings: DataFrame, order: list[str]) -> DataFrame:
+def assign_finding_keys(findings: DataFrame, order: list[str], materialise_input: bool = False) -> DataFrame:
     """Store keys `FINDING#<agent>#<i>`: i is 0-based per (review, agent) in
     `order`, unpadded, so '#10' sorts before '#2' as a string. Adds `finding_no`
     and `sk`. Numbering is skew-safe (`row_position`)."""
-    numbered = row_position(findings, ["review_id", "agent"], order, out="finding_no")
+    numbered = row_position(
+        findings, ["review_id", "agent"], order, out="finding_no", materialise_input=materialise_input
+    )
     return numbered.withColumn(
         "sk", F.concat(F.lit("FINDING#"), F.col("agent"), F.lit("#"), F.col("finding_no").cast("string"))
     )

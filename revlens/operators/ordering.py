@@ -44,11 +44,14 @@ def row_position(
     order: Sequence[str],
     out: str = "position",
     num_partitions: int | None = None,
+    materialise_input: bool = False,
 ) -> DataFrame:
     """Add `out`, the 0-based position of each row within `keys` by `order`.
 
     `order` must make rows unique within a key (ties would make the numbering
     depend on the input order, which is not stable across task retries).
+    Set `materialise_input` when the input is costly to recompute: the range
+    partitioner samples it in a separate job.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -57,10 +60,9 @@ def row_position(
     # in spark.checkpoint.dir): the count branch and the join branch below
     # must see the same values, which re-running the range shuffle (with
     # adaptive coalescing or after an executor loss) does not guarantee.
-    # The range partitioner samples its input in a separate job; reading a
-    # materialised input keeps that job from recomputing the upstream plan.
+    source = materialise(df) if materialise_input else df
     ranged = materialise(
-        materialise(df).repartitionByRange(n, *sort_cols)
+        source.repartitionByRange(n, *sort_cols)
         .sortWithinPartitions(*sort_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id())

@@ -74,7 +74,8 @@ def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
     )
     others = model.filter(F.col("agent") != "security")
     every = security.unionByName(others)
-    return merge.assign_finding_keys(every, ["source_rank", "chunk_index", "ordinal"])
+    # upstream is the regex scan + decode + dedupe: materialise it for the sampler
+    return merge.assign_finding_keys(every, ["source_rank", "chunk_index", "ordinal"], materialise_input=True)
 
 
 def review_batch(

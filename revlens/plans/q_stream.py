@@ -224,10 +224,12 @@ FROM sev, revs"""
 
 
 def _overview(spark, sf_dir) -> DataFrame:
-    from revlens.plans.q_dashboard import items, metrics, routes
+    from revlens.plans.q_dashboard import metrics, reviews, routes
+    from revlens.sources import store
 
     sev = dash.severity_kpi(derived(spark, sf_dir, "findings_in"))
-    revs = dash.review_count_kpi(items(spark, sf_dir))
+    # only META items count as reviews, so the finding items need not be built
+    revs = dash.review_count_kpi(store.review_items(reviews(spark, sf_dir)))
     qd = dash.queue_depth_all(spark, dash.queue_depth(routes(spark, sf_dir)))
     fm = dash.function_metrics_all(spark, metrics(spark, sf_dir))
     ov = dash.overview(sev, revs, qd, fm)

@@ -14,7 +14,7 @@ from revlens.operators.ordering import first_by_order
 from revlens.plans import oracle as o
 from revlens.plans.q_dashboard import _ROUTES
 from revlens.plans.registry import register
-from revlens.session import checkpoint_dir, configure
+from revlens.session import configure, materialise
 from revlens.sources import landed, store
 from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 
@@ -22,12 +22,7 @@ from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows as landed envelopes (mixed-case header names)."""
     configure(spark)
-    # Landed envelopes are a stored table in production. The derived stand-in
-    # is built by a large string expression; it is materialised once (reliable
-    # checkpoint in the shared folder) so that filters pushed below the
-    # admission projection see plain columns, not the builder expression.
-    checkpoint_dir(spark)
-    r = derived(spark, sf_dir, "requests").checkpoint(eager=True)
+    r = derived(spark, sf_dir, "requests")
     headers = F.map_filter(
         F.create_map(
             F.lit("X-GitHub-Event"), F.col("header_event"),
@@ -40,8 +35,16 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.webhook_envelopes(env)
 
 
-def admitted(spark, sf_dir) -> DataFrame:
-    return adm.admit(envelopes(spark, sf_dir), WEBHOOK_SECRET)
+def admitted(spark, sf_dir, stored: bool = True) -> DataFrame:
+    """Admission outcomes, materialised once (reliable checkpoint in the shared
+    folder): filters on `outcome` would otherwise be pushed below the
+    admission projection and evaluate the signature and JSON parse a second
+    time (and, for this derived stand-in of the landed table, rebuild every
+    request body inside the filter)."""
+    out = adm.admit(envelopes(spark, sf_dir), WEBHOOK_SECRET)
+    if not stored:  # a plain projection (no filter above it) needs no barrier
+        return out
+    return materialise(out.select("request_id", "received_at", "body_text", "payload", "outcome", "status_code"))
 
 
 def accepted_events(spark, sf_dir) -> DataFrame:
@@ -140,7 +143,7 @@ def q_action_filter(spark, sf_dir):
   WHEN 'not_an_object' THEN 500 WHEN 'topic_not_configured' THEN 500 ELSE 200 END AS status_code FROM admitted""",
 )
 def q_admission_route(spark, sf_dir):
-    return admitted(spark, sf_dir).select("request_id", "outcome", F.col("status_code").cast("int"))
+    return admitted(spark, sf_dir, stored=False).select("request_id", "outcome", F.col("status_code").cast("int"))
 
 
 @register("webhook_project", _REQ + "SELECT * EXCLUDE (received_at, body_text) FROM projected")

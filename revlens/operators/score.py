@@ -38,10 +38,10 @@ class ModelError(Exception):
 
 def reviewer_table(spark: SparkSession) -> DataFrame:
     """The four reviewers: name, default category, event type, system prompt,
-    error rule. Fixed size (4 rows): safe to broadcast."""
+    error rule and configured model. Fixed size (4 rows): safe to broadcast."""
     return spark.createDataFrame(
-        [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a]) for a, c, e in rules.REVIEWERS],
-        "agent string, default_category string, event_type string, system_prompt string, on_invalid string",
+        [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a], rules.REVIEWER_MODELS[a]) for a, c, e in rules.REVIEWERS],
+        "agent string, default_category string, event_type string, system_prompt string, on_invalid string, model_id string",
     )
 
 

@@ -25,7 +25,7 @@ from revlens.operators.chunk import assign_chunks
 from revlens.operators.parse import drop_generated, file_changes, pr_stats
 from revlens.operators.respond import decode_replies, reply_findings
 from revlens.operators.scan import secret_scan
-from revlens.operators.score import chunk_prompts, fan_out, reviewer_table, route_models, route_table, score
+from revlens.operators.score import chunk_prompts, fan_out, reviewer_table, score
 from revlens.session import materialise
 
 # Order of a regex finding among the security reviewer's findings: file
@@ -51,7 +51,7 @@ class BatchReview:
 def scored_chunks(assigned: DataFrame, scorer_factory, sleep, max_concurrency=None) -> tuple[DataFrame, DataFrame]:
     spark = assigned.sparkSession
     prompts = chunk_prompts(assigned)
-    rows = route_models(fan_out(prompts, reviewer_table(spark)), route_table(spark))
+    rows = fan_out(prompts, reviewer_table(spark))  # each reviewer calls its configured model
     # Model calls happen exactly once: the replies are materialised before any
     # downstream stage (or a range-partition sampling job) could re-run them.
     scored = score(rows, scorer_factory, sleep=sleep, max_concurrency=max_concurrency)

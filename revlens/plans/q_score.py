@@ -27,6 +27,9 @@ _MODEL_CASE = (
     + " ".join(f"WHEN {o.q(k)} THEN {o.q(v)}" for k, v in rules.MODEL_ROUTES.items())
     + f" ELSE {o.q(rules.DEFAULT_MODEL)} END"
 )
+_REVIEWER_MODEL_CASE = (
+    "CASE agent " + " ".join(f"WHEN {o.q(k)} THEN {o.q(v)}" for k, v in rules.REVIEWER_MODELS.items()) + " END"
+)
 _REVIEWERS_SQL = (
     "SELECT * FROM (VALUES "
     + ", ".join(f"({o.q(a)}, {o.q(c)}, {o.q(e)}, {o.q(rules.ON_INVALID[a])})" for a, c, e in rules.REVIEWERS)
@@ -47,7 +50,7 @@ prompts AS (
 reviewers AS ({_REVIEWERS_SQL}),
 fanned AS (SELECT p.*, r.* FROM prompts p CROSS JOIN reviewers r),
 scored AS (
-  SELECT review_id, chunk_index, total_chunks, n_files, agent, default_category, event_type, {_MODEL_CASE} AS model_id,
+  SELECT review_id, chunk_index, total_chunks, n_files, agent, default_category, event_type, {_REVIEWER_MODEL_CASE} AS model_id,
     CASE WHEN chunk_index % 11 = 10 THEN 1 WHEN chunk_index % 13 = 12 THEN 3 WHEN chunk_index % 5 = 3 THEN 2 ELSE 1 END AS attempts,
     CASE WHEN chunk_index % 11 = 10 THEN 0.0 WHEN chunk_index % 13 = 12 THEN 7.0 WHEN chunk_index % 5 = 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS waited_s,
     CASE WHEN chunk_index % 11 = 10 THEN 'ValidationException' WHEN chunk_index % 13 = 12 THEN 'ThrottlingException' END AS error,

@@ -19,6 +19,8 @@ _SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Model responses may repeat a key; the last one wins, like a JSON object.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Lower-casing header names can collide; the last value wins, like a dict.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 # Performance defaults, applied only where the session leaves them unset.

@@ -110,3 +110,11 @@ def test_message_fates(spark):
     assert {r.message_id: r.route for r in routes.collect()} == {"ack": "acked", "dead": "dead", "wait": "retry"}
     depth = {r.queue: r.depth for r in dash.queue_depth_all(spark, dash.queue_depth(routes)).collect()}
     assert depth["style-dlq"] == 1 and depth["test-queue"] == 1 and depth["parse-queue"] == 0 and len(depth) == 14
+
+
+def test_header_names_collide_last_wins(spark):
+    body = json.dumps(PAYLOAD)
+    env = ({"x-github-event": "push", "X-GitHub-Event": "pull_request"}, body, False)
+    df = spark.createDataFrame([env], landed.ENVELOPE_SCHEMA)
+    got = landed.webhook_envelopes(df).select(landed.header("x-github-event")).first()[0]
+    assert got in ("push", "pull_request")  # map order decides; no failure

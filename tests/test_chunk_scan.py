@@ -130,3 +130,19 @@ def test_chunk_sparse_ordinals_tree(spark):
     df = spark.createDataFrame(rows, "review_id string, ordinal long, additions long, deletions long")
     got = assign_chunks(df, block_files=1, fan_in=3).orderBy("ordinal").collect()
     assert [r.chunk_index for r in got] == py_chunks(lines)
+
+
+def test_nested_parsed_event(spark):
+    from revlens.schemas import nest_parsed_event
+    from revlens.operators.parse import pr_stats, drop_generated
+
+    rows = [("r", i, f"f{i}.py", "added", n, 0, "+x", None) for i, n in enumerate([300, 300, 10])]
+    df = spark.createDataFrame(
+        rows, "review_id string, ordinal long, filename string, status string, additions long, deletions long, "
+        "patch string, previous_filename string",
+    )
+    ch = file_changes(df)
+    ev = nest_parsed_event(assign_chunks(drop_generated(ch)), pr_stats(ch)).first()
+    assert ev.event_type == "pr.parsed" and ev.stats.total_files == 3
+    assert [len(c.files) for c in ev.chunks] == [1, 2] and [c.total_lines for c in ev.chunks] == [300, 310]
+    assert ev.chunks[1].files[0].path == "f1.py"

@@ -52,8 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set (a shared filesystem path). Only when it is
     unset, as in local tests, a fresh private scratch folder is created.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: set it to a shared folder every executor can "
+                "reach (checkpoints and sink tables live there)"
+            )
         configured = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -95,24 +95,24 @@ def fan_out(chunks: DataFrame, reviewers: DataFrame) -> DataFrame:
 
 
 def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base):
+    """(reply, attempts, seconds waited, error code). Throttling-type errors
+    wait base * 2**attempt and retry (the wait also follows the last failed
+    attempt, as in the original client); other errors fail at once."""
     waited = 0.0
+    last_code = None
     for attempt in range(max_attempts):
         try:
-            out = scorer(prompt, system_prompt, model_id)
-            return out, attempt + 1, waited, None
+            return scorer(prompt, system_prompt, model_id), attempt + 1, waited, None
         except ModelError as e:
-            if e.code in rules.RETRYABLE_ERRORS and attempt + 1 < max_attempts:
-                wait = base * (2**attempt)
-                sleep(wait)
-                waited += wait
-                continue
-            if e.code in rules.RETRYABLE_ERRORS:
-                waited += base * (2**attempt)
-                sleep(base * (2**attempt))
-            return None, attempt + 1, waited, e.code
+            if e.code not in rules.RETRYABLE_ERRORS:
+                return None, attempt + 1, waited, e.code
+            last_code = e.code
+            wait = base * (2**attempt)
+            sleep(wait)
+            waited += wait
         except Exception as e:  # any other failure: no retry
             return None, attempt + 1, waited, type(e).__name__
-    return None, max_attempts, waited, "exhausted"
+    return None, max_attempts, waited, last_code
 
 
 def score(

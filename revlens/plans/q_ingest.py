@@ -279,9 +279,6 @@ def q_pr_metadata_scan(spark, sf_dir):
     return m.select("pr_number", "title", "body", "head_sha", "user", F.array_join("labels", ",").alias("labels"), "updated_at")
 
 
-_REQUIRED = [n for n, _, d in landed.WEBHOOK_EVENT_FIELDS if d is None]
-
-
 def _typed_sql() -> str:
     checks = []
     for name, typ, default in landed.WEBHOOK_EVENT_FIELDS:

@@ -34,8 +34,8 @@ def _fmt(col: str) -> F.Column:
 # --- completion barrier -------------------------------------------------------------
 @register(
     "completion_barrier",
-    o.with_views("findings_in")
-    + """, first AS (SELECT review_id, agent, min(ts) AS first_ts FROM findings_in GROUP BY ALL),
+    o.with_views("review_clock")
+    + """, first AS (SELECT review_id, agent, min(ts) AS first_ts FROM review_clock WHERE agent IS NOT NULL GROUP BY ALL),
 opened AS (SELECT review_id, min(first_ts) AS t0 FROM first GROUP BY review_id),
 per AS (
   SELECT review_id, count(*) FILTER (WHERE first_ts <= t0 + INTERVAL 15 SECONDS) AS seen_agents,
@@ -47,7 +47,9 @@ FROM per""",
 )
 def q_completion_barrier(spark, sf_dir):
     configure(spark)
-    fired = barrier_stream(derived_stream(spark, sf_dir, "findings_in"))
+    # Finding events on the per-review clock; the 10 s watermark delay bounds
+    # how late a reviewer's event may arrive.
+    fired = barrier_stream(derived_stream(spark, sf_dir, "review_clock"), watermark="10 seconds")
     folder = runner.run(fired, "barrier")
     out = spark.read.parquet(f"{folder}/out")
     return out.select("review_id", "seen_agents", "complete", _fmt("fired_at"))

@@ -312,6 +312,23 @@ FROM events
 """
 
 
+def _review_clock_sql(dialect: str) -> str:
+    """Finding events on a per-review clock: review u opens at 60*u seconds
+    after 2024-01-01 and its events arrive within 30 s (event_id % 30). Every
+    events row is kept; rows that are not findings carry no reviewer (NULL
+    agent) and only move event time forward."""
+    secs = "1704067200 + user_id * 60 + event_id % 30"
+    ts = f"timestamp_seconds({secs})" if dialect == "spark" else f"make_timestamp(({secs}) * 1000000)"
+    is_finding = f"(event_type <> 'error' AND user_id % 10 <> 9 AND NOT ({_AGENT_BY_TYPE} = 'test' AND user_id % 4 = 3))"
+    return f"""
+SELECT 'rev-' || {_s('user_id')} AS review_id,
+  CASE WHEN {is_finding} THEN {_AGENT_BY_TYPE} END AS agent,
+  event_id,
+  {ts} AS ts
+FROM events
+"""
+
+
 _STATIC_SQL: dict[str, str] = {
     "pr_files": PR_FILES_SQL,
     "findings_in": FINDINGS_SQL,
@@ -323,13 +340,15 @@ _STATIC_SQL: dict[str, str] = {
     "pr_meta_json": PR_META_JSON_SQL,
     "complete_events": COMPLETE_EVENTS_SQL,
 }
-DERIVED_NAMES = tuple(_STATIC_SQL) + ("requests",)
+DERIVED_NAMES = tuple(_STATIC_SQL) + ("requests", "review_clock")
 
 
 def derived_sql(name: str, dialect: str = "spark") -> str:
     """SQL text of a derived input for `dialect` ("spark" or "duckdb")."""
     if name == "requests":
         return _requests_sql(dialect)
+    if name == "review_clock":
+        return _review_clock_sql(dialect)
     return _STATIC_SQL[name]
 
 
@@ -350,6 +369,7 @@ _SOURCE_TABLE = {
     "pr_file_json": "documents",
     "pr_meta_json": "orders",
     "complete_events": "events",
+    "review_clock": "events",
 }
 
 

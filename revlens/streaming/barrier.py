@@ -33,8 +33,9 @@ _STATE_SCHEMA = "t0_us long, agents array<string>, fired boolean, late long"
 
 def barrier_batch(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
                   expected: int = rules.EXPECTED_REVIEWERS) -> DataFrame:
-    """Batch form over finding events (review_id, agent, ts)."""
-    first = events.groupBy("review_id", "agent").agg(F.min(F.col("ts").cast("timestamp")).alias("first_ts"))
+    """Batch form over finding events (review_id, agent, ts); rows without an
+    agent are ignored."""
+    first = events.filter(F.col("agent").isNotNull()).groupBy("review_id", "agent").agg(F.min(F.col("ts").cast("timestamp")).alias("first_ts"))
     opened = first.groupBy("review_id").agg(F.min("first_ts").alias("t0"))
     deadline = F.col("t0") + F.make_dt_interval(secs=F.lit(timeout_s))
     joined = first.join(opened, "review_id").withColumn("in_window", F.col("first_ts") <= deadline)
@@ -77,6 +78,7 @@ def _barrier_fn(timeout_s: int, expected: int):
         first: dict[str, int] = {}
         n_events = 0
         for pdf in batches:
+            pdf = pdf[pdf["agent"].notna()]  # rows without a reviewer only move event time
             if len(pdf) == 0:
                 continue
             n_events += len(pdf)
@@ -114,7 +116,11 @@ def _barrier_fn(timeout_s: int, expected: int):
 
 def barrier_stream(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
                    expected: int = rules.EXPECTED_REVIEWERS, watermark: str = "1 minute") -> DataFrame:
-    """Streaming form over a finding-event stream (review_id, agent, ts)."""
+    """Streaming form over a finding-event stream (review_id, agent, ts).
+
+    Rows with a NULL agent (other events on the same stream) are not counted
+    but still advance the watermark; they are not filtered out before the
+    stateful step, because a filter would be pushed below the watermark."""
     slim = events.select("review_id", "agent", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     return slim.groupBy("review_id").applyInPandasWithState(
         _barrier_fn(timeout_s, expected),

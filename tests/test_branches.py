@@ -25,6 +25,11 @@ def test_verdict_branches(q):
     assert counts(q("seen_agents"), "seen_agents") == {4: 105, 3: 30}
 
 
+def test_barrier_branches(q):
+    got = {(r.complete, r.seen_agents): r["count"] for r in q("completion_barrier").groupBy("complete", "seen_agents").count().collect()}
+    assert got == {(True, 4): 105, (False, 3): 30}
+
+
 def test_admission_branches(q):
     got = counts(q("admission_route"), "outcome")
     assert set(got) == {"accepted", "bad_signature", "ignored_action", "ignored_event", "invalid_json"}

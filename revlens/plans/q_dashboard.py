@@ -27,6 +27,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.review_items(reviews(spark, sf_dir)).unionByName(store.finding_items(keyed_findings(spark, sf_dir)))
 
 
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items table as the store keeps it (bucketed by pk, sorted by pk, sk)
+    in the shared folder, read back so lookups prune and push down."""
+    import uuid
+
+    from revlens.session import scratch_path
+
+    path = scratch_path(spark, f"items-{uuid.uuid4().hex[:12]}")
+    store.write_items(items(spark, sf_dir), path)
+    return store.read_items(spark, path)
+
+
 _FINDINGS = o.with_views("findings_in") + " "
 _REVIEWS = (
     o.with_views("review_events", "findings_in")
@@ -72,7 +84,7 @@ def q_severity_kpi_secrets(spark, sf_dir):
 
 @register("review_count_kpi", _REVIEWS + "SELECT count(*) AS total_reviews FROM items WHERE starts_with(sk, 'META')")
 def q_review_count_kpi(spark, sf_dir):
-    return dash.review_count_kpi(items(spark, sf_dir))
+    return dash.review_count_kpi(stored_items(spark, sf_dir))
 
 
 # --- queues --------------------------------------------------------------------
@@ -299,12 +311,12 @@ def q_finding_location(spark, sf_dir):
 # --- items -----------------------------------------------------------------------
 @register("key_lookup", _REVIEWS + "SELECT pk, sk FROM items WHERE pk = 'REV#rev-7'")
 def q_key_lookup(spark, sf_dir):
-    return store.key_lookup(items(spark, sf_dir), "REV#rev-7").select("pk", "sk")
+    return store.key_lookup(stored_items(spark, sf_dir), "REV#rev-7").select("pk", "sk")
 
 
 @register("sk_prefix_scan", _REVIEWS + "SELECT pk, sk FROM items WHERE starts_with(sk, 'FINDING#security#')")
 def q_sk_prefix_scan(spark, sf_dir):
-    return store.sk_prefix_scan(items(spark, sf_dir), "FINDING#security#").select("pk", "sk")
+    return store.sk_prefix_scan(stored_items(spark, sf_dir), "FINDING#security#").select("pk", "sk")
 
 
 @register(

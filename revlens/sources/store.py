@@ -91,13 +91,46 @@ def learning_items(complete: DataFrame) -> DataFrame:
     )
 
 
+ITEM_BUCKETS = 64
+
+
+def pk_bucket(pk: Column, buckets: int = ITEM_BUCKETS) -> Column:
+    """Partition column of the items table: a stable hash bucket of `pk`."""
+    return F.pmod(F.xxhash64(pk), F.lit(buckets)).cast("int")
+
+
+def write_items(items: DataFrame, path: str, buckets: int = ITEM_BUCKETS) -> None:
+    """Store items partitioned by `pk_bucket` and sorted by (pk, sk) inside each
+    file: a key lookup reads one partition, and row-group statistics on sk let
+    prefix scans skip data."""
+    (
+        items.withColumn("pk_bucket", pk_bucket(F.col("pk"), buckets))
+        .repartition("pk_bucket")
+        .sortWithinPartitions("pk", "sk")
+        .write.mode("overwrite")
+        .partitionBy("pk_bucket")
+        .parquet(path)
+    )
+
+
+def read_items(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def key_lookup(items: DataFrame, pk: str) -> DataFrame:
-    return items.filter(F.col("pk") == pk)
+    """Items with this pk. On a stored items table the bucket predicate prunes
+    partitions and the pk equality is pushed to the Parquet reader."""
+    out = items.filter(F.col("pk") == pk)
+    if "pk_bucket" in items.columns:
+        out = out.filter(F.col("pk_bucket") == pk_bucket(F.lit(pk)))
+    return out
 
 
 def sk_prefix_scan(items: DataFrame, prefix: str, pk: str | None = None) -> DataFrame:
+    """Items whose sk starts with `prefix` (pushed down as StringStartsWith),
+    optionally for one pk."""
     out = items.filter(F.col("sk").startswith(prefix))
-    return out if pk is None else out.filter(F.col("pk") == pk)
+    return out if pk is None else key_lookup(out, pk)
 
 
 def status_index(reviews: DataFrame, status: str) -> DataFrame:

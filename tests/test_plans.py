@@ -50,3 +50,10 @@ def test_only_fixed_tables_broadcast(q):
     # the 14-row queue table is the broadcast side; the data side is not hinted
     p = plan(q("queue_depth_left_join"))
     assert "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p
+
+
+def test_store_lookups_prune_and_push_down(q):
+    p = plan(q("key_lookup"))
+    assert "PartitionFilters: [isnotnull(pk_bucket" in p and "EqualTo(pk,REV#rev-7)" in p
+    p = plan(q("sk_prefix_scan"))
+    assert "StringStartsWith(sk,FINDING#security#)" in p

@@ -19,13 +19,19 @@ def run(
     output_mode: str = "append",
     trigger: dict | None = None,
     timeout_s: int = 900,
+    resume: bool = False,
 ) -> str:
-    """Start `stream` with a fresh checkpoint under spark.checkpoint.dir and
-    wait for it. `trigger` defaults to availableNow (drain and stop); pass
-    {"processingTime": "30 seconds"} for a long-running refresh. Returns the
-    run's folder (sink output goes to `<folder>/out`)."""
+    """Start `stream` with its checkpoint under spark.checkpoint.dir and wait
+    for it. `trigger` defaults to availableNow (drain and stop); pass
+    {"processingTime": "30 seconds"} for a long-running refresh.
+
+    `resume=True` uses the stable folder `stream-<name>`, so a restarted driver
+    continues from the last committed batch (exactly-once with the idempotent
+    sinks); the default is a fresh folder per run (one-off replays). Returns
+    the run's folder (default sink output goes to `<folder>/out`)."""
     spark = stream.sparkSession
-    folder = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+    suffix = "" if resume else f"-{uuid.uuid4().hex[:12]}"
+    folder = scratch_path(spark, f"stream-{name}{suffix}")
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{folder}/checkpoint")
     if sink is None:

@@ -74,3 +74,20 @@ def test_dead_letter_routing_stream(spark):
     main = {r.message_id: r.route for r in spark.read.parquet(f"{out}/main").collect()}
     dead = {r.message_id: r.route for r in spark.read.parquet(f"{out}/dead_letter").collect()}
     assert main == {"a": "acked", "c": "retry"} and dead == {"b": "dead"}
+
+
+def test_resumed_stream_does_not_duplicate(spark):
+    """Restart on the same checkpoint: already committed batches are not
+    written again, new files are picked up."""
+    import uuid
+
+    land = tempfile.mkdtemp(prefix="revlens-resume-")
+    schema = "k string, v long"
+    spark.createDataFrame([("a", 1), ("b", 2)], schema).write.mode("append").parquet(land)
+    name = f"resume-{uuid.uuid4().hex[:8]}"
+    folder = runner.run(spark.readStream.schema(schema).parquet(land), name, resume=True)
+    assert spark.read.parquet(f"{folder}/out").count() == 2
+    spark.createDataFrame([("c", 3)], schema).write.mode("append").parquet(land)
+    folder2 = runner.run(spark.readStream.schema(schema).parquet(land), name, resume=True)
+    assert folder2 == folder
+    assert sorted(r.k for r in spark.read.parquet(f"{folder}/out").collect()) == ["a", "b", "c"]

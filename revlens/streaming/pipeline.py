@@ -100,3 +100,22 @@ def dead_letter_micro_batches(out_dir: str, max_receives: int = rules.MAX_RECEIV
         sinks.write_batch(routes.filter(F.col("route") == "dead"), f"{out_dir}/dead_letter", batch_id)
 
     return run
+
+
+def function_metrics_stream(invocations: DataFrame, window: str = "24 hours", slide: str = "1 hour",
+                            watermark: str = "1 hour") -> DataFrame:
+    """Streaming form of the 24 h function metrics: sliding event-time windows
+    per function; a window is emitted (append mode) once the watermark passes
+    its end, and later invocations for it are dropped as late."""
+    timed = invocations.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
+    return (
+        timed.withWatermark("ts", watermark)
+        .groupBy(F.window("ts", window, slide).alias("w"), "function")
+        .agg(
+            F.count(F.lit(1)).alias("invocations"),
+            F.count_if(F.col("is_error")).alias("errors"),
+            F.round(F.avg("duration_ms"), 1).alias("avg_duration_ms"),
+        )
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "function",
+                "invocations", "errors", "avg_duration_ms")
+    )

@@ -91,3 +91,21 @@ def test_resumed_stream_does_not_duplicate(spark):
     folder2 = runner.run(spark.readStream.schema(schema).parquet(land), name, resume=True)
     assert folder2 == folder
     assert sorted(r.k for r in spark.read.parquet(f"{folder}/out").collect()) == ["a", "b", "c"]
+
+
+def test_function_metrics_stream_matches_batch(spark):
+    from pyspark.sql import functions as F
+
+    from revlens.operators.dashboard import function_metrics
+    from revlens.sources.driver import derived_stream, derived
+    from revlens.streaming.pipeline import function_metrics_stream
+
+    sf = "/root/testdata/sf0.001"
+    folder = runner.run(function_metrics_stream(derived_stream(spark, sf, "invocations")), "fm-test")
+    out = spark.read.parquet(f"{folder}/out")
+    end = "2024-01-20 00:00:00"
+    got = {r.function: (r.invocations, r.errors, r.avg_duration_ms)
+           for r in out.filter(F.col("window_end") == F.to_timestamp(F.lit(end))).collect()}
+    want = {r.function: (r.invocations_24h, r.errors_24h, r.avg_duration_ms)
+            for r in function_metrics(derived(spark, sf, "invocations"), end).collect()}
+    assert got == want and got

@@ -97,16 +97,31 @@ def queue_depth_all(spark: SparkSession, depth: DataFrame) -> DataFrame:
     )
 
 
+def exact_mean_tenths(duration_ms) -> tuple:
+    """(partial aggregates, final expression) for a mean duration rounded
+    half-up to 0.1 ms that does not depend on partitioning: durations are
+    summed as integer hundredths of a millisecond (exact in any order) and
+    the rounding is integer arithmetic. A floating-point average would change
+    in its last bits with the summation order and flip roundings."""
+    hundredths = F.round(duration_ms * 100).cast("bigint")
+    parts = [F.sum(hundredths).alias("__sum_h"), F.count(duration_ms).alias("__n")]
+    tenths = F.floor((F.col("__sum_h") * 2 + F.col("__n") * 10) / (F.col("__n") * 20))
+    return parts, (tenths / 10.0).cast("double")
+
+
 def function_metrics(invocations: DataFrame, now: str, hours: int = rules.METRIC_LOOKBACK_HOURS) -> DataFrame:
     """Per function over [now - hours, now): invocations, errors, mean
-    duration rounded to 0.1 ms. The time filter is pushed to the scan."""
+    duration rounded to 0.1 ms (exact, see `exact_mean_tenths`). The time
+    filter is pushed to the scan."""
     end = F.to_timestamp(F.lit(now))
     window = invocations.filter((F.col("ts") >= end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") < end))
-    return window.groupBy("function").agg(
+    parts, mean = exact_mean_tenths(F.col("duration_ms"))
+    agg = window.groupBy("function").agg(
         F.count(F.lit(1)).alias("invocations_24h"),
         F.count_if(F.col("is_error")).alias("errors_24h"),
-        F.round(F.avg("duration_ms"), 1).alias("avg_duration_ms"),
+        *parts,
     )
+    return agg.select("function", "invocations_24h", "errors_24h", mean.alias("avg_duration_ms"))
 
 
 def function_metrics_all(spark: SparkSession, metrics: DataFrame) -> DataFrame:

@@ -35,20 +35,21 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.webhook_envelopes(env)
 
 
-def admitted(spark, sf_dir, stored: bool = True) -> DataFrame:
-    """Admission outcomes, materialised once (reliable checkpoint in the shared
-    folder): filters on `outcome` would otherwise be pushed below the
-    admission projection and evaluate the signature and JSON parse a second
-    time (and, for this derived stand-in of the landed table, rebuild every
-    request body inside the filter)."""
-    out = adm.admit(envelopes(spark, sf_dir), WEBHOOK_SECRET)
-    if not stored:  # a plain projection (no filter above it) needs no barrier
-        return out
-    return materialise(out.select("request_id", "received_at", "body_text", "payload", "outcome", "status_code"))
+def admitted(spark, sf_dir) -> DataFrame:
+    return adm.admit(envelopes(spark, sf_dir), WEBHOOK_SECRET)
 
 
 def accepted_events(spark, sf_dir) -> DataFrame:
-    return adm.project_webhook_event(admitted(spark, sf_dir).filter(F.col("outcome") == "accepted"))
+    """Accepted, projected events. Admission and projection run in one pass
+    over all requests and the small event columns are stored (reliable
+    checkpoint in the shared folder) before filtering on the outcome: a filter
+    on `outcome` would otherwise be pushed below the admission projection and
+    evaluate the signature and JSON parse a second time (and, for this
+    derived stand-in of the landed table, rebuild each body inside the filter)."""
+    projected = adm.project_webhook_event(admitted(spark, sf_dir)).select(
+        "request_id", "received_at", "body_text", "outcome", *adm.EVENT_COLUMNS
+    )
+    return materialise(projected).filter(F.col("outcome") == "accepted")
 
 
 # --- oracle -------------------------------------------------------------------------
@@ -143,7 +144,7 @@ def q_action_filter(spark, sf_dir):
   WHEN 'not_an_object' THEN 500 WHEN 'topic_not_configured' THEN 500 ELSE 200 END AS status_code FROM admitted""",
 )
 def q_admission_route(spark, sf_dir):
-    return admitted(spark, sf_dir, stored=False).select("request_id", "outcome", F.col("status_code").cast("int"))
+    return admitted(spark, sf_dir).select("request_id", "outcome", F.col("status_code").cast("int"))
 
 
 @register("webhook_project", _REQ + "SELECT * EXCLUDE (received_at, body_text) FROM projected")

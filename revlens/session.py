@@ -102,3 +102,15 @@ def materialise(df):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def spread(df):
+    """Round-robin `df` over the cluster's cores when it arrives in fewer
+    partitions than that (e.g. one small file). Large inputs already come in
+    many splits and are returned unchanged, so this never adds a shuffle at
+    scale."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

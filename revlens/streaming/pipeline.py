@@ -107,15 +107,14 @@ def function_metrics_stream(invocations: DataFrame, window: str = "24 hours", sl
     """Streaming form of the 24 h function metrics: sliding event-time windows
     per function; a window is emitted (append mode) once the watermark passes
     its end, and later invocations for it are dropped as late."""
+    from revlens.operators.dashboard import exact_mean_tenths
+
     timed = invocations.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
+    parts, mean = exact_mean_tenths(F.col("duration_ms"))
     return (
         timed.withWatermark("ts", watermark)
         .groupBy(F.window("ts", window, slide).alias("w"), "function")
-        .agg(
-            F.count(F.lit(1)).alias("invocations"),
-            F.count_if(F.col("is_error")).alias("errors"),
-            F.round(F.avg("duration_ms"), 1).alias("avg_duration_ms"),
-        )
+        .agg(F.count(F.lit(1)).alias("invocations"), F.count_if(F.col("is_error")).alias("errors"), *parts)
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "function",
-                "invocations", "errors", "avg_duration_ms")
+                "invocations", "errors", mean.alias("avg_duration_ms"))
     )

@@ -340,7 +340,8 @@ _COMPLETE = (
 
 @register("missing_review_id_filter", _COMPLETE + "SELECT message_id, review_id FROM parsed WHERE review_id <> ''")
 def q_missing_review_id_filter(spark, sf_dir):
-    return complete_events(spark, sf_dir).filter(F.col("review_id") != "").select("message_id", "review_id")
+    kept, _skipped = store.skip_missing_review_id(complete_events(spark, sf_dir))
+    return kept.select("message_id", "review_id")
 
 
 @register(

@@ -76,6 +76,18 @@ def finding_items(findings: DataFrame) -> DataFrame:
     )
 
 
+def skip_missing_review_id(events: DataFrame, name: str = "missing_review_id"):
+    """Events without a review_id are skipped, not failed, and counted: returns
+    (kept rows, Observation). The counts are collected with the job that
+    consumes the rows (no extra pass): `observation.get` after an action."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    missing = F.col("review_id").isNull() | (F.col("review_id") == "")
+    observed = events.observe(obs, F.count_if(missing).alias("skipped"), F.count(F.lit(1)).alias("seen"))
+    return observed.filter(~missing), obs
+
+
 def learning_items(complete: DataFrame) -> DataFrame:
     """`TEAM#global` / `LEARNING#<id>` placeholder learning records from
     review.complete rows (review_id, verdict); rows without review_id are

@@ -118,3 +118,12 @@ def test_header_names_collide_last_wins(spark):
     df = spark.createDataFrame([env], landed.ENVELOPE_SCHEMA)
     got = landed.webhook_envelopes(df).select(landed.header("x-github-event")).first()[0]
     assert got in ("push", "pull_request")  # map order decides; no failure
+
+
+def test_skipped_events_are_counted(spark):
+    from revlens.sources.store import skip_missing_review_id
+
+    df = spark.createDataFrame([("r1",), ("",), (None,), ("r2",)], "review_id string")
+    kept, obs = skip_missing_review_id(df)
+    assert sorted(r.review_id for r in kept.collect()) == ["r1", "r2"]
+    assert obs.get == {"skipped": 2, "seen": 4}

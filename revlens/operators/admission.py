@@ -59,6 +59,12 @@ def admit(envelopes: DataFrame, secret: str, topic_configured: bool = True, mode
     )
 
 
+def admission_audit(admitted: DataFrame) -> DataFrame:
+    """Requests per outcome and status code (the audit table of rejected and
+    accepted deliveries); one partial aggregation."""
+    return admitted.groupBy("outcome", "status_code").agg(F.count(F.lit(1)).alias("requests"))
+
+
 def project_webhook_event(admitted: DataFrame) -> DataFrame:
     """The 12-column flat event out of the nested payload; every missing piece
     defaults to '' (strings) or 0 (numbers)."""

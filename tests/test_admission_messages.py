@@ -127,3 +127,9 @@ def test_skipped_events_are_counted(spark):
     kept, obs = skip_missing_review_id(df)
     assert sorted(r.review_id for r in kept.collect()) == ["r1", "r2"]
     assert obs.get == {"skipped": 2, "seen": 4}
+
+
+def test_admission_audit(spark):
+    df = spark.createDataFrame([envelope(), envelope(event="push"), envelope(signature="bad"), envelope()], landed.ENVELOPE_SCHEMA)
+    audit = {(r.outcome, r.status_code): r.requests for r in adm.admission_audit(adm.admit(landed.webhook_envelopes(df), SECRET)).collect()}
+    assert audit == {("accepted", 200): 2, ("ignored_event", 200): 1, ("bad_signature", 401): 1}

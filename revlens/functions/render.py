@@ -23,9 +23,9 @@ BANNER_CHANGES = (
     "❌ **Changes Requested.** {brand} identified **CRITICAL** issues that must be "
     "addressed before merging."
 )
-CRITICAL_HEADING = "### \U0001f6a8 Critical Findings ("
+CRITICAL_HEADING = "### 🚨 Critical Findings ("
 WARNING_HEADING = "### ⚠️ Warnings ("
-INFO_HEADING = "### \U0001f4a1 Info & Style Suggestions ("
+INFO_HEADING = "### 💡 Info & Style Suggestions ("
 NO_CRITICAL = "*No critical issues found.*\n"
 NO_WARNING = "*No warnings found.*\n"
 NO_INFO = "*No style issues found.*\n"
@@ -33,7 +33,7 @@ WARNING_OPEN = "<details>\n<summary>Click to view warnings</summary>\n\n"
 INFO_OPEN = "<details>\n<summary>Click to view minor suggestions</summary>\n\n"
 DETAILS_CLOSE = "</details>\n"
 FOOTER = "*{brand} analyzed "
-CRITICAL_ITEM_PREFIX = "#### \U0001f6a8 ["
+CRITICAL_ITEM_PREFIX = "#### 🚨 ["
 DEFAULT_BRAND = "Revlens"
 
 # Characters after which a title-cased word starts (besides whitespace).

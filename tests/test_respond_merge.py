@@ -104,7 +104,7 @@ def test_three_verdicts_and_comment(spark):
     comments = {r.review_id: r.comment for r in merge.review_comments(merge.verdicts(reviews, ranked), merge.rendered_findings(ranked), brand="Bot").collect()}
     crit = comments["crit"]
     assert crit.startswith("## Bot Code Review\n\n❌ **Changes Requested.**")
-    assert "#### \U0001f6a8 [Sql_injection] a.py (Line 4)\nInjection\n\n**Recommendation:**\n> Bind it\n" in crit
+    assert "#### 🚨 [Sql_injection] a.py (Line 4)\nInjection\n\n**Recommendation:**\n> Bind it\n" in crit
     # unknown severity: info bucket, one-line fallback with the raw category
     assert "<summary>Click to view minor suggestions</summary>\n\n- **naming**: Odd\n</details>\n" in crit
     assert "*No warnings found.*" in crit

@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: comment text. `{brand}` is replaced by the caller's name.
+# FIXED VALUES: comment text, in the order it appears in a comment. `{brand}`
+# is replaced by the caller's product name.
 # ---------------------------------------------------------------------------
 COMMENT_HEADER = "## {brand} Code Review"
 BANNER_APPROVE = "✅ **All checks passed.** {brand} found no critical security or performance vulnerabilities."
@@ -24,16 +25,28 @@ BANNER_CHANGES = (
     "addressed before merging."
 )
 CRITICAL_HEADING = "### 🚨 Critical Findings ("
-WARNING_HEADING = "### ⚠️ Warnings ("
-INFO_HEADING = "### 💡 Info & Style Suggestions ("
 NO_CRITICAL = "*No critical issues found.*\n"
-NO_WARNING = "*No warnings found.*\n"
-NO_INFO = "*No style issues found.*\n"
+WARNING_HEADING = "### ⚠️ Warnings ("
 WARNING_OPEN = "<details>\n<summary>Click to view warnings</summary>\n\n"
+NO_WARNING = "*No warnings found.*\n"
+INFO_HEADING = "### 💡 Info & Style Suggestions ("
 INFO_OPEN = "<details>\n<summary>Click to view minor suggestions</summary>\n\n"
+NO_INFO = "*No style issues found.*\n"
 DETAILS_CLOSE = "</details>\n"
 FOOTER = "*{brand} analyzed "
+
+# FIXED VALUES: one finding (critical heading; warning/info collapsible block;
+# fallback bullet for other severities), pieces in order.
 CRITICAL_ITEM_PREFIX = "#### 🚨 ["
+CRITICAL_ITEM_RECOMMENDATION = "\n\n**Recommendation:**\n> "
+COLLAPSIBLE_OPEN = "<details>\n<summary><b>["
+COLLAPSIBLE_TITLE_CLOSE = "]</b> "
+COLLAPSIBLE_SUMMARY_CLOSE = "</summary>\n\n"
+COLLAPSIBLE_SUGGESTION_OPEN = "\n\n> _"
+COLLAPSIBLE_CLOSE = "_\n</details>"
+FALLBACK_OPEN = "- **"
+FALLBACK_SEPARATOR = "**: "
+
 DEFAULT_BRAND = "Revlens"
 
 # Characters after which a title-cased word starts (besides whitespace).
@@ -72,13 +85,13 @@ def finding_markdown(
     title = title_case(category)
     critical = F.concat(
         F.lit(CRITICAL_ITEM_PREFIX), title, F.lit("] "), file, _line_suffix(line, " (Line ", ")"),
-        F.lit("\n"), message, F.lit("\n\n**Recommendation:**\n> "), suggestion,
+        F.lit("\n"), message, F.lit(CRITICAL_ITEM_RECOMMENDATION), suggestion,
     )
     collapsible = F.concat(
-        F.lit("<details>\n<summary><b>["), title, F.lit("]</b> "), file, _line_suffix(line, ": Line "),
-        F.lit("</summary>\n\n"), message, F.lit("\n\n> _"), suggestion, F.lit("_\n</details>"),
+        F.lit(COLLAPSIBLE_OPEN), title, F.lit(COLLAPSIBLE_TITLE_CLOSE), file, _line_suffix(line, ": Line "),
+        F.lit(COLLAPSIBLE_SUMMARY_CLOSE), message, F.lit(COLLAPSIBLE_SUGGESTION_OPEN), suggestion, F.lit(COLLAPSIBLE_CLOSE),
     )
-    fallback = F.concat(F.lit("- **"), category, F.lit("**: "), message)
+    fallback = F.concat(F.lit(FALLBACK_OPEN), category, F.lit(FALLBACK_SEPARATOR), message)
     return F.when(sev == "critical", critical).when(sev.isin("warning", "info"), collapsible).otherwise(fallback)
 
 

@@ -92,18 +92,26 @@ def line_suffix_sql(line: str, prefix: str, suffix: str = "") -> str:
     return f"CASE WHEN {line} IS NOT NULL AND {line} <> 0 THEN {q(prefix)} || cast({line} as varchar) || {q(suffix)} ELSE '' END"
 
 
+def _sql_text(text: str) -> str:
+    """SQL expression for `text`, newlines as chr(10)."""
+    parts = text.split("\n")
+    return " || chr(10) || ".join(q(p) for p in parts) if len(parts) > 1 else q(text)
+
+
 def finding_md_sql(sev: str, cat: str, file: str, line: str, msg: str, sug: str) -> str:
+    r = render
     s = f"lower(coalesce({sev}, 'info'))"
     t = title_sql(cat)
     crit = (
-        f"{u(render.CRITICAL_ITEM_PREFIX)} || {t} || '] ' || {file} || {line_suffix_sql(line, ' (Line ', ')')}"
-        f" || chr(10) || {msg} || chr(10) || chr(10) || '**Recommendation:**' || chr(10) || '> ' || {sug}"
+        f"{_sql_text(r.CRITICAL_ITEM_PREFIX)} || {t} || '] ' || {file} || {line_suffix_sql(line, ' (Line ', ')')}"
+        f" || chr(10) || {msg} || {_sql_text(r.CRITICAL_ITEM_RECOMMENDATION)} || {sug}"
     )
     coll = (
-        f"'<details>' || chr(10) || '<summary><b>[' || {t} || ']</b> ' || {file} || {line_suffix_sql(line, ': Line ')}"
-        f" || '</summary>' || chr(10) || chr(10) || {msg} || chr(10) || chr(10) || '> _' || {sug} || '_' || chr(10) || '</details>'"
+        f"{_sql_text(r.COLLAPSIBLE_OPEN)} || {t} || {_sql_text(r.COLLAPSIBLE_TITLE_CLOSE)} || {file}"
+        f" || {line_suffix_sql(line, ': Line ')} || {_sql_text(r.COLLAPSIBLE_SUMMARY_CLOSE)} || {msg}"
+        f" || {_sql_text(r.COLLAPSIBLE_SUGGESTION_OPEN)} || {sug} || {_sql_text(r.COLLAPSIBLE_CLOSE)}"
     )
-    fb = f"'- **' || {cat} || '**: ' || {msg}"
+    fb = f"{_sql_text(r.FALLBACK_OPEN)} || {cat} || {_sql_text(r.FALLBACK_SEPARATOR)} || {msg}"
     return f"CASE WHEN {s} = 'critical' THEN {crit} WHEN {s} IN ('warning', 'info') THEN {coll} ELSE {fb} END"
 
 

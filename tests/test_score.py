@@ -62,3 +62,19 @@ def test_score_captures_errors_per_row(spark):
     got = {r.id: (r.text, r.error, r.attempts) for r in score(df, factory, sleep=lambda s: None).collect()}
     assert got[0] == ("P0", None, 1) and got[2] == (None, "ValidationException", 1) and got[4][1] == "ValidationException"
     assert score(df, factory, sleep=lambda s: None, max_concurrency=3).filter(F.col("error").isNull()).count() == 4
+
+
+def test_pipeline_on_empty_and_all_generated_input(spark):
+    from revlens.operators.score import no_sleep, offline_scorer_factory
+    from revlens.plans.batch import review_batch
+
+    schema = ("review_id string, ordinal long, filename string, status string, additions long, deletions long, "
+              "patch string, previous_filename string")
+    empty = review_batch(spark.createDataFrame([], schema), offline_scorer_factory, sleep=no_sleep)
+    assert empty.comments.count() == 0 and empty.findings.count() == 0
+    gen = spark.createDataFrame([("r", 1, "package-lock.json", "modified", 5, 5, "+x", None)], schema)
+    b = review_batch(gen, offline_scorer_factory, sleep=no_sleep)
+    stats = b.stats.first()
+    assert (stats.total_files, stats.generated_files_filtered, stats.has_generated_files) == (0, 1, True)
+    c = b.comments.first()
+    assert c.verdict == "approve" and "*No critical issues found.*" in c.comment

@@ -52,17 +52,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set (a shared filesystem path). Only when it is
     unset, as in local tests, a fresh private scratch folder is created.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context; the server's conf decides
+        sc = None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set: set it to a shared folder every executor can "
                 "reach (checkpoints and sink tables live there)"
             )
         configured = tempfile.mkdtemp(prefix="revlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
@@ -110,7 +114,11 @@ def spread(df):
     many splits and are returned unchanged, so this never adds a shuffle at
     scale."""
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (Spark Connect): leave the input as it is
+        return df
+    if current < target:
         return df.repartition(target)
     return df

@@ -176,6 +176,14 @@ def seen_agents(findings: DataFrame, expected: int = rules.EXPECTED_REVIEWERS) -
     return per.withColumn("complete", F.col("seen_agents") >= expected)
 
 
+def seen_agents_stream(findings: DataFrame, expected: int = rules.EXPECTED_REVIEWERS) -> DataFrame:
+    """Streaming form of `seen_agents` (update / complete output mode).
+    `count_distinct` is not supported on streams; the reviewer set per review
+    is bounded (4 names), so `size(collect_set(agent))` is."""
+    per = findings.groupBy("review_id").agg(F.size(F.collect_set("agent")).alias("seen_agents"))
+    return per.withColumn("complete", F.col("seen_agents") >= expected)
+
+
 def recent_reviews(projected: DataFrame, limit: int = rules.RECENT_REVIEWS_LIMIT) -> DataFrame:
     """The true latest `limit` reviews, newest first (a top-k: each task keeps
     its own top `limit`, then one merge)."""

@@ -109,3 +109,14 @@ def test_function_metrics_stream_matches_batch(spark):
     want = {r.function: (r.invocations_24h, r.errors_24h, r.avg_duration_ms)
             for r in function_metrics(derived(spark, sf, "invocations"), end).collect()}
     assert got == want and got
+
+
+def test_seen_agents_stream_matches_batch(spark):
+    from revlens.operators.dashboard import seen_agents, seen_agents_stream
+    from revlens.sources.driver import derived, derived_stream
+
+    sf = "/root/testdata/sf0.001"
+    folder = runner.run(seen_agents_stream(derived_stream(spark, sf, "findings_in")), "seen-test", output_mode="complete")
+    got = {(r.review_id, r.seen_agents, r.complete) for r in spark.read.parquet(f"{folder}/out").collect()}
+    want = {(r.review_id, r.seen_agents, r.complete) for r in seen_agents(derived(spark, sf, "findings_in")).collect()}
+    assert got == want and got

@@ -14,7 +14,7 @@ from revlens.operators.ordering import first_by_order
 from revlens.plans import oracle as o
 from revlens.plans.q_dashboard import _ROUTES
 from revlens.plans.registry import register
-from revlens.session import configure, materialise
+from revlens.session import configure
 from revlens.sources import landed, store
 from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 
@@ -40,16 +40,10 @@ def admitted(spark, sf_dir) -> DataFrame:
 
 
 def accepted_events(spark, sf_dir) -> DataFrame:
-    """Accepted, projected events. Admission and projection run in one pass
-    over all requests and the small event columns are stored (reliable
-    checkpoint in the shared folder) before filtering on the outcome: a filter
-    on `outcome` would otherwise be pushed below the admission projection and
-    evaluate the signature and JSON parse a second time (and, for this
-    derived stand-in of the landed table, rebuild each body inside the filter)."""
-    projected = adm.project_webhook_event(admitted(spark, sf_dir)).select(
-        "request_id", "received_at", "body_text", "outcome", *adm.EVENT_COLUMNS
-    )
-    return materialise(projected).filter(F.col("outcome") == "accepted")
+    """Accepted, projected events, admission evaluated once per request
+    (`admission.accepted_only`)."""
+    projected = adm.project_webhook_event(admitted(spark, sf_dir))
+    return adm.accepted_only(projected, ["request_id", "received_at", "body_text", "outcome", *adm.EVENT_COLUMNS])
 
 
 # --- oracle -------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def admission_stream(envelopes: DataFrame, secret: str, watermark: str = "1 hour
     stream (needs `received_at`). Re-deliveries of the same PR head within
     the watermark collapse to one event; the dedupe state expires with it."""
     admitted = adm.admit(landed.webhook_envelopes(envelopes), secret)
-    events = adm.project_webhook_event(admitted.filter(F.col("outcome") == "accepted"))
+    events = adm.accepted_only(adm.project_webhook_event(admitted), ["received_at", *adm.EVENT_COLUMNS])
     keyed = events.withColumn("review_id", adm.review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
     return keyed.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["review_id"])
 

@@ -50,19 +50,24 @@ def row_position(
 
     `order` must make rows unique within a key (ties would make the numbering
     depend on the input order, which is not stable across task retries).
-    Set `materialise_input` when the input is costly to recompute: the range
-    partitioner samples it in a separate job.
+    Only the slim projection (keys + order) is numbered and stored; positions
+    are joined back on (keys + order), a key that is unique per row, so even a
+    hot key spreads over many tasks in that join. Set `materialise_input` when
+    the input is costly to recompute: the range partitioner samples it in a
+    separate job (only the slim projection is stored for that).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order]
+    slim = df.select(*sort_cols)
+    if materialise_input:
+        slim = materialise(slim)
     # The task id and in-task index are materialised once (reliable checkpoint
     # in spark.checkpoint.dir): the count branch and the join branch below
     # must see the same values, which re-running the range shuffle (with
     # adaptive coalescing or after an executor loss) does not guarantee.
-    source = materialise(df) if materialise_input else df
     ranged = materialise(
-        source.repartitionByRange(n, *sort_cols)
+        slim.repartitionByRange(n, *sort_cols)
         .sortWithinPartitions(*sort_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__mono", F.monotonically_increasing_id())
@@ -72,8 +77,9 @@ def row_position(
     counts = ranged.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__mono").alias("__start"))
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return (
-        ranged.join(offsets.select("__pid", *keys, "__off", "__start"), ["__pid", *keys])
-        .withColumn(out, F.col("__off") + F.col("__mono") - F.col("__start"))
-        .drop("__pid", "__mono", "__off", "__start")
+    positions = ranged.join(offsets.select("__pid", *keys, "__off", "__start"), ["__pid", *keys]).select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(sort_cols)],
+        (F.col("__off") + F.col("__mono") - F.col("__start")).alias(out),
     )
+    cond = [df[c].eqNullSafe(positions[f"__k{i}"]) for i, c in enumerate(sort_cols)]
+    return df.join(positions, cond).drop(*[f"__k{i}" for i in range(len(sort_cols))])

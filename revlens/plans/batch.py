@@ -73,9 +73,12 @@ def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
         regex.unionByName(model.filter(F.col("agent") == "security"))
     )
     others = model.filter(F.col("agent") != "security")
-    every = security.unionByName(others)
-    # upstream is the regex scan + decode + dedupe: materialise it for the sampler
-    return merge.assign_finding_keys(every, ["source_rank", "chunk_index", "ordinal"], materialise_input=True)
+    # The findings are small next to the diffs that produced them (regex scan
+    # over every patch + reply decode + dedupe): store them once, so the range
+    # sampler, the position join and every later stage read them instead of
+    # re-running that work.
+    every = materialise(security.unionByName(others))
+    return merge.assign_finding_keys(every, ["source_rank", "chunk_index", "ordinal"])
 
 
 def review_batch(

@@ -110,9 +110,9 @@ def materialise(df):
 
 def spread(df):
     """Round-robin `df` over the cluster's cores when it arrives in fewer
-    partitions than that (e.g. one small file). Large inputs already come in
-    many splits and are returned unchanged, so this never adds a shuffle at
-    scale."""
+    partitions than that (e.g. one small file): a cheap shuffle of a small
+    input that lets CPU-heavy row work use every core. Inputs with at least
+    as many splits as cores (every large table) are returned unchanged."""
     spark = df.sparkSession
     try:
         target = spark.sparkContext.defaultParallelism

@@ -51,6 +51,25 @@ def _step(state: np.ndarray, lines: int, max_lines: int) -> tuple[np.ndarray, np
     return new_state.astype(np.int32), opened.astype(np.int32)
 
 
+def _step_scalar(state: int, lines: int, max_lines: int) -> tuple[int, int]:
+    """`_step` for a single state with plain ints (the per-file replay)."""
+    over = max_lines + 2
+    cur = max_lines + 1 if state == over else state - 1
+    opened = 1 if (state == 0 or cur + lines > max_lines) else 0
+    new_cur = lines if opened else cur + lines
+    return (over if new_cur > max_lines else new_cur + 1), opened
+
+
+def _replay(lines, state: int, opened_so_far: int, max_lines: int) -> tuple[np.ndarray, int]:
+    """Chunk index of each file from a start state; returns (indices, opens)."""
+    idx = np.empty(len(lines), dtype=np.int64)
+    for i, n in enumerate(lines.tolist()):
+        state, opened = _step_scalar(state, n, max_lines)
+        opened_so_far += opened
+        idx[i] = opened_so_far - 1
+    return idx, opened_so_far
+
+
 def _summarise(max_lines: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
@@ -148,13 +167,9 @@ def _block_starts(summaries: DataFrame, fan_in: int, blocks: DataFrame, level: i
 def _assign(max_lines: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        state = np.array([int(pdf["start_state"].iat[0])], dtype=np.int32)
-        opened_so_far = int(pdf["start_opens"].iat[0])
-        idx = np.empty(len(pdf), dtype=np.int64)
-        for i, lines in enumerate(pdf["lines"].to_numpy()):
-            state, opened = _step(state, int(lines), max_lines)
-            opened_so_far += int(opened[0])
-            idx[i] = opened_so_far - 1
+        idx, _ = _replay(
+            pdf["lines"].to_numpy(), int(pdf["start_state"].iat[0]), int(pdf["start_opens"].iat[0]), max_lines
+        )
         return pd.DataFrame(
             {"review_id": pdf["review_id"].to_numpy(), "ordinal": pdf["ordinal"].to_numpy(),
              "chunk_index": idx, "total_chunks": pdf["total_opens"].to_numpy()}
@@ -166,13 +181,7 @@ def _assign(max_lines: int):
 def _assign_whole(max_lines: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
-        state = np.array([0], dtype=np.int32)
-        opened_so_far = 0
-        idx = np.empty(len(pdf), dtype=np.int64)
-        for i, lines in enumerate(pdf["lines"].to_numpy()):
-            state, opened = _step(state, int(lines), max_lines)
-            opened_so_far += int(opened[0])
-            idx[i] = opened_so_far - 1
+        idx, opened_so_far = _replay(pdf["lines"].to_numpy(), 0, 0, max_lines)
         return pd.DataFrame(
             {"review_id": pdf["review_id"].to_numpy(), "ordinal": pdf["ordinal"].to_numpy(),
              "chunk_index": idx, "total_chunks": np.full(len(pdf), opened_so_far, dtype=np.int64)}

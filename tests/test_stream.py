@@ -120,3 +120,26 @@ def test_seen_agents_stream_matches_batch(spark):
     got = {(r.review_id, r.seen_agents, r.complete) for r in spark.read.parquet(f"{folder}/out").collect()}
     want = {(r.review_id, r.seen_agents, r.complete) for r in seen_agents(derived(spark, sf, "findings_in")).collect()}
     assert got == want and got
+
+
+def test_read_envelopes_stream(spark):
+    import base64
+    import json
+
+    from pyspark.sql import functions as F
+
+    from revlens.sources import landed
+
+    land = tempfile.mkdtemp(prefix="revlens-envjson-")
+    body = json.dumps({"action": "opened"})
+    rows = [
+        {"headers": {"X-GitHub-Event": "pull_request"}, "body": body, "isBase64Encoded": False},
+        {"headers": {"x-github-event": "push"}, "body": base64.b64encode(body.encode()).decode(), "isBase64Encoded": True},
+    ]
+    with open(os.path.join(land, "part-0.json"), "w") as fh:
+        fh.write("\n".join(json.dumps(r) for r in rows))
+    stream = landed.webhook_envelopes(landed.read_envelopes(spark, land))
+    out = stream.select(landed.header("x-github-event").alias("event"), "body_text")
+    folder = runner.run(out, "envelopes-test")
+    got = sorted((r.event, r.body_text) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == [("pull_request", body), ("push", body)]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import functions as F
-
 from revlens.operators import merge
 from revlens.operators.respond import decode_replies, reply_findings
 

@@ -126,8 +126,6 @@ def test_read_envelopes_stream(spark):
     import base64
     import json
 
-    from pyspark.sql import functions as F
-
     from revlens.sources import landed
 
     land = tempfile.mkdtemp(prefix="revlens-envjson-")

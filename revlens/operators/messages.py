@@ -19,10 +19,12 @@ def retained(routes: DataFrame, now: str, main_s: int = rules.RETENTION_MAIN_SEC
     return routes.filter(keep_dead | keep_main)
 
 
-def redeliveries(receives: DataFrame, visibility_s: int = rules.VISIBILITY_SECONDS) -> DataFrame:
+def redeliveries(receives: DataFrame, visibility_s: int = rules.VISIBILITY_SECONDS,
+                 learn_visibility_s: int = rules.VISIBILITY_SECONDS_LEARN) -> DataFrame:
     """Classify each receive by the gap to the same message's next receive:
-    `after_timeout` (>= the visibility timeout: the message became visible
-    again), `early` (shorter) or `last`.
+    `after_timeout` (>= the queue's visibility timeout - 120 s for the learn
+    queue, 300 s for the others: the message became visible again), `early`
+    (shorter) or `last`.
 
     The window is per message; a message is received at most a handful of
     times before it is acknowledged or dead-lettered, so each window
@@ -31,9 +33,10 @@ def redeliveries(receives: DataFrame, visibility_s: int = rules.VISIBILITY_SECON
     w = Window.partitionBy("message_id").orderBy("received_at", "receive_seq")
     nxt = F.lead("received_at").over(w)
     gap = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("received_at").cast("timestamp"))
+    timeout_us = F.when(F.col("queue") == "learn-queue", F.lit(learn_visibility_s)).otherwise(F.lit(visibility_s)) * 1_000_000
     return receives.withColumn("gap_us", gap).withColumn(
         "kind",
         F.when(F.col("gap_us").isNull(), F.lit("last"))
-        .when(F.col("gap_us") >= visibility_s * 1_000_000, F.lit("after_timeout"))
+        .when(F.col("gap_us") >= timeout_us, F.lit("after_timeout"))
         .otherwise(F.lit("early")),
     )

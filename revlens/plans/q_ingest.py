@@ -379,7 +379,8 @@ def q_retention_expire(spark, sf_dir):
     + """ SELECT message_id, receive_seq,
   epoch_us(lead(received_at) OVER w) - epoch_us(received_at) AS gap_us,
   CASE WHEN lead(received_at) OVER w IS NULL THEN 'last'
-       WHEN epoch_us(lead(received_at) OVER w) - epoch_us(received_at) >= 300000000 THEN 'after_timeout' ELSE 'early' END AS kind
+       WHEN epoch_us(lead(received_at) OVER w) - epoch_us(received_at)
+            >= CASE WHEN queue = 'learn-queue' THEN 120000000 ELSE 300000000 END THEN 'after_timeout' ELSE 'early' END AS kind
 FROM receives WINDOW w AS (PARTITION BY message_id ORDER BY received_at, receive_seq)""",
 )
 def q_visibility_redelivery(spark, sf_dir):

@@ -146,8 +146,11 @@ def sk_prefix_scan(items: DataFrame, prefix: str, pk: str | None = None) -> Data
 
 
 def status_index(reviews: DataFrame, status: str) -> DataFrame:
-    """Keys-only secondary index query: reviews with `status` by created_at."""
-    return reviews.filter(F.col("status") == status).select("review_id", "status", "created_at")
+    """Keys-only secondary index query: reviews with `status`, ordered by
+    created_at (a range-partitioned global sort)."""
+    return reviews.filter(F.col("status") == status).select("review_id", "status", "created_at").orderBy(
+        "created_at", "review_id"
+    )
 
 
 def ttl_expire(items: DataFrame, now_epoch_s: int) -> DataFrame:

@@ -133,3 +133,18 @@ def test_admission_audit(spark):
     df = spark.createDataFrame([envelope(), envelope(event="push"), envelope(signature="bad"), envelope()], landed.ENVELOPE_SCHEMA)
     audit = {(r.outcome, r.status_code): r.requests for r in adm.admission_audit(adm.admit(landed.webhook_envelopes(df), SECRET)).collect()}
     assert audit == {("accepted", 200): 2, ("ignored_event", 200): 1, ("bad_signature", 401): 1}
+
+
+def test_redelivery_kinds_and_learn_queue_timeout(spark):
+    from revlens.operators.messages import redeliveries
+
+    t = dt.datetime(2024, 1, 1)
+    s = dt.timedelta(seconds=1)
+    rows = [
+        ("a", "parse-queue", t, 1), ("a", "parse-queue", t + 100 * s, 2), ("a", "parse-queue", t + 500 * s, 3),
+        ("b", "learn-queue", t, 4), ("b", "learn-queue", t + 150 * s, 5),
+    ]
+    df = spark.createDataFrame(rows, "message_id string, queue string, received_at timestamp, receive_seq long")
+    got = {r.receive_seq: r.kind for r in redeliveries(df).collect()}
+    # parse queue: 100 s < 300 s early, 400 s after the timeout; learn queue: 150 s >= 120 s
+    assert got == {1: "early", 2: "after_timeout", 3: "last", 4: "after_timeout", 5: "last"}

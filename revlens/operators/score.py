@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
@@ -204,7 +205,7 @@ class OfflineScorer:
         m = _CHUNK_NO.search(prompt)
         chunk_index = int(m.group(1)) - 1 if m else 0
         agent = _SYSTEM_TO_AGENT.get(system_prompt, "security")
-        key = f"{agent}|{prompt[:64]}|{len(prompt)}|{chunk_index}"
+        key = f"{agent}|{hashlib.sha1(prompt.encode('utf-8')).hexdigest()}"
         attempt = self.calls.get(key, 0)
         self.calls[key] = attempt + 1
         if self.inject:

@@ -62,6 +62,15 @@ def review_micro_batches(
             b.verdicts.select("review_id", "n_critical", "n_warning", "n_info"), "review_id"
         )
         sinks.write_batch(comments, f"{out_dir}/comments", batch_id)
+        # review.<agent> events, one per review and reviewer even without
+        # findings: fed to `barrier_stream` they give the completion-event rule
+        # (every reviewer that finished counts), the findings-only rule of the
+        # original being the other option.
+        from revlens.operators.review_events import assemble_review_events
+        from revlens.operators.score import reviewer_table
+
+        events = assemble_review_events(b.stats, b.assigned, b.findings, reviewer_table(files.sparkSession))
+        sinks.write_batch(events.withColumn("ts", F.current_timestamp()), f"{out_dir}/review_events", batch_id)
         complete = b.verdicts.select(
             "review_id",
             F.to_json(F.struct("review_id", "verdict", "total_findings", "latency_ms")).alias("value"),

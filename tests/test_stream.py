@@ -141,3 +141,12 @@ def test_read_envelopes_stream(spark):
     folder = runner.run(out, "envelopes-test")
     got = sorted((r.event, r.body_text) for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == [("pull_request", body), ("push", body)]
+
+
+def test_completion_event_rule(spark):
+    """Reviewer completion events (zero findings included) complete the barrier."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r", a, t + dt.timedelta(seconds=i)) for i, a in enumerate(["security", "performance", "style", "test"])]
+    df = spark.createDataFrame(rows, "review_id string, agent string, ts timestamp")
+    got = barrier_batch(df).first()
+    assert (got.seen_agents, got.complete) == (4, True)

@@ -144,19 +144,25 @@ def function_metrics_all(spark: SparkSession, metrics: DataFrame) -> DataFrame:
 
 def overview(severity: DataFrame, reviews: DataFrame, queues: DataFrame, functions: DataFrame) -> DataFrame:
     """One-row overview: reviews, findings by severity, queue depths,
-    invocations and errors. All inputs are already one row or a fixed-size
-    table, so the cross joins are of single rows."""
+    invocations and errors. Every input is reduced to one row first; the rows
+    are stacked (missing columns NULL) and folded with `max` per column - no
+    join of any kind."""
     q = queues.agg(F.map_from_entries(F.collect_list(F.struct("queue", "depth"))).alias("queues"))
     f = functions.agg(
         F.sum("invocations_24h").cast("bigint").alias("invocations_24h"),
         F.sum("errors_24h").cast("bigint").alias("errors_24h"),
     )
-    return (
-        reviews.crossJoin(severity)
-        .crossJoin(q)
-        .crossJoin(f)
-        .select("total_reviews", F.col("total").alias("total_findings"), *rules.SEVERITIES, "queues",
-                "invocations_24h", "errors_24h")
+    stacked = (
+        reviews.select("total_reviews")
+        .unionByName(severity.select(F.col("total").alias("total_findings"), *rules.SEVERITIES), allowMissingColumns=True)
+        .unionByName(q, allowMissingColumns=True)
+        .unionByName(f, allowMissingColumns=True)
+    )
+    cols = ["total_reviews", "total_findings", *rules.SEVERITIES, "invocations_24h", "errors_24h"]
+    return stacked.agg(
+        *[F.max(c).alias(c) for c in cols[:5]],
+        F.first("queues", ignorenulls=True).alias("queues"),
+        *[F.max(c).alias(c) for c in cols[5:]],
     )
 
 

@@ -37,11 +37,23 @@ class ModelError(Exception):
         self.code = code
 
 
+def _reviewer_rows() -> list[tuple]:
+    return [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a], rules.REVIEWER_MODELS[a]) for a, c, e in rules.REVIEWERS]
+
+
+_REVIEWER_FIELDS = ["agent", "default_category", "event_type", "system_prompt", "on_invalid", "model_id"]
+
+
+def reviewer_structs():
+    """The reviewer configuration as a literal array of structs (4 elements)."""
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(_REVIEWER_FIELDS, row)]) for row in _reviewer_rows()])
+
+
 def reviewer_table(spark: SparkSession) -> DataFrame:
     """The four reviewers: name, default category, event type, system prompt,
     error rule and configured model. Fixed size (4 rows): safe to broadcast."""
     return spark.createDataFrame(
-        [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a], rules.REVIEWER_MODELS[a]) for a, c, e in rules.REVIEWERS],
+        _reviewer_rows(),
         "agent string, default_category string, event_type string, system_prompt string, on_invalid string, model_id string",
     )
 
@@ -89,10 +101,13 @@ def chunk_prompts(assigned: DataFrame) -> DataFrame:
     )
 
 
-def fan_out(chunks: DataFrame, reviewers: DataFrame) -> DataFrame:
-    """Every chunk goes to every reviewer: a cross join with the 4-row
-    reviewer table (broadcast; the row count is fixed by configuration)."""
-    return chunks.crossJoin(F.broadcast(reviewers))
+def fan_out(chunks: DataFrame, reviewers: DataFrame | None = None) -> DataFrame:
+    """Every chunk goes to every reviewer: each row is expanded by a generator
+    over the literal 4-reviewer array (no join; the factor is fixed by
+    configuration). `reviewers` is accepted for API compatibility and ignored."""
+    return chunks.select("*", F.explode(reviewer_structs()).alias("__r")).select(
+        *[c for c in chunks.columns], *[F.col(f"__r.{k}").alias(k) for k in _REVIEWER_FIELDS]
+    )
 
 
 def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base):

@@ -59,3 +59,9 @@ def test_store_lookups_prune_and_push_down(q):
     assert "PartitionFilters: [isnotnull(pk_bucket" in p and "EqualTo(pk,REV#rev-7)" in p
     p = plan(q("sk_prefix_scan"))
     assert "StringStartsWith(sk,FINDING#security#)" in p
+
+
+def test_no_cross_joins(q):
+    for key in ("fan_out", "review_event_assemble", "overview_kpi", "review_pipeline_batch"):
+        p = plan(q(key))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key

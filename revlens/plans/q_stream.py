@@ -51,7 +51,7 @@ def q_completion_barrier(spark, sf_dir):
     # how late a reviewer's event may arrive.
     fired = barrier_stream(derived_stream(spark, sf_dir, "review_clock"), watermark="10 seconds")
     folder = runner.run(fired, "barrier")
-    out = spark.read.parquet(f"{folder}/out")
+    out = spark.read.parquet(f"{folder}/out").filter(F.col("kind") == "fired")
     return out.select("review_id", "seen_agents", "complete", _fmt("fired_at"))
 
 

@@ -13,7 +13,9 @@ Two forms with the same result:
   state per review is (t0, reviewer set, fired, late count) - a few bytes,
   whatever the review's size - and each Arrow chunk of a micro-batch is
   reduced to first arrivals per reviewer before it touches the state.
-  Events of a review after it fired are counted in `late_events`.
+  Events that arrive in a later micro-batch for a review that already fired
+  are emitted as `kind = 'late'` rows (the late-findings output); the
+  summary triggers are the `kind = 'fired'` rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens import rules
 
-BARRIER_SCHEMA = "review_id string, seen_agents int, complete boolean, fired_at timestamp, late_events long"
+BARRIER_SCHEMA = "review_id string, kind string, seen_agents int, complete boolean, fired_at timestamp, late_events long"
 _STATE_SCHEMA = "t0_us long, agents array<string>, fired boolean, late long"
 
 
@@ -64,7 +66,7 @@ def _barrier_fn(timeout_s: int, expected: int):
             t0_us, agents, fired, late = state.get
             if not fired:
                 yield pd.DataFrame({
-                    "review_id": [review_id], "seen_agents": [len(agents)], "complete": [False],
+                    "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(agents)], "complete": [False],
                     "fired_at": [pd.Timestamp(t0_us + timeout_us, unit="us")], "late_events": [late],
                 })
             state.remove()
@@ -92,7 +94,9 @@ def _barrier_fn(timeout_s: int, expected: int):
             t0_us = min(first.values())
         deadline = t0_us + timeout_us
         fired_row = None
+        late_now = 0
         if fired:
+            late_now = n_events  # the summary for this review was already triggered
             late += n_events
         else:
             for agent, t in sorted(first.items(), key=lambda kv: kv[1]):
@@ -107,9 +111,15 @@ def _barrier_fn(timeout_s: int, expected: int):
         state.setTimeoutTimestamp(max(deadline_ms, int(state.getCurrentWatermarkMs()) + 1))
         if fired_row is not None:
             yield pd.DataFrame({
-                "review_id": [review_id], "seen_agents": [len(agents)], "complete": [True],
+                "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(agents)], "complete": [True],
                 "fired_at": [pd.Timestamp(fired_row, unit="us")], "late_events": [0],
             })
+        if late_now:
+            # events for a review whose summary already fired: the late-findings output
+            yield pd.DataFrame({
+                "review_id": [review_id], "kind": ["late"], "seen_agents": [len(agents)], "complete": [True],
+                "fired_at": [pd.NaT], "late_events": [late_now],
+            })
 
     return fn
 

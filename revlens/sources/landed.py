@@ -59,10 +59,21 @@ def read_envelopes(spark: SparkSession, path: str, max_files_per_trigger: int =
     return spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(path)
 
 
+def kafka_messages(raw: DataFrame) -> DataFrame:
+    """Kafka source rows -> (message_id, body, attributes, ts). Attributes are
+    the record headers (values as UTF-8 text)."""
+    headers = F.map_from_entries(F.transform(F.col("headers"), lambda h: F.struct(h["key"], h["value"].cast("string"))))
+    return raw.select(
+        F.concat_ws("-", F.col("topic"), F.col("partition").cast("string"), F.col("offset").cast("string")).alias("message_id"),
+        F.col("value").cast("string").alias("body"),
+        F.coalesce(headers, F.create_map().cast("map<string,string>")).alias("attributes"),
+        F.col("timestamp").alias("ts"),
+    )
+
+
 def read_topic(spark: SparkSession, bootstrap_servers: str, topic: str, max_offsets_per_trigger: int = 100_000) -> DataFrame:
-    """A topic as a message stream (message_id, body, attributes, ts) for
-    production; needs the Spark Kafka connector on the classpath. Attributes
-    travel as Kafka headers."""
+    """A topic as a message stream for production; needs the Spark Kafka
+    connector on the classpath."""
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", bootstrap_servers)
@@ -71,14 +82,7 @@ def read_topic(spark: SparkSession, bootstrap_servers: str, topic: str, max_offs
         .option("maxOffsetsPerTrigger", max_offsets_per_trigger)
         .load()
     )
-    return raw.select(
-        F.concat_ws("-", F.col("topic"), F.col("partition").cast("string"), F.col("offset").cast("string")).alias("message_id"),
-        F.col("value").cast("string").alias("body"),
-        F.map_from_entries(
-            F.transform(F.coalesce(F.col("headers"), F.array()), lambda h: F.struct(h["key"], h["value"].cast("string")))
-        ).alias("attributes"),
-        F.col("timestamp").alias("ts"),
-    )
+    return kafka_messages(raw)
 
 
 def webhook_envelopes(envelopes: DataFrame) -> DataFrame:

@@ -148,3 +148,14 @@ def test_redelivery_kinds_and_learn_queue_timeout(spark):
     got = {r.receive_seq: r.kind for r in redeliveries(df).collect()}
     # parse queue: 100 s < 300 s early, 400 s after the timeout; learn queue: 150 s >= 120 s
     assert got == {1: "early", 2: "after_timeout", 3: "last", 4: "after_timeout", 5: "last"}
+
+
+def test_kafka_messages_shape(spark):
+    schema = ("key binary, value binary, topic string, partition int, offset long, timestamp timestamp, "
+              "timestampType int, headers array<struct<key:string,value:binary>>")
+    t = dt.datetime(2024, 1, 1)
+    rows = [(None, b'{"a": 1}', "pr-parsed", 3, 17, t, 0, [("event_type", b"pr.parsed")]),
+            (None, b"{}", "pr-parsed", 0, 1, t, 0, None)]
+    got = landed.kafka_messages(spark.createDataFrame(rows, schema)).orderBy("message_id").collect()
+    assert [(r.message_id, r.body, r.attributes) for r in got] == [
+        ("pr-parsed-0-1", "{}", {}), ("pr-parsed-3-17", '{"a": 1}', {"event_type": "pr.parsed"})]

@@ -1,10 +1,10 @@
 """Mixing sources to target weights (operator 4).
 
 Every document gets a hash-random key. Keys are cut into equal ranges per source
-(as many as keep a range near `range_rows` rows), sizes are summed per range, the
-range sums give each range its start, and a window inside each range gives every
-document its own start: a prefix sum of two levels in which no task ever holds a
-source. A source whose target is k whole epochs and a rest takes every document k
+(as many as keep a range near `range_rows` rows) and the ranges into blocks. Sizes are
+summed per range and block, block sums give each block its start, range sums each range
+inside its block, and a window inside each range gives every document its own start: a
+prefix sum of three levels in which no task ever holds a source. A source whose target is k whole epochs and a rest takes every document k
 times and cuts the (k+1)-th epoch exactly at the rest: documents before the cut
 once more, the document on the cut for the words that are left.
 """
@@ -56,7 +56,7 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    range_rows: int = 20_000,
+    range_rows: int = 1_000,
     size: Column | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of `docs`.
@@ -73,12 +73,19 @@ def mix_sources(
         docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("k")),
         "mix",
     )
-    # equal ranges of the key space; every document lands in one by its key's first digits
-    bits = 4 * max(1, min(7, len(f"{narrow.count() // range_rows:x}")))
-    ranged = narrow.withColumn("r", F.substring("k", 1, bits // 4))
-    sums = ranged.groupBy("source", "r").agg(F.sum("size").alias("range_size"))
-    w = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(w), F.lit(0)))
+    # 2**bits equal ranges of the key space by its first 32 bits, in 2**(bits / 2) blocks
+    bits = min(31, (narrow.count() // range_rows).bit_length())
+    r = F.shiftright(F.conv(F.substring("k", 1, 8), 16, 10).cast("long"), 32 - bits)
+    ranged = narrow.withColumn("r", r)
+    sums = ranged.groupBy("source", "r").agg(F.sum("size").alias("range_size")).withColumn("block", F.shiftright("r", bits // 2))
+    blocks = sums.groupBy("source", "block").agg(F.sum("range_size").alias("block_size"))
+    by_block = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = Window.partitionBy("source", "block").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("block_start", F.coalesce(F.sum("block_size").over(by_block), F.lit(0))).alias("k")
+    inside = sums.withColumn("inside", F.coalesce(F.sum("range_size").over(by_range), F.lit(0))).alias("i")
+    starts = inside.join(blocks, F.expr("i.source <=> k.source AND i.block = k.block")).select(
+        "i.source", "i.r", (F.col("block_start") + F.col("inside")).alias("range_start")
+    )
     per_source = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     named = stored(
         per_source.select("source", "source_size", F.lit(1).alias("one"), F.col("source").isNull().cast("int").alias("last")),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, mixing, secrets
+from revlens.llm import decontaminate, jaccard, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op4(spark, sf_dir):
 @query("op7_secret_ownership")
 def op7(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))

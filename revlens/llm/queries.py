@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, jaccard, mixing, secrets
+from revlens.llm import decontaminate, jaccard, line_quality, mixing, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,20 @@ def op7(spark, sf_dir):
 @query("op10_ngram_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_compression_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_line_frequency_quality")
+def op6(spark, sf_dir):
+    return line_quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

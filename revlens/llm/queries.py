@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import decontaminate, jaccard, line_quality, mixing, secrets, token_counts, toxicity
+from revlens.llm import (
+    decontaminate,
+    jaccard,
+    language_model,
+    licenses,
+    line_quality,
+    mixing,
+    secrets,
+    token_counts,
+    toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +72,18 @@ def op8(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_gated_recurrent_lm")
+def op5(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_redirect_equivalence", url_rules.ORACLE)
+def op2(spark, sf_dir):
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op9_conditional_compression_licenses")
+def op9(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))

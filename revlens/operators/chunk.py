@@ -14,8 +14,6 @@ whole review in one task, however many files it has:
 
 1. Files are cut into blocks of <= `block_files` consecutive ordinals; each
    block is summarised by its transition table (applyInPandas, bounded group).
-   When every review fits in one block, a single bounded pass does the whole
-   job (steps 2 and 3 are skipped).
 2. Block tables are composed up a tree with fan-in `fan_in` until each review
    has at most `fan_in` nodes; the top nodes are scanned in order from the
    empty state, and start states are pushed back down the tree.
@@ -136,21 +134,14 @@ def _push_down(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _widest(blocks: DataFrame, fan_in: int, level: int) -> int:
-    """Most distinct tree nodes any review has at `level` (one scalar to the
-    driver, counted on the slim (review_id, node) input)."""
-    node = F.floor(F.col("node") / (fan_in**level)) if level else F.col("node")
-    per = blocks.groupBy("review_id").agg(F.count_distinct(node).alias("n"))
-    return per.agg(F.max("n")).first()[0] or 0
-
-
-def _block_starts(summaries: DataFrame, fan_in: int, blocks: DataFrame, level: int = 0) -> DataFrame:
-    """Start state of every node at `level` of the tree."""
-    if _widest(blocks, fan_in, level) <= fan_in:
+def _block_starts(summaries: DataFrame, fan_in: int, nodes: int) -> DataFrame:
+    """Start state of every node of a tree level whose nodes are numbered below
+    `nodes`."""
+    if nodes <= fan_in:
         return summaries.groupBy("review_id").applyInPandas(_scan_top, _START_SCHEMA)
     with_parent = summaries.withColumn("parent", F.floor(F.col("node") / fan_in).cast("long"))
     parents = with_parent.groupBy("review_id", "parent").applyInPandas(_compose, _SUMMARY_SCHEMA)
-    parent_starts = _block_starts(parents, fan_in, blocks, level + 1).select(
+    parent_starts = _block_starts(parents, fan_in, -(-nodes // fan_in)).select(
         "review_id",
         F.col("node").alias("parent"),
         F.col("start_state").alias("p_start_state"),
@@ -178,22 +169,10 @@ def _assign(max_lines: int):
     return run
 
 
-def _assign_whole(max_lines: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        idx, opened_so_far = _replay(pdf["lines"].to_numpy(), 0, 0, max_lines)
-        return pd.DataFrame(
-            {"review_id": pdf["review_id"].to_numpy(), "ordinal": pdf["ordinal"].to_numpy(),
-             "chunk_index": idx, "total_chunks": np.full(len(pdf), opened_so_far, dtype=np.int64)}
-        )
-
-    return run
-
-
 def assign_chunks(
     files: DataFrame,
     max_lines: int = rules.MAX_CHUNK_LINES,
-    block_files: int = 16384,
+    block_files: int = 256,
     fan_in: int = 256,
 ) -> DataFrame:
     """Add `chunk_index` and `total_chunks` to kept files.
@@ -202,7 +181,8 @@ def assign_chunks(
     additions / deletions. Only (review_id, ordinal, lines) travel through
     Python; the result is joined back to the full rows on (review_id, ordinal).
     Blocks are ordinal ranges of width `block_files`, so no block holds more
-    than `block_files` files.
+    than `block_files` files. All sizes take this one path; the largest ordinal
+    (one scalar) says how many levels the tree has.
     """
     slim = files.select(
         "review_id",
@@ -211,14 +191,9 @@ def assign_chunks(
         F.floor(F.col("ordinal") / block_files).cast("long").alias("node"),
     )
     out_schema = "review_id string, ordinal long, chunk_index long, total_chunks long"
-    blocks = slim.select("review_id", "node")
-    if _widest(blocks, fan_in, 0) <= 1:
-        # Every review fits in one block (the common case): one bounded pass
-        # from the empty state numbers the files and counts the chunks.
-        numbered = slim.groupBy("review_id", "node").applyInPandas(_assign_whole(max_lines), out_schema)
-        return files.join(numbered, ["review_id", "ordinal"])
     summaries = slim.groupBy("review_id", "node").applyInPandas(_summarise(max_lines), _SUMMARY_SCHEMA)
-    starts = _block_starts(summaries, fan_in, blocks)
+    nodes = (slim.agg(F.max("node")).first()[0] or 0) + 1
+    starts = _block_starts(summaries, fan_in, nodes)
     numbered = (
         slim.join(starts, ["review_id", "node"]).groupBy("review_id", "node").applyInPandas(_assign(max_lines), out_schema)
     )

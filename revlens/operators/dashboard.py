@@ -1,10 +1,8 @@
 """Dashboard tables: KPIs, queue depth, function metrics, health flags.
 
-Everything is a partial aggregate followed (where the dashboard lists a fixed
-set of names) by a left join against a tiny fixed table. Only the fixed
-tables carry a broadcast hint (their size is set by configuration: 14 queues,
-6 functions); the aggregated side is sized by data, so the join strategy for
-it is left to AQE's runtime statistics.
+Everything is a partial aggregate. Where the dashboard lists a fixed set of names
+(14 queues, 6 functions), those are stacked under the aggregate and folded per
+name, so names without data appear and no join is needed.
 """
 
 from __future__ import annotations
@@ -58,7 +56,7 @@ def message_routes(receives: DataFrame, max_receives: int = rules.MAX_RECEIVES)
         receives.join(first_ok, "message_id")
         .groupBy("message_id")
         .agg(
-            F.first("queue").alias("queue"),
+            F.min_by("queue", F.struct("received_at", "receive_seq")).alias("queue"),
             F.min("received_at").alias("first_received_at"),
             F.max("received_at").alias("last_received_at"),
             F.count(F.lit(1)).alias("receives"),
@@ -84,16 +82,14 @@ def queue_depth(routes: DataFrame) -> DataFrame:
 
 
 def queue_depth_all(spark: SparkSession, depth: DataFrame) -> DataFrame:
-    """Every configured queue, depth 0 when absent, plus health columns."""
-    return (
-        F.broadcast(queue_table(spark))
-        .join(depth, "queue", "left")
-        .select(
-            "queue",
-            F.coalesce(F.col("depth"), F.lit(0)).cast("bigint").alias("depth"),
-            F.col("queue").contains("dlq").alias("is_dlq"),
-            (F.coalesce(F.col("depth"), F.lit(0)) > 0).alias("has_messages"),
-        )
+    """Every configured queue, depth 0 when absent, plus health columns: the
+    configured names are stacked under the counts and added up per queue, which
+    gives the left join's rows without a side to broadcast."""
+    known = queue_table(spark).select("queue", F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("configured"))
+    rows = depth.select("queue", "depth", F.lit(False).alias("configured")).unionByName(known)
+    per_queue = rows.groupBy("queue").agg(F.sum("depth").alias("depth"), F.max("configured").alias("configured"))
+    return per_queue.where("configured").select(
+        "queue", "depth", F.col("queue").contains("dlq").alias("is_dlq"), (F.col("depth") > 0).alias("has_messages")
     )
 
 
@@ -127,7 +123,10 @@ def function_metrics(invocations: DataFrame, now: str, hours: int = rules.METRIC
 def function_metrics_all(spark: SparkSession, metrics: DataFrame) -> DataFrame:
     """Every configured function with its configuration, metrics 0 when absent,
     and the health flag (`warning` when it had errors, else `active`)."""
-    m = F.broadcast(function_table(spark)).join(metrics, "function", "left")
+    fixed = ["runtime", "memory", "timeout"]
+    figures = ["invocations_24h", "errors_24h", "avg_duration_ms"]
+    rows = metrics.select("function", *figures).unionByName(function_table(spark).select("function", *fixed), allowMissingColumns=True)
+    m = rows.groupBy("function").agg(*[F.max(c).alias(c) for c in [*fixed, *figures]]).where("timeout IS NOT NULL")
     errors = F.coalesce(F.col("errors_24h"), F.lit(0)).cast("bigint")
     return m.select(
         "function",

@@ -21,7 +21,8 @@ FINDING_FIELDS = ["severity", "category", "file", "line", "message", "suggestion
 def security_dedupe(findings: DataFrame) -> DataFrame:
     """Security reviewer: one finding per (review_id, file, line, category),
     the first by (source_rank, chunk_index, ordinal); regex findings have
-    source_rank 0 and precede model findings (source_rank 1)."""
+    source_rank 0 and precede model findings (source_rank 1). Line is part of
+    the key, so it need not be part of the order."""
     return first_by_order(
         findings, ["review_id", "file", "line", "category"], ["source_rank", "chunk_index", "ordinal"]
     )

@@ -5,8 +5,8 @@ task. With one review holding a third of all rows that is a single-task sort of
 a third of the data. The helpers here number rows and pick first/last rows
 without ever gathering a key in one place:
 
-* `first_by_order`: keep one row per key by an order. A `min(struct(...))`
-  aggregate, so Spark combines partially on the map side before the shuffle.
+* `first_by_order`: keep one row per key by an order. A `min_by` aggregate, so
+  Spark combines partially on the map side before the shuffle.
 * `row_position`: 0-based position inside a key. A range-partitioned sort
   spreads even a single hot key over many tasks; each task then counts its
   rows per key, a tiny prefix sum over (task, key) counts gives every task its
@@ -27,14 +27,13 @@ def first_by_order(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], descending: bool = False
 ) -> DataFrame:
     """One row per `keys`: the row with the smallest (largest if `descending`)
-    `order` tuple. The order tuple should be unique within a key."""
+    `order` tuple, which should be unique within a key. Only the order columns
+    are compared, so the other columns may be of any type, maps included."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     payload = [c for c in df.columns if c not in keys]
-    packed = F.struct(
-        *[c.alias(f"__o{i}") for i, c in enumerate(order_cols)],
-        *[F.col(c).alias(c) for c in payload],
-    )
-    agg = F.max(packed) if descending else F.min(packed)
+    place = F.struct(*[c.alias(f"__o{i}") for i, c in enumerate(order_cols)])
+    row = F.struct(*[F.col(c).alias(c) for c in payload])
+    agg = F.max_by(row, place) if descending else F.min_by(row, place)
     return df.groupBy(*keys).agg(agg.alias("__w")).select(*keys, *[F.col(f"__w.{c}").alias(c) for c in payload])
 
 
@@ -49,7 +48,8 @@ def row_position(
     """Add `out`, the 0-based position of each row within `keys` by `order`.
 
     `order` must make rows unique within a key (ties would make the numbering
-    depend on the input order, which is not stable across task retries).
+    depend on the input order, which is not stable across task retries); rows
+    that tie raise an error when they are read.
     Only the slim projection (keys + order) is numbered and stored; positions
     are joined back on (keys + order), a key that is unique per row, so even a
     hot key spreads over many tasks in that join. Set `materialise_input` when
@@ -81,5 +81,10 @@ def row_position(
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(sort_cols)],
         (F.col("__off") + F.col("__mono") - F.col("__start")).alias(out),
     )
+    # the join below is dealt by the same columns, so this adds no shuffle
+    names = [f"__k{i}" for i in range(len(sort_cols))]
+    once = positions.groupBy(*names).agg(F.min(out).alias(out), F.count(F.lit(1)).alias("__rows"))
+    tie = F.raise_error(F.lit(f"row_position: rows tie on {sort_cols}")).cast("long")
+    positions = once.select(*names, F.when(F.col("__rows") == 1, F.col(out)).otherwise(tie).alias(out))
     cond = [df[c].eqNullSafe(positions[f"__k{i}"]) for i, c in enumerate(sort_cols)]
     return df.join(positions, cond).drop(*[f"__k{i}" for i in range(len(sort_cols))])

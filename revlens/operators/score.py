@@ -1,20 +1,16 @@
 """Model scoring of diff chunks (the one place user Python runs per row).
 
 * `chunk_prompts` builds each chunk's prompt with native string functions.
-* `score` runs a user-supplied scorer over (prompt, system prompt, model)
-  rows with `mapInPandas`: Arrow batches, one client per task, retries with
-  exponential back-off on throttling, and per-row error capture so a failed
-  chunk only loses its own findings. `max_concurrency` repartitions the input
-  to cap how many tasks call the model service at once.
-* `OfflineScorer` is a deterministic stand-in used by the tests and the
-  registered queries; it needs no network.
+* `score_chunks` runs a user-supplied scorer over every (chunk, reviewer) and
+  `score` over rows of (prompt, system prompt, model), both with `mapInPandas`:
+  Arrow batches, one client per task, retries with exponential back-off on
+  throttling, and per-row error capture so a failed chunk only loses its own
+  findings. `calls_per_second` bounds the call rate, whatever the partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -37,23 +33,25 @@ class ModelError(Exception):
         self.code = code
 
 
-def _reviewer_rows() -> list[tuple]:
+def reviewer_rows() -> list[tuple]:
+    """The configured reviewers, as rows of the reviewer columns."""
     return [(a, c, e, rules.REVIEWER_PROMPTS[a], rules.ON_INVALID[a], rules.REVIEWER_MODELS[a]) for a, c, e in rules.REVIEWERS]
 
 
 _REVIEWER_FIELDS = ["agent", "default_category", "event_type", "system_prompt", "on_invalid", "model_id"]
 
 
-def reviewer_structs():
-    """The reviewer configuration as a literal array of structs (4 elements)."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(_REVIEWER_FIELDS, row)]) for row in _reviewer_rows()])
+def reviewer_structs(reviewers: list[tuple] | None = None):
+    """Reviewer rows (the configured ones by default) as a literal array of structs."""
+    rows = reviewer_rows() if reviewers is None else reviewers
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(_REVIEWER_FIELDS, row)]) for row in rows])
 
 
 def reviewer_table(spark: SparkSession) -> DataFrame:
     """The four reviewers: name, default category, event type, system prompt,
     error rule and configured model. Fixed size (4 rows): safe to broadcast."""
     return spark.createDataFrame(
-        _reviewer_rows(),
+        reviewer_rows(),
         "agent string, default_category string, event_type string, system_prompt string, on_invalid string, model_id string",
     )
 
@@ -101,16 +99,16 @@ def chunk_prompts(assigned: DataFrame) -> DataFrame:
     )
 
 
-def fan_out(chunks: DataFrame, reviewers: DataFrame | None = None) -> DataFrame:
+def fan_out(chunks: DataFrame, reviewers: list[tuple] | None = None) -> DataFrame:
     """Every chunk goes to every reviewer: each row is expanded by a generator
-    over the literal 4-reviewer array (no join; the factor is fixed by
-    configuration). `reviewers` is accepted for API compatibility and ignored."""
-    return chunks.select("*", F.explode(reviewer_structs()).alias("__r")).select(
+    over the literal array of reviewers (no join; the factor is fixed by
+    configuration). `reviewers` are rows as of `reviewer_rows()`."""
+    return chunks.select("*", F.explode(reviewer_structs(reviewers)).alias("__r")).select(
         *[c for c in chunks.columns], *[F.col(f"__r.{k}").alias(k) for k in _REVIEWER_FIELDS]
     )
 
 
-def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base):
+def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base, params=None):
     """(reply, attempts, seconds waited, error code). Throttling-type errors
     wait base * 2**attempt and retry (the wait also follows the last failed
     attempt, as in the original client); other errors fail at once."""
@@ -118,7 +116,7 @@ def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempt
     last_code = None
     for attempt in range(max_attempts):
         try:
-            return scorer(prompt, system_prompt, model_id), attempt + 1, waited, None
+            return scorer(prompt, system_prompt, model_id, **(params or {})), attempt + 1, waited, None
         except ModelError as e:
             if e.code not in rules.RETRYABLE_ERRORS:
                 return None, attempt + 1, waited, e.code
@@ -131,119 +129,123 @@ def _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempt
     return None, max_attempts, waited, last_code
 
 
+def request_key(*parts) -> str:
+    """Idempotency key of a call: the same row gives the same key when its task is
+    run again, so a service that knows it can return its first reply."""
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+
+class _Pace:
+    """Spaces a task's calls so that all tasks together stay below a rate."""
+
+    def __init__(self, calls_per_second: float | None, tasks: int, sleep):
+        self.gap = tasks / calls_per_second if calls_per_second else 0.0
+        self.sleep, self.next = sleep, 0.0
+
+    def wait(self) -> None:
+        if self.gap:
+            now = time.monotonic()
+            if now < self.next:
+                self.sleep(self.next - now)
+            self.next = max(now, self.next) + self.gap
+
+
+_REPLY_NAMES = [x.split()[0] for x in SCORED_SCHEMA.split(", ")]
+
+
+def _reply(scorer, pace, prompt, system_prompt, model_id, sleep, max_attempts, base, params) -> tuple:
+    pace.wait()
+    out, attempts, waited, error = _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, base, params)
+    out = out or {}
+    counts = [int(out.get(k, 0) or 0) for k in ("tokens_in", "tokens_out", "latency_ms")]
+    return (out.get("text"), *counts, attempts, float(waited), error)
+
+
+def _ddl(fields) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SCORED_SCHEMA])
+
+
+def _call_params(temperature: float, max_tokens: int) -> dict:
+    return {"temperature": temperature, "max_tokens": max_tokens}
+
+
 def score(
     rows: DataFrame,
-    scorer_factory: Callable[[], Callable[[str, str, str], dict]],
+    scorer_factory: Callable[[], Callable[..., dict]],
     sleep: Callable[[float], None] = time.sleep,
     max_attempts: int = rules.MAX_MODEL_ATTEMPTS,
     backoff_base: float = rules.BACKOFF_BASE_SECONDS,
-    max_concurrency: int | None = None,
+    calls_per_second: float | None = None,
+    temperature: float = rules.MODEL_TEMPERATURE,
+    max_tokens: int = rules.MODEL_MAX_TOKENS,
 ) -> DataFrame:
-    """Score `rows` (needs prompt, system_prompt, model_id) and append the
-    scored columns of SCORED_SCHEMA.
-
-    `scorer_factory()` is called once per task (client reuse); the scorer
-    returns a dict with text / tokens_in / tokens_out / latency_ms and raises
-    `ModelError(code)` on failure. Temperature and token cap are the fixed
-    call parameters and are the scorer's concern.
+    """Score `rows` (needs prompt, system_prompt, model_id): their other columns
+    and the reply columns of SCORED_SCHEMA. Prompts do not come back.
+
+    `scorer_factory()` is called once per task (client reuse); the scorer is
+    called with (prompt, system prompt, model) and the keywords temperature,
+    max_tokens and request_key, returns a dict with text / tokens_in /
+    tokens_out / latency_ms and raises `ModelError(code)` on failure.
+    `calls_per_second` bounds the rate of all tasks together, whatever the
+    partitioning; calls of one task run one after another.
     """
-    if max_concurrency:
-        rows = rows.repartition(max_concurrency)
-    in_schema = rows.schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in in_schema.fields) + ", " + SCORED_SCHEMA
+    back = [f for f in rows.schema.fields if f.name not in ("prompt", "system_prompt")]
+    names, tasks = [f.name for f in back], _slots(rows.sparkSession)
+    params = _call_params(temperature, max_tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
+        scorer, pace = scorer_factory(), _Pace(calls_per_second, tasks, sleep)
         for pdf in batches:
-            texts, tin, tout, lat, attempts, waited, errors = [], [], [], [], [], [], []
-            for prompt, system_prompt, model_id in zip(pdf["prompt"], pdf["system_prompt"], pdf["model_id"]):
-                out, n, w, err = _call_with_retry(scorer, prompt, system_prompt, model_id, sleep, max_attempts, backoff_base)
-                out = out or {}
-                texts.append(out.get("text"))
-                tin.append(int(out.get("tokens_in", 0)) if out else 0)
-                tout.append(int(out.get("tokens_out", 0)) if out else 0)
-                lat.append(int(out.get("latency_ms", 0)) if out else 0)
-                attempts.append(n)
-                waited.append(float(w))
-                errors.append(err)
-            yield pdf.assign(
-                text=texts, tokens_in=tin, tokens_out=tout, latency_ms=lat,
-                attempts=attempts, waited_s=waited, error=errors,
-            )
-
-    return rows.mapInPandas(run, ddl)
-
-
-# ---------------------------------------------------------------------------
-# Deterministic offline scorer
-# ---------------------------------------------------------------------------
-_FILE_BLOCK = re.compile(r"### File: ([^\n]*) \(language: ([^)\n]*)\)\n```diff\n(.*?)\n```\n", re.S)
-_CHUNK_NO = re.compile(r"\(chunk (\d+)/(\d+)\)")
-_SYSTEM_TO_AGENT = {p: a for a, p in rules.REVIEWER_PROMPTS.items()}
-
-
-def offline_findings(agent: str, files: list[tuple[str, str, str]]) -> list[dict]:
-    """What the offline model reports for a chunk, by reviewer and file."""
-    out = []
-    for path, language, patch in files:
-        n_lines = len(patch.split("\n"))
-        if agent == "security" and patch != "":
-            out.append({"severity": "WARNING", "category": "hardcoded_secret", "file": path, "line": n_lines,
-                        "message": "Credential-like value on the last added line", "suggestion": "Load it at runtime"})
-        elif agent == "performance" and language in ("python", "go", "sql", "tsx"):
-            out.append({"severity": "info" if n_lines < 30 else "warning", "category": "algorithm", "file": path,
-                        "line": 1, "message": f"Review loop cost over {n_lines} lines", "suggestion": "Batch the work"})
-        elif agent == "style" and n_lines % 2 == 0:
-            out.append({"severity": "info", "category": "naming", "file": path, "line": 2,
-                        "message": "Inconsistent naming", "suggestion": "Follow the project convention"})
-        elif agent == "test" and language == "dockerfile":
-            out.append({"severity": "warning", "category": "missing_test", "file": path, "line": 0,
-                        "message": "Container build is untested", "suggestion": "Add a build check"})
-    return out
-
-
-class OfflineScorer:
-    """Deterministic scorer: parses the prompt like a model would read it.
-
-    Failure injection by chunk index (0-based): `% 11 == 10` a non-retryable
-    ValidationException; `% 13 == 12` throttled on every attempt; `% 5 == 3`
-    throttled on the first attempt only. Replies of the security reviewer for
-    `% 7 == 6` come fenced inside prose; performance replies for `% 9 == 8`
-    are not JSON.
-    """
+            replies = [
+                _reply(scorer, pace, p, s, m, sleep, max_attempts, backoff_base, {**params, "request_key": request_key(p, s, m)})
+                for p, s, m in zip(pdf["prompt"], pdf["system_prompt"], pdf["model_id"])
+            ]
+            yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(replies, columns=_REPLY_NAMES)], axis=1)
+
+    return rows.mapInPandas(run, _ddl(back))
+
+
+def score_chunks(
+    prompts: DataFrame,
+    scorer_factory: Callable[[], Callable[..., dict]],
+    reviewers: list[tuple] | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+    max_attempts: int = rules.MAX_MODEL_ATTEMPTS,
+    backoff_base: float = rules.BACKOFF_BASE_SECONDS,
+    calls_per_second: float | None = None,
+    temperature: float = rules.MODEL_TEMPERATURE,
+    max_tokens: int = rules.MODEL_MAX_TOKENS,
+) -> DataFrame:
+    """Every reviewer's reply to every chunk of `chunk_prompts`: keys, reviewer
+    columns and reply columns. A prompt crosses to Python once; the reviewers
+    take turns with it inside the task. `reviewers` are rows as of
+    `reviewer_rows()`, the configured four by default."""
+    rows = reviewer_rows() if reviewers is None else reviewers
+    back = [f for f in prompts.schema.fields if f.name != "prompt"]
+    names, tasks = [f.name for f in back], _slots(prompts.sparkSession)
+    params, at = _call_params(temperature, max_tokens), {k: i for i, k in enumerate(_REVIEWER_FIELDS)}
+    shown = [k for k in _REVIEWER_FIELDS if k != "system_prompt"]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in back), *(f"{k} string" for k in shown), SCORED_SCHEMA])
 
-    def __init__(self, inject_failures: bool = True):
-        self.inject = inject_failures
-        self.calls: dict[str, int] = {}
-
-    def __call__(self, prompt: str, system_prompt: str, model_id: str) -> dict:
-        m = _CHUNK_NO.search(prompt)
-        chunk_index = int(m.group(1)) - 1 if m else 0
-        agent = _SYSTEM_TO_AGENT.get(system_prompt, "security")
-        key = f"{agent}|{hashlib.sha1(prompt.encode('utf-8')).hexdigest()}"
-        attempt = self.calls.get(key, 0)
-        self.calls[key] = attempt + 1
-        if self.inject:
-            if chunk_index % 11 == 10:
-                raise ModelError("ValidationException", "input rejected")
-            if chunk_index % 13 == 12:
-                raise ModelError("ThrottlingException", "rate exceeded")
-            if chunk_index % 5 == 3 and attempt == 0:
-                raise ModelError("ThrottlingException", "rate exceeded")
-        files = _FILE_BLOCK.findall(prompt)
-        body = json.dumps({"findings": offline_findings(agent, files)})
-        if agent == "security" and chunk_index % 7 == 6:
-            text = "Findings below.\n```json\n" + body + "\n```\nEnd of review."
-        elif agent == "performance" and chunk_index % 9 == 8:
-            text = "No structured answer available."
-        else:
-            text = body
-        return {"text": text, "tokens_in": (len(prompt) + 3) // 4, "tokens_out": len(text) // 4, "latency_ms": 0}
-
-
-def offline_scorer_factory() -> Callable[[str, str, str], dict]:
-    return OfflineScorer()
-
-
-def no_sleep(_seconds: float) -> None:
-    """Injected sleep for tests and the offline scorer (waits are recorded)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, pace = scorer_factory(), _Pace(calls_per_second, tasks, sleep)
+        for pdf in batches:
+            out = []
+            for row, prompt in zip(pdf[names].itertuples(index=False, name=None), pdf["prompt"]):
+                keys = dict(zip(names, row))
+                for r in rows:
+                    key = request_key(keys["review_id"], keys["chunk_index"], r[at["agent"]])
+                    reply = _reply(scorer, pace, prompt, r[at["system_prompt"]], r[at["model_id"]], sleep, max_attempts,
+                                   backoff_base, {**params, "request_key": key})
+                    out.append((*row, *[r[at[k]] for k in shown], *reply))
+            yield pd.DataFrame(out, columns=[*names, *shown, *_REPLY_NAMES])
+
+    return prompts.mapInPandas(run, ddl)
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run side by side."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # Spark Connect has no driver-side context
+        return 1

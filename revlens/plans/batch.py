@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,37 +25,78 @@ from revlens.operators.chunk import assign_chunks
 from revlens.operators.parse import drop_generated, file_changes, pr_stats
 from revlens.operators.respond import decode_replies, reply_findings
 from revlens.operators.scan import secret_scan
-from revlens.operators.score import chunk_prompts, fan_out, reviewer_table, score
+from revlens.operators.score import chunk_prompts, score_chunks
 from revlens.session import materialise
 
-# Order of a regex finding among the security reviewer's findings: file
-# ordinal first, then line. Lines of one patch stay below this factor.
-_LINE_FACTOR = 1_000_000
+# Order of a reviewer's findings: a regex finding by its file's ordinal and its
+# line, a model finding by its chunk and its place in the reply.
+FINDING_ORDER = ["source_rank", "chunk_index", "ordinal", "line"]
 
 
-@dataclass
 class BatchReview:
-    changes: DataFrame
-    stats: DataFrame
-    assigned: DataFrame
-    prompts: DataFrame
-    scored: DataFrame
-    decoded: DataFrame
-    findings: DataFrame
-    ranked: DataFrame
-    verdicts: DataFrame
-    status: DataFrame
-    comments: DataFrame
-
-
-def scored_chunks(assigned: DataFrame, scorer_factory, sleep, max_concurrency=None) -> tuple[DataFrame, DataFrame]:
-    spark = assigned.sparkSession
-    prompts = chunk_prompts(assigned)
-    rows = fan_out(prompts, reviewer_table(spark))  # each reviewer calls its configured model
-    # Model calls happen exactly once: the replies are materialised before any
-    # downstream stage (or a range-partition sampling job) could re-run them.
-    scored = score(rows, scorer_factory, sleep=sleep, max_concurrency=max_concurrency)
-    return prompts, materialise(scored.drop("prompt", "system_prompt"))
+    """The stages of a review. Each is built when it is asked for, from the stages
+    it needs: prompts never call the model, replies never scan for secrets."""
+
+    def __init__(self, pr_files: DataFrame, scorer_factory: Callable, sleep, calls_per_second, brand):
+        self._files, self._scorer_factory, self._sleep = pr_files, scorer_factory, sleep
+        self._calls_per_second, self._brand = calls_per_second, brand
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return file_changes(self._files)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return pr_stats(self.changes)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return drop_generated(self.changes)
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return assign_chunks(self.kept)
+
+    @cached_property
+    def prompts(self) -> DataFrame:
+        return chunk_prompts(self.assigned)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Replies of every reviewer to every chunk, stored before any later stage
+        (or the sampling job of a range shuffle) could call the model again. A
+        task that is run anew repeats its calls, with the same request keys."""
+        return materialise(
+            score_chunks(self.prompts, self._scorer_factory, sleep=self._sleep, calls_per_second=self._calls_per_second)
+        )
+
+    @cached_property
+    def decoded(self) -> DataFrame:
+        return decode_replies(self.scored)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return reviewer_findings(self.kept, self.decoded)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return merge.rank_findings(merge.cross_reviewer_dedupe(self.findings))
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return merge.verdicts(self.stats.select("review_id"), self.ranked)
+
+    @cached_property
+    def status(self) -> DataFrame:
+        return merge.commit_status(self.verdicts)
+
+    @cached_property
+    def rendered(self) -> DataFrame:
+        return merge.rendered_findings(self.ranked)
+
+    @cached_property
+    def comments(self) -> DataFrame:
+        return merge.review_comments(self.verdicts, self.rendered, **({} if self._brand is None else {"brand": self._brand}))
 
 
 def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
@@ -65,7 +106,7 @@ def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
         "review_id",
         "agent",
         F.lit(-1).cast("bigint").alias("chunk_index"),
-        (F.col("ordinal") * _LINE_FACTOR + F.col("line")).alias("ordinal"),
+        "ordinal",
         "severity", "category", "file", "line", "message", "suggestion",
         F.lit(0).alias("source_rank"),
     )
@@ -78,30 +119,15 @@ def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
     # sampler, the position join and every later stage read them instead of
     # re-running that work.
     every = materialise(security.unionByName(others))
-    return merge.assign_finding_keys(every, ["source_rank", "chunk_index", "ordinal"])
+    return merge.assign_finding_keys(every, FINDING_ORDER)
 
 
 def review_batch(
     pr_files: DataFrame,
     scorer_factory: Callable,
     sleep: Callable[[float], None] = time.sleep,
-    max_concurrency: int | None = None,
+    calls_per_second: float | None = None,
     brand: str | None = None,
 ) -> BatchReview:
-    changes = file_changes(pr_files)
-    stats = pr_stats(changes)
-    kept = drop_generated(changes)
-    assigned = assign_chunks(kept)
-    prompts, scored = scored_chunks(assigned, scorer_factory, sleep, max_concurrency)
-    decoded = decode_replies(scored)
-    findings = reviewer_findings(kept, decoded)
-    ranked = merge.rank_findings(merge.cross_reviewer_dedupe(findings))
-    reviews = stats.select("review_id")
-    verdicts = merge.verdicts(reviews, ranked)
-    rendered = merge.rendered_findings(ranked)
-    kwargs = {} if brand is None else {"brand": brand}
-    comments = merge.review_comments(verdicts, rendered, **kwargs)
-    return BatchReview(
-        changes, stats, assigned, prompts, scored, decoded, findings, ranked, verdicts,
-        merge.commit_status(verdicts), comments,
-    )
+    """The stages of reviewing `pr_files`, see `BatchReview`."""
+    return BatchReview(pr_files, scorer_factory, sleep, calls_per_second, brand)

@@ -94,7 +94,7 @@ _ROUTES_BODY = (
          arg_min(receive_seq, received_at) FILTER (WHERE succeeded) AS ok_seq
   FROM receives GROUP BY message_id),
 routes AS (
-  SELECT message_id, any_value(queue) AS queue, min(received_at) AS first_received_at,
+  SELECT message_id, arg_min(queue, (received_at, receive_seq)) AS queue, min(received_at) AS first_received_at,
          max(received_at) AS last_received_at, count(*) AS receives,
          count(*) FILTER (WHERE NOT succeeded AND (ok_at IS NULL OR received_at < ok_at
                           OR (received_at = ok_at AND receive_seq < ok_seq))) AS failures,

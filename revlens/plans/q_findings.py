@@ -291,7 +291,7 @@ shaped AS (
   FROM typed),
 elems AS (
   SELECT review_id, agent, chunk_index, i AS pos, json_extract(js, '$.findings[' || i || ']') AS e
-  FROM shaped, range(0, 100000) r(i) WHERE i < n_el AND NOT bad_json),
+  FROM (SELECT *, unnest(range(CAST(n_el AS BIGINT))) AS i FROM shaped WHERE NOT bad_json)),
 checked AS (
   SELECT *, {ok} AS ok FROM elems),
 first_bad AS (

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from revlens import rules
 from revlens.operators import dashboard as dash
-from revlens.operators.score import no_sleep, offline_scorer_factory, reviewer_table, route_models, route_table
+from revlens.operators.score import route_models, route_table
 from revlens.plans import oracle as o
 from revlens.plans.batch import review_batch
+from revlens.plans.offline import no_sleep, offline_scorer_factory
 from revlens.plans.q_findings import comment_tail_sql
 from revlens.plans.q_parse import _CHUNK_SQL
 from revlens.plans.registry import register
@@ -82,7 +83,7 @@ model_pos AS (
   SELECT *, row_number() OVER (PARTITION BY review_id, chunk_index, agent ORDER BY file_ordinal) - 1 AS pos FROM model),
 secrets AS ({o.secret_findings_sql()}),
 sec_all AS (
-  SELECT review_id, 'security' AS agent, cast(-1 AS BIGINT) AS chunk_index, ordinal * 1000000 + line AS ordinal,
+  SELECT review_id, 'security' AS agent, cast(-1 AS BIGINT) AS chunk_index, ordinal,
          severity, category, file, line, message, suggestion, 0 AS source_rank FROM secrets
   UNION ALL
   SELECT review_id, agent, chunk_index, pos, severity, category, file, line, message, suggestion, 1
@@ -98,7 +99,7 @@ every AS (
   FROM model_pos WHERE agent <> 'security'),
 keyed AS (
   SELECT *, 'FINDING#' || agent || '#' || cast(row_number() OVER (PARTITION BY review_id, agent
-         ORDER BY source_rank, chunk_index, ordinal) - 1 AS varchar) AS sk FROM every),
+         ORDER BY source_rank, chunk_index, ordinal, line) - 1 AS varchar) AS sk FROM every),
 winners AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY review_id, file, line
@@ -145,7 +146,7 @@ def q_fan_out(spark, sf_dir):
     from revlens.operators.score import fan_out
 
     p = batch(spark, sf_dir).prompts
-    return fan_out(p, reviewer_table(spark)).select("review_id", "chunk_index", "agent", "event_type")
+    return fan_out(p).select("review_id", "chunk_index", "agent", "event_type")
 
 
 @register(
@@ -157,7 +158,7 @@ def q_reviewer_config(spark, sf_dir):
 
     p = batch(spark, sf_dir).prompts
     return (
-        fan_out(p, reviewer_table(spark))
+        fan_out(p)
         .groupBy("agent", "default_category", "event_type", "on_invalid")
         .agg(F.count(F.lit(1)).alias("n_chunks"))
     )
@@ -217,7 +218,7 @@ def q_review_event_assemble(spark, sf_dir):
     from revlens.operators.review_events import assemble_review_events
 
     b = batch(spark, sf_dir)
-    return assemble_review_events(b.stats, b.assigned, b.findings, reviewer_table(spark))
+    return assemble_review_events(b.stats, b.assigned, b.findings)
 
 
 @register(

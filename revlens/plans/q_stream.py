@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.operators import dashboard as dash
-from revlens.operators.score import no_sleep, offline_scorer_factory
 from revlens.plans import oracle as o
 from revlens.plans.batch import review_batch
+from revlens.plans.offline import no_sleep, offline_scorer_factory
 from revlens.plans.q_dashboard import _FUNCS_BODY, _ROUTES_BODY, _sev_kpi_sql
 from revlens.plans.q_findings import comment_tail_sql
 from revlens.plans.q_ingest import _COMPLETE

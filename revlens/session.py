@@ -107,18 +107,3 @@ def materialise(df):
     cached.unpersist()
     return out
 
-
-def spread(df):
-    """Round-robin `df` over the cluster's cores when it arrives in fewer
-    partitions than that (e.g. one small file): a cheap shuffle of a small
-    input that lets CPU-heavy row work use every core. Inputs with at least
-    as many splits as cores (every large table) are returned unchanged."""
-    spark = df.sparkSession
-    try:
-        target = spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (Spark Connect): leave the input as it is
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df

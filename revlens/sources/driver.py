@@ -316,15 +316,21 @@ def _review_clock_sql(dialect: str) -> str:
     """Finding events on a per-review clock: review u opens at 60*u seconds
     after 2024-01-01 and its events arrive within 30 s (event_id % 30). Every
     events row is kept; rows that are not findings carry no reviewer (NULL
-    agent) and only move event time forward."""
+    agent) and only move event time forward, as does a tick a minute after each
+    event."""
     secs = "1704067200 + user_id * 60 + event_id % 30"
-    ts = f"timestamp_seconds({secs})" if dialect == "spark" else f"make_timestamp(({secs}) * 1000000)"
+    def at(secs: str) -> str:
+        return f"timestamp_seconds({secs})" if dialect == "spark" else f"make_timestamp(({secs}) * 1000000)"
+
     is_finding = f"(event_type <> 'error' AND user_id % 10 <> 9 AND NOT ({_AGENT_BY_TYPE} = 'test' AND user_id % 4 = 3))"
     return f"""
 SELECT 'rev-' || {_s('user_id')} AS review_id,
   CASE WHEN {is_finding} THEN {_AGENT_BY_TYPE} END AS agent,
   event_id,
-  {ts} AS ts
+  {at(secs)} AS ts
+FROM events
+UNION ALL
+SELECT 'rev-' || {_s('user_id')}, NULL, event_id, {at(secs + ' + 60')}
 FROM events
 """
 
@@ -353,14 +359,9 @@ def derived_sql(name: str, dialect: str = "spark") -> str:
 
 
 def register_base(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None = None) -> None:
-    """Register the benchmark tables of `sf_dir` as temp views. Each table is a
-    single file; a small one is spread over the cores (`session.spread`, a
-    no-op for inputs with many splits). Column pruning and filters still reach
-    the scan through the round-robin repartition."""
-    from revlens.session import spread
-
+    """Register the benchmark tables of `sf_dir` as temp views."""
     for name in tables or BASE_TABLES:
-        spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")).createOrReplaceTempView(name)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 _SOURCE_TABLE = {

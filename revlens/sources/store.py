@@ -88,10 +88,10 @@ def skip_missing_review_id(events: DataFrame, name: str = "missing_review_id"):
     return observed.filter(~missing), obs
 
 
-def learning_items(complete: DataFrame) -> DataFrame:
+def learning_items(complete: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """`TEAM#global` / `LEARNING#<id>` placeholder learning records from
-    review.complete rows (review_id, verdict); rows without review_id are
-    skipped, not failed."""
+    review.complete rows (review_id, verdict) with the columns `keep`; rows
+    without review_id are skipped, not failed."""
     return complete.filter(F.col("review_id").isNotNull() & (F.col("review_id") != "")).select(
         F.lit("TEAM#global").alias("pk"),
         F.concat(F.lit("LEARNING#"), F.col("review_id")).alias("sk"),
@@ -100,6 +100,7 @@ def learning_items(complete: DataFrame) -> DataFrame:
             ("verdict", F.coalesce(F.col("verdict"), F.lit(""))),
             ("patterns_extracted", F.lit("false")),
         ).alias("attrs"),
+        *keep,
     )
 
 
@@ -160,7 +161,8 @@ def ttl_expire(items: DataFrame, now_epoch_s: int) -> DataFrame:
 
 
 def upsert_latest(writes: DataFrame, keys: list[str] = ["pk", "sk"], order: list[str] = ["write_ts", "write_seq"]) -> DataFrame:  # noqa: B006
-    """Last write wins per key: one `max(struct(order..., payload))` aggregate."""
+    """Last write wins per key: one `max_by` aggregate. `order` must differ between
+    writes of a key."""
     return first_by_order(writes, keys, order, descending=True)
 
 

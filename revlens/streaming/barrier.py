@@ -1,21 +1,24 @@
 """Completion barrier: one summary trigger per review, when all reviewers have
 reported or when the review's time budget runs out.
 
-Event-time semantics: a review opens at its first finding event `t0`; the
-barrier fires at the event that completes the set of `expected` distinct
-reviewers within [t0, t0 + timeout], or at t0 + timeout with whatever
-reviewers arrived. It fires once per review; events after that are late.
+Event-time semantics: a review opens at its first finding event `t0`. The
+distinct reviewers first seen within [t0, t0 + timeout] count: with `expected` of
+them the barrier is complete and fires at the last one's first event, else it
+fires at t0 + timeout with those that arrived. It fires once per review; events
+that arrive after it fired are late.
 
 Two forms with the same result:
 * `barrier_batch` - two partial aggregations (first event per reviewer, then
   per review); skew-safe.
-* `barrier_stream` - `applyInPandasWithState` with an event-time timeout; the
-  state per review is (t0, reviewer set, fired, late count) - a few bytes,
-  whatever the review's size - and each Arrow chunk of a micro-batch is
-  reduced to first arrivals per reviewer before it touches the state.
-  Events that arrive in a later micro-batch for a review that already fired
-  are emitted as `kind = 'late'` rows (the late-findings output); the
-  summary triggers are the `kind = 'fired'` rows.
+* `barrier_stream` - `applyInPandasWithState` with event-time timeouts. An
+  earlier event may still arrive until the watermark passes, and moves t0 back;
+  so the review is decided when the watermark passes t0 + timeout, whatever the
+  micro-batches were. The state (first event per reviewer, fired, late count)
+  is a few bytes whatever the review's size, and each Arrow chunk is reduced to
+  first arrivals before it touches the state. After firing the state stays for
+  `late_horizon`: findings that arrive in that time come out as `kind = 'late'`
+  rows, and never open the review again; the summary triggers are the
+  `kind = 'fired'` rows. Findings later than the horizon count as a new review.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from revlens import rules
 
 BARRIER_SCHEMA = "review_id string, kind string, seen_agents int, complete boolean, fired_at timestamp, late_events long"
-_STATE_SCHEMA = "t0_us long, agents array<string>, fired boolean, late long"
+_STATE_SCHEMA = "agents array<string>, firsts array<long>, fired boolean, late long"
 
 
 def barrier_batch(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
@@ -57,27 +60,33 @@ def barrier_batch(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECO
     )
 
 
-def _barrier_fn(timeout_s: int, expected: int):
-    timeout_us = timeout_s * 1_000_000
+def _fired(review_id: str, firsts: dict[str, int], timeout_us: int, expected: int) -> pd.DataFrame:
+    t0 = min(firsts.values())
+    in_time = [t for t in firsts.values() if t <= t0 + timeout_us]
+    complete = len(in_time) >= expected
+    return pd.DataFrame({
+        "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(in_time)], "complete": [complete],
+        "fired_at": [pd.Timestamp(max(in_time) if complete else t0 + timeout_us, unit="us")], "late_events": [0],
+    })
+
+
+def _barrier_fn(timeout_s: int, expected: int, late_horizon_s: int):
+    timeout_us, horizon_ms = timeout_s * 1_000_000, late_horizon_s * 1000
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         review_id = key[0]
+        agents, times, fired, late = state.get if state.exists else ([], [], False, 0)
+        firsts = dict(zip(agents, times))
         if state.hasTimedOut:
-            t0_us, agents, fired, late = state.get
-            if not fired:
-                yield pd.DataFrame({
-                    "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(agents)], "complete": [False],
-                    "fired_at": [pd.Timestamp(t0_us + timeout_us, unit="us")], "late_events": [late],
-                })
-            state.remove()
+            if fired:  # the horizon has passed
+                state.remove()
+                return
+            yield _fired(review_id, firsts, timeout_us, expected)
+            state.update((list(agents), list(times), True, int(late)))
+            state.setTimeoutTimestamp(int(state.getCurrentWatermarkMs()) + max(1, horizon_ms))
             return
-        if state.exists:
-            t0_us, agents, fired, late = state.get
-        else:
-            t0_us, agents, fired, late = None, [], False, 0
-        # Reduce each Arrow chunk to the first arrival per reviewer (<= 4 rows):
+        # Reduce each Arrow chunk to the first arrival per reviewer:
         # memory stays constant however many events a hot review has.
-        first: dict[str, int] = {}
         n_events = 0
         for pdf in batches:
             pdf = pdf[pdf["agent"].notna()]  # rows without a reviewer only move event time
@@ -86,46 +95,29 @@ def _barrier_fn(timeout_s: int, expected: int):
             n_events += len(pdf)
             us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
             mins = pd.Series(us.to_numpy()).groupby(pdf["agent"].to_numpy()).min()
-            for agent, t in mins.items():
-                first[agent] = min(int(t), first.get(agent, int(t)))
-        if not first:
+            if not fired:
+                for agent, t in mins.items():
+                    firsts[agent] = min(int(t), firsts.get(agent, int(t)))
+        if not n_events:
             return
-        if t0_us is None:
-            t0_us = min(first.values())
-        deadline = t0_us + timeout_us
-        fired_row = None
-        late_now = 0
+        now_ms = int(state.getCurrentWatermarkMs())
+        state.update((list(firsts), [int(t) for t in firsts.values()], bool(fired), int(late) + (n_events if fired else 0)))
         if fired:
-            late_now = n_events  # the summary for this review was already triggered
-            late += n_events
-        else:
-            for agent, t in sorted(first.items(), key=lambda kv: kv[1]):
-                if t > deadline or agent in agents:
-                    continue
-                agents = [*agents, agent]
-                if len(agents) >= expected:
-                    fired, fired_row = True, t
-                    break
-        state.update((int(t0_us), list(agents), bool(fired), int(late)))
-        deadline_ms = int(deadline // 1000) + 1
-        state.setTimeoutTimestamp(max(deadline_ms, int(state.getCurrentWatermarkMs()) + 1))
-        if fired_row is not None:
+            state.setTimeoutTimestamp(now_ms + max(1, horizon_ms))
             yield pd.DataFrame({
-                "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(agents)], "complete": [True],
-                "fired_at": [pd.Timestamp(fired_row, unit="us")], "late_events": [0],
-            })
-        if late_now:
-            # events for a review whose summary already fired: the late-findings output
-            yield pd.DataFrame({
-                "review_id": [review_id], "kind": ["late"], "seen_agents": [len(agents)], "complete": [True],
-                "fired_at": [pd.NaT], "late_events": [late_now],
+                "review_id": [review_id], "kind": ["late"], "seen_agents": [len(firsts)], "complete": [len(firsts) >= expected],
+                "fired_at": [pd.NaT], "late_events": [n_events],
             })
+            return
+        deadline_ms = (min(firsts.values()) + timeout_us) // 1000 + 1
+        state.setTimeoutTimestamp(max(deadline_ms, now_ms + 1))
 
     return fn
 
 
 def barrier_stream(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
-                   expected: int = rules.EXPECTED_REVIEWERS, watermark: str = "1 minute") -> DataFrame:
+                   expected: int = rules.EXPECTED_REVIEWERS, watermark: str = "1 minute",
+                   late_horizon_s: int = 3600) -> DataFrame:
     """Streaming form over a finding-event stream (review_id, agent, ts).
 
     Rows with a NULL agent (other events on the same stream) are not counted
@@ -133,7 +125,7 @@ def barrier_stream(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SEC
     stateful step, because a filter would be pushed below the watermark."""
     slim = events.select("review_id", "agent", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     return slim.groupBy("review_id").applyInPandasWithState(
-        _barrier_fn(timeout_s, expected),
+        _barrier_fn(timeout_s, expected, late_horizon_s),
         outputStructType=BARRIER_SCHEMA,
         stateStructType=_STATE_SCHEMA,
         outputMode="append",

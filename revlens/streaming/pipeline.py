@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from revlens import rules
 from revlens.operators import admission as adm
+from revlens.operators.review_events import assemble_review_events
 from revlens.operators.dashboard import message_routes
 from revlens.plans.batch import review_batch
 from revlens.sources import landed, store
@@ -66,11 +67,12 @@ def review_micro_batches(
         # findings: fed to `barrier_stream` they give the completion-event rule
         # (every reviewer that finished counts), the findings-only rule of the
         # original being the other option.
-        from revlens.operators.review_events import assemble_review_events
-        from revlens.operators.score import reviewer_table
-
-        events = assemble_review_events(b.stats, b.assigned, b.findings, reviewer_table(files.sparkSession))
-        sinks.write_batch(events.withColumn("ts", F.current_timestamp()), f"{out_dir}/review_events", batch_id)
+        # Their time is the landing time of the review's files (`landed_at`), so a
+        # replayed batch gives the same events.
+        landed_at = F.max("landed_at") if "landed_at" in files.columns else F.max(F.lit(None).cast("timestamp"))
+        when = files.groupBy("review_id").agg(landed_at.alias("ts"))
+        events = assemble_review_events(b.stats, b.assigned, b.findings).join(when, "review_id")
+        sinks.write_batch(events, f"{out_dir}/review_events", batch_id)
         complete = b.verdicts.select(
             "review_id",
             F.to_json(F.struct("review_id", "verdict", "total_findings", "latency_ms")).alias("value"),
@@ -93,20 +95,25 @@ def learning_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
             F.variant_get(payload, "$.verdict", "string").alias("verdict"),
             F.col("ts").alias("write_ts"),
         )
-        items = store.learning_items(parsed).withColumn("write_ts", F.current_timestamp())
-        sinks.write_batch(items, f"{out_dir}/learnings", batch_id)
+        # the message's own time: a replay, or a later run, orders writes alike
+        sinks.write_batch(store.learning_items(parsed, keep=("write_ts",)), f"{out_dir}/learnings", batch_id)
 
     return run
 
 
 def dead_letter_micro_batches(out_dir: str, max_receives: int = rules.MAX_RECEIVES) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function over a receive log: route each message of the
-    micro-batch to the main table (acked / retry) or the dead-letter table."""
+    """foreachBatch function over a receive log. The log is stored, and the messages
+    of the micro-batch are routed again over all their receives so far: failures add
+    up across micro-batches. Readers take the latest row per message of `routes`
+    (`sinks.read_latest`, order `as_of`); `route` is acked, retry or dead."""
 
     def run(receives: DataFrame, batch_id: int) -> None:
-        routes = message_routes(receives, max_receives)
-        sinks.write_batch(routes.filter(F.col("route") != "dead"), f"{out_dir}/main", batch_id)
-        sinks.write_batch(routes.filter(F.col("route") == "dead"), f"{out_dir}/dead_letter", batch_id)
+        spark = receives.sparkSession
+        sinks.write_batch(receives, f"{out_dir}/receives", batch_id)
+        log = spark.read.parquet(f"{out_dir}/receives").where(F.col("batch_id") <= int(batch_id)).drop("batch_id")
+        now = spark.read.parquet(f"{out_dir}/receives/batch_id={int(batch_id)}").select("message_id").distinct()
+        routes = message_routes(log.join(now, "message_id", "left_semi"), max_receives)
+        sinks.write_batch(routes.withColumn("as_of", F.lit(int(batch_id))), f"{out_dir}/routes", batch_id)
 
     return run
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from revlens.session import scratch_path
 
@@ -18,12 +18,14 @@ def run(
     sink: Callable[[DataFrame, int], None] | None = None,
     output_mode: str = "append",
     trigger: dict | None = None,
-    timeout_s: int = 900,
+    timeout_s: float | None = None,
     resume: bool = False,
 ) -> str:
     """Start `stream` with its checkpoint under spark.checkpoint.dir and wait
-    for it. `trigger` defaults to availableNow (drain and stop); pass
-    {"processingTime": "30 seconds"} for a long-running refresh.
+    for its end. `trigger` defaults to availableNow (drain and stop); pass
+    {"processingTime": "30 seconds"} for a long-running refresh, which ends
+    when it is stopped from outside. A stream that outlasts a caller's own
+    `timeout_s` is stopped and raises: partial output is never returned.
 
     `resume=True` uses the stable folder `stream-<name>`, so a restarted driver
     continues from the last committed batch (exactly-once with the idempotent
@@ -43,19 +45,11 @@ def run(
     writer = writer.foreachBatch(lambda df, batch_id: sink(df, batch_id))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     query = writer.start()
-    query.awaitTermination(timeout_s)
-    if query.isActive:
+    ended = query.awaitTermination() if timeout_s is None else query.awaitTermination(timeout_s)
+    if ended is False:
         query.stop()
+        raise TimeoutError(f"stream {name} did not end within {timeout_s} s; its output is not complete")
     if query.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {query.exception()}")
     return folder
 
-
-def table_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, max_files: int = 1) -> DataFrame:
-    """A benchmark table replayed as a file stream (the file landing zone)."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(sf_dir)
-    )

@@ -1,9 +1,9 @@
 """Sinks: idempotent micro-batch writes and merge-on-read tables.
 
-A table is a directory of Parquet files partitioned by `batch_id`. Each
-micro-batch overwrites only its own partition, so a replayed batch (after a
-failure) rewrites the same files instead of duplicating them: exactly-once
-with the streaming checkpoint. Readers take the latest write per key
+A table is a directory with a folder `batch_id=<n>` per micro-batch. A batch
+replaces its own folder whole, so a replayed batch (after a failure) leaves what
+it writes now and nothing else, also where it has fewer rows or none:
+exactly-once with the streaming checkpoint. Readers take the latest write per key
 (`read_latest`), which is how `put_item` last-write-wins is expressed without
 an in-place update. All paths live under the shared folder the cluster names
 in `spark.checkpoint.dir`.
@@ -12,25 +12,19 @@ in `spark.checkpoint.dir`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from revlens.operators.ordering import first_by_order
 from revlens.session import scratch_path
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
-    """Write one micro-batch into its own `batch_id` partition (idempotent).
+    """Write one micro-batch into its own `batch_id` folder (idempotent).
 
     A failed write raises and fails the batch, so the stream retries it: no
     write is silently dropped.
     """
-    out = df.withColumn("batch_id", F.lit(int(batch_id)))
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *(partition_by or []))
-        .parquet(path)
-    )
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/batch_id={int(batch_id)}")
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -21,7 +21,6 @@ def q(spark):
 
 
 def test_secret_scan_is_row_local(q):
-    # the only exchange is the round-robin spread of the single-file input
     p = plan(q("secret_scan"))
     assert "hashpartitioning" not in p and "rangepartitioning" not in p
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
@@ -48,10 +47,12 @@ def test_topk_is_take_ordered(q):
     assert "TakeOrderedAndProject" in plan(q("recent_reviews_topk"))
 
 
-def test_only_fixed_tables_broadcast(q):
-    # the 14-row queue table is the broadcast side; the data side is not hinted
-    p = plan(q("queue_depth_left_join"))
-    assert "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p
+def test_fixed_tables_are_stacked_not_joined(q):
+    """An outer join can only build its null-supplying side, so the fixed names are
+    stacked under the aggregates instead: no outer join, and nothing to broadcast."""
+    for key in ("queue_depth_left_join", "function_metrics_left_join"):
+        p = plan(q(key))
+        assert "RightOuter" not in p and "LeftOuter" not in p and "FullOuter" not in p, key
 
 
 def test_store_lookups_prune_and_push_down(q):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators.score import ModelError, OfflineScorer, _call_with_retry, chunk_prompts, score
+from revlens.operators.score import ModelError, _call_with_retry, chunk_prompts, score, score_chunks
+from revlens.plans.offline import OfflineScorer
 
 
 def flaky(fail_codes):
@@ -52,7 +53,8 @@ def test_score_captures_errors_per_row(spark):
     df = spark.createDataFrame(rows, "id long, prompt string, system_prompt string, model_id string")
 
     def factory():
-        def scorer(prompt, system, model):
+        def scorer(prompt, system, model, temperature, max_tokens, request_key):
+            assert (temperature, max_tokens, len(request_key)) == (0.1, 2048, 64)
             if prompt in ("p2", "p4"):
                 raise ModelError("ValidationException")
             return {"text": prompt.upper(), "tokens_in": 3, "tokens_out": 2}
@@ -61,12 +63,48 @@ def test_score_captures_errors_per_row(spark):
 
     got = {r.id: (r.text, r.error, r.attempts) for r in score(df, factory, sleep=lambda s: None).collect()}
     assert got[0] == ("P0", None, 1) and got[2] == (None, "ValidationException", 1) and got[4][1] == "ValidationException"
-    assert score(df, factory, sleep=lambda s: None, max_concurrency=3).filter(F.col("error").isNull()).count() == 4
+    scored = score(df, factory, sleep=lambda s: None)
+    assert scored.filter(F.col("error").isNull()).count() == 4
+    assert "prompt" not in scored.columns and "system_prompt" not in scored.columns
+
+
+def test_reviewers_share_a_prompt_row(spark):
+    df = spark.createDataFrame([("r", 0, 1, 1, "p")], "review_id string, chunk_index long, total_chunks long, n_files long, prompt string")
+    own = [("mine", "other", "review.mine", "be kind", "keep_prefix", "m-1"), ("yours", "other", "review.yours", "be strict", "keep_prefix", "m-2")]
+
+    def factory():
+        return lambda prompt, system, model, temperature, max_tokens, request_key: {"text": f"{system}|{model}|{temperature}|{request_key[:0]}"}
+
+    got = {r.agent: r.text for r in score_chunks(df, factory, reviewers=own, temperature=0.7).collect()}
+    assert got == {"mine": "be kind|m-1|0.7|", "yours": "be strict|m-2|0.7|"}
+
+
+def test_rate_limit_is_shared_by_the_tasks():
+    from revlens.operators.score import _Pace
+
+    waits = []
+    pace = _Pace(10.0, 5, waits.append)
+    for _ in range(3):
+        pace.wait()
+    assert len(waits) == 2 and waits[0] <= 0.5 < waits[1]
+
+
+def test_prompts_do_not_call_the_model(spark):
+    from revlens.plans.batch import review_batch
+
+    schema = ("review_id string, ordinal long, filename string, status string, additions long, deletions long, "
+              "patch string, previous_filename string")
+    files = spark.createDataFrame([("r", 1, "a.py", "modified", 5, 5, "+x", None)], schema)
+
+    def factory():
+        raise AssertionError("the model was called")
+
+    assert review_batch(files, factory).prompts.count() == 1
 
 
 def test_pipeline_on_empty_and_all_generated_input(spark):
-    from revlens.operators.score import no_sleep, offline_scorer_factory
     from revlens.plans.batch import review_batch
+    from revlens.plans.offline import no_sleep, offline_scorer_factory
 
     schema = ("review_id string, ordinal long, filename string, status string, additions long, deletions long, "
               "patch string, previous_filename string")

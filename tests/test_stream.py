@@ -6,7 +6,7 @@ import datetime as dt
 import os
 import tempfile
 
-from revlens.streaming import runner
+from revlens.streaming import runner, sinks
 from revlens.streaming.barrier import barrier_batch, barrier_stream
 
 
@@ -18,8 +18,8 @@ def test_barrier_complete_and_timeout(spark):
         ("full", "security", t), ("full", "style", t + 3 * s), ("full", "performance", t + 5 * s), ("full", "test", t + 9 * s),
         # incomplete: 3 reviewers in time, the 4th too late -> fires at t+15 with 3
         ("slow", "security", t), ("slow", "style", t + 2 * s), ("slow", "test", t + 4 * s), ("slow", "performance", t + 40 * s),
-        # far later event keeps the watermark moving
-        ("other", "security", t + 3600 * s),
+        # a far later event moves the watermark past all deadlines
+        ("other", None, t + 3600 * s),
     ]
     df = spark.createDataFrame(rows, "review_id string, agent string, ts timestamp")
     batch = {r.review_id: (r.seen_agents, r.complete, r.fired_at) for r in barrier_batch(df).collect()}
@@ -72,9 +72,48 @@ def test_dead_letter_routing_stream(spark):
     stream = spark.readStream.schema(schema).parquet(os.path.join(land, "in"))
     out = tempfile.mkdtemp(prefix="revlens-dlq-")
     runner.run(stream, "dlq-test", sink=dead_letter_micro_batches(out))
-    main = {r.message_id: r.route for r in spark.read.parquet(f"{out}/main").collect()}
-    dead = {r.message_id: r.route for r in spark.read.parquet(f"{out}/dead_letter").collect()}
-    assert main == {"a": "acked", "c": "retry"} and dead == {"b": "dead"}
+    got = {r.message_id: r.route for r in sinks.read_latest(spark, f"{out}/routes", ["message_id"], ["as_of"]).collect()}
+    assert got == {"a": "acked", "c": "retry", "b": "dead"}
+
+    # the same receives in as many micro-batches as rows, out of order
+    land = tempfile.mkdtemp(prefix="revlens-rcv-")
+    for i, row in enumerate([rows[j] for j in (1, 4, 3, 0, 2)]):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(os.path.join(land, f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(land, "in/*"))
+    out = tempfile.mkdtemp(prefix="revlens-dlq-")
+    runner.run(stream, "dlq-many-test", sink=dead_letter_micro_batches(out))
+    got = {r.message_id: r.route for r in sinks.read_latest(spark, f"{out}/routes", ["message_id"], ["as_of"]).collect()}
+    assert got == {"a": "acked", "c": "retry", "b": "dead"}
+
+
+def test_timeout_raises_instead_of_partial_output(spark):
+    import time
+
+    import pytest
+
+    land = tempfile.mkdtemp(prefix="revlens-slow-")
+    for i in range(4):
+        spark.range(i, i + 1).coalesce(1).write.parquet(os.path.join(land, f"in/{i}"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(os.path.join(land, "in/*"))
+    with pytest.raises(TimeoutError):
+        runner.run(stream, "slow-test", sink=lambda df, batch_id: time.sleep(3), timeout_s=2)
+
+
+def test_replay_that_shrinks_leaves_nothing(spark):
+    out = tempfile.mkdtemp(prefix="revlens-shrink-")
+    sinks.write_batch(spark.range(5), f"{out}/t", 3)
+    sinks.write_batch(spark.range(0).where("false"), f"{out}/t", 3)
+    sinks.write_batch(spark.range(2), f"{out}/t", 4)
+    assert spark.read.parquet(f"{out}/t").count() == 2
+
+
+def test_latest_of_items_with_maps(spark):
+    from revlens.sources.store import learning_items, upsert_latest
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r1", "comment", t, 1), ("r1", "approve", t + dt.timedelta(hours=1), 2)]
+    items = learning_items(spark.createDataFrame(rows, "review_id string, verdict string, write_ts timestamp, write_seq long"), keep=("write_ts", "write_seq"))
+    assert [r.attrs["verdict"] for r in upsert_latest(items).collect()] == ["approve"]
 
 
 def test_resumed_stream_does_not_duplicate(spark):
@@ -153,23 +192,34 @@ def test_completion_event_rule(spark):
     assert (got.seen_agents, got.complete) == (4, True)
 
 
+def replay(spark, name, land, batches, schema, **kw):
+    """Each batch lands as one file and is one micro-batch of a resumed stream."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+        folder = runner.run(barrier_stream(stream, **kw), name, resume=True)
+    return spark.read.parquet(f"{folder}/out")
 
-def test_barrier_late_findings(spark):
-    """A finding arriving in a later micro-batch for a review that already
-    fired comes out as a 'late' row."""
-    t = dt.datetime(2024, 1, 1)
-    s = dt.timedelta(seconds=1)
-    land = tempfile.mkdtemp(prefix="revlens-late-")
-    schema = "review_id string, agent string, ts timestamp"
-    first = [("r", a, t + i * s) for i, a in enumerate(["security", "style", "performance", "test"])]
-    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(land)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+
+def test_barrier_over_many_micro_batches(spark):
+    """Out of order, in many micro-batches, with late findings: one `fired` row per
+    review, equal to the batch form, and late rows that open nothing."""
     import uuid
 
-    name = f"late-{uuid.uuid4().hex[:8]}"
-    folder = runner.run(barrier_stream(stream, watermark="1 hour"), name, resume=True)
-    spark.createDataFrame([("r", "style", t + 20 * s), ("r", "test", t + 21 * s)], schema).coalesce(1).write.mode("append").parquet(land)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
-    runner.run(barrier_stream(stream, watermark="1 hour"), name, resume=True)
-    rows = {(r.kind, r.late_events) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert rows == {("fired", 0), ("late", 2)}
+    t, s = dt.datetime(2024, 1, 1), dt.timedelta(seconds=1)
+    schema = "review_id string, agent string, ts timestamp"
+    batches = [
+        [("r", "style", t + 9 * s), ("q", "test", t + 3 * s)],
+        [("r", "security", t), ("q", "style", t + 1 * s)],  # earlier: moves t0 back
+        [("r", "test", t + 20 * s), ("q", "security", t + 2 * s), ("q", "performance", t + 9 * s)],  # r: past its time
+        [("x", None, t + 50 * s)],  # the watermark passes t + 40 s
+        [("r", "performance", t + 45 * s), ("q", "test", t + 46 * s)],  # late: both have fired
+        [("x", None, t + 300 * s)],
+    ]
+    out = replay(spark, f"many-{uuid.uuid4().hex[:8]}", tempfile.mkdtemp(prefix="revlens-many-"), batches, schema, watermark="10 seconds")
+    rows = out.collect()
+    fired = sorted((r.review_id, r.seen_agents, r.complete, r.fired_at) for r in rows if r.kind == "fired")
+    events = spark.createDataFrame([x for b in batches for x in b if x[1]], schema)
+    want = sorted((r.review_id, r.seen_agents, r.complete, r.fired_at) for r in barrier_batch(events).collect())
+    assert fired == want == [("q", 4, True, t + 9 * s), ("r", 2, False, t + 15 * s)]
+    assert sorted((r.review_id, r.late_events) for r in rows if r.kind == "late") == [("q", 1), ("r", 1)]

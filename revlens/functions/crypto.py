@@ -42,7 +42,7 @@ def signature_matches(secret: str, body: Column, header: Column, mode: str = "st
     """
     expected = F.concat(F.lit(rules.SIGNATURE_PREFIX), hmac_sha256_hex(secret, body))
     present = header.isNotNull() & (header != "")
-    ok = present & (F.coalesce(header, F.lit("")) == expected)
+    ok = present & F.coalesce(header == expected, F.lit(False))  # a body that cannot be read matches nothing
     if mode == "strict":
         return ok
     if mode == "skip_if_missing":

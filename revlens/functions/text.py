@@ -55,3 +55,36 @@ def category_label(category: Column) -> Column:
 def finding_location(file: Column, line: Column) -> Column:
     """`file:line`, or just `file` when line <= 0 (or missing)."""
     return F.when(line > 0, F.concat(file, F.lit(":"), line.cast("string"))).otherwise(file)
+
+
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else NULL.
+
+    The JSON reader stops after the first value. Inside an array and as a member of
+    an object, text after the value makes the whole malformed (what could continue
+    one of them breaks the other).
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(member.isNotNull() & one, F.variant_get(listed, "$[0]", "variant"))
+
+
+def json_type(v: Column, path: str = "$") -> Column:
+    """Type name at `path` ('STRING', 'BIGINT', 'VOID' for JSON null, 'OBJECT<...>',
+    ...), NULL where there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def json_int(v: Column, path: str) -> Column:
+    """Integer at `path`: an integer, a number without a fraction, a string of digits
+    or a boolean, within 64 bits; else NULL."""
+    t = json_type(v, path)
+    num = F.try_variant_get(v, path, "double")
+    s = F.try_variant_get(v, path, "string")
+    return (
+        F.when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, path, "bigint"))
+        .when((t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")) & (num == F.floor(num)), num.try_cast("bigint"))
+        .when((t == "STRING") & s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(s).try_cast("bigint"))
+        .when(t == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("bigint"))
+    )

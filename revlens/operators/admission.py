@@ -11,43 +11,76 @@ from pyspark.sql import functions as F
 
 from revlens import rules
 from revlens.functions.crypto import signature_matches
+from revlens.functions.text import json_int, json_type, strict_json
 from revlens.sources.landed import header
 
 # (outcome, status code) in precedence order.
 OUTCOMES = [
+    ("bad_body", 500),
     ("bad_signature", 401),
     ("invalid_json", 400),
     ("ignored_event", 200),
     ("ignored_action", 200),
     ("not_an_object", 500),
+    ("invalid_event", 500),
     ("topic_not_configured", 500),
     ("accepted", 200),
 ]
 
 
+# The flat event's fields by their place in the payload.
+STRING_FIELDS = [
+    ("action", "$.action"), ("repo_full_name", "$.repository.full_name"), ("repo_clone_url", "$.repository.clone_url"),
+    ("pr_title", "$.pull_request.title"), ("pr_url", "$.pull_request.html_url"), ("pr_diff_url", "$.pull_request.diff_url"),
+    ("head_sha", "$.pull_request.head.sha"), ("base_ref", "$.pull_request.base.ref"), ("head_ref", "$.pull_request.head.ref"),
+    ("sender", "$.sender.login"),
+]
+INT_FIELDS = [("pr_number", "$.pull_request.number"), ("installation_id", "$.installation.id")]
+_PARENTS = ["$.pull_request", "$.pull_request.head", "$.pull_request.base", "$.repository", "$.sender", "$.installation"]
+
+
 def _vs(v: Column, path: str) -> Column:
-    return F.variant_get(v, path, "string")
+    return F.try_variant_get(v, path, "string")
+
+
+def _event_ok(v: Column) -> Column:
+    """Can the flat event be built: every field is absent or of its type, and every
+    object on the way to one is absent or an object."""
+    def absent_or(path: str, test) -> Column:
+        t = json_type(v, path)
+        return t.isNull() | test(t)
+
+    checks = [absent_or(p, lambda t: t.startswith("OBJECT")) for p in _PARENTS]
+    checks += [absent_or(p, lambda t: t == "STRING") for _, p in STRING_FIELDS]
+    checks += [json_type(v, p).isNull() | json_int(v, p).isNotNull() for _, p in INT_FIELDS]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out & c
+    return F.coalesce(out, F.lit(False))
 
 
 def admit(envelopes: DataFrame, secret: str, topic_configured: bool = True, mode: str = "skip_if_missing") -> DataFrame:
-    """One outcome per request, in precedence order: bad signature (checked
-    on the raw bytes before any parsing) -> invalid JSON -> other event ->
-    irrelevant action -> payload not an object -> no topic -> accepted.
+    """One outcome per request, in precedence order: body that cannot be decoded
+    -> bad signature (checked on the raw bytes before any parsing) -> invalid JSON
+    (text after the JSON included) -> other event -> payload not an object ->
+    irrelevant action -> field of the wrong type -> no topic -> accepted.
 
     `envelopes` comes from `webhook_envelopes`. Adds `payload` (VARIANT),
     `outcome`, `status_code`.
     """
     sig_ok = signature_matches(secret, F.col("body_bytes"), header(rules.SIGNATURE_HEADER), mode=mode)
-    payload = F.try_parse_json(F.col("body_text"))
+    payload = strict_json(F.col("body_text"))
     event = F.coalesce(header(rules.EVENT_HEADER), F.lit(""))
     action = F.coalesce(_vs(F.col("payload"), "$.action"), F.lit(""))
     is_obj = F.coalesce(F.schema_of_variant(F.col("payload")).startswith("OBJECT"), F.lit(False))
     outcome = (
-        F.when(~sig_ok, F.lit("bad_signature"))
+        F.when(F.col("body_text").isNull(), F.lit("bad_body"))
+        .when(~F.coalesce(sig_ok, F.lit(False)), F.lit("bad_signature"))
         .when(F.col("payload").isNull(), F.lit("invalid_json"))
         .when(event != rules.REVIEWED_EVENT, F.lit("ignored_event"))
         .when(~is_obj, F.lit("not_an_object"))
         .when(~action.isin(*rules.REVIEWED_ACTIONS), F.lit("ignored_action"))
+        .when(~_event_ok(F.col("payload")), F.lit("invalid_event"))
         .when(F.lit(not topic_configured), F.lit("topic_not_configured"))
         .otherwise(F.lit("accepted"))
     )
@@ -70,27 +103,9 @@ def project_webhook_event(admitted: DataFrame) -> DataFrame:
     defaults to '' (strings) or 0 (numbers)."""
     v = F.col("payload")
 
-    def s(path: str) -> Column:
-        return F.coalesce(_vs(v, path), F.lit(""))
-
-    def n(path: str) -> Column:
-        return F.coalesce(F.variant_get(v, path, "bigint"), F.lit(0).cast("bigint"))
-
-    return admitted.select(
-        "*",
-        s("$.action").alias("action"),
-        s("$.repository.full_name").alias("repo_full_name"),
-        s("$.repository.clone_url").alias("repo_clone_url"),
-        n("$.pull_request.number").alias("pr_number"),
-        s("$.pull_request.title").alias("pr_title"),
-        s("$.pull_request.html_url").alias("pr_url"),
-        s("$.pull_request.diff_url").alias("pr_diff_url"),
-        s("$.pull_request.head.sha").alias("head_sha"),
-        s("$.pull_request.base.ref").alias("base_ref"),
-        s("$.pull_request.head.ref").alias("head_ref"),
-        s("$.sender.login").alias("sender"),
-        n("$.installation.id").alias("installation_id"),
-    )
+    cols = {name: F.coalesce(_vs(v, path), F.lit("")) for name, path in STRING_FIELDS}
+    cols |= {name: F.coalesce(json_int(v, path), F.lit(0).cast("bigint")) for name, path in INT_FIELDS}
+    return admitted.select("*", *[cols[name].alias(name) for name in EVENT_COLUMNS])
 
 
 def accepted_only(projected: DataFrame, keep: list[str]) -> DataFrame:

@@ -14,10 +14,8 @@ Outcomes per reply (chunk):
                  first bad element and count tokens.
 * `ok`
 
-Leniency note: the JSON reader ignores text after a complete top-level value;
-a reply whose stripped text does not end with the closing bracket of its top
-level value is treated as `bad_json`, which covers prose after the JSON. Two
-JSON values back to back would still be accepted.
+Text after the JSON value, be it prose or a second value, makes a reply
+`bad_json` (`text.strict_json`).
 """
 
 from __future__ import annotations
@@ -26,49 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens import rules
-from revlens.functions.text import code_fence_extract, severity_normalise
+from revlens.functions.text import code_fence_extract, json_int, json_type, severity_normalise, strict_json
 
-_INT_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 _FINDINGS_TYPE = (
     "array<struct<pos:int,severity:string,category:string,file:string,line:bigint,message:string,suggestion:string>>"
 )
 
 
-def _vtype(v: Column, path: str) -> Column:
-    """Type name of the value at `path` ('STRING', 'BIGINT', 'VOID' for JSON
-    null, 'OBJECT<...>', ...) or NULL when the key is absent."""
-    return F.schema_of_variant(F.variant_get(v, path, "variant"))
-
-
 def _str_ok(e: Column, name: str) -> Column:
-    t = _vtype(e, f"$.{name}")
+    t = json_type(e, f"$.{name}")
     return t.isNull() | (t == "STRING")
 
 
 def _line_value(e: Column) -> Column:
     """Line as an integer, NULL when it cannot be one (missing -> 0)."""
-    t = _vtype(e, "$.line")
-    num = F.variant_get(e, "$.line", "double")
-    s = F.variant_get(e, "$.line", "string")
-    return (
-        F.when(t.isNull(), F.lit(0).cast("bigint"))
-        .when(t.isin(*_INT_TYPES), F.variant_get(e, "$.line", "bigint"))
-        .when((t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")) & (num == F.floor(num)), num.cast("bigint"))
-        .when((t == "STRING") & s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(s).cast("bigint"))
-        .when(t == "BOOLEAN", F.variant_get(e, "$.line", "boolean").cast("bigint"))
-    )
-
-
-def _element_ok(e: Column) -> Column:
-    return (
-        F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
-        & _str_ok(e, "severity")
-        & _str_ok(e, "category")
-        & _str_ok(e, "file")
-        & _str_ok(e, "message")
-        & _str_ok(e, "suggestion")
-        & _line_value(e).isNotNull()
-    )
+    return F.when(json_type(e, "$.line").isNull(), F.lit(0).cast("bigint")).otherwise(json_int(e, "$.line"))
 
 
 def _finding(e: Column, line: Column, default_category: Column, pos: Column) -> Column:
@@ -103,16 +73,11 @@ def decode_replies(replies: DataFrame) -> DataFrame:
     has_error = F.col("error").isNotNull() if "error" in replies.columns else F.lit(False)
 
     staged = replies.withColumn("__js", code_fence_extract(F.col("text")))
-    staged = staged.withColumn("__v", F.try_parse_json("__js"))
-    v, js = F.col("__v"), F.col("__js")
-    staged = staged.withColumn("__top", F.schema_of_variant(v)).withColumn("__ftype", _vtype(v, "$.findings"))
+    staged = staged.withColumn("__v", strict_json(F.col("__js")))
+    v = F.col("__v")
+    staged = staged.withColumn("__top", F.schema_of_variant(v)).withColumn("__ftype", json_type(v, "$.findings"))
     top, ftype = F.col("__top"), F.col("__ftype")
-    ends_ok = (
-        F.when(top.startswith("OBJECT"), js.endswith("}"))
-        .when(top.startswith("ARRAY"), js.endswith("]"))
-        .otherwise(F.lit(True))
-    )
-    bad_json = v.isNull() | ~ends_ok
+    bad_json = v.isNull()
     empty_iterable = (ftype == "OBJECT<>") | ((ftype == "STRING") & (F.variant_get(v, "$.findings", "string") == ""))
     shape_ok = top.startswith("OBJECT") & (ftype.isNull() | ftype.startswith("ARRAY") | empty_iterable)
     elem_list = F.when(ftype.startswith("ARRAY"), F.try_variant_get(v, "$.findings", "array<variant>")).otherwise(

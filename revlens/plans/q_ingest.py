@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from revlens import rules
 from revlens.functions.crypto import padded_keys, signature_matches
+from revlens.functions.text import strict_json
 from revlens.operators import admission as adm
 from revlens.operators import dashboard as dash
 from revlens.operators.ordering import first_by_order
@@ -56,20 +57,23 @@ _REQ = (
     o.with_views("requests")
     + f""", env AS (
   SELECT request_id, received_at, header_event, header_signature,
-         CASE WHEN is_base64 THEN from_base64(body) ELSE encode(body) END AS body_bytes
+         CASE WHEN is_base64 THEN TRY(from_base64(body)) ELSE encode(body) END AS body_bytes, body
   FROM requests),
 env2 AS (
-  SELECT *, decode(body_bytes) AS body_text, {_hmac_sql('body_bytes')} AS expected FROM env),
+  SELECT *, TRY(decode(body_bytes)) AS body_text, coalesce(TRY(decode(body_bytes)), body) AS queue_text,
+         {_hmac_sql('body_bytes')} AS expected FROM env),
 checked AS (
   SELECT *, coalesce(header_signature = expected, false) AS strict_ok,
-         header_signature IS NULL OR header_signature = '' OR header_signature = expected AS lenient_ok,
-         json_valid(body_text) AS is_json
+         header_signature IS NULL OR header_signature = '' OR coalesce(header_signature = expected, false) AS lenient_ok,
+         coalesce(json_valid(body_text), false) AS is_json
   FROM env2),
 admitted AS (
-  SELECT *, CASE WHEN NOT lenient_ok THEN 'bad_signature' WHEN NOT is_json THEN 'invalid_json'
+  SELECT *, CASE WHEN body_text IS NULL THEN 'bad_body' WHEN NOT lenient_ok THEN 'bad_signature' WHEN NOT is_json THEN 'invalid_json'
                  WHEN coalesce(header_event, '') <> 'pull_request' THEN 'ignored_event'
                  WHEN json_type(body_text) <> 'OBJECT' THEN 'not_an_object'
                  WHEN coalesce(json_extract_string(body_text, '$.action'), '') NOT IN ('opened', 'synchronize', 'reopened') THEN 'ignored_action'
+                 WHEN json_type(body_text, '$.pull_request.number') IS NOT NULL
+                      AND try_cast(json_extract_string(body_text, '$.pull_request.number') AS BIGINT) IS NULL THEN 'invalid_event'
                  ELSE 'accepted' END AS outcome
   FROM checked),
 projected AS (
@@ -93,13 +97,14 @@ projected AS (
 
 @register(
     "webhook_envelope_scan",
-    _REQ + "SELECT request_id, header_event AS event, octet_length(body_bytes) AS body_bytes, md5(body_text) AS body_md5 FROM env2",
+    _REQ + "SELECT request_id, header_event AS event, octet_length(body_bytes) AS body_bytes, md5(body_bytes) AS body_md5, body_text IS NULL AS unreadable FROM env2",
 )
 def q_webhook_envelope_scan(spark, sf_dir):
     e = envelopes(spark, sf_dir)
     return e.select(
         "request_id", landed.header(rules.EVENT_HEADER).alias("event"),
         F.octet_length("body_bytes").cast("bigint").alias("body_bytes"), F.md5("body_bytes").alias("body_md5"),
+        F.col("body_text").isNull().alias("unreadable"),
     )
 
 
@@ -126,7 +131,7 @@ def q_event_type_filter(spark, sf_dir):
     "AND json_extract_string(body_text, '$.action') IN ('opened', 'synchronize', 'reopened')",
 )
 def q_action_filter(spark, sf_dir):
-    e = envelopes(spark, sf_dir).withColumn("payload", F.try_parse_json("body_text"))
+    e = envelopes(spark, sf_dir).withColumn("payload", strict_json(F.col("body_text")))
     action = F.variant_get("payload", "$.action", "string")
     return e.filter(action.isin(*rules.REVIEWED_ACTIONS)).select("request_id", action.alias("action"))
 
@@ -135,7 +140,7 @@ def q_action_filter(spark, sf_dir):
     "admission_route",
     _REQ
     + """SELECT request_id, outcome, CASE outcome WHEN 'bad_signature' THEN 401 WHEN 'invalid_json' THEN 400
-  WHEN 'not_an_object' THEN 500 WHEN 'topic_not_configured' THEN 500 ELSE 200 END AS status_code FROM admitted""",
+  WHEN 'bad_body' THEN 500 WHEN 'invalid_event' THEN 500 WHEN 'not_an_object' THEN 500 WHEN 'topic_not_configured' THEN 500 ELSE 200 END AS status_code FROM admitted""",
 )
 def q_admission_route(spark, sf_dir):
     return admitted(spark, sf_dir).select("request_id", "outcome", F.col("status_code").cast("int"))
@@ -180,29 +185,34 @@ def q_message_dedupe(spark, sf_dir):
 # --- queue messages ---------------------------------------------------------------
 _WRAP = (
     "CASE WHEN request_id % 2 = 0 THEN '{\"Type\": \"Notification\", \"Message\": ' || "
-    "chr(34) || replace(replace(body_text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34) || '}' "
-    "ELSE body_text END"
+    "chr(34) || replace(replace(queue_text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || chr(34) || '}' "
+    "ELSE queue_text END"
 )
 
 
+def queue_texts(spark, sf_dir) -> DataFrame:
+    """Queue bodies: the requests' texts; of a body that cannot be decoded, as landed."""
+    return envelopes(spark, sf_dir).withColumn("queue_text", F.coalesce("body_text", "body"))
+
+
 def _wrapped(spark, sf_dir) -> DataFrame:
-    e = envelopes(spark, sf_dir)
-    esc = F.regexp_replace(F.regexp_replace("body_text", r"\\", r"\\\\"), '"', '\\\\"')
+    e = queue_texts(spark, sf_dir)
+    esc = F.regexp_replace(F.regexp_replace("queue_text", r"\\", r"\\\\"), '"', '\\\\"')
     body = F.when(
         F.col("request_id") % 2 == 0, F.concat(F.lit('{"Type": "Notification", "Message": "'), esc, F.lit('"}'))
-    ).otherwise(F.col("body_text"))
-    return e.select("request_id", "body_text", body.alias("queue_body"), (F.col("request_id") % 2 == 0).alias("enveloped"))
+    ).otherwise(F.col("queue_text"))
+    return e.select("request_id", "queue_text", body.alias("queue_body"), (F.col("request_id") % 2 == 0).alias("enveloped"))
 
 
 @register(
     "queue_scan",
     _REQ
-    + """SELECT request_id, NOT json_valid(body_text) AS is_raw,
-  CASE WHEN json_valid(body_text) THEN json_extract_string(body_text, '$.action') ELSE json_extract_string(to_json({'raw': body_text}), '$.raw') END AS first_field
+    + """SELECT request_id, NOT json_valid(queue_text) AS is_raw,
+  CASE WHEN json_valid(queue_text) THEN json_extract_string(queue_text, '$.action') ELSE json_extract_string(to_json({'raw': queue_text}), '$.raw') END AS first_field
 FROM env2""",
 )
 def q_queue_scan(spark, sf_dir):
-    m = landed.queue_messages(envelopes(spark, sf_dir), body="body_text")
+    m = landed.queue_messages(queue_texts(spark, sf_dir), body="queue_text")
     first = F.when(F.col("is_raw"), F.variant_get("payload", "$.raw", "string")).otherwise(
         F.variant_get("payload", "$.action", "string")
     )

@@ -184,14 +184,16 @@ WHERE role = 'assistant'
 
 # Webhook requests, one per order; two consecutive orders are two deliveries
 # for the same pull request (pr_no = o_orderkey / 2). Event header, action,
-# signature state, base64 flag and malformed bodies cycle with different moduli.
+# signature state, base64 flag, malformed bodies, numbers that are none, text after
+# the JSON, bad base64 and bytes that are not UTF-8 cycle with different moduli.
 _ACTIONS = ["opened", "synchronize", "reopened", "closed", "labeled"]
 _BODY = (
     f"CASE WHEN o_orderkey % 11 = 10 THEN '{{' || {_Q} || 'action' || {_Q} || ': ' || {_Q} || 'opened' || {_Q} || ', '"
     f" ELSE '{{' || {_Q} || 'action' || {_Q} || ': ' || {_Q} || "
     f"CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {chr(39)}{a}{chr(39)}' for i, a in enumerate(_ACTIONS))} END || {_Q}"
     f" || ', ' || {_Q} || 'number' || {_Q} || ': ' || {_s('pr_no')}"
-    f" || ', ' || {_Q} || 'pull_request' || {_Q} || ': {{' || {_Q} || 'number' || {_Q} || ': ' || {_s('pr_no')}"
+    f" || ', ' || {_Q} || 'pull_request' || {_Q} || ': {{' || {_Q} || 'number' || {_Q} || ': ' || "
+    f"CASE WHEN o_orderkey % 19 = 18 THEN {_Q} || 'abc' || {_Q} ELSE {_s('pr_no')} END"
     f" || ', ' || {_Q} || 'title' || {_Q} || ': ' || {_Q} || 'Order ' || o_orderpriority || {_Q}"
     f" || ', ' || {_Q} || 'html_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('pr_no')} || {_Q}"
     f" || ', ' || {_Q} || 'diff_url' || {_Q} || ': ' || {_Q} || 'https://example.com/pull/' || {_s('pr_no')} || '.diff' || {_Q}"
@@ -214,16 +216,17 @@ def _utf8(expr: str, dialect: str) -> str:
     return f"encode({expr}, 'UTF-8')" if dialect == "spark" else f"encode({expr})"
 
 
-def _b64(expr: str, dialect: str) -> str:
+def _b64(data: str, dialect: str) -> str:
     # Spark's base64 wraps lines at 76 characters (MIME); request bodies are one line.
     if dialect == "spark":
-        return f"replace(base64({_utf8(expr, dialect)}), chr(13) || chr(10), '')"
-    return f"base64({_utf8(expr, dialect)})"
+        return f"replace(base64({data}), chr(13) || chr(10), '')"
+    return f"base64({data})"
 
 
 def _requests_sql(dialect: str) -> str:
     ipad, opad = padded_keys(WEBHOOK_SECRET)
     inner = _sha256(f"unhex('{ipad.hex()}') || {_utf8('body_raw', dialect)}", dialect)
+    raw = _utf8("body_raw", dialect)
     good = "'sha256=' || " + _sha256(f"unhex('{opad.hex()}') || unhex({inner})", dialect)
     return f"""
 SELECT
@@ -232,9 +235,13 @@ SELECT
   CASE request_id % 4 WHEN 1 THEN 'sha256=' || md5(body_raw) || md5(body_raw)
                       WHEN 2 THEN NULL ELSE {good} END AS header_signature,
   request_id % 3 = 2 AS is_base64,
-  CASE WHEN request_id % 3 = 2 THEN {_b64('body_raw', dialect)} ELSE body_raw END AS body,
+  CASE WHEN request_id % 3 <> 2 THEN body_raw
+       WHEN request_id % 29 = 28 THEN {_b64(raw, dialect)} || '*'
+       WHEN request_id % 31 = 30 THEN {_b64("unhex('FFFE') || " + raw, dialect)}
+       ELSE {_b64(raw, dialect)} END AS body,
   o_orderdate AS received_at
-FROM (SELECT o_orderkey AS request_id, o_orderdate, {_BODY} AS body_raw
+FROM (SELECT o_orderkey AS request_id, o_orderdate,
+        ({_BODY}) || CASE WHEN o_orderkey % 23 = 22 THEN ' xyz' ELSE '' END AS body_raw
       FROM (SELECT *, cast(floor(o_orderkey / 2) AS bigint) AS pr_no FROM orders) o) r
 """
 

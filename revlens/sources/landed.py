@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.functions.text import json_int, json_type, strict_json
+
 ENVELOPE_SCHEMA = T.StructType(
     [
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
@@ -89,14 +91,16 @@ def webhook_envelopes(envelopes: DataFrame) -> DataFrame:
     """Header names lower-cased; body decoded from base64 when flagged.
 
     Adds `hdrs` (lower-cased map), `body_text` and `body_bytes` (the raw
-    bytes the signature is computed over).
+    bytes the signature is computed over). A body that is flagged as base64 and
+    is not gives NULL bytes, bytes that are not UTF-8 a NULL text: admission
+    answers these (`bad_body`), other rows are not touched by them.
     """
     hdrs = F.transform_keys(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
     b64 = F.coalesce(F.col("isBase64Encoded"), F.lit(False))
     body = F.coalesce(F.col("body"), F.lit(""))
-    raw = F.when(b64, F.unbase64(body)).otherwise(F.encode(body, "UTF-8"))
+    raw = F.when(b64, F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(body, "UTF-8"))
     return envelopes.withColumn("hdrs", hdrs).withColumn("body_bytes", raw).withColumn(
-        "body_text", F.decode(F.col("body_bytes"), "UTF-8")
+        "body_text", F.try_validate_utf8(F.col("body_bytes").cast("string"))
     )
 
 
@@ -107,7 +111,7 @@ def header(name: str) -> Column:
 def queue_messages(messages: DataFrame, body: str = "body") -> DataFrame:
     """Parse message bodies; a malformed body is kept as {"raw": body}, not
     dropped. Adds `payload` (VARIANT) and `is_raw`."""
-    parsed = F.try_parse_json(F.col(body))
+    parsed = strict_json(F.col(body))
     raw = F.parse_json(F.to_json(F.struct(F.col(body).alias("raw"))))
     return messages.withColumn("is_raw", parsed.isNull()).withColumn("payload", F.coalesce(parsed, raw))
 
@@ -161,14 +165,9 @@ def pr_metadata(meta_json: DataFrame) -> DataFrame:
 
 def _typed(v: Column, name: str, typ: str) -> tuple[Column, Column]:
     """(value, ok) of field `name` of VARIANT `v` for a declared type."""
-    t = F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant"))
     if typ == "string":
-        return F.variant_get(v, f"$.{name}", "string"), F.coalesce(t == "STRING", F.lit(False))
-    s = F.variant_get(v, f"$.{name}", "string")
-    value = (
-        F.when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.variant_get(v, f"$.{name}", "bigint"))
-        .when((t == "STRING") & s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(s).cast("bigint"))
-    )
+        return F.try_variant_get(v, f"$.{name}", "string"), F.coalesce(json_type(v, f"$.{name}") == "STRING", F.lit(False))
+    value = json_int(v, f"$.{name}")
     return value, value.isNotNull()
 
 
@@ -179,7 +178,7 @@ def typed_events(raw: DataFrame, text: str = "text", fields=WEBHOOK_EVENT_FIELDS
     mistyped required fields). Invalid rows belong in a quarantine table:
     `raw.filter(~valid)`; nothing is silently dropped.
     """
-    v = F.try_parse_json(F.col(text))
+    v = strict_json(F.col(text))
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     out = raw.withColumn("__v", v)
     problems = []

@@ -159,3 +159,49 @@ def test_kafka_messages_shape(spark):
     got = landed.kafka_messages(spark.createDataFrame(rows, schema)).orderBy("message_id").collect()
     assert [(r.message_id, r.body, r.attributes) for r in got] == [
         ("pr-parsed-0-1", "{}", {}), ("pr-parsed-3-17", '{"a": 1}', {"event_type": "pr.parsed"})]
+
+
+def test_no_poison_rows(spark):
+    """Bodies that cannot be decoded, parsed or typed end in an outcome, each its own."""
+    import base64
+    import json
+
+    from revlens.operators import admission as adm
+    from revlens.sources import landed
+
+    good = {"action": "opened", "pull_request": {"number": 7, "head": {"sha": "s"}}, "repository": {"full_name": "o/r"}}
+    text = json.dumps(good)
+    bodies = {
+        "good": (text, False), "base64": (base64.b64encode(text.encode()).decode(), True),
+        "bad base64": ("%%%", True), "bad utf8": (base64.b64encode(b"\xff\xfe" + text.encode()).decode(), True),
+        "prose after": (text + " xyz", False), "two values": (text + text, False), "two closed": (text + "],[" + text, False),
+        "number abc": (json.dumps({**good, "pull_request": {"number": "abc"}}), False),
+        "number object": (json.dumps({**good, "pull_request": {"number": {"a": 1}}}), False),
+        "number huge": (json.dumps({**good, "pull_request": {"number": 10**30}}), False),
+        "number digits": (json.dumps({**good, "pull_request": {"number": " 12 "}}), False),
+        "pr null": (json.dumps({**good, "pull_request": None}), False), "title list": (json.dumps({**good, "pull_request": {"title": [1]}}), False),
+        "ignored abc": (json.dumps({"action": "closed", "pull_request": {"number": "abc"}}), False),
+    }
+    rows = [(k, {"X-GitHub-Event": "pull_request"}, b, f) for k, (b, f) in bodies.items()]
+    env = landed.webhook_envelopes(spark.createDataFrame(rows, "name string, headers map<string,string>, body string, isBase64Encoded boolean"))
+    out = adm.project_webhook_event(adm.admit(env, ""))
+    got = {r["name"]: (r.outcome, r.status_code, r.pr_number) for r in out.collect()}
+    assert got["good"] == got["base64"] == ("accepted", 200, 7)
+    assert got["number digits"] == ("accepted", 200, 12)
+    assert {got[k][:2] for k in ("bad base64", "bad utf8")} == {("bad_body", 500)}
+    assert {got[k][:2] for k in ("prose after", "two values", "two closed")} == {("invalid_json", 400)}
+    bad = ("number abc", "number object", "number huge", "pr null", "title list")
+    assert {got[k][:2] for k in bad} == {("invalid_event", 500)}
+    assert got["ignored abc"][0] == "ignored_action"
+    m = landed.queue_messages(spark.createDataFrame([('{"a": 1} xyz',), ('{"a": 1}',)], "body string")).collect()
+    assert [r.is_raw for r in m] == [True, False]
+
+
+def test_line_out_of_range(spark):
+    from revlens.operators.respond import decode_replies
+
+    text = '{"findings": [{"line": 3}, {"line": "99999999999999999999999"}, {"line": 1e40}]}'
+    df = spark.createDataFrame([("style", text, 1, 1), ("style", text + " {}", 1, 1)], "agent string, text string, tokens_in int, tokens_out int")
+    got = decode_replies(df).collect()
+    assert got[0].outcome == "invalid" and [f.line for f in got[0].findings] == [3]
+    assert got[1].outcome == "bad_json"

@@ -266,8 +266,16 @@ def q_recent_reviews_topk(spark, sf_dir):
     _REVIEWS + "SELECT r.review_id, k.sk, k.severity FROM reviews r LEFT JOIN keyed k USING (review_id)",
 )
 def q_review_findings_join(spark, sf_dir):
+    # inner plus anti join: a hot review's findings are then on a side that Spark may
+    # split (the null-supplying side of an outer join is not)
     f = keyed_findings(spark, sf_dir).select("review_id", "sk", "severity")
-    return reviews(spark, sf_dir).select("review_id").join(f, "review_id", "left")
+    r = reviews(spark, sf_dir).select("review_id")
+    clean = r.join(reviews_with_findings(spark, sf_dir), "review_id", "left_anti")
+    return r.join(f, "review_id").unionByName(clean, allowMissingColumns=True)
+
+
+def reviews_with_findings(spark, sf_dir):
+    return derived(spark, sf_dir, "findings_in").select("review_id").distinct()
 
 
 @register(
@@ -275,8 +283,8 @@ def q_review_findings_join(spark, sf_dir):
     _REVIEWS + "SELECT review_id, repo FROM reviews r WHERE NOT EXISTS (SELECT 1 FROM findings_in f WHERE f.review_id = r.review_id)",
 )
 def q_clean_reviews_anti_join(spark, sf_dir):
-    f = derived(spark, sf_dir, "findings_in").select("review_id")
-    return reviews(spark, sf_dir).select("review_id", "repo").join(f, "review_id", "left_anti")
+    found = reviews_with_findings(spark, sf_dir)
+    return reviews(spark, sf_dir).select("review_id", "repo").join(found, "review_id", "left_anti")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions.paths import map_file_status
 from revlens.operators.chunk import assign_chunks, chunk_table
 from revlens.operators.parse import drop_generated, file_changes, pr_stats
 from revlens.operators.scan import patch_lines, secret_scan
@@ -36,8 +37,9 @@ def q_detect_language(spark, sf_dir):
     "SELECT c.review_id, c.ordinal, p.status AS raw_status, c.status FROM changes c JOIN pr_files p USING (review_id, ordinal)",
 )
 def q_map_file_status(spark, sf_dir):
-    raw = derived(spark, sf_dir, "pr_files").select("review_id", "ordinal", F.col("status").alias("raw_status"))
-    return changes(spark, sf_dir).select("review_id", "ordinal", "status").join(raw, ["review_id", "ordinal"])
+    configure(spark)
+    raw = derived(spark, sf_dir, "pr_files")
+    return raw.select("review_id", "ordinal", F.col("status").alias("raw_status"), map_file_status(F.col("status")).alias("status"))
 
 
 @register(

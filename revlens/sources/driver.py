@@ -53,21 +53,26 @@ _PLANTED = [
     f"'total = compute(' || {_s('doc_id')} || ')'",
 ]
 
+# A patch: every line of the text as an added line, a planted line, and removed lines.
+_N_LINES = f"(length(text) - length(replace(text, {_NL}, '')) + 2)"
 _PATCH = (
-    f"'@@ -1,' || {_s('doc_id % 120')} || ' +1,' || {_s('n_chars % 400')} || ' @@' || {_NL}"
+    f"'@@ -1,' || {_s('doc_id % 120 + 1')} || ' +1,' || {_s(_N_LINES)} || ' @@' || {_NL}"
     f" || '+' || replace(text, {_NL}, {_NL} || '+')"
     f" || {_NL} || '-old_password = ' || {_Q} || 'was-' || {_s('doc_id')} || '-secret' || {_Q}"
+    f" || repeat({_NL} || '-old line', cast(doc_id % 120 as int))"
     f" || {_NL} || '+' || CASE doc_id % 10 "
     + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PLANTED[:-1]))
     + f" ELSE {_PLANTED[-1]} END"
 )
 
-# One changed file per document. review_id = the document's source, so a
-# review grows with the table (a hot review at scale, by design).
+# One changed file per document, with as many additions and deletions as its patch has,
+# and for each 23rd document a further file without a patch (a picture). A review holds
+# the files of one source and 4,000 consecutive documents: 200 and a few pictures.
+_REVIEW_OF_DOC = f"'rev-' || source || '-' || {_s('cast(floor(doc_id / 4000) as bigint)')}"
 PR_FILES_SQL = f"""
 SELECT
-  'rev-' || source AS review_id,
-  doc_id AS ordinal,
+  {_REVIEW_OF_DOC} AS review_id,
+  doc_id * 2 AS ordinal,
   CASE doc_id % 12
     WHEN 0 THEN 'src/' || source || '/mod_' || {_s('doc_id')} || '.py'
     WHEN 1 THEN 'web/App' || {_s('doc_id')} || '.TSX'
@@ -84,11 +89,15 @@ SELECT
   END AS filename,
   CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed'
     WHEN 3 THEN 'renamed' ELSE 'copied' END AS status,
-  n_chars % 400 AS additions,
-  doc_id % 120 AS deletions,
-  CASE WHEN doc_id % 23 = 22 THEN '' ELSE {_PATCH} END AS patch,
+  {_N_LINES} AS additions,
+  doc_id % 120 + 1 AS deletions,
+  {_PATCH} AS patch,
   CASE WHEN doc_id % 5 = 3 THEN 'old/' || {_s('doc_id')} || '.txt' END AS previous_filename
 FROM documents
+UNION ALL
+SELECT {_REVIEW_OF_DOC}, doc_id * 2 + 1, 'img/shot_' || {_s('doc_id')} || '.png', 'added', 0, 0, '', NULL
+FROM documents
+WHERE doc_id % 23 = 22
 """
 
 _AGENT_BY_TYPE = (
@@ -143,6 +152,16 @@ SELECT
 FROM events
 """
 
+def _json_str(expr: str) -> str:
+    """JSON string literal of `expr` (escape backslash, quote, CR, LF, TAB)."""
+    e = f"replace({expr}, chr(92), chr(92) || chr(92))"
+    e = f"replace({e}, chr(34), chr(92) || chr(34))"
+    e = f"replace({e}, chr(10), chr(92) || 'n')"
+    e = f"replace({e}, chr(13), chr(92) || 'r')"
+    e = f"replace({e}, chr(9), chr(92) || 't')"
+    return f"chr(34) || {e} || chr(34)"
+
+
 _RESP_A = (
     f"'{{' || {_Q} || 'severity' || {_Q} || ': ' || {_Q} || "
     "CASE turn % 4 WHEN 1 THEN 'HIGH' WHEN 3 THEN 'Warning' ELSE 'critical' END || "
@@ -150,14 +169,15 @@ _RESP_A = (
     "CASE conv_id % 3 WHEN 0 THEN 'sql_injection' WHEN 1 THEN 'memory' ELSE 'naming' END || "
     f"{_Q} || ', ' || {_Q} || 'file' || {_Q} || ': ' || {_Q} || 'src/c' || {_s('conv_id % 5')} || '.py' || {_Q} || "
     f"', ' || {_Q} || 'line' || {_Q} || ': ' || {_s('turn')} || "
-    f"', ' || {_Q} || 'message' || {_Q} || ': ' || {_Q} || 'reply of ' || {_s('length(text)')} || ' chars' || {_Q} || "
+    f"', ' || {_Q} || 'message' || {_Q} || ': ' || {_json_str('text')} || "
     f"', ' || {_Q} || 'suggestion' || {_Q} || ': ' || {_Q} || 'see turn ' || {_s('turn')} || {_Q} || '}}'"
 )
 _RESP_B = f"'{{' || {_Q} || 'severity' || {_Q} || ': ' || {_Q} || 'info' || {_Q} || ', ' || {_Q} || 'line' || {_Q} || ': ' || {_Q} || '7' || {_Q} || '}}'"
 _RESP_BAD = f"'{{' || {_Q} || 'severity' || {_Q} || ': null, ' || {_Q} || 'line' || {_Q} || ': ' || {_Q} || 'abc' || {_Q} || '}}'"
 _FIND = f"'{{' || {_Q} || 'findings' || {_Q} || ': ['"
 
-# Model replies: one per assistant turn, six shapes by (conv_id + turn) % 6:
+# Model replies: one per turn, its whole text inside a finding's message or as prose
+# around it; six shapes by (conv_id + turn) % 6:
 # bare JSON, ```json fence with prose, plain ``` fence with an empty list,
 # not JSON at all, an object without `findings`, and a list with a malformed
 # element between two good ones.
@@ -165,12 +185,12 @@ RESPONSES_SQL = f"""
 SELECT
   'rev-c' || {_s('conv_id')} AS review_id,
   CASE conv_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' ELSE 'test' END AS agent,
-  cast(floor(turn / 2) as bigint) AS chunk_index,
+  cast(turn as bigint) AS chunk_index,
   CASE (conv_id + turn) % 6
     WHEN 0 THEN {_FIND} || {_RESP_A} || ', ' || {_RESP_B} || ']}}'
-    WHEN 1 THEN 'Here is my review:' || {_NL} || '```json' || {_NL} || {_FIND} || {_RESP_A} || ']}}' || {_NL} || '```' || {_NL} || 'Done.'
+    WHEN 1 THEN 'Here is my review:' || {_NL} || '```json' || {_NL} || {_FIND} || {_RESP_A} || ']}}' || {_NL} || '```' || {_NL} || 'Done: ' || text
     WHEN 2 THEN '```' || {_NL} || {_FIND} || ']}}' || {_NL} || '```'
-    WHEN 3 THEN 'I found nothing worth reporting in ' || {_s('length(text)')} || ' characters.'
+    WHEN 3 THEN 'I found nothing worth reporting: ' || text
     WHEN 4 THEN '{{}}'
     ELSE {_FIND} || {_RESP_A} || ', ' || {_RESP_BAD} || ', ' || {_RESP_B} || ']}}'
   END AS text,
@@ -179,7 +199,6 @@ SELECT
   200 + 10 * turn AS latency_ms,
   'offline' AS model_id
 FROM conversations
-WHERE role = 'assistant'
 """
 
 # Webhook requests, one per order; two consecutive orders are two deliveries
@@ -256,36 +275,26 @@ SELECT {_FUNCTION_BY_TYPE} AS function, ts, value > 100 AS is_error, value AS du
 FROM events
 """
 
-# Queue receive log: every error event is one receive of message m<event_id % 701>
-# from one of the 7 main queues; processing succeeds when value < 60.
+# Queue receive log: every event is one receive. Three events with consecutive ids are
+# the receives of one message, from one of the 7 main queues; processing succeeds when
+# value < 60.
 RECEIVES_SQL = f"""
-SELECT 'm' || {_s('event_id % 701')} AS message_id,
-  CASE (event_id % 701) % 7 {" ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate([q for q in rules.QUEUES if not q.endswith('-dlq')]))} END AS queue,
+SELECT 'm' || {_s('cast(floor(event_id / 3) as bigint)')} AS message_id,
+  CASE cast(floor(event_id / 3) as bigint) % 7 {" ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate([q for q in rules.QUEUES if not q.endswith('-dlq')]))} END AS queue,
   ts AS received_at,
   event_id AS receive_seq,
   value < 60 AS succeeded
 FROM events
-WHERE event_type = 'error'
 """
 
 
-def _json_str(expr: str) -> str:
-    """JSON string literal of `expr` (escape backslash, quote, CR, LF, TAB)."""
-    e = f"replace({expr}, chr(92), chr(92) || chr(92))"
-    e = f"replace({e}, chr(34), chr(92) || chr(34))"
-    e = f"replace({e}, chr(10), chr(92) || 'n')"
-    e = f"replace({e}, chr(13), chr(92) || 'r')"
-    e = f"replace({e}, chr(9), chr(92) || 't')"
-    return f"chr(34) || {e} || chr(34)"
-
-
 # Changed files as landed by the hosting API: one JSON object per file, with
 # `patch` null for some (binary) files and `previous_filename` only on renames.
 PR_FILE_JSON_SQL = f"""
 SELECT review_id, ordinal,
   '{{"filename": ' || {_json_str('filename')} || ', "status": ' || {_json_str('status')}
   || ', "additions": ' || {_s('additions')} || ', "deletions": ' || {_s('deletions')}
-  || ', "patch": ' || CASE WHEN ordinal % 29 = 28 THEN 'null' ELSE {_json_str('patch')} END
+  || ', "patch": ' || CASE WHEN patch = '' THEN 'null' ELSE {_json_str('patch')} END
   || CASE WHEN previous_filename IS NULL THEN '' ELSE ', "previous_filename": ' || {_json_str('previous_filename')} END
   || '}}' AS file_json
 FROM ({PR_FILES_SQL}) f

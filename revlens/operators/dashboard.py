@@ -141,15 +141,20 @@ def function_metrics_all(spark: SparkSession, metrics: DataFrame) -> DataFrame:
     )
 
 
+def _by_name(name: str, value: str):
+    """{name: value} of a fixed table's rows (a dozen at most)."""
+    return F.map_from_entries(F.collect_list(F.struct(name, F.col(value))))
+
+
 def overview(severity: DataFrame, reviews: DataFrame, queues: DataFrame, functions: DataFrame) -> DataFrame:
-    """One-row overview: reviews, findings by severity, queue depths,
-    invocations and errors. Every input is reduced to one row first; the rows
-    are stacked (missing columns NULL) and folded with `max` per column - no
+    """One-row overview: reviews, findings by severity, depth of each queue, and
+    invocations and errors of each function. Every input is reduced to one row
+    first; the rows are stacked (missing columns NULL) and folded per column - no
     join of any kind."""
-    q = queues.agg(F.map_from_entries(F.collect_list(F.struct("queue", "depth"))).alias("queues"))
+    maps = ["queues", "invocations", "errors"]
+    q = queues.agg(_by_name("queue", "depth").alias("queues"))
     f = functions.agg(
-        F.sum("invocations_24h").cast("bigint").alias("invocations_24h"),
-        F.sum("errors_24h").cast("bigint").alias("errors_24h"),
+        _by_name("function", "invocations_24h").alias("invocations"), _by_name("function", "errors_24h").alias("errors")
     )
     stacked = (
         reviews.select("total_reviews")
@@ -157,11 +162,9 @@ def overview(severity: DataFrame, reviews: DataFrame, queues: DataFrame, functio
         .unionByName(q, allowMissingColumns=True)
         .unionByName(f, allowMissingColumns=True)
     )
-    cols = ["total_reviews", "total_findings", *rules.SEVERITIES, "invocations_24h", "errors_24h"]
+    counts = ["total_reviews", "total_findings", *rules.SEVERITIES]
     return stacked.agg(
-        *[F.max(c).alias(c) for c in cols[:5]],
-        F.first("queues", ignorenulls=True).alias("queues"),
-        *[F.max(c).alias(c) for c in cols[5:]],
+        *[F.max(c).alias(c) for c in counts], *[F.first(c, ignorenulls=True).alias(c) for c in maps]
     )
 
 

@@ -173,14 +173,6 @@ def q_review_result(spark, sf_dir):
     return review_verdicts(spark, sf_dir).select("review_id", "verdict", "total_findings", "latency_ms")
 
 
-@register(
-    "distinct_files",
-    _KEYED + "SELECT review_id, distinct_files, 0 AS total_additions FROM verdicts",
-)
-def q_distinct_files(spark, sf_dir):
-    return review_verdicts(spark, sf_dir).select("review_id", "distinct_files", F.lit(0).alias("total_additions"))
-
-
 @register(
     "finding_render",
     _KEYED

@@ -201,6 +201,18 @@ def q_dedupe_first_wins(spark, sf_dir):
     return f.filter(F.col("agent") == "security").select("review_id", "file", "line", "category", "source_rank", "sk")
 
 
+@register(
+    "distinct_files",
+    _PIPE.rstrip()
+    + """, adds AS (SELECT review_id, coalesce(cast(sum(additions) FILTER (WHERE NOT is_generated) AS BIGINT), 0) AS total_additions
+  FROM changes GROUP BY review_id)
+SELECT review_id, distinct_files, total_additions FROM verdicts JOIN adds USING (review_id)""",
+)
+def q_distinct_files(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return b.verdicts.select("review_id", "distinct_files").join(b.stats.select("review_id", "total_additions"), "review_id")
+
+
 @register(
     "review_event_assemble",
     _PIPE

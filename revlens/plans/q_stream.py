@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens import rules
 from revlens.operators import dashboard as dash
 from revlens.plans import oracle as o
 from revlens.plans.batch import review_batch
@@ -17,7 +18,7 @@ from revlens.plans.q_dashboard import _FUNCS_BODY, _ROUTES_BODY, _sev_kpi_sql
 from revlens.plans.q_findings import comment_tail_sql
 from revlens.plans.q_ingest import _COMPLETE
 from revlens.plans.q_score import _PIPE
-from revlens.plans.registry import register
+from revlens.plans.registry import ORACLE, register
 from revlens.session import configure
 from revlens.sources import landed
 from revlens.sources.driver import derived, derived_stream
@@ -217,10 +218,9 @@ _OVERVIEW_SQL = (
     + """),
 revs AS (SELECT count(DISTINCT review_id) AS total_reviews FROM review_events)
 SELECT total_reviews, total AS total_findings, critical, warning, info,
-  (SELECT cast(sum(depth) AS BIGINT) FROM queue_all WHERE NOT is_dlq) AS queue_depth,
-  (SELECT cast(sum(depth) AS BIGINT) FROM queue_all WHERE is_dlq) AS dlq_depth,
-  (SELECT cast(sum(invocations_24h) AS BIGINT) FROM func_all) AS invocations_24h,
-  (SELECT cast(sum(errors_24h) AS BIGINT) FROM func_all) AS errors_24h
+  (SELECT string_agg(queue || '=' || depth, ',' ORDER BY queue) FROM queue_all) AS queues,
+  (SELECT string_agg(function || '=' || invocations_24h, ',' ORDER BY function) FROM func_all) AS invocations,
+  (SELECT string_agg(function || '=' || errors_24h, ',' ORDER BY function) FROM func_all) AS errors
 FROM sev, revs"""
 )
 
@@ -235,11 +235,12 @@ def _overview(spark, sf_dir) -> DataFrame:
     qd = dash.queue_depth_all(spark, dash.queue_depth(routes(spark, sf_dir)))
     fm = dash.function_metrics_all(spark, metrics(spark, sf_dir))
     ov = dash.overview(sev, revs, qd, fm)
-    depth_main = F.aggregate(F.map_values(F.map_filter("queues", lambda k, v: ~k.contains("dlq"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    depth_dlq = F.aggregate(F.map_values(F.map_filter("queues", lambda k, v: k.contains("dlq"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    def listed(name: str):
+        pairs = F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+        return F.array_join(pairs, ",").alias(name)
+
     return ov.select(
-        "total_reviews", "total_findings", "critical", "warning", "info",
-        depth_main.alias("queue_depth"), depth_dlq.alias("dlq_depth"), "invocations_24h", "errors_24h",
+        "total_reviews", "total_findings", *rules.SEVERITIES, listed("queues"), listed("invocations"), listed("errors")
     )
 
 
@@ -249,11 +250,30 @@ def q_overview_kpi(spark, sf_dir):
     return _overview(spark, sf_dir)
 
 
-@register("dashboard_refresh", _OVERVIEW_SQL)
-def q_dashboard_refresh(spark, sf_dir):
-    """One refresh of the dashboard tables (KPIs, queues, functions -> the
-    overview row); `periodic_refresh` shows the 30 s streaming form."""
-    configure(spark)
-    return _overview(spark, sf_dir)
+_KPIS = ("total_reviews", "total_findings", "critical", "warning", "info", "queues", "invocations", "errors")
+
 
+@register(
+    "dashboard_refresh",
+    "SELECT 'kpi' AS kind, key, value FROM (UNPIVOT (SELECT "
+    + ", ".join(f"cast({k} AS VARCHAR) AS {k}" for k in _KPIS)
+    + f" FROM ({_OVERVIEW_SQL})) ON {', '.join(_KPIS)} INTO NAME key VALUE value)"
+    + f" UNION ALL SELECT 'review', review_id, timestamp FROM ({ORACLE['recent_reviews_topk']})"
+    + f" UNION ALL SELECT 'finding', review_id || '/' || sk, cast(sorted_position AS VARCHAR) FROM ({ORACLE['findings_sorted']})",
+)
+def q_dashboard_refresh(spark, sf_dir):
+    """All that one refresh shows, stacked: the overview's figures, the latest reviews
+    and the findings at their places; `periodic_refresh` is the 30 s streaming form."""
+    from revlens.plans.q_dashboard import q_recent_reviews_topk
+    from revlens.plans.q_findings import q_findings_sorted
 
+    configure(spark)
+    kpis = _overview(spark, sf_dir).select(F.explode(F.create_map(
+        *[x for k in _KPIS for x in (F.lit(k), F.col(k).cast("string"))]
+    )).alias("key", "value"))
+    reviews = q_recent_reviews_topk(spark, sf_dir).select(F.col("review_id").alias("key"), F.col("timestamp").alias("value"))
+    findings = q_findings_sorted(spark, sf_dir).select(
+        F.concat("review_id", F.lit("/"), "sk").alias("key"), F.col("sorted_position").cast("string").alias("value")
+    )
+    parts = [df.select(F.lit(kind).alias("kind"), "key", "value") for kind, df in (("kpi", kpis), ("review", reviews), ("finding", findings))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -23,7 +23,11 @@ from revlens.sources.driver import EVENTS_NOW, WEBHOOK_SECRET, derived
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request rows as landed envelopes (mixed-case header names)."""
     configure(spark)
-    r = derived(spark, sf_dir, "requests")
+    return landed.webhook_envelopes(as_envelopes(derived(spark, sf_dir, "requests")))
+
+
+def as_envelopes(r: DataFrame) -> DataFrame:
+    """Request rows (of a table or a stream) as landed, with mixed-case header names."""
     headers = F.map_filter(
         F.create_map(
             F.lit("X-GitHub-Event"), F.col("header_event"),
@@ -32,8 +36,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         lambda k, v: v.isNotNull(),
     )
-    env = r.select("request_id", "received_at", headers.alias("headers"), "body", F.col("is_base64").alias("isBase64Encoded"))
-    return landed.webhook_envelopes(env)
+    return r.select("request_id", "received_at", headers.alias("headers"), "body", F.col("is_base64").alias("isBase64Encoded"))
 
 
 def admitted(spark, sf_dir) -> DataFrame:

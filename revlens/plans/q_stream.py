@@ -16,12 +16,12 @@ from revlens.plans.batch import review_batch
 from revlens.plans.offline import no_sleep, offline_scorer_factory
 from revlens.plans.q_dashboard import _FUNCS_BODY, _ROUTES_BODY, _sev_kpi_sql
 from revlens.plans.q_findings import comment_tail_sql
-from revlens.plans.q_ingest import _COMPLETE
+from revlens.plans.q_ingest import _COMPLETE, _REQ
 from revlens.plans.q_score import _PIPE
 from revlens.plans.registry import ORACLE, register
 from revlens.session import configure
 from revlens.sources import landed
-from revlens.sources.driver import derived, derived_stream
+from revlens.sources.driver import WEBHOOK_SECRET, derived, derived_stream
 from revlens.streaming import runner, sinks
 from revlens.streaming.barrier import barrier_stream
 
@@ -174,38 +174,76 @@ def q_publish_complete(spark, sf_dir):
 
 
 # --- streaming pipeline --------------------------------------------------------------
-def _pipe_from_landed() -> str:
-    """The batch pipeline's SQL with file rows read from the landed JSON."""
-    landed_files = """pr_files AS (
+def _pipe_from_requests() -> str:
+    """The batch pipeline's SQL over the landed files of the admitted pull requests."""
+    files = """, ev AS (
+  SELECT DISTINCT sha256(repo_full_name || ':' || cast(pr_number AS varchar) || ':' || head_sha) AS review_id, pr_number, head_sha
+  FROM projected),
+pr_files AS (
   SELECT review_id, ordinal, json_extract_string(file_json, '$.filename') AS filename,
          json_extract_string(file_json, '$.status') AS status,
          cast(json_extract(file_json, '$.additions') AS BIGINT) AS additions,
          cast(json_extract(file_json, '$.deletions') AS BIGINT) AS deletions,
          coalesce(json_extract_string(file_json, '$.patch'), '') AS patch,
          json_extract_string(file_json, '$.previous_filename') AS previous_filename
-  FROM pr_file_json)"""
+  FROM landed_pr_files JOIN ev USING (pr_number, head_sha))"""
     head = o.with_views("pr_files")
     assert _PIPE.startswith(head)
-    return "WITH " + o.views_cte("pr_file_json") + ",\n" + landed_files + _PIPE[len(head):]
+    return _REQ.rstrip() + ",\n" + o.views_cte("landed_pr_files") + files + _PIPE[len(head):]
+
+
+def _connected(spark, sf_dir) -> str:
+    """Run the connected pipeline over a replay of the webhook requests; the folder of
+    its tables."""
+    from revlens.plans.q_ingest import as_envelopes
+    from revlens.streaming import pipeline
+
+    configure(spark)
+    out_dir = sinks.table_path(spark, f"connected-{uuid.uuid4().hex[:12]}")
+    landed_rows = derived(spark, sf_dir, "landed_pr_files")
+
+    def files_of(events: DataFrame) -> DataFrame:
+        named = events.select("review_id", "pr_number", "head_sha")
+        return landed.pr_files(landed_rows.join(named, ["pr_number", "head_sha"]))
+
+    requests = as_envelopes(derived_stream(spark, sf_dir, "requests").withColumn("received_at", F.col("received_at").cast("timestamp")))
+    runner.run(
+        pipeline.admission_stream(requests, WEBHOOK_SECRET), "admission",
+        sink=pipeline.review_micro_batches(out_dir, files_of, offline_scorer_factory, sleep=no_sleep),
+    )
+    # the replay ends here: a tick a day later lets the watermark pass every deadline
+    reported = spark.read.parquet(f"{out_dir}/review_events")
+    tick = reported.agg((F.max("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts")).select(
+        *[(F.col("ts") if f.name == "ts" else F.lit("tick") if f.name == "review_id" else F.lit(None).cast(f.dataType)).alias(f.name)
+          for f in reported.drop("batch_id").schema]
+    )
+    sinks.write_batch(tick, f"{out_dir}/review_events", 1 << 30)
+    stream = spark.readStream.schema(reported.schema).parquet(f"{out_dir}/review_events")
+    runner.run(barrier_stream(stream, watermark="10 seconds"), "triggers", sink=pipeline.trigger_micro_batches(out_dir))
+    messages = spark.readStream.schema("review_id string, body string, event_type string, ts timestamp, batch_id int")
+    runner.run(messages.parquet(f"{out_dir}/complete"), "learning", sink=pipeline.learning_micro_batches(out_dir))
+    return out_dir
 
 
 @register(
     "review_pipeline_stream",
-    _pipe_from_landed().rstrip()
-    + comment_tail_sql().replace("SELECT v.review_id, verdict,", "SELECT v.review_id, verdict, n_critical,"),
+    _pipe_from_requests().rstrip()
+    + comment_tail_sql().replace(
+        "SELECT v.review_id, verdict,",
+        "SELECT v.review_id, verdict, n_critical, n_critical + n_warning + n_info AS total_findings, 'LEARNING#' || v.review_id AS learning,",
+    ),
 )
 def q_review_pipeline_stream(spark, sf_dir):
-    """Landed file objects stream in; each micro-batch is reviewed as a batch
-    (files of one PR land together in one file, so a micro-batch holds whole
-    PRs) and the comments go to an idempotent sink."""
-    configure(spark)
-    from revlens.streaming.pipeline import review_micro_batches
-
-    files = landed.pr_files(derived_stream(spark, sf_dir, "pr_file_json"))
-    out_dir = sinks.table_path(spark, f"pipeline-stream-{uuid.uuid4().hex[:12]}")
-    runner.run(files, "pipeline", sink=review_micro_batches(out_dir, offline_scorer_factory, sleep=no_sleep))
-    comments = spark.read.parquet(f"{out_dir}/comments")
-    return comments.select("review_id", "verdict", "n_critical", "comment")
+    """Webhook requests stream in and are admitted and deduplicated; each event's landed
+    files are reviewed; the barrier triggers comment and completion message; completions
+    become learning records. The rows join what the last tables hold."""
+    out_dir = _connected(spark, sf_dir)
+    comments = sinks.read_latest(spark, f"{out_dir}/comments", ["review_id"], ["ts"])
+    learned = sinks.read_latest(spark, f"{out_dir}/learnings", ["pk", "sk"], ["write_ts"])
+    ids = learned.select(F.col("attrs")["review_id"].alias("review_id"), F.col("sk").alias("learning"))
+    return comments.join(ids, "review_id").select(
+        "review_id", "verdict", "n_critical", "total_findings", "learning", "comment"
+    )
 
 
 # --- dashboard ------------------------------------------------------------------------

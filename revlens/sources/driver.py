@@ -300,6 +300,14 @@ SELECT review_id, ordinal,
 FROM ({PR_FILES_SQL}) f
 """
 
+# The same objects by pull request, for the connected pipeline: 40 consecutive documents
+# are the files of the pull request that the webhook requests name by this number and head.
+LANDED_PR_FILES_SQL = f"""
+SELECT cast(floor(ordinal / 80) as bigint) AS pr_number, md5({_s('cast(floor(ordinal / 80) as bigint)')}) AS head_sha,
+  ordinal, file_json
+FROM ({PR_FILE_JSON_SQL}) j
+"""
+
 # Pull-request metadata as landed by the hosting API, one object per order.
 PR_META_JSON_SQL = f"""
 SELECT o_orderkey AS pr_number,
@@ -359,6 +367,7 @@ _STATIC_SQL: dict[str, str] = {
     "invocations": INVOCATIONS_SQL,
     "receives": RECEIVES_SQL,
     "pr_file_json": PR_FILE_JSON_SQL,
+    "landed_pr_files": LANDED_PR_FILES_SQL,
     "pr_meta_json": PR_META_JSON_SQL,
     "complete_events": COMPLETE_EVENTS_SQL,
 }
@@ -389,6 +398,7 @@ _SOURCE_TABLE = {
     "receives": "events",
     "requests": "orders",
     "pr_file_json": "documents",
+    "landed_pr_files": "documents",
     "pr_meta_json": "orders",
     "complete_events": "events",
     "review_clock": "events",

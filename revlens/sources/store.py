@@ -37,28 +37,35 @@ def _attrs(*pairs: tuple[str, Column]) -> Column:
     )
 
 
-def review_items(reviews: DataFrame) -> DataFrame:
-    """`REV#<id>` / `META` items."""
+#: Attributes of a META item; a table that lacks some stores the others.
+META_FIELDS = ("status", "repo", "pr_number", "pr_url", "sender", "head_sha", "created_at", "files_count", "chunks_count", "latency_ms")
+
+
+def review_items(reviews: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`REV#<id>` / `META` items of the META_FIELDS that `reviews` has, with the columns
+    `keep`."""
+    shown = {"created_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")}
+    fields = [(k, shown.get(k, F.col(k))) for k in META_FIELDS if k in reviews.columns]
     return reviews.select(
         F.concat(F.lit("REV#"), F.col("review_id")).alias("pk"),
         F.lit("META").alias("sk"),
         F.map_filter(
-            _attrs(
-                ("status", F.col("status")),
-                ("repo", F.col("repo")),
-                ("pr_number", F.col("pr_number")),
-                ("pr_url", F.col("pr_url")),
-                ("created_at", F.date_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
-                ("files_count", F.col("files_count")),
-                ("chunks_count", F.col("chunks_count")),
-            ),
+            _attrs(*fields),
             lambda k, v: v.isNotNull(),
         ).alias("attrs"),
+        *keep,
     )
 
 
-def finding_items(findings: DataFrame) -> DataFrame:
-    """`REV#<id>` / `FINDING#<agent>#<i>` items (needs `sk`)."""
+def reviews_from_items(items: DataFrame) -> DataFrame:
+    """META items back as review rows, for `review_projection`."""
+    kinds = {"pr_number": "bigint", "files_count": "bigint", "chunks_count": "bigint", "latency_ms": "bigint", "created_at": "timestamp"}
+    attrs = [F.try_element_at("attrs", F.lit(k)).try_cast(kinds.get(k, "string")).alias(k) for k in META_FIELDS]
+    return items.where("sk = 'META'").select(F.regexp_replace("pk", "^REV#", "").alias("review_id"), *attrs)
+
+
+def finding_items(findings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`REV#<id>` / `FINDING#<agent>#<i>` items (needs `sk`), with the columns `keep`."""
     return findings.select(
         F.concat(F.lit("REV#"), F.col("review_id")).alias("pk"),
         F.col("sk"),
@@ -73,6 +80,7 @@ def finding_items(findings: DataFrame) -> DataFrame:
             ("repo", F.col("repo")),
             ("pr_number", F.col("pr_number")),
         ).alias("attrs"),
+        *keep,
     )
 
 

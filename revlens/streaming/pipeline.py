@@ -1,13 +1,16 @@
 """Streaming compositions of the review service.
 
-    envelopes --admit--> accepted events --dedupe (watermark)--> pr-webhook sink
-    landed files --per micro-batch: batch review--> reviews / findings / comments / complete sinks
-    finding events --barrier (state)--> summary triggers
-    complete messages --skip empty ids--> learning records (upsert sink)
-    receive log --per micro-batch routing--> main / dead-letter tables
-
-Every sink writes through `sinks.write_batch` (idempotent per batch id) under
-spark.checkpoint.dir; every query has its own checkpoint folder, so each part
+    envelopes --admit, project--> accepted events --dedupe (watermark)--> one event per review
+    events --per micro-batch: landed files of those reviews, batch review--> tables
+    tables/review_events --barrier (state)--> tables/triggers
+    triggers --comment, complete--> tables/comments, tables/complete
+    complete messages --skip empty ids--> tables/learnings
+
+The tables are the review store: `items` rows (pk, sk, attrs, write_ts) of META and
+findings, which `store.review_projection`, `upsert_latest` and `read_latest` read,
+`review_events` (one per review and reviewer), `verdicts`, `comments`, `complete` and
+`learnings`. Every sink writes through `sinks.write_batch` (idempotent per batch id)
+under spark.checkpoint.dir; every query has its own checkpoint folder, so each part
 fails and restarts on its own.
 """
 
@@ -38,51 +41,85 @@ def admission_stream(envelopes: DataFrame, secret: str, watermark: str = "1 hour
     return keyed.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["review_id"])
 
 
+def meta_items(events: DataFrame, b) -> DataFrame:
+    """META items of reviewed events: what the event says of the pull request, and the
+    review's counts and elapsed time."""
+    chunks = b.assigned.groupBy("review_id").agg(F.max("total_chunks").alias("chunks_count"))
+    zero = F.lit(0).cast("bigint")
+    rows = (
+        events.join(b.stats, "review_id").join(chunks, "review_id", "left")
+        .join(b.verdicts.select("review_id", "latency_ms"), "review_id", "left")
+    )
+    return store.review_items(rows.select(
+        "review_id", F.col("repo_full_name").alias("repo"), "pr_number", "pr_url", "sender", "head_sha",
+        F.lit("parsing_complete").alias("status"), F.col("received_at").alias("created_at"),
+        F.col("total_files").alias("files_count"), F.coalesce("chunks_count", zero).alias("chunks_count"),
+        F.coalesce("latency_ms", zero).alias("latency_ms"), F.col("received_at").alias("write_ts"),
+    ), keep=("write_ts",))
+
+
 def review_micro_batches(
     out_dir: str,
+    landed_files: Callable[[DataFrame], DataFrame],
     scorer_factory: Callable,
     sleep: Callable[[float], None] = time.sleep,
     brand: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: review the PRs of a micro-batch of file rows and
-    write the review, finding, comment and review.complete tables.
+    """foreachBatch function over admitted events (one per review, with review_id and
+    received_at): review all landed files of those reviews and write the tables.
 
-    The files of one PR land together (one landed object per PR), so a
-    micro-batch holds whole PRs and the batch operators apply unchanged.
+    The work is keyed on the event, not on the arrival of files: `landed_files(events)`
+    gives the events' file rows (review_id, ordinal, ...) as landed by now, so a review
+    is made once and whole however its files arrived.
     """
 
-    def run(files: DataFrame, batch_id: int) -> None:
-        b = review_batch(files, scorer_factory, sleep=sleep, brand=brand)
-        sinks.write_batch(
-            b.stats.select("review_id", "total_files", "total_additions", "total_deletions",
-                           F.array_join("languages", ",").alias("languages"), F.lit("parsing_complete").alias("status")),
-            f"{out_dir}/reviews", batch_id,
+    def run(events: DataFrame, batch_id: int) -> None:
+        events = events.persist()
+        b = review_batch(landed_files(events), scorer_factory, sleep=sleep, brand=brand)
+        findings = b.findings.join(
+            events.select("review_id", F.col("repo_full_name").alias("repo"), "pr_number", F.col("received_at").alias("write_ts")),
+            "review_id",
         )
-        sinks.write_batch(b.findings.drop("source_rank"), f"{out_dir}/findings", batch_id)
-        comments = b.comments.join(b.status.select("review_id", "state", "description"), "review_id").join(
-            b.verdicts.select("review_id", "n_critical", "n_warning", "n_info"), "review_id"
+        items = meta_items(events, b).unionByName(store.finding_items(findings, keep=("write_ts",)))
+        sinks.write_batch(items, f"{out_dir}/items", batch_id)
+        # review.<agent> events, one per review and reviewer even without findings: fed
+        # to `barrier_stream` every reviewer that finished counts. Their time is the
+        # event's, so a replayed batch gives the same rows.
+        reported = assemble_review_events(b.stats, b.assigned, b.findings).join(
+            events.select("review_id", F.col("received_at").alias("ts")), "review_id"
         )
-        sinks.write_batch(comments, f"{out_dir}/comments", batch_id)
-        # review.<agent> events, one per review and reviewer even without
-        # findings: fed to `barrier_stream` they give the completion-event rule
-        # (every reviewer that finished counts), the findings-only rule of the
-        # original being the other option.
-        # Their time is the landing time of the review's files (`landed_at`), so a
-        # replayed batch gives the same events.
-        landed_at = F.max("landed_at") if "landed_at" in files.columns else F.max(F.lit(None).cast("timestamp"))
-        when = files.groupBy("review_id").agg(landed_at.alias("ts"))
-        events = assemble_review_events(b.stats, b.assigned, b.findings).join(when, "review_id")
-        sinks.write_batch(events, f"{out_dir}/review_events", batch_id)
-        complete = b.verdicts.select(
-            "review_id",
-            F.to_json(F.struct("review_id", "verdict", "total_findings", "latency_ms")).alias("value"),
-            F.lit("review.complete").alias("event_type"),
+        sinks.write_batch(reported, f"{out_dir}/review_events", batch_id)
+        sinks.write_batch(
+            b.comments.join(b.status.select("review_id", "state", "description"), "review_id").join(
+                b.verdicts.drop("verdict"), "review_id"
+            ),
+            f"{out_dir}/verdicts", batch_id,
         )
-        sinks.write_batch(complete, f"{out_dir}/complete", batch_id)
+        events.unpersist()
 
     return run
 
 
+def trigger_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over barrier rows: the comment and the completion message
+    of each review whose summary is triggered now."""
+
+    def run(triggers: DataFrame, batch_id: int) -> None:
+        fired = triggers.where("kind = 'fired'").select("review_id", F.col("fired_at").alias("ts"))
+        verdicts = triggers.sparkSession.read.parquet(f"{out_dir}/verdicts").drop("batch_id")
+        due = verdicts.join(fired, "review_id")
+        sinks.write_batch(due, f"{out_dir}/comments", batch_id)
+        sinks.write_batch(complete_messages(due), f"{out_dir}/complete", batch_id)
+
+    return run
+
+
+def complete_messages(verdicts: DataFrame) -> DataFrame:
+    """review.complete messages (`review_id`, `body`, `event_type`, `ts`)."""
+    body = F.to_json(F.struct("review_id", "verdict", "total_findings", F.col("latency_ms").cast("int").alias("latency_ms")))
+    return verdicts.select("review_id", body.alias("body"), F.lit("review.complete").alias("event_type"), "ts")
+
+
 def learning_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function over review.complete messages (`body`, `ts`):
     unwrap, skip messages without review_id, write learning items; readers

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -36,6 +37,13 @@ def dropped(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def released(spark) -> None:
+    """Let Spark delete the shuffle files of finished steps now. It does so when the
+    driver collects its garbage, which in a loop of few large steps is too late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast for a side of counted size; beyond `limit` rows Spark
     joins by shuffle."""
@@ -54,8 +62,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes hashed in one go; a text longer than this is a go of its own.
-_CHUNK = 1 << 22
+#: Bytes hashed in one go (its arrays stay in the cache); a longer text is a go alone.
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,12 +83,9 @@ def _powers(n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
     return cache["p"][:n]
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of `texts`, in order, and each text's number of
-    words. A word's hash is a polynomial in its bytes, so it depends on the word
-    alone; all texts are handled by whole-array operations."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def word_bounds(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one array of bytes, where each word starts and ends in it, and
+    each text's number of words."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
         raw = _LOWER[raw]
@@ -88,15 +93,28 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     inside = ~space
     start = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
     end = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return raw, start, end, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of `texts`, in order, and each text's number of
+    words."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    raw, start, end, counts = word_bounds(texts, lower)
+    return hashes_of(raw, start, end), counts
+
+
+def hashes_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word's hash is a polynomial in its bytes, so it depends on the word alone;
+    all words are handled by whole-array operations."""
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw)), out=sums[1:])
     # a word at byte i sums to base**i times its own polynomial: the base is odd,
     # so it has an inverse modulo 2**64, which takes the place out again
     inverse = _inverse_powers(len(raw))
-    words = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    upto = np.searchsorted(start, ends)
-    return words, np.diff(upto, prepend=0)
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def _inverse_powers(n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006

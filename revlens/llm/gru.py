@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, STEPS, STREAMS = 16, 16, 256
+HIDDEN, STEPS, STREAMS = 16, 16, 512
+#: Windows that a sequence gives at least, if it is long enough: short ones run in
+#: fewer streams.
+WINDOWS = 24
 
 
 def shapes(classes: int, hidden: int = HIDDEN) -> list[tuple[int, ...]]:
@@ -88,7 +91,7 @@ class Trainer:
 
     def learn(self, sequence: np.ndarray, streams: int = STREAMS, steps: int = STEPS) -> None:
         """One pass over a sequence of documents, each closed by the end class."""
-        streams = max(1, min(streams, len(sequence) // steps))
+        streams = max(1, min(streams, len(sequence) // (steps * WINDOWS)))
         length = -(-len(sequence) // streams)
         padded = np.full(streams * length, -1, np.int64)
         padded[: len(sequence)] = sequence

@@ -6,18 +6,23 @@ classes, so copies cost nothing.
 
 Order all shingles with frequent ones last. Two sets of similarity t share a shingle
 in their prefixes of n - ceil(t * n) + 1, and m + 1 shingles in prefixes that are m
-longer. Rare shingles of the prefix are index keys by themselves. A class whose prefix
-reaches the frequent shingles extends it by m, deals its frequent shingles into m
+longer. Rare shingles of a prefix extended by n / 16 are index keys by themselves; a
+class that has fewer keys in common with others than that many extra shingles demand
+(a passage alone that others have too) has no partner and is left out. A class whose
+prefix reaches the frequent shingles extends it by m, deals its frequent shingles into m
 groups by hash, and indexes the pairs inside each group: of m + 1 shared shingles two
 fall into one group. m follows the size of the larger set, so a class indexes for its
 own size and for the next power of two if a partner can have it.
 
 Which shingles count as frequent only moves work: any fixed set gives the same result.
-
-Candidates become links in rounds. Every key's classes are compared with a few leaders
-each round (first one, then ever more), links are merged to components, and only
-classes of different components are compared again: a group of near copies takes one
-comparison a member, and no link between different components is left untested.
+Once the keys' sizes are known, a class drops its most frequent keys, as many as it must
+have in common with any partner but one: the prefix rule again, on exact frequencies.
+
+Candidates become links in three steps. Twice every key's classes are compared with one
+leader, and links are merged to components: a group of near copies takes one comparison a
+member. Then whatever shares a key and is of different components still is compared
+exhaustively: in small keys pair by pair, in large ones block by block with shared-shingle
+counts as matrix products, so that no pair is ever a row. No link is left untested.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import arrow_texts, chunks, maybe_broadcast, mix, stored, word_hashes
+from revlens.llm.common import arrow_texts, chunks, dropped, maybe_broadcast, mix, released, stored, word_hashes
 from revlens.llm.components import connected_components
 
 WORDS = 5
@@ -40,8 +45,12 @@ PERCENT = 75
 FREQUENT, MOST_FREQUENT = 24, 200_000
 #: Classes up to which the list of those to compare is broadcast (8 bytes each).
 BROADCAST_CLASSES = 1_000_000
-#: Shingles that a task holds at a time when it counts.
-HELD = 4_000_000
+#: Shingles that a task sends in one batch of sets, and holds at a time when it counts.
+SENT = 500_000
+#: Classes of a key up to which its pairs are listed; classes and shingles in a block of
+#: larger ones, and shingles in a step of their product.
+SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 16, 256, 500_000, 4096
+HELD = 2_000_000
 
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -109,12 +118,23 @@ def _profile(batches):
     yield shared()
 
 
+def spare(n):
+    """Shingles by which the prefix of a set of `n` is longer than it must be."""
+    return n // 16
+
+
+def demanded(n, percent: int = PERCENT):
+    """Keys that a set of `n` has in common with any partner, at least: as many as the
+    smallest partner's spare shingles and one."""
+    return spare((n * percent + 99) // 100) + 1
+
+
 def prefix_keys(
     s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set: of rare shingles, and of pairs of frequent ones.
-    `frequent` holds the frequent shingles, sorted; `rank` their places in the order,
-    the most frequent last."""
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Index keys of a set: of rare shingles, and of pairs of frequent ones; and
+    whether its prefix is of rare ones only. `frequent` holds the frequent shingles,
+    sorted; `rank` their places in the order, the most frequent last."""
     n = len(s)
     p = n + (-percent * n) // 100 + 1
     at = np.searchsorted(frequent, s)
@@ -138,10 +158,14 @@ def prefix_keys(
                     break
                 a, b = part[:-gap][same], part[gap:][same]
                 keys.append(mix(mix(a) + b * np.uint64(3) + np.uint64(level)))
-    return mix(rare[:p] ^ np.uint64(0x51A6)), np.unique(np.concatenate(keys)) if keys else s[:0]
+    longer = p + spare(n)
+    return mix(rare[:longer] ^ np.uint64(0x51A6)), np.unique(np.concatenate(keys)) if keys else s[:0], len(rare) >= longer
+
+
+_KEYS = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("often", pa.bool_()), ("plain", pa.bool_())])
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("often", pa.bool_())])
+KEYS = "key long, class long, n int, often boolean, plain boolean"
 
 
 def _keys(frequent, percent: int):
@@ -149,7 +173,7 @@ def _keys(frequent, percent: int):
         tokens, rank = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            keys, classes, sizes, often = [], [], [], []
+            keys, classes, sizes, often, plain = [], [], [], [], []
             for s in shingle_sets(arrow_texts(batch.column("text"))):
                 if len(s) < 3:  # can only equal, and equal sets are one class
                     continue
@@ -157,13 +181,15 @@ def _keys(frequent, percent: int):
                 if c in seen:
                     continue
                 seen.add(c)
-                for k, of_frequent in zip(prefix_keys(s, tokens, rank, percent), (False, True), strict=True):
+                *both, rare_only = prefix_keys(s, tokens, rank, percent)
+                for k, of_frequent in zip(both, (False, True), strict=True):
                     keys.append(k)
                     classes.append(np.full(len(k), c, np.int64))
                     sizes.append(np.full(len(k), len(s), np.int32))
                     often.append(np.full(len(k), of_frequent))
+                    plain.append(np.full(len(k), rare_only))
             if keys:
-                parts = np.concatenate(keys).view(np.int64), *map(np.concatenate, (classes, sizes, often))
+                parts = np.concatenate(keys).view(np.int64), *map(np.concatenate, (classes, sizes, often, plain))
                 yield pa.record_batch([pa.array(x) for x in parts], schema=_KEYS)
 
     return run
@@ -174,7 +200,7 @@ def _shared_keys(batches):
     all of frequent shingles; each once. Holds a batch and one row."""
     held, has_previous = None, False
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(_KEYS))]
         if held is not None:
             cols = [np.concatenate((x, y)) for x, y in zip(held, cols, strict=True)]
         k, c = cols[:2]
@@ -193,15 +219,39 @@ def _shared_keys(batches):
         yield pa.record_batch([pa.array(x) for x in held], schema=_KEYS)
 
 
+def _partnered(shared: DataFrame, percent: int) -> DataFrame:
+    """Stored (key, class, n): every class without its most frequent keys, one less than
+    it has in common with any partner (`demanded`); keys of one class are left out."""
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    least = F.expr(f"((n * {percent} + 99) DIV 100) DIV 16 + 1")  # demanded(n)
+    w = Window.partitionBy("class").orderBy(F.desc("size"), "key")
+    ranked = shared.where("plain").join(sizes, "key").withColumn("place", F.row_number().over(w))
+    kept = ranked.where(F.col("place") >= least).select("key", "class", "n")
+    kept = stored(kept.unionByName(shared.where("NOT plain").select("key", "class", "n")), "kept")
+    several = kept.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    out = stored(kept.join(several.select("key"), "key", "left_semi"), "partnered")
+    dropped(kept, shared)
+    return out
+
+
 def _sets(wanted):
     """Rows (doc_id, class, set); with `wanted` (classes, their documents) only those."""
     schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("set", pa.list_(pa.int64()))])
 
+    def rows(ids, classes, sets):
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), values], schema=schema)
+
     def run(batches):
         want, first = (None, None) if wanted is None else wanted.value
         for batch in batches:
             ids, classes, sets = [], [], []
+            held = 0
             for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(arrow_texts(batch.column("text"))), strict=True):
+                if held > SENT:
+                    yield rows(ids, classes, sets)
+                    ids, classes, sets, held = [], [], [], 0
                 if len(s) < 3:
                     continue
                 c = class_hash(s)
@@ -212,10 +262,9 @@ def _sets(wanted):
                 ids.append(doc_id)
                 classes.append(c)
                 sets.append(s.view(np.int64))
+                held += len(s)
             if classes:
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), values], schema=schema)
+                yield rows(ids, classes, sets)
 
     return run
 
@@ -260,21 +309,101 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.select("key"), "key", "left_semi")
 
 
-def _round(rows: DataFrame, slots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare now, and the rows that stay for later rounds.
-
-    Every key deals its classes into `slots` by hash; the least of each slot is a
-    leader. It is compared with all classes of other components whose size allows
-    it, and leaves the key.
-    """
-    slot = F.pmod(F.xxhash64("class"), F.lit(slots))
-    leaders = rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("class", "n", "label")).alias("x"))
+def _star(rows: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Stored pairs (a, b): every key's leader (the least by hash) with the key's classes
+    of other components whose size allows a link."""
+    place = F.xxhash64("class", F.lit(salt))
+    leaders = rows.groupBy("key").agg(F.min(F.struct(place.alias("p"), "class", "n", "label")).alias("x"))
     leaders = leaders.select("key", F.col("x.class").alias("lc"), F.col("x.n").alias("ln"), F.col("x.label").alias("ll"))
     pairs = rows.join(leaders, "key").where(
         (F.col("ll") != F.col("label")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
-    ).select(F.least("class", "lc").alias("a"), F.greatest("class", "lc").alias("b")).distinct()
-    left = rows.join(leaders.select("key", F.col("lc").alias("class")), ["key", "class"], "left_anti")
-    return stored(pairs, "pairs"), left.select("key", "class", "n")
+    )
+    return stored(pairs.select(F.least("class", "lc").alias("a"), F.greatest("class", "lc").alias("b")).distinct(), "pairs")
+
+
+def _small_key_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Stored pairs (a, b) of different components in keys of SMALL classes at most."""
+    left = rows.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
+    return stored(pairs.select("a", "b").distinct(), "pairs")
+
+
+def _compare(percent: int):
+    """Links between the left and the right rows of a block, of different labels."""
+
+    def run(block: pa.Table) -> pa.Table:
+        left = np.asarray(block.column("left").combine_chunks().to_numpy(zero_copy_only=False))
+        name, label, n = (block.column(c).to_numpy() for c in ("class", "label", "n"))
+        sets = block.column("set").combine_chunks()
+        token, row = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(sets.offsets.to_numpy()))
+        _, token, count = np.unique(token, return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        keep = count[token] > 1
+        token, row = column[token[keep]], row[keep]
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        place = np.zeros(len(n), np.int64)
+        place[l], place[r] = np.arange(len(l)), np.arange(len(r))
+        both = np.zeros((len(l), len(r)), np.float32)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        for first in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+            lo, hi = np.searchsorted(token, (first, first + COLUMNS))
+            t, w = token[lo:hi] - first, row[lo:hi]
+            x, y = np.zeros((len(l), COLUMNS), np.float32), np.zeros((len(r), COLUMNS), np.float32)
+            is_left = left[w]
+            x[place[w[is_left]], t[is_left]] = 1
+            y[place[w[~is_left]], t[~is_left]] = 1
+            both += x @ y.T
+        union = n[l][:, None] + n[r][None, :] - both
+        found = (100 * both >= percent * union) & (label[l][:, None] != label[r][None, :])
+        i, j = np.nonzero(found)
+        return pa.table({"u": pa.array(name[l[i]], pa.int64()), "v": pa.array(name[r[j]], pa.int64())})
+
+    return run
+
+
+def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored links (u, v) of different components in large keys.
+
+    Large keys that share a class are one group. A group's largest component is not
+    compared within itself: all other classes (left) meet all classes (right), both cut
+    into blocks of about BLOCK classes, and a pair of blocks is one comparison.
+    """
+    first = rows.groupBy("key").agg(F.min("class").alias("first"))
+    group = stored(connected_components(rows.join(first, "key").select(F.col("class").alias("u"), F.col("first").alias("v"))), "groups")
+    members = rows.select("class", "label").distinct().join(group, F.col("class") == F.col("node"))
+    members = members.select("class", "label", F.col("component").alias("group")).join(sets, "class").withColumn("n", F.size("set"))
+    members = stored(members, "members")
+    by_label = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    per_group = by_label.groupBy("group").agg(
+        F.max(F.struct("rows", "label", "shingles")).alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
+    )
+
+    def blocks(rows, shingles):
+        return F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    per_group = per_group.select(
+        "group", F.col("main.label").alias("main"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("left_blocks"),
+        blocks(F.col("rows"), F.col("shingles")).alias("right_blocks"),
+    )
+    placed = members.join(per_group, "group")
+    h = F.xxhash64("class")
+    cols = ["group", "class", "label", "n", "set"]
+    left = placed.where("label <> main").select(
+        *cols, F.lit(True).alias("left"), F.pmod(h, "left_blocks").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"),
+    )
+    right = placed.select(
+        *cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"),
+        F.pmod(h, "right_blocks").cast("int").alias("j"),
+    )
+    links = left.unionByName(right).groupBy("group", "i", "j").applyInArrow(_compare(percent), "u long, v long")
+    out = stored(links, "links")
+    dropped(members, group)
+    return out
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -299,29 +428,35 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = np.argsort(tokens)
     rank = (len(often) - np.arange(len(often)))[order]
     frequent = spark.sparkContext.broadcast((tokens[order], rank))
-    index = texts.mapInArrow(_keys(frequent, percent), "key long, class long, n int, often boolean")
+    index = texts.mapInArrow(_keys(frequent, percent), KEYS)
     # a key of frequent shingles may hold a third of all classes: its rows are dealt
     # by class as well and all go on, the others are sorted by key
     dealt = F.when(F.col("often"), F.xxhash64("key", "class")).otherwise(F.col("key"))
     parts = index.repartition(dealt).sortWithinPartitions("key", "class")
-    shared = stored(parts.mapInArrow(_shared_keys, "key long, class long, n int, often boolean").drop("often"), "shared")
+    shared = _partnered(stored(parts.mapInArrow(_shared_keys, KEYS), "shared"), percent)
+    released(spark)
     firsts = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    links = spark.createDataFrame([], "u long, v long")
-    labels = spark.createDataFrame([], "node long, component long")
-    rows, slots, sets = shared.withColumn("label", F.col("class")), 1, None
-    while True:
-        pairs, left = _round(rows, slots, percent)
-        if not pairs.isEmpty():
-            if sets is None:
-                now = _sets_of(texts, firsts, pairs.select(F.col("a").alias("class")).union(pairs.select("b")))
-            links = links.unionByName(_verified(now if sets is None else sets, pairs, percent))
-            labels = stored(connected_components(links), "labels")
-        rows = stored(_open(left, labels), "open")
-        if rows.isEmpty():
-            break
-        if sets is None:  # all that later rounds can compare
-            sets = stored(_sets_of(texts, firsts, rows.select("class")), "sets")
-        slots = min(slots * 64, 1 << 18)
+    sets = stored(_sets_of(texts, firsts, shared.select("class")), "sets")
+    links, labels = None, spark.createDataFrame([], "node long, component long")
+    rows = shared.withColumn("label", F.col("class"))
+
+    def merged(found):
+        nonlocal links, labels
+        links = found if links is None else links.unionByName(found)
+        labels = stored(connected_components(links), "labels")
+        released(spark)
+
+    for salt in range(2):
+        pairs = _star(rows, salt, percent)
+        merged(_verified(sets, pairs, percent))
+        dropped(pairs)
+        rows = stored(_open(shared, labels), "open")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    small = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
+    large = rows.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi")
+    pairs = _small_key_pairs(small, percent)
+    merged(_verified(sets, pairs, percent).unionByName(_large_key_links(large, sets, percent)))
+    dropped(pairs, rows, sets, shared)
     named = known.join(labels, known["class"] == labels["node"], "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("group")
     )
@@ -331,8 +466,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each group: the smallest doc_id; of repeated rows
-    of that doc_id, all that stand alone (no shingles) or else one text."""
+    """`docs` with one document of each group, the smallest doc_id (its repeated rows
+    are one document and stay). Documents without words, and those without a doc_id,
+    stay; columns are as they are."""
     groups = similar_components(docs, percent)
     spare = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
     spare = stored(spare.select(F.col("doc_id").alias("__spare")).distinct(), "copies")

@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import gru
-from revlens.llm.common import arrow_texts, chunks, mix, stored, word_hashes
+from revlens.llm.common import arrow_texts, chunks, hashes_of, mix, stored, word_bounds
 
 BUCKETS, PROJECTIONS, CLASSES = 4096, 16, 24
-#: Words whose counts every task holds (16 bytes each).
-HEAD = 400_000
+#: Words whose counts every task holds, at most (16 bytes each).
+HEAD = 100_000
 ROUNDS, RATE = 2, 0.01
+#: Tokens that a task learns in one go.
+LEARNED = 250_000
 #: Distinct words that a task holds while it counts.
 HELD = 2_000_000
 
@@ -42,19 +44,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
+def _buckets(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spelling bucket of each word: of its first two and last two bytes."""
+    u = np.uint64
+    spelled = (
+        raw[start].astype(u) | raw[np.minimum(start + 1, end - 1)].astype(u) << u(8)
+        | raw[np.maximum(end - 2, start)].astype(u) << u(16) | raw[end - 1].astype(u) << u(24)
+    )
+    return mix(spelled) % u(BUCKETS)
+
+
+def buckets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Spelling buckets of all words in order, and words per text."""
+    raw, start, end, counts = word_bounds(texts)
+    return _buckets(raw, start, end).astype(np.int64), counts
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words in order: hash and spelling bucket; and words per text. A hash
     holds its bucket in the lowest bits, so that a count knows it."""
-    w, counts = word_hashes(texts)
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
-    space = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
-    start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    end = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    second = np.minimum(start + 1, end - 1)
-    spelled = raw[start] | raw[second] << np.uint64(8) | raw[np.maximum(end - 2, start)] << np.uint64(16) | raw[end - 1] << np.uint64(24)
-    bucket = mix(spelled) % np.uint64(BUCKETS)
-    w = ((w & ~np.uint64(BUCKETS - 1)) | bucket).view(np.int64)
+    raw, start, end, counts = word_bounds(texts)
+    bucket = _buckets(raw, start, end)
+    w = ((hashes_of(raw, start, end) & ~np.uint64(BUCKETS - 1)) | bucket).view(np.int64)
     return np.where(w == END, np.int64(-2), w), bucket.astype(np.int64), counts
 
 
@@ -124,13 +135,17 @@ def _learn(class_of: np.ndarray, flat: np.ndarray, rate: float):
     schema = pa.schema([("tokens", pa.int64()), ("weights", pa.list_(pa.float64()))])
 
     def run(batches):
-        trainer = gru.Trainer(flat, CLASSES, rate)
+        trainer, held = gru.Trainer(flat, CLASSES, rate), []
         for batch in batches:
             texts = arrow_texts(batch.column("text"))
             for first, last in chunks(texts):
-                _, bucket, counts = words_of(texts[first:last])
-                ends = np.cumsum(counts)
-                trainer.learn(np.insert(class_of[bucket], ends, CLASSES))
+                bucket, counts = buckets_of(texts[first:last])
+                held.append(np.insert(class_of[bucket], np.cumsum(counts), CLASSES))
+                if sum(map(len, held)) > LEARNED:
+                    trainer.learn(np.concatenate(held))
+                    held = []
+        if held:
+            trainer.learn(np.concatenate(held))
         if trainer.tokens:
             yield pa.record_batch([pa.array([trainer.tokens]), pa.array([trainer.flat.astype(float).tolist()])], schema=schema)
 
@@ -202,6 +217,27 @@ def _score(class_of, flat, head, n_total, vocabulary, class_tokens, class_words)
     return run
 
 
+def _head(counted: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
+    """Words (sorted) and counts of the most frequent words, `most` at most: all whose
+    count passes the least threshold that so few pass."""
+    words = counted.where(F.col("key") != int(END))
+    # counts fall into steps of a quarter octave: a few hundred rows
+    step = F.floor(4 * F.log2("n")).cast("int")
+    steps = sorted(words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    least, held = None, 0
+    for r in steps:
+        held += r["words"]
+        if held > most:
+            break
+        least = r["s"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = words.where(step >= least).toArrow()  # `most` rows at most
+    keys, n = (np.asarray(top.column(c).combine_chunks()) for c in ("key", "n"))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], n[order]
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities).
@@ -237,9 +273,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     class_words = np.append(np.bincount(class_of, words, CLASSES), float(n_ends > 0))
     n_total, vocabulary = int(class_tokens.sum()), int(class_words.sum())
     flat = train(training.withColumn("share", F.coalesce("doc_id", F.lit(0).cast("long"))), class_of, class_tokens / max(1, n_total))
-    top = counted.where(F.col("key") != int(END)).orderBy(F.desc("n"), "key").limit(HEAD).toPandas()  # HEAD rows at most
-    order = np.argsort(top["key"].to_numpy(), kind="stable")
-    head = spark.sparkContext.broadcast((top["key"].to_numpy()[order], top["n"].to_numpy()[order]))
+    top = _head(counted)
+    head = spark.sparkContext.broadcast(top)
     scored = stored(
         texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
             _score(class_of, flat, head, n_total, vocabulary, class_tokens, class_words),

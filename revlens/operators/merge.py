@@ -188,18 +188,12 @@ def reviewer_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last write wins per key (largest `order` tuple)."""
-    return first_by_order(df, keys, order, descending=True)
-
-
 __all__ = [
     "FINDING_FIELDS",
     "assign_finding_keys",
     "comment_parts",
     "commit_status",
     "cross_reviewer_dedupe",
-    "latest_per_key",
     "rank_findings",
     "rendered_findings",
     "review_comments",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +25,24 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.reviews_from_events(derived(spark, sf_dir, "review_events"))
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.review_items(reviews(spark, sf_dir)).unionByName(store.finding_items(keyed_findings(spark, sf_dir)))
 
 
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items table as the store keeps it (bucketed by pk, sorted by pk, sk)
-    in the shared folder, read back so lookups prune and push down."""
-    import uuid
-
+    in the shared folder, written once for an application and input, and read so
+    that lookups prune and push down."""
     from revlens.session import scratch_path
 
-    path = scratch_path(spark, f"items-{uuid.uuid4().hex[:12]}")
-    store.write_items(items(spark, sf_dir), path)
-    return store.read_items(spark, path)
+    key = (spark.sparkContext.applicationId, sf_dir, store.item_buckets(spark))
+    if key not in _STORED:
+        _STORED[key] = scratch_path(spark, f"items-{uuid.uuid4().hex[:12]}")
+        store.write_items(items(spark, sf_dir), _STORED[key])
+    return store.read_items(spark, _STORED[key])
 
 
 _FINDINGS = o.with_views("findings_in") + " "
@@ -84,7 +90,7 @@ def q_severity_kpi_secrets(spark, sf_dir):
 
 @register("review_count_kpi", _REVIEWS + "SELECT count(*) AS total_reviews FROM items WHERE starts_with(sk, 'META')")
 def q_review_count_kpi(spark, sf_dir):
-    return dash.review_count_kpi(stored_items(spark, sf_dir))
+    return dash.review_count_kpi(store.review_items(reviews(spark, sf_dir)))  # only META items count
 
 
 # --- queues --------------------------------------------------------------------

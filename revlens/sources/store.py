@@ -112,22 +112,27 @@ def learning_items(complete: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-ITEM_BUCKETS = 64
+def item_buckets(spark) -> int:
+    """Buckets of the items table: `spark.revlens.itemBuckets`, by default as many as
+    the session's shuffle partitions, so that it grows with the cluster."""
+    return int(spark.conf.get("spark.revlens.itemBuckets", None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pk_bucket(pk: Column, buckets: int = ITEM_BUCKETS) -> Column:
+def pk_bucket(pk: Column, buckets: int) -> Column:
     """Partition column of the items table: a stable hash bucket of `pk`."""
     return F.pmod(F.xxhash64(pk), F.lit(buckets)).cast("int")
 
 
-def write_items(items: DataFrame, path: str, buckets: int = ITEM_BUCKETS) -> None:
+def write_items(items: DataFrame, path: str, buckets: int | None = None) -> None:
     """Store items partitioned by `pk_bucket` and sorted by (pk, sk) inside each
     file: a key lookup reads one partition, and row-group statistics on sk let
-    prefix scans skip data."""
+    prefix scans skip data. Rows are dealt by ranges of (bucket, pk, sk), so a hot
+    review takes several tasks and files."""
+    n = buckets or item_buckets(items.sparkSession)
     (
-        items.withColumn("pk_bucket", pk_bucket(F.col("pk"), buckets))
-        .repartition("pk_bucket")
-        .sortWithinPartitions("pk", "sk")
+        items.withColumn("pk_bucket", pk_bucket(F.col("pk"), n))
+        .repartitionByRange("pk_bucket", "pk", "sk")
+        .sortWithinPartitions("pk_bucket", "pk", "sk")
         .write.mode("overwrite")
         .partitionBy("pk_bucket")
         .parquet(path)
@@ -138,12 +143,13 @@ def read_items(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def key_lookup(items: DataFrame, pk: str) -> DataFrame:
+def key_lookup(items: DataFrame, pk: str, buckets: int | None = None) -> DataFrame:
     """Items with this pk. On a stored items table the bucket predicate prunes
-    partitions and the pk equality is pushed to the Parquet reader."""
+    partitions (with the `buckets` it was written with) and the pk equality is
+    pushed to the Parquet reader."""
     out = items.filter(F.col("pk") == pk)
     if "pk_bucket" in items.columns:
-        out = out.filter(F.col("pk_bucket") == pk_bucket(F.lit(pk)))
+        out = out.filter(F.col("pk_bucket") == pk_bucket(F.lit(pk), buckets or item_buckets(items.sparkSession)))
     return out
 
 

@@ -63,7 +63,7 @@ def log_likelihood(flat: np.ndarray, classes: int, docs: list[np.ndarray], hidde
     order = np.argsort(-size, kind="stable")
     out = np.zeros(len(docs))
     first = np.concatenate(([0], np.cumsum(size)))[:-1]
-    flat_docs = np.concatenate([*docs, np.zeros(1, np.int64)]).astype(np.int64)
+    flat_docs = np.concatenate([*docs, np.zeros(1, np.int16)])
     h = np.zeros((len(docs), hidden), np.float32)
     before = np.full(len(docs), classes, np.int64)
     active = len(docs)
@@ -74,7 +74,7 @@ def log_likelihood(flat: np.ndarray, classes: int, docs: list[np.ndarray], hidde
         h = step(x, u, before[:active], h[:active], hidden)[3]
         scores = h @ v + b
         ends = ordered[:active] == t
-        now = np.where(ends, classes, flat_docs[np.minimum(starts[:active] + t, len(flat_docs) - 1)])
+        now = np.where(ends, classes, flat_docs[np.minimum(starts[:active] + t, len(flat_docs) - 1)]).astype(np.int64)
         top = scores.max(1, keepdims=True)
         log_sum = np.log(np.exp(scores - top).sum(1)) + top[:, 0]
         out[order[:active]] += scores[np.arange(active), now] - log_sum

@@ -33,7 +33,7 @@ ROUNDS, RATE = 2, 0.01
 #: Tokens that a task learns in one go.
 LEARNED = 250_000
 #: Distinct words that a task holds while it counts.
-HELD = 2_000_000
+HELD = 1_000_000
 
 #: A token of its own: the end of a document.
 END = np.int64(-1)
@@ -86,8 +86,12 @@ def _gather(batches):
     """Of a task's training texts: counts of words and ends (kind 0), company of
     buckets (kind 1: one key per bucket and projection, whole numbers)."""
     signs, company = _projections(), np.zeros((BUCKETS, PROJECTIONS), np.int64)
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    documents = 0
+    held, waiting, documents = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, 0
+
+    def summed():
+        keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+
     for batch in batches:
         texts = arrow_texts(batch.column("text"))
         documents += len(texts)
@@ -95,17 +99,19 @@ def _gather(batches):
             w, bucket, counts = words_of(texts[first:last])
             if not len(w):
                 continue
-            k, c = np.unique(w, return_counts=True)
-            keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-            n = np.bincount(where, np.concatenate((n, c)), len(keys)).astype(np.int64)
-            if len(keys) > HELD:
-                yield _rows(0, keys, n)
-                keys, n = keys[:0], n[:0]
+            held.append(np.unique(w, return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting > HELD:
+                held, waiting = [summed()], 0
+                if len(held[0][0]) > HELD:
+                    yield _rows(0, *held[0])
+                    held = [(held[0][0][:0], held[0][1][:0])]
             text = np.repeat(np.arange(len(counts)), counts)
             for p in range(PROJECTIONS):
                 total = np.bincount(text, signs[bucket, p], len(counts))
                 mean = np.rint(1024 * total / np.maximum(counts, 1)).astype(np.int64)
                 company[:, p] += np.bincount(bucket, mean[text], BUCKETS).astype(np.int64)
+    keys, n = summed()
     yield _rows(0, np.append(keys, END), np.append(n, documents))
     at = np.flatnonzero(company.ravel())
     yield _rows(1, at, company.ravel()[at])
@@ -183,27 +189,17 @@ def _score(class_of, flat, head, n_total, vocabulary, class_tokens, class_words)
         for batch in batches:
             texts = arrow_texts(batch.column("text"))
             uids = batch.column("uid").to_numpy()
+            labels, parts = [], []
             for first, last in chunks(texts):
                 w, bucket, counts = words_of(texts[first:last])
-                label, ends, size = class_of[bucket], np.cumsum(counts), last - first
-                docs = np.split(label, ends[:-1])
-                net = gru.log_likelihood(flat, CLASSES, docs) / np.log(10)
+                label, size = class_of[bucket], last - first
+                labels += np.split(label.astype(np.int16), np.cumsum(counts)[:-1])
                 text = np.repeat(np.arange(size), counts)
                 at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
                 in_head = known[at] == w if len(known) else np.zeros(len(w), bool)
                 gain = np.where(in_head, np.log10(count[at] + 1.0), 0.0) if len(known) else np.zeros(len(w))
-                gain = np.bincount(text, gain, size)
-                n = counts + 1
-                end_gain = np.log10(class_tokens[CLASSES] + 1.0)
-                base = gain + end_gain - n * base_floor
-                score = net + gain - np.bincount(text, class_floor[label], size)
                 heads = np.bincount(text, in_head, size).astype(np.int64) + int(class_tokens[CLASSES] > 0)
-                null = pa.nulls(size, pa.int64())
-                yield pa.record_batch(
-                    [pa.array(uids[first:last]), batch.column("doc_id")[first:last], batch.column("held_out")[first:last],
-                     pa.array(n.astype(np.int64)), pa.array(heads), pa.array(base), pa.array(score), null, null],
-                    schema=_SCORED,
-                )
+                parts.append((counts + 1, heads, np.bincount(text, gain, size), np.bincount(text, class_floor[label], size)))
                 rest = ~in_head
                 if rest.any():
                     order = np.lexsort((w[rest], text[rest]))
@@ -213,6 +209,18 @@ def _score(class_of, flat, head, n_total, vocabulary, class_tokens, class_words)
                     empty = [pa.nulls(len(new), f.type) for f in _SCORED]
                     empty[0], empty[7], empty[8] = pa.array(uids[first:last][t[new]]), pa.array(v[new]), pa.array(m.astype(np.int64))
                     yield pa.record_batch(empty, schema=_SCORED)
+            if not parts:
+                continue
+            n, heads, gain, floors = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # the network takes all documents of the batch side by side
+            net = gru.log_likelihood(flat, CLASSES, labels) / np.log(10)
+            base = gain + np.log10(class_tokens[CLASSES] + 1.0) - n * base_floor
+            null = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch(
+                [batch.column("uid"), batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)),
+                 pa.array(heads), pa.array(base), pa.array(net + gain - floors), null, null],
+                schema=_SCORED,
+            )
 
     return run
 

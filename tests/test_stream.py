@@ -223,3 +223,47 @@ def test_barrier_over_many_micro_batches(spark):
     want = sorted((r.review_id, r.seen_agents, r.complete, r.fired_at) for r in barrier_batch(events).collect())
     assert fired == want == [("q", 4, True, t + 9 * s), ("r", 2, False, t + 15 * s)]
     assert sorted((r.review_id, r.late_events) for r in rows if r.kind == "late") == [("q", 1), ("r", 1)]
+
+
+def test_connected_tables_and_split_landing(spark):
+    """A pull request whose files land in two parts is reviewed once and whole, and the
+    tables can be read by the store's own readers."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from revlens.operators import admission as adm
+    from revlens.plans.offline import no_sleep, offline_scorer_factory
+    from revlens.sources import landed, store
+    from revlens.streaming import pipeline
+
+    t, out, land = dt.datetime(2024, 1, 1), tempfile.mkdtemp(prefix="revlens-conn-"), tempfile.mkdtemp(prefix="revlens-files-")
+    event = {"action": "opened", "repository": {"full_name": "o/r"}, "sender": {"login": "me"},
+             "pull_request": {"number": 5, "html_url": "u", "head": {"sha": "s1"}}}
+    env = spark.createDataFrame([({"X-GitHub-Event": "pull_request"}, json.dumps(event), False, t)], landed.ENVELOPE_SCHEMA.add("received_at", "timestamp"))
+    admitted = adm.project_webhook_event(adm.admit(landed.webhook_envelopes(env), ""))
+    events = admitted.withColumn("review_id", adm.review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
+    secret = "password = " + "'hunter2hunter2'"
+    for part in range(2):
+        row = {"filename": f"a{part}.py", "status": "added", "additions": 1, "deletions": 0, "patch": "@@ -0,0 +1 @@\n+" + secret}
+        spark.createDataFrame([(5, "s1", part, json.dumps(row))], "pr_number long, head_sha string, ordinal long, file_json string").write.parquet(f"{land}/{part}")
+
+    def files(ev):
+        rows = spark.read.parquet(f"{land}/*")
+        return landed.pr_files(rows.join(ev.select("review_id", "pr_number", "head_sha"), ["pr_number", "head_sha"]))
+
+    review = pipeline.review_micro_batches(out, files, offline_scorer_factory, sleep=no_sleep)
+    review(events, 0)
+    review(events, 0)  # a replay
+    items = spark.read.parquet(f"{out}/items")
+    keys = [(r.pk, r.sk) for r in items.collect()]
+    assert len(keys) == len(set(keys)) and sum(sk.startswith("FINDING#security#") for _, sk in keys) >= 2
+    meta = store.review_projection(store.reviews_from_items(items)).first()
+    assert (meta.repo, meta.pr_number, meta.pr_url, meta.files_count, meta.timestamp) == ("o/r", 5, "u", 2, t)
+    assert store.upsert_latest(items, order=["write_ts"]).count() == len(keys)
+    fired = spark.createDataFrame([(meta.review_id, "fired", t)], "review_id string, kind string, fired_at timestamp")
+    pipeline.trigger_micro_batches(out)(fired, 0)
+    done = spark.read.parquet(f"{out}/complete")
+    pipeline.learning_micro_batches(out)(done.drop("batch_id"), 0)
+    assert spark.read.parquet(f"{out}/comments").count() == 1
+    assert [r.sk for r in spark.read.parquet(f"{out}/learnings").collect()] == [f"LEARNING#{meta.review_id}"]

@@ -287,6 +287,18 @@ def q_pr_metadata_scan(spark, sf_dir):
     return m.select("pr_number", "title", "body", "head_sha", "user", F.array_join("labels", ",").alias("labels"), "updated_at")
 
 
+# One nested event per row, as text that both engines build alike: a parsed pull request
+# of one file (every seventh without a sender) and a review of one finding.
+_PARSED_JSON = """'{"review_id": "' || review_id || '", "repo_full_name": "o/r", "pr_number": 1, "pr_title": "", "pr_url": "", "head_sha": "s", "base_ref": "b", "head_ref": "h"' ||
+  CASE WHEN ordinal % 7 = 0 THEN '' ELSE ', "sender": "me"' END || ', "files": [{"path": "' || filename || '", "language": "x", "status": "' || status ||
+  '", "additions": ' || cast(additions as string) || '}], "stats": {"total_files": 1, "languages": ["x"]}}'"""
+_REVIEW_JSON = """'{"review_id": "' || review_id || '", "repo_full_name": "' || repo || '", "pr_number": ' || cast(pr_number as string) ||
+  ', "pr_url": "", "head_sha": "s", "agent_meta": {"agent": "' || agent || '"}, "findings": [{"severity": "' || severity || '", "category": "' || category ||
+  '", "file": "' || file || '", "line": ' || cast(line as string) || ', "message": "' || message || '"}]}'"""
+_PARSED_TEXT = f"SELECT ordinal, {_PARSED_JSON} AS text FROM pr_files"
+_REVIEW_TEXT = f"SELECT ordinal, {_REVIEW_JSON} AS text FROM findings_in"
+
+
 def _typed_sql() -> str:
     checks = []
     for name, typ, default in landed.WEBHOOK_EVENT_FIELDS:
@@ -301,7 +313,7 @@ def _typed_sql() -> str:
         checks.append(f"CASE WHEN NOT {ok} THEN 1 ELSE 0 END")
     n_bad = " + ".join(checks)
     return (
-        _REQ
+        _REQ.rstrip() + ",\n" + o.views_cte("pr_files", "findings_in")
         + f""", inputs AS (
   SELECT request_id, 'flat' AS kind, to_json({{'action': action, 'repo_full_name': repo_full_name, 'repo_clone_url': repo_clone_url,
     'pr_number': pr_number, 'pr_title': pr_title, 'pr_url': pr_url, 'pr_diff_url': pr_diff_url, 'head_sha': head_sha,
@@ -311,7 +323,16 @@ def _typed_sql() -> str:
   SELECT request_id, 'nested', body_text FROM projected)
 SELECT request_id, kind, CASE WHEN json_type(text) = 'OBJECT' THEN {n_bad} ELSE 1 END AS n_violations,
        CASE WHEN json_type(text) = 'OBJECT' THEN ({n_bad}) = 0 ELSE false END AS valid
-FROM inputs"""
+FROM inputs
+UNION ALL
+SELECT request_id, kind, bad, bad = 0 FROM (
+  SELECT ordinal AS request_id, 'parsed' AS kind,
+    CASE WHEN json_extract_string(text, '$.files[0].status') IN ('added', 'modified', 'deleted', 'renamed') THEN 0 ELSE 1 END
+    + CASE WHEN json_type(text, '$.sender') = 'VARCHAR' THEN 0 ELSE 1 END AS bad
+  FROM ({_PARSED_TEXT})
+  UNION ALL
+  SELECT ordinal, 'review', CASE WHEN json_extract_string(text, '$.findings[0].severity') IN ('critical', 'warning', 'info') THEN 0 ELSE 1 END
+  FROM ({_REVIEW_TEXT}))"""
     )
 
 
@@ -320,8 +341,14 @@ def q_typed_event_parse(spark, sf_dir):
     ev = adm.serialise_events(accepted_events(spark, sf_dir))
     flat = ev.select("request_id", F.lit("flat").alias("kind"), F.col("value").alias("text"))
     nested = ev.select("request_id", F.lit("nested").alias("kind"), F.col("body_text").alias("text"))
-    t = landed.typed_events(flat.unionByName(nested))
-    return t.select("request_id", "kind", F.size("violations").cast("int").alias("n_violations"), "valid")
+    parsed = derived(spark, sf_dir, "pr_files").select(F.col("ordinal").alias("request_id"), F.lit("parsed").alias("kind"), F.expr(_PARSED_JSON).alias("text"))
+    reviews = derived(spark, sf_dir, "findings_in").select(F.col("ordinal").alias("request_id"), F.lit("review").alias("kind"), F.expr(_REVIEW_JSON).alias("text"))
+    out = None
+    for rows, model in ((flat.unionByName(nested), "webhook"), (parsed, "parsed"), (reviews, "review")):
+        t = landed.typed_events(rows, fields=landed.EVENT_MODELS[model])
+        t = t.select("request_id", "kind", F.size("violations").cast("int").alias("n_violations"), "valid")
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 # --- completion messages ----------------------------------------------------------

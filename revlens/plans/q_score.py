@@ -222,15 +222,18 @@ stats AS (SELECT review_id, count(*) FILTER (WHERE NOT is_generated) AS files_an
 nchunks AS (SELECT review_id, max(total_chunks) AS chunks_analyzed FROM assigned GROUP BY review_id)
 SELECT s.review_id, r.agent, CASE WHEN r.agent = 'security' THEN 'review.security' ELSE 'review.' || r.agent END AS event_type,
        coalesce(n_findings, 0) AS n_findings, coalesce(n_regex, 0) AS n_regex,
-       files_analyzed, coalesce(chunks_analyzed, 0) AS chunks_analyzed
-FROM stats s CROSS JOIN reviewers r LEFT JOIN per p ON p.review_id = s.review_id AND p.agent = r.agent
+       files_analyzed, coalesce(chunks_analyzed, 0) AS chunks_analyzed, coalesce(tokens_in, 0) AS tokens_in,
+       cast(0 AS BIGINT) AS latency_ms, coalesce(model, 'none') AS model, s.review_id AS trace_id
+FROM stats s CROSS JOIN reviewers r
+LEFT JOIN (SELECT review_id, agent, cast(sum(tokens_in_counted) AS BIGINT) AS tokens_in, max(model_id) AS model FROM outcomes GROUP BY ALL) t
+  ON t.review_id = s.review_id AND t.agent = r.agent LEFT JOIN per p ON p.review_id = s.review_id AND p.agent = r.agent
 LEFT JOIN nchunks n ON n.review_id = s.review_id""",
 )
 def q_review_event_assemble(spark, sf_dir):
     from revlens.operators.review_events import assemble_review_events
 
     b = batch(spark, sf_dir)
-    return assemble_review_events(b.stats, b.assigned, b.findings)
+    return assemble_review_events(b.stats, b.assigned, b.findings, b.decoded).drop("tokens_out")
 
 
 @register(

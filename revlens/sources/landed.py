@@ -163,37 +163,114 @@ def pr_metadata(meta_json: DataFrame) -> DataFrame:
     )
 
 
-def _typed(v: Column, name: str, typ: str) -> tuple[Column, Column]:
-    """(value, ok) of field `name` of VARIANT `v` for a declared type."""
-    if typ == "string":
-        return F.try_variant_get(v, f"$.{name}", "string"), F.coalesce(json_type(v, f"$.{name}") == "STRING", F.lit(False))
-    value = json_int(v, f"$.{name}")
-    return value, value.isNotNull()
+# Nested event models, as WEBHOOK_EVENT_FIELDS: (name, type, default or None when
+# required). A type is a name, ("enum", values), ("object", fields), ("list", fields or
+# a type name) or ("nullable", type); OPTIONAL marks lists and objects with defaults.
+OPTIONAL = ()
+_FILE = [
+    ("path", "string", None), ("language", "string", None), ("status", ("enum", ("added", "modified", "deleted", "renamed")), None),
+    ("additions", "bigint", 0), ("deletions", "bigint", 0), ("patch", "string", ""), ("source_path", ("nullable", "string"), ""),
+]
+_CHUNK = [("chunk_index", "bigint", None), ("total_chunks", "bigint", None), ("files", ("list", _FILE), None), ("total_lines", "bigint", 0)]
+_STATS = [
+    ("total_files", "bigint", 0), ("total_additions", "bigint", 0), ("total_deletions", "bigint", 0), ("languages", ("list", "string"), OPTIONAL),
+    ("has_generated_files", "boolean", False), ("generated_files_filtered", "bigint", 0),
+]
+_FINDING = [
+    ("severity", ("enum", ("critical", "warning", "info")), None), ("category", "string", None), ("file", "string", None),
+    ("line", "bigint", 0), ("message", "string", None), ("suggestion", "string", ""), ("agent", "string", ""),
+]
+_META = [
+    ("agent", "string", None), ("model", "string", "none"), ("tokens_in", "bigint", 0), ("tokens_out", "bigint", 0),
+    ("latency_ms", "bigint", 0), ("tools_called", ("list", "string"), OPTIONAL),
+]
+_BASE = [("review_id", "string", None), ("trace_id", "string", ""), ("agent_meta", ("object", _META), OPTIONAL)]
+PARSED_EVENT_FIELDS = [
+    *_BASE, ("event_type", "string", "pr.parsed"),
+    *[(k, t, None) for k, t in (("repo_full_name", "string"), ("pr_number", "bigint"), ("pr_title", "string"), ("pr_url", "string"),
+                                ("head_sha", "string"), ("base_ref", "string"), ("head_ref", "string"), ("sender", "string"))],
+    ("installation_id", "bigint", 0), ("files", ("list", _FILE), OPTIONAL), ("chunks", ("list", _CHUNK), OPTIONAL),
+    ("stats", ("object", _STATS), OPTIONAL),
+]
+REVIEW_EVENT_FIELDS = [
+    *_BASE, ("event_type", "string", "review.security"),
+    *[(k, t, None) for k, t in (("repo_full_name", "string"), ("pr_number", "bigint"), ("pr_url", "string"), ("head_sha", "string"))],
+    ("findings", ("list", _FINDING), OPTIONAL), ("files_analyzed", "bigint", 0), ("chunks_analyzed", "bigint", 0),
+]
+EVENT_MODELS = {"webhook": WEBHOOK_EVENT_FIELDS, "parsed": PARSED_EVENT_FIELDS, "review": REVIEW_EVENT_FIELDS}
+
+
+def _all(checks: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in checks:
+        out = out & c
+    return out
+
+
+def _is_type(v: Column, path: str, typ) -> Column:
+    """Is the value at `path` of VARIANT `v` of the type (see EVENT_MODELS)?"""
+    t = json_type(v, path)
+    if isinstance(typ, str):
+        if typ == "bigint":
+            return json_int(v, path).isNotNull()
+        return F.coalesce(t == {"string": "STRING", "boolean": "BOOLEAN"}[typ], F.lit(False))
+    kind, of = typ
+    if kind == "enum":
+        return F.coalesce((t == "STRING") & F.try_variant_get(v, path, "string").isin(*of), F.lit(False))
+    if kind == "nullable":
+        return F.coalesce(t == "VOID", F.lit(False)) | _is_type(v, path, of)
+    if kind == "object":
+        inner = [_field_ok(v, f"{path}.{name}", ft, default) for name, ft, default in of]
+        return F.coalesce(t.startswith("OBJECT"), F.lit(False)) & _all(inner)
+    if isinstance(of, str):
+        ok = lambda e: _is_type(e, "$", of)
+    else:
+        def ok(e):
+            fields = _all([_field_ok(e, f"$.{name}", ft, default) for name, ft, default in of])
+            return F.coalesce(json_type(e).startswith("OBJECT"), F.lit(False)) & fields
+    every = F.forall(F.try_variant_get(v, path, "array<variant>"), ok)
+    return F.coalesce(t.startswith("ARRAY"), F.lit(False)) & F.coalesce(every, F.lit(False))
+
+
+def _field_ok(v: Column, path: str, typ, default) -> Column:
+    ok = _is_type(v, path, typ)
+    return ok if default is None else json_type(v, path).isNull() | ok
+
+
+def _value(v: Column, path: str, typ, default) -> Column:
+    """Typed value, its default where there is none; lists and objects as JSON text."""
+    present = json_type(v, path).isNotNull()
+    if typ == "bigint":
+        value, kind = json_int(v, path), "bigint"
+    elif typ == "boolean":
+        value, kind = F.try_variant_get(v, path, "boolean"), "boolean"
+    elif typ == "string" or typ[0] in ("enum", "nullable") and typ[1] == "string" or typ[0] == "enum":
+        value, kind = F.try_variant_get(v, path, "string"), "string"
+    else:
+        value, kind = F.to_json(F.try_variant_get(v, path, "variant")), "string"
+    if default is None or default == OPTIONAL:
+        return value
+    return F.when(present, value).otherwise(F.lit(default)).cast(kind)
 
 
 def typed_events(raw: DataFrame, text: str = "text", fields=WEBHOOK_EVENT_FIELDS) -> DataFrame:
-    """Decode JSON events against a declared schema with defaults.
+    """Decode JSON events against a declared model (EVENT_MODELS) with defaults.
 
-    Adds the typed fields, `valid` and `violations` (names of missing or
-    mistyped required fields). Invalid rows belong in a quarantine table:
-    `raw.filter(~valid)`; nothing is silently dropped.
+    Adds the typed fields, `valid` and `violations` (names of missing or mistyped
+    fields; one bad element makes its list bad). Nothing is silently dropped:
+    `quarantined` gives the rows to keep aside.
     """
     v = strict_json(F.col(text))
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    is_obj = F.coalesce(F.schema_of_variant(F.col("__v")).startswith("OBJECT"), F.lit(False))
     out = raw.withColumn("__v", v)
-    problems = []
-    cols = []
-    for name, typ, default in fields:
-        value, ok = _typed(F.col("__v"), name, typ)
-        present = F.schema_of_variant(F.variant_get(F.col("__v"), f"$.{name}", "variant")).isNotNull()
-        if default is None:
-            good = ok
-            cols.append(value.alias(name))
-        else:
-            good = ~present | ok
-            cols.append(F.when(present, value).otherwise(F.lit(default)).cast(typ).alias(name))
-        problems.append(F.when(~good, F.lit(name)))
+    cols = [_value(F.col("__v"), f"$.{name}", typ, default).alias(name) for name, typ, default in fields]
+    problems = [F.when(~_field_ok(F.col("__v"), f"$.{name}", typ, default), F.lit(name)) for name, typ, default in fields]
     violations = F.filter(F.array(*problems), lambda x: x.isNotNull())
     return out.select(
         "*", *cols, F.when(is_obj, violations).otherwise(F.array(F.lit("<not an object>"))).alias("violations")
     ).withColumn("valid", F.size("violations") == 0).drop("__v")
+
+
+def quarantined(typed: DataFrame, text: str = "text") -> DataFrame:
+    """(text, violations) of the events that do not decode, for a quarantine table."""
+    return typed.where(~F.col("valid")).select(text, F.array_join("violations", ",").alias("violations"))

@@ -85,7 +85,7 @@ def review_micro_batches(
         # review.<agent> events, one per review and reviewer even without findings: fed
         # to `barrier_stream` every reviewer that finished counts. Their time is the
         # event's, so a replayed batch gives the same rows.
-        reported = assemble_review_events(b.stats, b.assigned, b.findings).join(
+        reported = assemble_review_events(b.stats, b.assigned, b.findings, b.decoded).join(
             events.select("review_id", F.col("received_at").alias("ts")), "review_id"
         )
         sinks.write_batch(reported, f"{out_dir}/review_events", batch_id)

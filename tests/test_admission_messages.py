@@ -205,3 +205,34 @@ def test_line_out_of_range(spark):
     got = decode_replies(df).collect()
     assert got[0].outcome == "invalid" and [f.line for f in got[0].findings] == [3]
     assert got[1].outcome == "bad_json"
+
+
+def test_nested_event_models(spark):
+    import json
+
+    from revlens.sources import landed
+
+    base = {"review_id": "r", "repo_full_name": "o/r", "pr_number": 3, "pr_url": "u", "head_sha": "s"}
+    good = {"severity": "info", "category": "c", "file": "f", "message": "m"}
+    rows = {
+        "ok": {**base, "findings": [good], "agent_meta": {"agent": "style", "tokens_in": 7, "tools_called": ["a"]}},
+        "no findings": base, "bad severity": {**base, "findings": [good, {**good, "severity": "URGENT"}]},
+        "not a list": {**base, "findings": {"a": 1}}, "tools": {**base, "agent_meta": {"agent": "x", "tools_called": [1]}},
+        "no review": {k: v for k, v in base.items() if k != "review_id"}, "null list": {**base, "findings": None},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()] + [("prose", json.dumps(base) + " x")], "name string, text string")
+    typed = landed.typed_events(df, fields=landed.EVENT_MODELS["review"])
+    got = {r["name"]: (r.valid, list(r.violations)) for r in typed.collect()}
+    assert got["ok"] == got["no findings"] == (True, [])
+    assert got["bad severity"][1] == got["not a list"][1] == got["null list"][1] == ["findings"]
+    assert got["tools"][1] == ["agent_meta"] and got["no review"][1] == ["review_id"] and not got["prose"][0]
+    row = typed.where("name = 'ok'").first()
+    assert (row.files_analyzed, row.event_type, json.loads(row.findings)[0]["file"]) == (0, "review.security", "f")
+    assert landed.quarantined(typed).count() == 6 - 1 + 1 - 0 and set(landed.quarantined(typed).columns) == {"text", "violations"}
+
+    chunk = {"chunk_index": 0, "total_chunks": 1, "files": [{"path": "p", "language": "go", "status": "added"}]}
+    parsed = {**base, "pr_title": "t", "base_ref": "b", "head_ref": "h", "sender": "me", "chunks": [chunk]}
+    bad = {**parsed, "chunks": [{**chunk, "files": [{"path": "p", "language": "go", "status": "copied"}]}]}
+    df = spark.createDataFrame([("ok", json.dumps(parsed)), ("bad", json.dumps(bad))], "name string, text string")
+    got = {r["name"]: list(r.violations) for r in landed.typed_events(df, fields=landed.EVENT_MODELS["parsed"]).collect()}
+    assert got == {"ok": [], "bad": ["chunks"]}

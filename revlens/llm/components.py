@@ -14,38 +14,39 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Each half round links the neighbours of a node to the smallest of them: one
     aggregate (combined before its shuffle, so a hub is no hot group) and one join
-    (whose skewed side Spark splits). Rounds end when the edges no longer change;
-    every round's edges are a stored table. Rows with a null end are dropped, loops
-    and repeated edges do no harm, an empty table gives an empty result.
+    (whose skewed side Spark splits). Rounds end when every node hangs on one root and
+    no root hangs on another; every round's edges are a stored table. Rows with a null
+    end are dropped, loops and repeated edges do no harm, an empty table gives an empty
+    result.
     """
     a, b = F.col(u), F.col(v)
     nodes = edges.where(a.isNotNull() & b.isNotNull())
     now = stored(nodes.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "edges")
-    mark = _mark(now)
-    while True:
+    while not _is_star_forest(now):
         links = now.where("hi <> lo")
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(
             links.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
         )
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
         large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo"))
-        large = large.distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(down, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         loops = now.where("hi = lo")
-        then = stored(small.unionByName(down.select("hi", F.col("least").alias("lo"))).unionByName(loops).distinct(), "edges")
-        new = _mark(then)
+        then = small.unionByName(down.select("hi", F.col("least").alias("lo"))).unionByName(loops).distinct()
+        then = stored(then, "edges")
         dropped(now)
         now = then
-        if new == mark:
-            break
-        mark = new
     named = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return named.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free sum of their hashes."""
-    h = F.xxhash64("hi", "lo")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum((h % 1_000_000_007).cast("decimal(38,0)")), F.bit_xor(h)).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Does every node hang on one other at most, and none that is hung on hang itself
+    (loops aside)?"""
+    links = edges.where("hi <> lo")
+    ends = links.select(F.col("hi").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        links.select(F.col("lo").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    per_node = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return per_node.where("hangs > 1 OR hangs > 0 AND holds > 0").isEmpty()

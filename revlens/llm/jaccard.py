@@ -18,7 +18,7 @@ Which shingles count as frequent only moves work: any fixed set gives the same r
 Once the keys' sizes are known, a class drops its most frequent keys, as many as it must
 have in common with any partner but one: the prefix rule again, on exact frequencies.
 
-Candidates become links in three steps. Twice every key's classes are compared with one
+Candidates become links in two steps. First every key's classes are compared with one
 leader, and links are merged to components: a group of near copies takes one comparison a
 member. Then whatever shares a key and is of different components still is compared
 exhaustively: in small keys pair by pair, in large ones block by block with shared-shingle
@@ -276,8 +276,10 @@ def _sets_of(texts: DataFrame, firsts: DataFrame, classes: DataFrame) -> DataFra
     wanted = stored(classes.distinct().join(firsts, "class"), "wanted")
     schema = "doc_id long, class long, set array<bigint>"
     if wanted.count() <= BROADCAST_CLASSES:
-        rows = sorted((r["class"], r["doc_id"]) for r in wanted.collect() if r["doc_id"] is not None)
-        known = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]))
+        listed = wanted.where("doc_id IS NOT NULL").toArrow()  # BROADCAST_CLASSES rows at most
+        names, ids = (np.asarray(listed.column(c).combine_chunks()) for c in ("class", "doc_id"))
+        order = np.argsort(names)
+        known = spark.sparkContext.broadcast((names[order], ids[order]))
         named = texts.where("doc_id IS NOT NULL").mapInArrow(_sets(known), schema).select("class", "set")
         nameless = wanted.where("doc_id IS NULL")
         if nameless.isEmpty():
@@ -309,10 +311,10 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.select("key"), "key", "left_semi")
 
 
-def _star(rows: DataFrame, salt: int, percent: int) -> DataFrame:
+def _star(rows: DataFrame, percent: int) -> DataFrame:
     """Stored pairs (a, b): every key's leader (the least by hash) with the key's classes
     of other components whose size allows a link."""
-    place = F.xxhash64("class", F.lit(salt))
+    place = F.xxhash64("class")
     leaders = rows.groupBy("key").agg(F.min(F.struct(place.alias("p"), "class", "n", "label")).alias("x"))
     leaders = leaders.select("key", F.col("x.class").alias("lc"), F.col("x.n").alias("ln"), F.col("x.label").alias("ll"))
     pairs = rows.join(leaders, "key").where(
@@ -422,11 +424,11 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = profile.where("token IS NULL").select("doc_id", "class", "n")
     often = (
         profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= FREQUENT)
-        .orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).collect()  # MOST_FREQUENT rows at most
+        .orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toArrow()  # MOST_FREQUENT rows at most
     )
-    tokens = np.array([r["token"] for r in often], np.int64).view(np.uint64)
+    tokens = np.asarray(often.column("token").combine_chunks()).view(np.uint64)
     order = np.argsort(tokens)
-    rank = (len(often) - np.arange(len(often)))[order]
+    rank = (len(tokens) - np.arange(len(tokens)))[order]
     frequent = spark.sparkContext.broadcast((tokens[order], rank))
     index = texts.mapInArrow(_keys(frequent, percent), KEYS)
     # a key of frequent shingles may hold a third of all classes: its rows are dealt
@@ -446,11 +448,10 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = stored(connected_components(links), "labels")
         released(spark)
 
-    for salt in range(2):
-        pairs = _star(rows, salt, percent)
-        merged(_verified(sets, pairs, percent))
-        dropped(pairs)
-        rows = stored(_open(shared, labels), "open")
+    pairs = _star(rows, percent)
+    merged(_verified(sets, pairs, percent))
+    dropped(pairs)
+    rows = stored(_open(shared, labels), "open")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     small = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
     large = rows.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi")

@@ -408,6 +408,33 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return out
 
 
+def _labels(texts: DataFrame, firsts: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all classes that have a link; deletes `shared`."""
+    spark = texts.sparkSession
+    none = spark.createDataFrame([], "node long, component long")
+    if shared.isEmpty():
+        return none
+    sets = stored(_sets_of(texts, firsts, shared.select("class")), "sets")  # all that can be compared
+    pairs = _star(shared.withColumn("label", F.col("class")), percent)
+    links = _verified(sets, pairs, percent)
+    labels = stored(connected_components(links), "labels")
+    dropped(pairs)
+    released(spark)
+    rows = stored(_open(shared, labels), "open")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    small = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
+    large = rows.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi")
+    pairs = _small_key_pairs(small, percent)
+    more = _verified(sets, pairs, percent)
+    if not large.isEmpty():
+        more = more.unionByName(_large_key_links(large, sets, percent))
+    if not more.isEmpty():
+        labels = stored(connected_components(links.unionByName(more)), "labels")
+    dropped(pairs, rows, sets, shared)
+    released(spark)
+    return labels
+
+
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest
     doc_id that links reach, itself included).
@@ -438,26 +465,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = _partnered(stored(parts.mapInArrow(_shared_keys, KEYS), "shared"), percent)
     released(spark)
     firsts = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(_sets_of(texts, firsts, shared.select("class")), "sets")
-    links, labels = None, spark.createDataFrame([], "node long, component long")
-    rows = shared.withColumn("label", F.col("class"))
-
-    def merged(found):
-        nonlocal links, labels
-        links = found if links is None else links.unionByName(found)
-        labels = stored(connected_components(links), "labels")
-        released(spark)
-
-    pairs = _star(rows, percent)
-    merged(_verified(sets, pairs, percent))
-    dropped(pairs)
-    rows = stored(_open(shared, labels), "open")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    small = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
-    large = rows.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi")
-    pairs = _small_key_pairs(small, percent)
-    merged(_verified(sets, pairs, percent).unionByName(_large_key_links(large, sets, percent)))
-    dropped(pairs, rows, sets, shared)
+    labels = _labels(texts, firsts, shared, percent)
     named = known.join(labels, known["class"] == labels["node"], "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("group")
     )

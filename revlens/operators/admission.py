@@ -108,20 +108,24 @@ def project_webhook_event(admitted: DataFrame) -> DataFrame:
     return admitted.select("*", *[cols[name].alias(name) for name in EVENT_COLUMNS])
 
 
-def accepted_only(projected: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with outcome 'accepted', columns `keep`, evaluated in one pass.
+def rows_where(df: DataFrame, condition: Column, keep: list[str]) -> DataFrame:
+    """The columns `keep` of the rows that meet `condition`, with costly columns
+    evaluated once.
 
-    A plain `filter(outcome == 'accepted')` is pushed below the admission
-    projection, evaluating the signature and the JSON parse a second time. The
-    selection is instead made after a generator (a one-element array for
-    accepted rows, none otherwise, then a filter on the generated column):
+    A plain filter is pushed below the projections, evaluating a signature or a JSON
+    parse a second time. The selection is instead made after a generator (a one-element
+    array for chosen rows, none otherwise, then a filter on the generated column):
     filters on generator output stay above it."""
     row = F.struct(*[F.col(c) for c in keep])
-    arr = F.when(F.col("outcome") == "accepted", F.array(row))  # NULL otherwise
-    out = projected.select(F.explode_outer(arr).alias("__e"))
+    out = df.select(F.explode_outer(F.when(condition, F.array(row))).alias("__e"))
     return out.filter(F.col("__e").isNotNull()).select("__e.*")
 
 
+def accepted_only(projected: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows with outcome 'accepted', columns `keep`, evaluated in one pass."""
+    return rows_where(projected, F.col("outcome") == "accepted", keep)
+
+
 EVENT_COLUMNS = [
     "action", "repo_full_name", "repo_clone_url", "pr_number", "pr_title", "pr_url", "pr_diff_url",
     "head_sha", "base_ref", "head_ref", "sender", "installation_id",

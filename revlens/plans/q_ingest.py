@@ -135,8 +135,8 @@ def q_event_type_filter(spark, sf_dir):
 )
 def q_action_filter(spark, sf_dir):
     e = envelopes(spark, sf_dir).withColumn("payload", strict_json(F.col("body_text")))
-    action = F.variant_get("payload", "$.action", "string")
-    return e.filter(action.isin(*rules.REVIEWED_ACTIONS)).select("request_id", action.alias("action"))
+    e = e.withColumn("action", F.try_variant_get("payload", "$.action", "string"))
+    return adm.rows_where(e, F.col("action").isin(*rules.REVIEWED_ACTIONS), ["request_id", "action"])
 
 
 @register(

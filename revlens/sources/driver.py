@@ -56,10 +56,10 @@ _PLANTED = [
 # A patch: every line of the text as an added line, a planted line, and removed lines.
 _N_LINES = f"(length(text) - length(replace(text, {_NL}, '')) + 2)"
 _PATCH = (
-    f"'@@ -1,' || {_s('doc_id % 120 + 1')} || ' +1,' || {_s(_N_LINES)} || ' @@' || {_NL}"
+    f"'@@ -1,' || {_s('doc_id % 300 + 1')} || ' +1,' || {_s(_N_LINES)} || ' @@' || {_NL}"
     f" || '+' || replace(text, {_NL}, {_NL} || '+')"
     f" || {_NL} || '-old_password = ' || {_Q} || 'was-' || {_s('doc_id')} || '-secret' || {_Q}"
-    f" || repeat({_NL} || '-old line', cast(doc_id % 120 as int))"
+    f" || repeat({_NL} || '-old line', cast(doc_id % 300 as int))"
     f" || {_NL} || '+' || CASE doc_id % 10 "
     + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(_PLANTED[:-1]))
     + f" ELSE {_PLANTED[-1]} END"
@@ -90,7 +90,7 @@ SELECT
   CASE doc_id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'removed'
     WHEN 3 THEN 'renamed' ELSE 'copied' END AS status,
   {_N_LINES} AS additions,
-  doc_id % 120 + 1 AS deletions,
+  doc_id % 300 + 1 AS deletions,
   {_PATCH} AS patch,
   CASE WHEN doc_id % 5 = 3 THEN 'old/' || {_s('doc_id')} || '.txt' END AS previous_filename
 FROM documents
@@ -276,10 +276,10 @@ FROM events
 """
 
 # Queue receive log: every event is one receive. Three events with consecutive ids are
-# the receives of one message, from one of the 7 main queues; processing succeeds when
-# value < 60.
+# the receives of one message (each ninth event is a message of its own), from one of the
+# 7 main queues; processing succeeds when value < 60.
 RECEIVES_SQL = f"""
-SELECT 'm' || {_s('cast(floor(event_id / 3) as bigint)')} AS message_id,
+SELECT CASE WHEN event_id % 9 = 8 THEN 's' || {_s('event_id')} ELSE 'm' || {_s('cast(floor(event_id / 3) as bigint)')} END AS message_id,
   CASE cast(floor(event_id / 3) as bigint) % 7 {" ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate([q for q in rules.QUEUES if not q.endswith('-dlq')]))} END AS queue,
   ts AS received_at,
   event_id AS receive_seq,

@@ -32,7 +32,9 @@ def test_barrier_branches(q):
 
 def test_admission_branches(q):
     got = counts(q("admission_route"), "outcome")
-    assert set(got) == {"accepted", "bad_signature", "ignored_action", "ignored_event", "invalid_json"}
+    assert set(got) == {
+        "accepted", "bad_body", "bad_signature", "ignored_action", "ignored_event", "invalid_event", "invalid_json",
+    }
 
 
 def test_message_and_reply_branches(q):

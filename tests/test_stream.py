@@ -10,6 +10,14 @@ from revlens.streaming import runner, sinks
 from revlens.streaming.barrier import barrier_batch, barrier_stream
 
 
+def envelope_schema():
+    from pyspark.sql import types as T
+
+    from revlens.sources import landed
+
+    return T.StructType([*landed.ENVELOPE_SCHEMA.fields, T.StructField("received_at", T.TimestampType())])
+
+
 def test_barrier_complete_and_timeout(spark):
     t = dt.datetime(2024, 1, 1)
     s = dt.timedelta(seconds=1)
@@ -51,7 +59,7 @@ def test_admission_stream_dedupes_redeliveries(spark):
         ({"X-GitHub-Event": "pull_request"}, json.dumps(other), False, t),
         ({"X-GitHub-Event": "push"}, json.dumps(payload), False, t),
     ]
-    schema = landed.ENVELOPE_SCHEMA.add("received_at", "timestamp")
+    schema = envelope_schema()
     land = tempfile.mkdtemp(prefix="revlens-env-")
     spark.createDataFrame(rows, schema).write.mode("overwrite").json(os.path.join(land, "in"))
     stream = spark.readStream.schema(schema).json(os.path.join(land, "in"))
@@ -240,7 +248,7 @@ def test_connected_tables_and_split_landing(spark):
     t, out, land = dt.datetime(2024, 1, 1), tempfile.mkdtemp(prefix="revlens-conn-"), tempfile.mkdtemp(prefix="revlens-files-")
     event = {"action": "opened", "repository": {"full_name": "o/r"}, "sender": {"login": "me"},
              "pull_request": {"number": 5, "html_url": "u", "head": {"sha": "s1"}}}
-    env = spark.createDataFrame([({"X-GitHub-Event": "pull_request"}, json.dumps(event), False, t)], landed.ENVELOPE_SCHEMA.add("received_at", "timestamp"))
+    env = spark.createDataFrame([({"X-GitHub-Event": "pull_request"}, json.dumps(event), False, t)], envelope_schema())
     admitted = adm.project_webhook_event(adm.admit(landed.webhook_envelopes(env), ""))
     events = admitted.withColumn("review_id", adm.review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
     secret = "password = " + "'hunter2hunter2'"

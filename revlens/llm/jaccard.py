@@ -333,7 +333,8 @@ def _small_key_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(percent: int):
-    """Links between the left and the right rows of a block, of different labels."""
+    """Links between the left and the right rows of a block: one for each pair of
+    labels that has any, for classes of one label are linked already."""
 
     def run(block: pa.Table) -> pa.Table:
         left = np.asarray(block.column("left").combine_chunks().to_numpy(zero_copy_only=False))
@@ -361,6 +362,8 @@ def _compare(percent: int):
         union = n[l][:, None] + n[r][None, :] - both
         found = (100 * both >= percent * union) & (label[l][:, None] != label[r][None, :])
         i, j = np.nonzero(found)
+        _, one = np.unique(np.stack((label[l[i]], label[r[j]])), axis=1, return_index=True)
+        i, j = i[one], j[one]
         return pa.table({"u": pa.array(name[l[i]], pa.int64()), "v": pa.array(name[r[j]], pa.int64())})
 
     return run
@@ -375,9 +378,8 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     first = rows.groupBy("key").agg(F.min("class").alias("first"))
     group = stored(connected_components(rows.join(first, "key").select(F.col("class").alias("u"), F.col("first").alias("v"))), "groups")
-    members = rows.select("class", "label").distinct().join(group, F.col("class") == F.col("node"))
-    members = members.select("class", "label", F.col("component").alias("group")).join(sets, "class").withColumn("n", F.size("set"))
-    members = stored(members, "members")
+    members = rows.select("class", "label", "n").distinct().join(group, F.col("class") == F.col("node"))
+    members = stored(members.select("class", "label", "n", F.col("component").alias("group")), "members")
     by_label = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     per_group = by_label.groupBy("group").agg(
         F.max(F.struct("rows", "label", "shingles")).alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
@@ -393,7 +395,7 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     )
     placed = members.join(per_group, "group")
     h = F.xxhash64("class")
-    cols = ["group", "class", "label", "n", "set"]
+    cols = ["group", "class", "label", "n"]
     left = placed.where("label <> main").select(
         *cols, F.lit(True).alias("left"), F.pmod(h, "left_blocks").cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"),
@@ -402,7 +404,9 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
         *cols, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"),
         F.pmod(h, "right_blocks").cast("int").alias("j"),
     )
-    links = left.unionByName(right).groupBy("group", "i", "j").applyInArrow(_compare(percent), "u long, v long")
+    # sets come in last, by class: a group's rows never meet in one task
+    blocked = left.unionByName(right).join(sets, "class")
+    links = blocked.groupBy("group", "i", "j").applyInArrow(_compare(percent), "u long, v long")
     out = stored(links, "links")
     dropped(members, group)
     return out

@@ -172,7 +172,7 @@ def _assign(max_lines: int):
 def assign_chunks(
     files: DataFrame,
     max_lines: int = rules.MAX_CHUNK_LINES,
-    block_files: int = 256,
+    block_files: int = 1024,
     fan_in: int = 256,
 ) -> DataFrame:
     """Add `chunk_index` and `total_chunks` to kept files.

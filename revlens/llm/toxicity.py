@@ -10,7 +10,6 @@ dictionaries have not seen, gives the score.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import mix, word_hashes
+
 WINDOW_WORDS = 16
 #: Labelled rows of each class that are fitted on, at most, and their longest text.
 FIT_ROWS, FIT_CHARS = 4_000, 20_000
@@ -86,17 +87,29 @@ def _content(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def unlike(texts: list[str], signs: int = 4) -> list[str]:
-    """Texts without near copies of earlier ones: those that share no least hash of
-    their words with one. Copies would make any word of theirs look frequent."""
-    seen, out = set(), []
-    salts = [f"{i}:".encode() for i in range(signs)]
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words, of the words' hashes in order."""
+    out = h
+    for k in range(1, words):
+        out = mix(out[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
+    return out
+
+
+def unlike(texts: list[str], signs: int = 32, same: float = 0.75) -> list[str]:
+    """Texts without near copies of earlier ones that stay: of `signs` least hashes of
+    their three-word shingles, `same` or more are equal. Copies would make any word of
+    theirs look frequent; all other texts stay."""
+    salts = mix(np.arange(1, signs + 1, dtype=np.uint64))
+    kept, n, out = np.zeros((len(texts), signs), np.uint64), 0, []
     for t in texts:
-        words = {w.encode("utf-8", "replace") for w in _LETTERS.findall(t.lower()) if len(w) > 6}
-        mins = {(i, min(zlib.crc32(w, zlib.crc32(s)) for w in words)) for i, s in enumerate(salts)} if words else set()
-        if not mins & seen:
-            out.append(t)
-        seen |= mins
+        h = word_hashes([t.encode("utf-8", "replace")])[0]
+        if len(h):
+            h = np.unique(_runs(h, min(3, len(h))))
+            mins = np.array([mix(h ^ s).min() for s in salts])
+            if n and (kept[:n] == mins).sum(1).max() >= same * signs:
+                continue
+            kept[n], n = mins, n + 1
+        out.append(t)
     return out
 
 

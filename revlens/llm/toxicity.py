@@ -1,10 +1,11 @@
 """Toxicity by compression distance (operator 3).
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic text
-has beyond it. Every window of a document is compressed with the ordinary dictionary
-and with both; the bytes that the toxic one saves are the window's distance. A
-logistic curve over a document's distances, fitted on labelled documents that the
-dictionaries have not seen, gives the score.
+Three zstandard dictionaries are trained: one on the windows of ordinary texts, one on
+the windows of toxic texts, and one on the telling runs of words of toxic texts alone.
+Every window of a document is compressed with the ordinary dictionary, and with each
+of the toxic ones before it; the bytes that a toxic one saves are the window's
+distances. A logistic curve over a document's distances, fitted on labelled documents
+that the dictionaries have not seen, gives the score.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ WINDOW_WORDS = 16
 FIT_ROWS, FIT_CHARS = 4_000, 20_000
 #: Dictionary sizes. What toxic text has beyond ordinary text fits into little.
 DICT_BYTES, TOXIC_BYTES = 1 << 16, 1 << 11
+#: Short segments: of a toxic window, a word or two are toxic.
+SEGMENTS = {"k": 16, "d": 6}
+#: Words of a telling run, at most.
+RUN_WORDS = 3
 #: A thorough search with large tables: a hastier one finds other matches in the two
 #: dictionaries, and that noise hides a saved word.
 SEARCH = {
@@ -46,16 +51,17 @@ def windows(text: str | None, words: int = WINDOW_WORDS) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionary contents, the threshold of a telling window and the curve."""
+    """Dictionary contents (of toxic windows, of telling runs), the threshold of a
+    telling window with each of these two, and the curve."""
 
     ordinary: bytes
-    toxic: bytes
-    threshold: float
+    toxic: tuple[bytes, ...]
+    thresholds: tuple[float, ...]
     weights: tuple[float, ...]
 
     def compressors(self) -> list:
         out, search = [], zstandard.ZstdCompressionParameters(**SEARCH)
-        for content in (self.ordinary, self.toxic + self.ordinary):
+        for content in (self.ordinary, *[t + self.ordinary for t in self.toxic]):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=search)
             out.append(zstandard.ZstdCompressor(compression_params=search, dict_data=d))
@@ -63,26 +69,33 @@ class Model:
 
 
 def distances(compressors: list, text: str | None) -> np.ndarray:
-    """Bytes that the toxic dictionary saves, of each window."""
-    plain, both = (c.compress for c in compressors)
-    return np.array([len(plain(w)) - len(both(w)) for w in windows(text)], float)
-
-
-def features(d: np.ndarray, threshold: float) -> np.ndarray:
-    """Of a document's distances: the largest, the mean of the three largest, and how
-    many windows pass the threshold, by number and by share."""
-    if not len(d):
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
-    top = np.sort(d)[::-1][:3]
-    over = float((d >= threshold).sum())
-    return np.array([1.0, top[0] / 4, top.sum() / 12, np.log1p(over), over / len(d)])
-
-
-def _content(samples: list[bytes], size: int) -> bytes:
+    """Bytes that each toxic dictionary saves: a row per dictionary, a column per window."""
+    plain, *both = (c.compress for c in compressors)
+    out = []
+    for w in windows(text):
+        alone = len(plain(w))
+        out.append([alone - len(c(w)) for c in both])
+    return np.array(out, float).reshape(-1, len(both)).T
+
+
+def features(d: np.ndarray, thresholds: tuple[float, ...]) -> np.ndarray:
+    """Of a document's distances, with each toxic dictionary: the largest, the mean of
+    the three largest, and how many windows pass the threshold, by number and by share."""
+    out = [1.0]
+    for row, threshold in zip(d, thresholds, strict=True):
+        if len(row):
+            top, over = np.sort(row)[::-1][:3], float((row >= threshold).sum())
+            out += [top[0] / 4, top.sum() / 12, np.log1p(over), over / len(row)]
+        else:
+            out += [0.0] * 4
+    return np.array(out)
+
+
+def _content(samples: list[bytes], size: int, **segments) -> bytes:
     """A trained dictionary; of too little text to train on, the text itself."""
     samples = [s for s in samples if s]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **segments).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -113,22 +126,41 @@ def unlike(texts: list[str], signs: int = 32, same: float = 0.75) -> list[str]:
     return out
 
 
-def telling_words(toxic: list[str], ordinary: list[str], least: float = 18.0) -> set[str]:
-    """Words over-represented in toxic texts: log-likelihood ratio of their document
-    counts of at least `least` (chance gives less to all of a large vocabulary)."""
-    toxic, ordinary = unlike(toxic), unlike(ordinary)
+def _word_hashes(text: str) -> tuple[list[str], np.ndarray]:
+    """Words of letters, lower-cased, and their hashes."""
+    w = _LETTERS.findall(text.lower())
+    return w, word_hashes([" ".join(w).encode("utf-8", "replace")])[0]
 
-    def df(texts):
-        return Counter(w for t in texts for w in set(_LETTERS.findall(t.lower())))
 
-    bad, good = df(toxic), df(ordinary)
+def telling_runs(toxic: list[str], ordinary: list[str], least: float = 18.0) -> list[np.ndarray]:
+    """Runs of 1 to RUN_WORDS words that are over-represented in toxic texts: their
+    sorted hashes, by length. The log-likelihood ratio of their document counts is at
+    least `least` (chance gives less to all of a large vocabulary)."""
     share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-
-    def ratio(a: int, b: int) -> float:
+    bad, good = ([_word_hashes(t)[1] for t in texts] for texts in (toxic, ordinary))
+    out = []
+    for words in range(1, RUN_WORDS + 1):
+        runs, a = np.unique(np.concatenate([np.unique(_runs(h, words)) for h in bad] or [np.zeros(0, np.uint64)]), return_counts=True)
+        runs, a = runs[a >= 3], a[a >= 3]
+        b = np.zeros(len(runs))
+        for h in good if len(runs) else ():
+            h = np.unique(_runs(h, words))
+            at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+            b[at[runs[at] == h]] += 1
         n = a + b
-        return 2 * (a * np.log(a / (n * share)) + (b * np.log(b / (n * (1 - share))) if b else 0.0))
+        ratio = 2 * (a * np.log(a / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share))))
+        out.append(runs[(a > n * share) & (ratio >= least)])
+    return out
+
 
-    return {w for w, n in bad.items() if n >= 3 and n > (n + good[w]) * share and ratio(n, good[w]) >= least}
+def _told(text: str, telling: list[np.ndarray]) -> bytes:
+    """The words of a text that stand in a telling run."""
+    w, h = _word_hashes(text)
+    there = np.zeros(len(w), bool)
+    for words, runs in enumerate(telling, 1):
+        for at in np.flatnonzero(np.isin(_runs(h, words), runs)):
+            there[at : at + words] = True
+    return " ".join(["", *[x for x, t in zip(w, there, strict=True) if t], ""]).encode("utf-8", "replace")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, sample: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -149,7 +181,7 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
     classes the score is `share` everywhere."""
     y = np.array(toxic, float)
     prior = float(np.clip(share, 1e-4, 1 - 1e-4))
-    flat = Model(b"", b"", 1.0, (float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0, 0.0))
+    flat = Model(b"", (b"", b""), (1.0, 1.0), (float(np.log(prior / (1 - prior))), *[0.0] * 8))
     if len(y) == 0 or y.min() == y.max():
         return flat
     for_curve = np.arange(len(y)) % 4 == 3
@@ -158,20 +190,24 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
     trains = ~for_curve if (~for_curve).any() and 0 < y[~for_curve].sum() < (~for_curve).sum() else np.ones(len(y), bool)
     bad = [t for t, m, z in zip(texts, trains, y, strict=True) if m and z]
     good = [t for t, m, z in zip(texts, trains, y, strict=True) if m and not z]
-    words = telling_words(bad, good)
+    bad, good = unlike(bad), unlike(good)
     ordinary = _content([w for t in good for w in windows(t)], DICT_BYTES)
-    special = [" ".join(["", *[w for w in _LETTERS.findall(t.lower()) if w in words], ""]).encode("utf-8", "replace") for t in bad]
-    model = Model(ordinary, _content([s for s in special if s.strip()], TOXIC_BYTES), 1.0, flat.weights)
-    if not model.toxic:
+    telling = telling_runs(bad, good)
+    toxic = (
+        _content([w for t in bad for w in windows(t)], TOXIC_BYTES, **SEGMENTS),
+        _content([s for s in (_told(t, telling) for t in bad) if s.strip()], TOXIC_BYTES),
+    )
+    if not toxic[0]:
         return flat
-    compressors = model.compressors()
+    compressors = Model(ordinary, toxic, flat.thresholds, flat.weights).compressors()
     d = [distances(compressors, t) for t, m in zip(texts, for_curve, strict=True) if m]
     yc = y[for_curve]
-    calm = np.concatenate([x for x, z in zip(d, yc, strict=True) if not z and len(x)] or [np.zeros(1)])
-    threshold = max(2.0, float(np.quantile(calm, 0.999)) + 1)
-    x = np.array([features(v, threshold) for v in d])
+    calm = np.hstack([np.zeros((2, 0)), *[x for x, z in zip(d, yc, strict=True) if not z]])
+    calm = calm if calm.shape[1] else np.zeros((2, 1))
+    thresholds = tuple(np.maximum(2.0, np.quantile(calm, 0.999, axis=1) + 1).tolist())
+    x = np.array([features(v, thresholds) for v in d])
     sample = np.where(yc == 1, prior / max(yc.mean(), 1e-9), (1 - prior) / max(1 - yc.mean(), 1e-9))
-    return Model(ordinary, model.toxic, threshold, tuple(_logistic(x, yc, sample).tolist()))
+    return Model(ordinary, toxic, thresholds, tuple(_logistic(x, yc, sample).tolist()))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, learns: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
@@ -195,7 +231,7 @@ def score(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         compressors, w = model.compressors(), np.array(model.weights)
-        x = np.array([features(distances(compressors, t), model.threshold) for t in texts]).reshape(-1, len(w))
+        x = np.array([features(distances(compressors, t), model.thresholds) for t in texts]).reshape(-1, len(w))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return run(text)

@@ -1,10 +1,10 @@
 """License scans by conditional compression (operator 9).
 
-Candidate blocks (lines, or sentences of long lines, with a word that licenses use) are
-compressed by themselves and with each template as a raw zstandard dictionary. Templates
-are ranked by the share of the block that they save; of the best few the one with the
-fewest differing words wins, and it is confirmed if those are few and none of them is a
-word that tells licenses apart.
+Candidate blocks are lines that hold a cue, a word that licenses use. Around each cue, windows of about the templates' lengths are
+compressed by themselves and with each template as a raw zstandard dictionary. A
+template that saves a share of the bytes it saves of its own text is held against the
+window word by word, and is confirmed if few words differ and none of them is a word
+that tells licenses apart. All confirmed passages of a block are returned.
 """
 
 from __future__ import annotations
@@ -42,13 +42,15 @@ TEMPLATES = (
 )
 #: Words that make another license of the same sentence.
 TELLING = frozenset("mit apache gnu lesser affero general bsd clause mozilla cc by sa nc nd cc0 creative commons attribution".split())
-CUE = r"(?i)licen[sc]e|permission is hereby|redistribution and use|free software|public domain|\bcc0\b|\bcc by\b"
-LONG_LINE = 600
+#: In words with one space between, and in raw text.
+CUE_WORDS = r"licen[sc]e|permission is hereby|redistribution and use|free software|public domain|\bcc0\b|\bcc by\b"
+CUE = "(?i)" + CUE_WORDS.replace(" ", "[^a-zA-Z0-9]+")
+#: Words on each side of a cue: a template is sought in the least that holds it.
+REACH = (12, 24, 48, 96)
 LEVEL = 19
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?:;])\s+")
-_CUE = re.compile(CUE)
+_CUE = re.compile(CUE_WORDS)
 
 
 def words(text: str) -> list[str]:
@@ -56,13 +58,21 @@ def words(text: str) -> list[str]:
 
 
 def blocks(text: str):
-    """(number, block) of lines, or sentences of long lines, that have a cue."""
-    n = 0
-    for line in text.split("\n"):
-        for part in [line] if len(line) <= LONG_LINE else _SENTENCE.split(line):
-            if _CUE.search(part):
-                yield n, part
-            n += 1
+    """(number, words) of the lines that have a cue."""
+    for n, line in enumerate(text.split("\n")):
+        w = words(line)
+        if _CUE.search(" ".join(w)):
+            yield n, w
+
+
+def cues(block: list[str]) -> list[int]:
+    """Places of the words at which a cue begins."""
+    text, out, at, i = " ".join(block), [], 0, 0
+    for m in _CUE.finditer(text):
+        i += text.count(" ", at, m.start())
+        at = m.start()
+        out.append(i)
+    return list(dict.fromkeys(out))
 
 
 class Scanner:
@@ -76,37 +86,88 @@ class Scanner:
             d.precompute_compress(level=LEVEL)
             self.given.append(zstandard.ZstdCompressor(dict_data=d, **options).compress)
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share saved, template) of all templates, the best first."""
-        data = " ".join(["", *words(block), ""]).encode()
-        alone = len(self.alone(data))
-        return sorted(((1 - len(c(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, template: int) -> tuple[int, int, bool]:
-        """Template words that the block lacks, block words inside the passage that
-        the template lacks, and whether one of either tells licenses apart."""
-        mine, theirs = words(block), self.templates[template][1]
-        parts = [m for m in SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks() if m.size]
-        if not parts:
-            return len(theirs), len(mine), True
+        self.own = [len(self.alone(d)) - len(c(d)) for d, c in ((self._bytes(w), c) for (_, w), c in zip(self.templates, self.given, strict=True))]
+        self.reach = [next((r for r in REACH if r >= len(w)), len(w)) for _, w in self.templates]
+
+    @staticmethod
+    def _bytes(w: list[str]) -> bytes:
+        return " ".join(["", *w, ""]).encode()
+
+    def saved(self, w: list[str], template: int) -> float:
+        """Share of a passage that a template saves."""
+        data = self._bytes(w)
+        return 1 - len(self.given[template](data)) / len(self.alone(data))
+
+    def differences(self, mine: list[str], template: int):
+        """(first, last, missing, extra, telling) of the passage of `mine` that is
+        nearest to a template: its place, template words that it lacks, words inside
+        it that the template lacks, and whether one of either tells licenses apart.
+        None if they share no word."""
+        theirs = self.templates[template][1]
+        core = SequenceMatcher(None, mine, theirs, autojunk=False).find_longest_match()
+        if not core.size:
+            return None
+        slack = 2 + len(theirs) // 5
+        low = max(0, core.a - core.b - slack)
+        near = mine[low : core.a - core.b + len(theirs) + slack]
+        parts = [m for m in SequenceMatcher(None, near, theirs, autojunk=False).get_matching_blocks() if m.size]
+        # a common word farther off than it is long is none of the passage
+        while len(parts) > 1 and parts[1].a - parts[0].a - parts[0].size > parts[0].size:
+            parts = parts[1:]
+        while len(parts) > 1 and parts[-1].a - parts[-2].a - parts[-2].size > parts[-1].size:
+            parts = parts[:-1]
         first, last = parts[0].a, parts[-1].a + parts[-1].size
         used = {i for m in parts for i in range(m.a, m.a + m.size)}
         there = {i for m in parts for i in range(m.b, m.b + m.size)}
-        extra = [mine[i] for i in range(first, last) if i not in used]
+        extra = [near[i] for i in range(first, last) if i not in used]
         missing = [w for i, w in enumerate(theirs) if i not in there]
-        telling = any(w in TELLING or w[0].isdigit() for w in [*extra, *missing])
-        return len(missing), len(extra), telling
-
-    def scan(self, block: str, best: int = 5, least_saved: float = 0.15, most_differing: float = 0.2):
-        """(name, share saved, missing, extra, confirmed) of a block's best template,
-        or None if no template saves enough."""
-        ranked = [x for x in self.rank(block)[:best] if x[0] >= least_saved]
-        if not ranked:
-            return None
-        told = [(self.differences(block, i), saved, i) for saved, i in ranked]
-        (missing, extra, telling), saved, i = min(told, key=lambda x: (x[0][2], x[0][0] + x[0][1], -x[1], x[2]))
-        name, w = self.templates[i]
-        return name, saved, missing, extra, not telling and missing + extra <= most_differing * len(w)
+        telling = any(w in TELLING or w[:1].isdigit() or not w for w in [*extra, *missing])
+        return low + first, low + last, len(missing), len(extra), telling
+
+    def around(self, block: list[str], cue: int, least_own: float = 0.2, most_differing: float = 0.2):
+        """Passages around a cue, the best first: (unconfirmed, telling, differing,
+        -words, template, first, last, missing, extra)."""
+        out, alone = [], {}
+        for i, (reach, own) in enumerate(zip(self.reach, self.own, strict=True)):
+            low = max(0, cue - reach)
+            w = block[low : cue + reach + 1]
+            data = self._bytes(w)
+            if reach not in alone:
+                alone[reach] = len(self.alone(data))
+            if alone[reach] - len(self.given[i](data)) < least_own * own:
+                continue
+            found = self.differences(w, i)
+            if found:
+                first, last, missing, extra, telling = found
+                size = len(self.templates[i][1])
+                sure = not telling and missing + extra <= most_differing * size
+                out.append((not sure, telling, missing + extra, missing - size, i, low + first, low + last, missing, extra))
+        return sorted(out)
+
+    def scan(self, block: list[str], least_saved: float = 0.15):
+        """(name, share saved, missing, extra, confirmed) of all confirmed passages of
+        a block, and of the best other passage at each cue outside them that a
+        template saves enough of; in order of their places."""
+        left, taken, rows, others = list(block), [False] * len(block), [], []
+        for cue in cues(block):
+            while not taken[cue]:
+                found = self.around(left, cue)
+                if not found or found[0][0]:
+                    others += [(cue, x) for x in found if x[5] <= cue < x[6]][:1]
+                    break
+                rows.append((found[0], True))
+                for at in range(found[0][5], found[0][6]):
+                    left[at], taken[at] = "", True
+        for cue, x in others:
+            if not any(taken[x[5] : x[6]]) and not taken[cue]:
+                rows.append((x, False))
+                taken[x[5] : x[6]] = [True] * (x[6] - x[5])
+        out = []
+        for (_, _, _, _, i, first, last, missing, extra), sure in sorted(rows, key=lambda r: r[0][5]):
+            saved = self.saved(block[first:last], i)
+            if sure or saved >= least_saved:
+                out.append((self.templates[i][0], saved, missing, extra, sure))
+        return out
 
 
 _SCHEMA = pa.schema([
@@ -121,23 +182,22 @@ def _scan(batches):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for n, block in blocks(text):
-                key = " ".join(words(block))
+                key = " ".join(block)
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
                     known[key] = scanner.scan(block)
-                if known[key] is not None:
-                    rows.append((doc_id, n, *known[key]))
+                rows += [(doc_id, n, *row) for row in known[key]]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """A row per candidate block that a template explains: doc_id, block (its place
-    among the text's blocks), license, saved, n_missing, n_extra, confirmed.
+    """A row per passage that a template explains: doc_id, block (its line's place
+    in the text), license, saved, n_missing, n_extra, confirmed.
 
     Null and empty texts have no blocks; repeated rows and null doc_ids are scanned
-    like others; blocks whose best templates tie take the earlier one. Very long texts
-    are scanned block by block. An empty table gives an empty result. Only doc_id and
+    like others; passages whose best templates tie take the earlier one. Very long texts
+    are scanned block by block, each around its cues. An empty table gives an empty result. Only doc_id and
     text are read; texts without a cue never leave the JVM.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(CUE))

@@ -1,6 +1,7 @@
 """License scans by conditional compression (operator 9).
 
-Candidate blocks are lines that hold a cue, a word that licenses use. Around each cue, windows of about the templates' lengths are
+Candidate blocks are paragraphs (lines up to one without words) that hold a cue, a word
+that licenses use. Around each cue, windows of about the templates' lengths are
 compressed by themselves and with each template as a raw zstandard dictionary. A
 template that saves a share of the bytes it saves of its own text is held against the
 window word by word, and is confirmed if few words differ and none of them is a word
@@ -58,11 +59,16 @@ def words(text: str) -> list[str]:
 
 
 def blocks(text: str):
-    """(number, words) of the lines that have a cue."""
-    for n, line in enumerate(text.split("\n")):
+    """(number, words) of the paragraphs that have a cue."""
+    n, held = 0, []
+    for line in [*text.split("\n"), ""]:
         w = words(line)
-        if _CUE.search(" ".join(w)):
-            yield n, w
+        if w:
+            held += w
+        elif held:
+            if _CUE.search(" ".join(held)):
+                yield n, held
+            n, held = n + 1, []
 
 
 def cues(block: list[str]) -> list[int]:
@@ -192,7 +198,7 @@ def _scan(batches):
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """A row per passage that a template explains: doc_id, block (its line's place
+    """A row per passage that a template explains: doc_id, block (its paragraph's place
     in the text), license, saved, n_missing, n_extra, confirmed.
 
     Null and empty texts have no blocks; repeated rows and null doc_ids are scanned

@@ -1,8 +1,9 @@
-"""Notices inside long lines, and two in a line."""
+"""Notices inside long lines, two in a line, and wrapped over lines."""
 
 from __future__ import annotations
 
 import random
+import textwrap
 
 import pytest
 
@@ -31,6 +32,21 @@ def test_both_licenses_of_a_line():
     assert confirmed(f"{text} {text}") == ["MIT", "Apache-2.0"] * 2
 
 
+@pytest.mark.parametrize("template", [2, 7, 10])
+@pytest.mark.parametrize("mark", ["# ", " * ", "// ", ""])
+@pytest.mark.parametrize("width", [30, 72])
+def test_wrapped_notices(width, mark, template):
+    name, notice = licenses.TEMPLATES[template]
+    lines = textwrap.wrap(notice, width)
+    text = "\n".join(["import os", mark.strip(), *[mark + x for x in lines], mark.strip(), "x = 1"])
+    assert confirmed(text) == [name]
+
+
+def test_wrapped_cue_reaches_the_scan(spark):
+    docs = spark.createDataFrame([(1, "# Redistribution and\n# use in source and binary forms, with or without modification,\n# are permitted provided that the following conditions are\n# met:")], "doc_id long, text string")
+    assert [(r.license, r.confirmed) for r in licenses.scan_licenses(docs).collect()] == [("BSD-3-Clause", True)]
+
+
 def test_other_licenses_stay_unconfirmed():
     assert confirmed("text before. Licensed under CC BY-NC 5.0. and text after it") == []
     assert confirmed("the driver lost his license again yesterday") == []

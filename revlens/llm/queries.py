@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.llm import (
     decontaminate,
+    fill_in_middle,
+    hard_negatives,
     jaccard,
     language_model,
     licenses,
     line_quality,
     mixing,
+    quality_classifier,
     secrets,
     token_counts,
     toxicity,
@@ -87,3 +91,19 @@ def op2(spark, sf_dir):
 @query("op9_conditional_compression_licenses")
 def op9(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fill_in_middle", fill_in_middle.ORACLE)
+def op11(spark, sf_dir):
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ngram_quality_classifier")
+def op12(spark, sf_dir):
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_rtree_hard_negatives", hard_negatives.ORACLE)
+def op13(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), relabel=label)

@@ -7,34 +7,27 @@ them the barrier is complete and fires at the last one's first event, else it
 fires at t0 + timeout with those that arrived. It fires once per review; events
 that arrive after it fired are late.
 
-Two forms with the same result:
+Two forms:
 * `barrier_batch` - two partial aggregations (first event per reviewer, then
   per review); skew-safe.
-* `barrier_stream` - `applyInPandasWithState` with event-time timeouts. An
-  earlier event may still arrive until the watermark passes, and moves t0 back;
-  so the review is decided when the watermark passes t0 + timeout, whatever the
-  micro-batches were. The state (first event per reviewer, fired, late count)
-  is a few bytes whatever the review's size, and each Arrow chunk is reduced to
-  first arrivals before it touches the state. After firing the state stays for
-  `late_horizon`: findings that arrive in that time come out as `kind = 'late'`
-  rows, and never open the review again; the summary triggers are the
-  `kind = 'fired'` rows. Findings later than the horizon count as a new review.
+* `barrier_stream` - keyed state with event-time timers (`keyed.Barrier`). A review with
+  all reviewers fires at once, another when the watermark passes its deadline. No row is
+  dropped for being late: an event of a review that has fired comes out as `late`, and if
+  it changes the decision an `amended` row follows. `decisions` takes the last version of
+  each review, which equals the batch form for any order and any micro-batches. Triggers
+  are the `fired` rows; the state of a review is a few bytes whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens import rules
-
-BARRIER_SCHEMA = "review_id string, kind string, seen_agents int, complete boolean, fired_at timestamp, late_events long"
-_STATE_SCHEMA = "agents array<string>, firsts array<long>, fired boolean, late long"
-
+from revlens.operators.ordering import first_by_order
+from revlens.streaming import keyed, sinks
 
 def barrier_batch(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
                   expected: int = rules.EXPECTED_REVIEWERS) -> DataFrame:
@@ -60,74 +53,40 @@ def barrier_batch(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECO
     )
 
 
-def _fired(review_id: str, firsts: dict[str, int], timeout_us: int, expected: int) -> pd.DataFrame:
-    t0 = min(firsts.values())
-    in_time = [t for t in firsts.values() if t <= t0 + timeout_us]
-    complete = len(in_time) >= expected
-    return pd.DataFrame({
-        "review_id": [review_id], "kind": ["fired"], "seen_agents": [len(in_time)], "complete": [complete],
-        "fired_at": [pd.Timestamp(max(in_time) if complete else t0 + timeout_us, unit="us")], "late_events": [0],
-    })
-
-
-def _barrier_fn(timeout_s: int, expected: int, late_horizon_s: int):
-    timeout_us, horizon_ms = timeout_s * 1_000_000, late_horizon_s * 1000
-
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        review_id = key[0]
-        agents, times, fired, late = state.get if state.exists else ([], [], False, 0)
-        firsts = dict(zip(agents, times))
-        if state.hasTimedOut:
-            if fired:  # the horizon has passed
-                state.remove()
-                return
-            yield _fired(review_id, firsts, timeout_us, expected)
-            state.update((list(agents), list(times), True, int(late)))
-            state.setTimeoutTimestamp(int(state.getCurrentWatermarkMs()) + max(1, horizon_ms))
-            return
-        # Reduce each Arrow chunk to the first arrival per reviewer:
-        # memory stays constant however many events a hot review has.
-        n_events = 0
-        for pdf in batches:
-            pdf = pdf[pdf["agent"].notna()]  # rows without a reviewer only move event time
-            if len(pdf) == 0:
-                continue
-            n_events += len(pdf)
-            us = pd.to_datetime(pdf["ts"]).astype("datetime64[us]").astype("int64")
-            mins = pd.Series(us.to_numpy()).groupby(pdf["agent"].to_numpy()).min()
-            if not fired:
-                for agent, t in mins.items():
-                    firsts[agent] = min(int(t), firsts.get(agent, int(t)))
-        if not n_events:
-            return
-        now_ms = int(state.getCurrentWatermarkMs())
-        state.update((list(firsts), [int(t) for t in firsts.values()], bool(fired), int(late) + (n_events if fired else 0)))
-        if fired:
-            state.setTimeoutTimestamp(now_ms + max(1, horizon_ms))
-            yield pd.DataFrame({
-                "review_id": [review_id], "kind": ["late"], "seen_agents": [len(firsts)], "complete": [len(firsts) >= expected],
-                "fired_at": [pd.NaT], "late_events": [n_events],
-            })
-            return
-        deadline_ms = (min(firsts.values()) + timeout_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(deadline_ms, now_ms + 1))
-
-    return fn
-
-
 def barrier_stream(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SECONDS,
                    expected: int = rules.EXPECTED_REVIEWERS, watermark: str = "1 minute",
-                   late_horizon_s: int = 3600) -> DataFrame:
-    """Streaming form over a finding-event stream (review_id, agent, ts).
-
-    Rows with a NULL agent (other events on the same stream) are not counted
-    but still advance the watermark; they are not filtered out before the
-    stateful step, because a filter would be pushed below the watermark."""
-    slim = events.select("review_id", "agent", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    return slim.groupBy("review_id").applyInPandasWithState(
-        _barrier_fn(timeout_s, expected, late_horizon_s),
-        outputStructType=BARRIER_SCHEMA,
-        stateStructType=_STATE_SCHEMA,
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+                   retention_s: int | None = None, event_key: Column | None = None) -> DataFrame:
+    """Streaming form over a finding-event stream (review_id, agent, ts); rows as
+    `keyed.BARRIER_SCHEMA`.
+
+    Rows with a NULL agent (other events on the same stream) are not counted but move the
+    clock. `event_key` names an event in its late row. With `retention_s` the state of a
+    review goes that long after it fired; events older than that of a review without state
+    then come out as late and decide nothing. Without it state stays, a few bytes a review."""
+    slim = keyed.with_clock(events, "ts", watermark, [
+        F.col("review_id"), F.col("agent"), F.col("ts").cast("timestamp").alias("event_ts"),
+        (F.lit(None) if event_key is None else event_key).cast("string").alias("event_key"),
+    ])
+    return slim.groupBy("review_id").transformWithState(
+        keyed.Barrier(timeout_s, expected, retention_s), keyed.BARRIER_SCHEMA, "Append", "EventTime"
     )
+
+
+def barrier_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over barrier rows with two outputs: `triggers` (fired and
+    amended decisions) and `late_findings` (one row per event that came too late)."""
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        sinks.write_batch(rows.where("kind <> 'late'").drop("agent", "ts", "event_key"), f"{out_dir}/triggers", batch_id)
+        late = rows.where("kind = 'late'").select("review_id", "agent", "ts", "event_key", "fired_at")
+        sinks.write_batch(late, f"{out_dir}/late_findings", batch_id)
+        rows.unpersist()
+
+    return run
+
+
+def decisions(triggers: DataFrame) -> DataFrame:
+    """The decision of each review as it stands: its last version."""
+    rows = triggers.where("kind IN ('fired', 'amended')").select("review_id", "version", "seen_agents", "complete", "fired_at", "events")
+    return first_by_order(rows, ["review_id"], ["version"], descending=True)

@@ -1,17 +1,17 @@
 """Streaming compositions of the review service.
 
-    envelopes --admit, project--> accepted events --dedupe (watermark)--> one event per review
-    events --per micro-batch: landed files of those reviews, batch review--> tables
-    tables/review_events --barrier (state)--> tables/triggers
-    triggers --comment, complete--> tables/comments, tables/complete
+    envelopes --admit, project--> accepted events --state per review--> first, earlier, duplicate
+    first events --per micro-batch: landed files of those reviews, batch review--> tables
+    tables/review_events --barrier (state)--> triggers, late_findings
+    triggers --comment, complete--> tables/comments, outbox of complete messages
     complete messages --skip empty ids--> tables/learnings
 
 The tables are the review store: `items` rows (pk, sk, attrs, write_ts) of META and
-findings, which `store.review_projection`, `upsert_latest` and `read_latest` read,
-`review_events` (one per review and reviewer), `verdicts`, `comments`, `complete` and
-`learnings`. Every sink writes through `sinks.write_batch` (idempotent per batch id)
-under spark.checkpoint.dir; every query has its own checkpoint folder, so each part
-fails and restarts on its own.
+findings, `verdicts`, `comments` and `learnings` are snapshot tables (`snapshots`: whole
+versions, merged as they grow); `review_events` and `complete` are logs that streams read,
+a folder per micro-batch. Every sink is idempotent per batch id and lives under
+spark.checkpoint.dir; every query has its own checkpoint folder, so each part fails and
+restarts on its own. No stream drops a row for being late (`keyed`).
 """
 
 from __future__ import annotations
@@ -22,23 +22,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens import rules
 from revlens.operators import admission as adm
 from revlens.operators.review_events import assemble_review_events
-from revlens.operators.dashboard import message_routes
 from revlens.plans.batch import review_batch
 from revlens.sources import landed, store
-from revlens.streaming import sinks
+from revlens.streaming import barrier, keyed, outbox, sinks, snapshots
 
 
-def admission_stream(envelopes: DataFrame, secret: str, watermark: str = "1 hour") -> DataFrame:
-    """Accepted, projected, de-duplicated webhook events from an envelope
-    stream (needs `received_at`). Re-deliveries of the same PR head within
-    the watermark collapse to one event; the dedupe state expires with it."""
+def admission_stream(envelopes: DataFrame, secret: str, ttl_s: int | None = 4 * 86_400, tie: str | None = None) -> DataFrame:
+    """Accepted, projected webhook events from an envelope stream (needs `received_at`),
+    with review_id and `kind`: the `first` delivery of a pull request's head starts its
+    review, `earlier` ones came later but carry an older time, the rest are `duplicate`.
+    Every accepted delivery comes out, however late. A head is forgotten `ttl_s` after its
+    last delivery: as long as the queue keeps messages."""
     admitted = adm.admit(landed.webhook_envelopes(envelopes), secret)
-    events = adm.accepted_only(adm.project_webhook_event(admitted), ["received_at", *adm.EVENT_COLUMNS])
-    keyed = events.withColumn("review_id", adm.review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
-    return keyed.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["review_id"])
+    keep = ["received_at", *adm.EVENT_COLUMNS, *([] if tie is None else [tie])]
+    events = adm.accepted_only(adm.project_webhook_event(admitted), keep)
+    keyed_events = events.withColumn("review_id", adm.review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
+    return keyed.first_per_key(keyed_events, "review_id", "received_at", None if tie is None else F.col(tie), ttl_s)
 
 
 def meta_items(events: DataFrame, b) -> DataFrame:
@@ -65,8 +66,8 @@ def review_micro_batches(
     sleep: Callable[[float], None] = time.sleep,
     brand: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function over admitted events (one per review, with review_id and
-    received_at): review all landed files of those reviews and write the tables.
+    """foreachBatch function over admitted events (review_id, received_at, kind): review
+    all landed files of the first deliveries' reviews and write the tables.
 
     The work is keyed on the event, not on the arrival of files: `landed_files(events)`
     gives the events' file rows (review_id, ordinal, ...) as landed by now, so a review
@@ -74,27 +75,28 @@ def review_micro_batches(
     """
 
     def run(events: DataFrame, batch_id: int) -> None:
-        events = events.persist()
+        events = events.where("kind = 'first'").drop("kind").persist()
         b = review_batch(landed_files(events), scorer_factory, sleep=sleep, brand=brand)
         findings = b.findings.join(
             events.select("review_id", F.col("repo_full_name").alias("repo"), "pr_number", F.col("received_at").alias("write_ts")),
             "review_id",
         )
         items = meta_items(events, b).unionByName(store.finding_items(findings, keep=("write_ts",)))
-        sinks.write_batch(items, f"{out_dir}/items", batch_id)
+        snapshots.commit(items, f"{out_dir}/items", batch_id, ["pk", "sk"], ["write_ts"])
         # review.<agent> events, one per review and reviewer even without findings: fed
-        # to `barrier_stream` every reviewer that finished counts. Their time is the
-        # event's, so a replayed batch gives the same rows.
+        # to `barrier_stream` every reviewer that finished counts. A reviewer finishes when
+        # the model has answered all of its chunks: the event's time and that latency, so
+        # a replayed batch gives the same rows and a slow reviewer can miss the deadline.
         reported = assemble_review_events(b.stats, b.assigned, b.findings, b.decoded).join(
-            events.select("review_id", F.col("received_at").alias("ts")), "review_id"
+            events.select("review_id", F.col("received_at").alias("started")), "review_id"
         )
+        done = F.timestamp_micros(F.unix_micros("started") + F.col("latency_ms") * 1000)
+        reported = reported.withColumn("ts", done).drop("started")
         sinks.write_batch(reported, f"{out_dir}/review_events", batch_id)
-        sinks.write_batch(
-            b.comments.join(b.status.select("review_id", "state", "description"), "review_id").join(
-                b.verdicts.drop("verdict"), "review_id"
-            ),
-            f"{out_dir}/verdicts", batch_id,
-        )
+        verdicts = b.comments.join(b.status.select("review_id", "state", "description"), "review_id").join(
+            b.verdicts.drop("verdict"), "review_id"
+        ).join(events.select("review_id", F.col("received_at").alias("write_ts")), "review_id")
+        snapshots.commit(verdicts, f"{out_dir}/verdicts", batch_id, ["review_id"], ["write_ts"])
         events.unpersist()
 
     return run
@@ -102,14 +104,20 @@ def review_micro_batches(
 
 def trigger_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function over barrier rows: the comment and the completion message
-    of each review whose summary is triggered now."""
-
-    def run(triggers: DataFrame, batch_id: int) -> None:
-        fired = triggers.where("kind = 'fired'").select("review_id", F.col("fired_at").alias("ts"))
-        verdicts = triggers.sparkSession.read.parquet(f"{out_dir}/verdicts").drop("batch_id")
-        due = verdicts.join(fired, "review_id")
-        sinks.write_batch(due, f"{out_dir}/comments", batch_id)
-        sinks.write_batch(complete_messages(due), f"{out_dir}/complete", batch_id)
+    of each review whose summary is triggered now. Late events and amended decisions go
+    to `late_findings` and `triggers`; they trigger nothing again."""
+    record = barrier.barrier_micro_batches(out_dir)
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        record(rows, batch_id)
+        fired = rows.where("kind = 'fired'").select("review_id", F.col("fired_at").alias("ts"), "seen_agents", "complete")
+        verdicts = snapshots.read(rows.sparkSession, f"{out_dir}/verdicts").drop("write_ts")
+        due = verdicts.join(fired, "review_id").persist()
+        snapshots.commit(due, f"{out_dir}/comments", batch_id, ["review_id"], ["ts"])
+        outbox.publish(complete_messages(due), f"{out_dir}/complete", batch_id)
+        due.unpersist()
+        rows.unpersist()
 
     return run
 
@@ -133,41 +141,20 @@ def learning_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
             F.col("ts").alias("write_ts"),
         )
         # the message's own time: a replay, or a later run, orders writes alike
-        sinks.write_batch(store.learning_items(parsed, keep=("write_ts",)), f"{out_dir}/learnings", batch_id)
+        snapshots.commit(store.learning_items(parsed, keep=("write_ts",)), f"{out_dir}/learnings", batch_id, ["pk", "sk"], ["write_ts"])
 
     return run
 
 
-def dead_letter_micro_batches(out_dir: str, max_receives: int = rules.MAX_RECEIVES) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function over a receive log. The log is stored, and the messages
-    of the micro-batch are routed again over all their receives so far: failures add
-    up across micro-batches. Readers take the latest row per message of `routes`
-    (`sinks.read_latest`, order `as_of`); `route` is acked, retry or dead."""
+def dead_letter_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function over message fates (`keyed.message_fates`): the fate of each
+    message as it stands in the snapshot table `routes`, those that are dead in
+    `dead_letters`. Work follows the micro-batch, not the history."""
 
-    def run(receives: DataFrame, batch_id: int) -> None:
-        spark = receives.sparkSession
-        sinks.write_batch(receives, f"{out_dir}/receives", batch_id)
-        log = spark.read.parquet(f"{out_dir}/receives").where(F.col("batch_id") <= int(batch_id)).drop("batch_id")
-        now = spark.read.parquet(f"{out_dir}/receives/batch_id={int(batch_id)}").select("message_id").distinct()
-        routes = message_routes(log.join(now, "message_id", "left_semi"), max_receives)
-        sinks.write_batch(routes.withColumn("as_of", F.lit(int(batch_id))), f"{out_dir}/routes", batch_id)
+    def run(fates: DataFrame, batch_id: int) -> None:
+        now = fates.where("change = 1").drop("change").persist()
+        snapshots.commit(now, f"{out_dir}/routes", batch_id, ["message_id"], ["version"])
+        sinks.write_batch(now.where("route = 'dead'"), f"{out_dir}/dead_letters", batch_id)
+        now.unpersist()
 
     return run
-
-
-def function_metrics_stream(invocations: DataFrame, window: str = "24 hours", slide: str = "1 hour",
-                            watermark: str = "1 hour") -> DataFrame:
-    """Streaming form of the 24 h function metrics: sliding event-time windows
-    per function; a window is emitted (append mode) once the watermark passes
-    its end, and later invocations for it are dropped as late."""
-    from revlens.operators.dashboard import exact_mean_tenths
-
-    timed = invocations.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need TIMESTAMP
-    parts, mean = exact_mean_tenths(F.col("duration_ms"))
-    return (
-        timed.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window, slide).alias("w"), "function")
-        .agg(F.count(F.lit(1)).alias("invocations"), F.count_if(F.col("is_error")).alias("errors"), *parts)
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "function",
-                "invocations", "errors", mean.alias("avg_duration_ms"))
-    )

@@ -7,10 +7,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from revlens.session import scratch_path
 
+# Keyed processors need a state store with column families; state off the JVM heap suits
+# all others too. A session that names a provider of its own keeps it.
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def run(
     stream: DataFrame,
@@ -20,6 +28,7 @@ def run(
     trigger: dict | None = None,
     timeout_s: float | None = None,
     resume: bool = False,
+    idle_batches: bool = True,
 ) -> str:
     """Start `stream` with its checkpoint under spark.checkpoint.dir and wait
     for its end. `trigger` defaults to availableNow (drain and stop); pass
@@ -30,8 +39,13 @@ def run(
     `resume=True` uses the stable folder `stream-<name>`, so a restarted driver
     continues from the last committed batch (exactly-once with the idempotent
     sinks); the default is a fresh folder per run (one-off replays). Returns
-    the run's folder (default sink output goes to `<folder>/out`)."""
+    the run's folder (default sink output goes to `<folder>/out`).
+
+    `idle_batches=False` runs no micro-batch without data. State with a time to live asks
+    for one at every trigger, so a stream of it that only drains would never end."""
     spark = stream.sparkSession
+    if spark.conf.get(_STORE, None) in (None, _HEAP_STORE):
+        spark.conf.set(_STORE, _ROCKSDB)
     suffix = "" if resume else f"-{uuid.uuid4().hex[:12]}"
     folder = scratch_path(spark, f"stream-{name}{suffix}")
     out = f"{folder}/out"
@@ -44,7 +58,12 @@ def run(
 
     writer = writer.foreachBatch(lambda df, batch_id: sink(df, batch_id))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
-    query = writer.start()
+    before = spark.conf.get(_IDLE)
+    spark.conf.set(_IDLE, str(idle_batches and before == "true").lower())
+    try:
+        query = writer.start()  # the query keeps the settings of its start
+    finally:
+        spark.conf.set(_IDLE, before)
     ended = query.awaitTermination() if timeout_s is None else query.awaitTermination(timeout_s)
     if ended is False:
         query.stop()
@@ -53,3 +72,25 @@ def run(
         raise RuntimeError(f"stream {name} failed: {query.exception()}")
     return folder
 
+
+
+def replay(drops: list[DataFrame], name: str, build: Callable[[DataFrame], DataFrame], sink=None,
+           files: int | None = None, **options) -> str:
+    """Land `drops` one after the other, each in `files` files (the shuffle partitions by
+    default), and drain the stream `build(landed)`, so many files to a micro-batch. Rows of
+    a later drop may be older than all rows before. A drop of fewer rows than files shares
+    its micro-batch with the next one. Returns the run's folder; `options` as in `run`."""
+    spark = drops[0].sparkSession
+    land = scratch_path(spark, f"landing-{name}-{uuid.uuid4().hex[:12]}")
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i, drop in enumerate(drops):
+        drop.repartition(files).write.parquet(f"{land}/{i}")
+    stream = spark.readStream.schema(drops[0].schema).option("maxFilesPerTrigger", files).parquet(f"{land}/*")
+    return run(build(stream), name, sink=sink, **options)
+
+
+def in_drops(df: DataFrame, key: Column, n: int = 3) -> list[DataFrame]:
+    """`df` dealt by a hash of `key` into `n` drops: each spans all times, so after the
+    first one nearly every row comes late."""
+    part = F.pmod(F.xxhash64(key), F.lit(n))
+    return [df.where(part == i) for i in range(n)]

@@ -62,18 +62,24 @@ def strict_json(text: Column) -> Column:
 
     The JSON reader stops after the first value. Inside an array and as a member of
     an object, text after the value makes the whole malformed (what could continue
-    one of them breaks the other).
+    one of them breaks the other, and without a `]` nothing can end the array); both are
+    only scanned for that, the value itself is parsed once.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
-    return F.when(member.isNotNull() & one, F.variant_get(listed, "$[0]", "variant"))
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    member = F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(one & (~text.contains("]") | member), F.try_parse_json(text))
+
+
+def json_fields(v: Column, names: list[str]) -> Column:
+    """The members `names` of a VARIANT object as a struct of VARIANTs, taken apart in one
+    pass; NULL where `v` is no object, a NULL field where a member is absent."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
 def json_type(v: Column, path: str = "$") -> Column:
     """Type name at `path` ('STRING', 'BIGINT', 'VOID' for JSON null, 'OBJECT<...>',
     ...), NULL where there is nothing."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
 
 
 def json_int(v: Column, path: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revlens import rules
 from revlens.functions.crypto import signature_matches
-from revlens.functions.text import json_int, json_type, strict_json
+from revlens.functions.text import json_fields, json_int, json_type, strict_json
 from revlens.sources.landed import header
 
 # (outcome, status code) in precedence order.
@@ -28,31 +28,48 @@ OUTCOMES = [
 ]
 
 
-# The flat event's fields by their place in the payload.
+# The flat event's fields by their place in the payload: (field, object, member); the
+# objects by their own place, outer ones first.
 STRING_FIELDS = [
-    ("action", "$.action"), ("repo_full_name", "$.repository.full_name"), ("repo_clone_url", "$.repository.clone_url"),
-    ("pr_title", "$.pull_request.title"), ("pr_url", "$.pull_request.html_url"), ("pr_diff_url", "$.pull_request.diff_url"),
-    ("head_sha", "$.pull_request.head.sha"), ("base_ref", "$.pull_request.base.ref"), ("head_ref", "$.pull_request.head.ref"),
-    ("sender", "$.sender.login"),
+    ("action", "payload", "action"), ("repo_full_name", "repository", "full_name"), ("repo_clone_url", "repository", "clone_url"),
+    ("pr_title", "pull_request", "title"), ("pr_url", "pull_request", "html_url"), ("pr_diff_url", "pull_request", "diff_url"),
+    ("head_sha", "head", "sha"), ("base_ref", "base", "ref"), ("head_ref", "head", "ref"), ("sender", "sender", "login"),
 ]
-INT_FIELDS = [("pr_number", "$.pull_request.number"), ("installation_id", "$.installation.id")]
-_PARENTS = ["$.pull_request", "$.pull_request.head", "$.pull_request.base", "$.repository", "$.sender", "$.installation"]
+INT_FIELDS = [("pr_number", "pull_request", "number"), ("installation_id", "installation", "id")]
+_PARENTS = [
+    ("repository", "payload", "repository"), ("pull_request", "payload", "pull_request"), ("sender", "payload", "sender"),
+    ("installation", "payload", "installation"), ("head", "pull_request", "head"), ("base", "pull_request", "base"),
+]
+
+
+def _members(name: str) -> list[str]:
+    return list(dict.fromkeys(m for _, of, m in [*_PARENTS, *STRING_FIELDS, *INT_FIELDS] if of == name))
+
+
+def _object(name: str) -> Column:
+    return F.col(f"__{name}")
 
 
-def _vs(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+def _taken_apart(df: DataFrame) -> DataFrame:
+    """Adds `__<object>` for the payload and each object on the way to a field: its
+    members as VARIANTs (NULL where it is absent or no object). Each object is walked
+    once; all later tests and values look at single members."""
+    out = df.withColumn("__payload", json_fields(F.col("payload"), _members("payload")))
+    for name, of, member in _PARENTS:
+        out = out.withColumn(f"__{name}", json_fields(_object(of)[member], _members(name)))
+    return out
 
 
-def _event_ok(v: Column) -> Column:
+def _string(of: str, member: str) -> Column:
+    return F.try_variant_get(_object(of)[member], "$", "string")
+
+
+def _event_ok() -> Column:
     """Can the flat event be built: every field is absent or of its type, and every
     object on the way to one is absent or an object."""
-    def absent_or(path: str, test) -> Column:
-        t = json_type(v, path)
-        return t.isNull() | test(t)
-
-    checks = [absent_or(p, lambda t: t.startswith("OBJECT")) for p in _PARENTS]
-    checks += [absent_or(p, lambda t: t == "STRING") for _, p in STRING_FIELDS]
-    checks += [json_type(v, p).isNull() | json_int(v, p).isNotNull() for _, p in INT_FIELDS]
+    checks = [_object(of)[m].isNull() | _object(name).isNotNull() for name, of, m in _PARENTS]
+    checks += [_object(of)[m].isNull() | (json_type(_object(of)[m]) == "STRING") for _, of, m in STRING_FIELDS]
+    checks += [_object(of)[m].isNull() | json_int(_object(of)[m], "$").isNotNull() for _, of, m in INT_FIELDS]
     out = checks[0]
     for c in checks[1:]:
         out = out & c
@@ -65,28 +82,28 @@ def admit(envelopes: DataFrame, secret: str, topic_configured: bool = True, mode
     (text after the JSON included) -> other event -> payload not an object ->
     irrelevant action -> field of the wrong type -> no topic -> accepted.
 
-    `envelopes` comes from `webhook_envelopes`. Adds `payload` (VARIANT),
-    `outcome`, `status_code`.
+    `envelopes` comes from `webhook_envelopes`. Adds `payload` (VARIANT), its objects
+    taken apart (`__...`, for `project_webhook_event`), `outcome`, `status_code`. A body
+    is parsed once and each of its objects walked once.
     """
     sig_ok = signature_matches(secret, F.col("body_bytes"), header(rules.SIGNATURE_HEADER), mode=mode)
     payload = strict_json(F.col("body_text"))
     event = F.coalesce(header(rules.EVENT_HEADER), F.lit(""))
-    action = F.coalesce(_vs(F.col("payload"), "$.action"), F.lit(""))
-    is_obj = F.coalesce(F.schema_of_variant(F.col("payload")).startswith("OBJECT"), F.lit(False))
+    action = F.coalesce(_string("payload", "action"), F.lit(""))
     outcome = (
         F.when(F.col("body_text").isNull(), F.lit("bad_body"))
         .when(~F.coalesce(sig_ok, F.lit(False)), F.lit("bad_signature"))
         .when(F.col("payload").isNull(), F.lit("invalid_json"))
         .when(event != rules.REVIEWED_EVENT, F.lit("ignored_event"))
-        .when(~is_obj, F.lit("not_an_object"))
+        .when(_object("payload").isNull(), F.lit("not_an_object"))
         .when(~action.isin(*rules.REVIEWED_ACTIONS), F.lit("ignored_action"))
-        .when(~_event_ok(F.col("payload")), F.lit("invalid_event"))
+        .when(~_event_ok(), F.lit("invalid_event"))
         .when(F.lit(not topic_configured), F.lit("topic_not_configured"))
         .otherwise(F.lit("accepted"))
     )
     codes = F.create_map(*[F.lit(x) for kv in OUTCOMES for x in kv])
     return (
-        envelopes.withColumn("payload", payload)
+        _taken_apart(envelopes.withColumn("payload", payload))
         .withColumn("outcome", outcome)
         .withColumn("status_code", F.element_at(codes, F.col("outcome")))
     )
@@ -101,10 +118,8 @@ def admission_audit(admitted: DataFrame) -> DataFrame:
 def project_webhook_event(admitted: DataFrame) -> DataFrame:
     """The 12-column flat event out of the nested payload; every missing piece
     defaults to '' (strings) or 0 (numbers)."""
-    v = F.col("payload")
-
-    cols = {name: F.coalesce(_vs(v, path), F.lit("")) for name, path in STRING_FIELDS}
-    cols |= {name: F.coalesce(json_int(v, path), F.lit(0).cast("bigint")) for name, path in INT_FIELDS}
+    cols = {name: F.coalesce(_string(of, m), F.lit("")) for name, of, m in STRING_FIELDS}
+    cols |= {name: F.coalesce(json_int(_object(of)[m], "$"), F.lit(0).cast("bigint")) for name, of, m in INT_FIELDS}
     return admitted.select("*", *[cols[name].alias(name) for name in EVENT_COLUMNS])
 
 
@@ -152,10 +167,11 @@ def review_key(repo: Column, pr_number: Column, head_sha: Column) -> Column:
 
 
 def dedupe_deliveries(events: DataFrame, order: str = "received_at") -> DataFrame:
-    """One event per review key: the earliest delivery (partial aggregate)."""
+    """One event per review key: the earliest delivery. A partial aggregate that compares
+    `order` alone; the other columns ride along."""
     keyed = events.withColumn("review_id", review_key(F.col("repo_full_name"), F.col("pr_number"), F.col("head_sha")))
     payload = [c for c in keyed.columns if c != "review_id"]
-    first = F.min(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in payload]))
+    first = F.min_by(F.struct(*payload), F.col(order))
     return keyed.groupBy("review_id").agg(first.alias("__w"), F.count(F.lit(1)).alias("deliveries")).select(
         "review_id", *[F.col(f"__w.{c}").alias(c) for c in payload], "deliveries"
     )

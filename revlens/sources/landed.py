@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.functions.text import json_int, json_type, strict_json
+from revlens.functions.text import json_fields, json_int, json_type, strict_json
 
 ENVELOPE_SCHEMA = T.StructType(
     [
@@ -260,11 +260,11 @@ def typed_events(raw: DataFrame, text: str = "text", fields=WEBHOOK_EVENT_FIELDS
     fields; one bad element makes its list bad). Nothing is silently dropped:
     `quarantined` gives the rows to keep aside.
     """
-    v = strict_json(F.col(text))
-    is_obj = F.coalesce(F.schema_of_variant(F.col("__v")).startswith("OBJECT"), F.lit(False))
-    out = raw.withColumn("__v", v)
-    cols = [_value(F.col("__v"), f"$.{name}", typ, default).alias(name) for name, typ, default in fields]
-    problems = [F.when(~_field_ok(F.col("__v"), f"$.{name}", typ, default), F.lit(name)) for name, typ, default in fields]
+    # the object is taken apart once; each field's tests and value look at its own member
+    out = raw.withColumn("__v", json_fields(strict_json(F.col(text)), [name for name, _, _ in fields]))
+    is_obj = F.col("__v").isNotNull()
+    cols = [_value(F.col("__v")[name], "$", typ, default).alias(name) for name, typ, default in fields]
+    problems = [F.when(~_field_ok(F.col("__v")[name], "$", typ, default), F.lit(name)) for name, typ, default in fields]
     violations = F.filter(F.array(*problems), lambda x: x.isNotNull())
     return out.select(
         "*", *cols, F.when(is_obj, violations).otherwise(F.array(F.lit("<not an object>"))).alias("violations")

@@ -10,6 +10,7 @@ that tells licenses apart. All confirmed passages of a block are returned.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from difflib import SequenceMatcher
 
@@ -188,7 +189,8 @@ def _scan(batches):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for n, block in blocks(text):
-                key = " ".join(block)
+                # blocks by digest: what is held is small whatever their length
+                key = hashlib.blake2b("\n".join(block).encode(), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()

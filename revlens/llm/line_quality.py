@@ -123,7 +123,7 @@ def judge_quality(
         rows.mapInArrow(_profile, _SCHEMA).withColumn("uid", F.monotonically_increasing_id()), "line-profile"
     )
     lines = profile.select("uid", "doc_id", "host", F.inline("lines"))
-    per_line = lines.groupBy("host", "hash", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc")).agg(F.lit(1).alias("one"))
+    per_line = lines.groupBy("host", "hash", "doc_id").agg(F.lit(1).alias("one"))
     common = per_line.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > documents)
     common = common.select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
     out = lines.join(common, F.col("host").eqNullSafe(F.col("__host")) & (F.col("hash") == F.col("__hash")))

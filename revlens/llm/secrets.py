@@ -21,13 +21,16 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 BARE = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "bare")
+#: A value that several owners hold is an example from this many repositories on.
+MAX_REPOS = 10
 
 
-def candidates(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
-    """Stored rows (uid, doc_id, repo, owner, kind arrays) of all documents."""
+def candidates(docs: DataFrame, repo: Column, owner: Column, uid: Column | None = None) -> DataFrame:
+    """Stored rows (uid, doc_id, repo, owner, kind arrays) of all documents; `uid` names
+    a row, by default a new number."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
-        "doc_id", repo.alias("repo"), owner.alias("owner"), text.alias("t"),
+        (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), "doc_id", repo.alias("repo"), owner.alias("owner"), text.alias("t"),
         F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)).alias("m_assign"),
         F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)).alias("m_access"),
         F.regexp_extract_all(text, F.lit(HEX), F.lit(0)).alias("m_hex"),
@@ -37,7 +40,7 @@ def candidates(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     wanted = {k: F.size(f"m_{k}") > 0 for k in KINDS[:3]} | {"bare": live_looking}
     return stored(
         found.select(
-            F.monotonically_increasing_id().alias("uid"), "doc_id", "repo", "owner",
+            "uid", "doc_id", "repo", "owner",
             *[F.when(wanted[k], F.col(f"m_{k}")).alias(f"m_{k}") for k in KINDS],
             F.when(wanted["assign"], F.regexp_extract_all(F.col("t"), F.lit(ASSIGN), F.lit(2))).alias("v_assign"),
             *[
@@ -93,10 +96,12 @@ def looks_random(value: Column) -> Column:
     )
 
 
-def ownership(spans: DataFrame, max_owners: int) -> DataFrame:
+def ownership(spans: DataFrame, max_owners: int, max_repos: int = MAX_REPOS) -> DataFrame:
     """(value_hash, n_repos, n_owners, verdict) of all candidate values held under
-    a base kind. Distinct pairs come first, so that a value which a third of all
-    documents hold is combined before it is shuffled."""
+    a base kind: an example if more than `max_owners` owners hold it, or several owners
+    in more than `max_repos` repositories together; what one owner copies into all of
+    theirs stays owner-specific. Distinct pairs come first, so that a value which a third
+    of all documents hold is combined before it is shuffled."""
     base = spans.where("rank < 3")
     hashed = base.select(F.sha2("value", 256).alias("value_hash"), "repo", "owner", looks_random(F.col("value")).alias("random"))
     pairs = hashed.groupBy("value_hash", "owner", "repo").agg(F.max("random").alias("random"))
@@ -105,13 +110,15 @@ def ownership(spans: DataFrame, max_owners: int) -> DataFrame:
         F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.max("random").alias("random")
     ).select(
         "value_hash", "n_repos", "n_owners",
-        F.when(F.col("n_owners") > max_owners, "example").when(F.col("random"), "live").otherwise("weak").alias("verdict"),
+        F.when((F.col("n_owners") > max_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") > max_repos)), "example").when(F.col("random"), "live").otherwise("weak").alias("verdict"),
     )
 
 
-def judged_spans(docs: DataFrame, repo: Column, owner: Column, max_owners: int) -> tuple[DataFrame, DataFrame]:
+def judged_spans(
+    docs: DataFrame, repo: Column, owner: Column, max_owners: int, uid: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(candidate rows of all documents, judged spans of all candidates)."""
-    cand = candidates(docs, repo, owner)
+    cand = candidates(docs, repo, owner, uid)
     spans = stored(spans_of(cand), "secret-spans")
     owned = ownership(spans, max_owners)
     hashed = spans.withColumn("value_hash", F.sha2("value", 256))
@@ -179,27 +186,47 @@ def scan_secrets(
     )
 
 
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """`text` with each of `spans` (start, end: code points) replaced by `mark`; spans
+    that overlap or touch inside one another become one."""
+
+    def join(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        inside = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > x["start"])
+        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    merged = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:bigint,end:bigint>>"), join)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def cut(acc: Column, x: Column) -> Column:
+        piece = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        return F.struct(F.concat(acc["out"], piece, F.lit(mark)).alias("out"), x["end"].alias("at"))
+
+    return F.aggregate(merged, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
 def redact_live(docs: DataFrame, mark: str = "[secret]", max_owners: int = 3) -> DataFrame:
     """`docs` with every live credential in `text` replaced by `mark` (and n_chars
-    counted anew); examples and weak values stay. Only rows in which a pattern is
-    found take part in the join, the others pass straight through."""
+    counted anew); examples and weak values stay. What is replaced are the spans that the
+    scan finds, by row: of an assignment the value, of other kinds the whole span; the
+    same characters inside a longer word stay. Only rows in which a pattern is found take
+    part in the join, the others pass straight through."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(
         r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16}"
     )
-    _, judged = judged_spans(docs.where(hit), F.col("source"), F.col("source"), max_owners)
-    live = judged.where("verdict = 'live'").select("doc_id", "value").distinct()
-    per_doc = live.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.array_sort(
-            F.collect_list("value"),
-            lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
-            .when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)),
-        ).alias("__values")
-    )
-    with_values = docs.where(hit).join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    clean = F.aggregate("__values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    redacted = with_values.withColumn("text", F.when(F.col("__values").isNotNull(), clean).otherwise(F.col("text")))
+    # the rows with a pattern are stored once with a number, which all steps agree on
+    hits = stored(docs.where(hit).select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "secret-rows")
+    scanned = hits.select(F.col("uid").alias("__uid"), "row.doc_id", "row.text", "row.source")
+    _, judged = judged_spans(scanned, F.col("source"), F.col("source"), max_owners, F.col("__uid"))
+    begins = F.when(F.col("rank") == 0, F.col("end") - F.length("value")).otherwise(F.col("start"))
+    live = judged.where("verdict = 'live'").select("uid", F.struct(begins.alias("start"), "end").alias("span"))
+    per_row = live.groupBy(F.col("uid").alias("__live")).agg(F.collect_set("span").alias("__spans"))
+    found = hits.join(per_row, F.col("uid") == F.col("__live"), "left")
+    clean = F.when(F.col("__spans").isNotNull(), without(F.col("row.text"), F.col("__spans"), mark)).otherwise(F.col("row.text"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": clean}
     if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        redacted = redacted.withColumn("n_chars", F.when(F.col("__values").isNotNull(), n).otherwise(F.col("n_chars")))
-    return redacted.select(*docs.columns).unionByName(docs.where(~hit))
+        n = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("__spans").isNotNull(), n).otherwise(F.col("row.n_chars"))
+    return found.select(*[columns[c].alias(c) for c in docs.columns]).unionByName(docs.where(~hit))

@@ -51,12 +51,12 @@ def page_key(url: Column) -> Column:
 
 def ruled(urls: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """`urls` (key, host, path) with rule and verdict of the longest rule that fits;
-    null if none does. Of equal rules allow counts. Every suffix of a host is looked
-    up among the rules' hosts, so rules may be many."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+    null if none does. Of equal rules allow counts. The suffixes of a host are looked up
+    among the rules' hosts, so rules may be many; no suffix of more labels than the
+    longest rule host has can fit, so none is built."""
+    longest = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, longest)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, 1, i)), "."))
     tried = urls.select(key, "host", "path", F.explode(suffixes).alias("rule_host"))
     fit = tried.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     best = fit.groupBy(key).agg(

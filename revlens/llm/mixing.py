@@ -66,9 +66,11 @@ def mix_sources(
     its own; a null doc_id is a document like others, and repeated rows each count
     (their order among each other follows size, equal ones are alike). An empty
     table gives an empty result. Columns besides doc_id, source and text are never
-    read. The key is md5(seed:doc_id), so reruns agree whatever the partitions.
+    read. The key is md5(seed:doc_id:md5(text)), so reruns agree whatever the partitions,
+    and documents that share a doc_id, or have none, spread over the ranges like others.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), *parts))
     narrow = stored(
         docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), key.alias("k")),
         "mix",

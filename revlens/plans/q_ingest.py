@@ -3,6 +3,8 @@ landed hosting-API objects, typed decoding, completion messages."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,16 +340,21 @@ SELECT request_id, kind, bad, bad = 0 FROM (
 
 @register("typed_event_parse", _typed_sql())
 def q_typed_event_parse(spark, sf_dir):
+    """Each event ends in the table of its model or in its quarantine; both are read back."""
     ev = adm.serialise_events(accepted_events(spark, sf_dir))
     flat = ev.select("request_id", F.lit("flat").alias("kind"), F.col("value").alias("text"))
     nested = ev.select("request_id", F.lit("nested").alias("kind"), F.col("body_text").alias("text"))
     parsed = derived(spark, sf_dir, "pr_files").select(F.col("ordinal").alias("request_id"), F.lit("parsed").alias("kind"), F.expr(_PARSED_JSON).alias("text"))
     reviews = derived(spark, sf_dir, "findings_in").select(F.col("ordinal").alias("request_id"), F.lit("review").alias("kind"), F.expr(_REVIEW_JSON).alias("text"))
-    out = None
+    from revlens.streaming import quarantine, sinks, snapshots
+
+    keys, out = ["request_id", "kind"], None
+    folder = sinks.table_path(spark, f"typed-{uuid.uuid4().hex[:12]}")
     for rows, model in ((flat.unionByName(nested), "webhook"), (parsed, "parsed"), (reviews, "review")):
-        t = landed.typed_events(rows, fields=landed.EVENT_MODELS[model])
-        t = t.select("request_id", "kind", F.size("violations").cast("int").alias("n_violations"), "valid")
-        out = t if out is None else out.unionByName(t)
+        quarantine.typed_micro_batches(f"{folder}/{model}", landed.EVENT_MODELS[model], keys)(rows, 0)
+        good = snapshots.read(spark, f"{folder}/{model}/events").select(*keys, F.lit(0).alias("n_violations"), F.lit(True).alias("valid"))
+        bad = quarantine.held(spark, f"{folder}/{model}").select(*keys, "n_violations", F.lit(False).alias("valid"))
+        out = good.unionByName(bad) if out is None else out.unionByName(good).unionByName(bad)
     return out
 
 

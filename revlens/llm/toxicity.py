@@ -11,6 +11,7 @@ that the dictionaries have not seen, gives the score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -210,6 +211,11 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model:
     return Model(ordinary, toxic, thresholds, tuple(_logistic(x, yc, sample).tolist()))
 
 
+def _place(doc_id) -> int:
+    """Place of a document in the sample's order, from its id: a number or any other."""
+    return doc_id * 2654435761 % 4294967291 if isinstance(doc_id, int) else zlib.crc32(str(doc_id).encode())
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, learns: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
     """Fit on at most `rows` labelled documents of each class, of at most `chars`
     characters each. `learns` says which labels may be learned from. A doc_id with
@@ -221,7 +227,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, learns: Column, rows: int = FIT_R
     picked = known.where("toxic > 0").orderBy(*order).limit(rows).unionByName(known.where("toxic <= 0").orderBy(*order).limit(rows))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
     found = texts.join(F.broadcast(picked), texts["doc_id"] == picked["id"]).select("id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sample = sorted(found.collect(), key=lambda r: (hash(r["id"] * 2654435761 % 4294967291), r["text"]))
+    sample = sorted(found.collect(), key=lambda r: (_place(r["id"]), r["text"]))
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample], n.get(1, 0) / max(1, sum(n.values())))
 
 

@@ -136,3 +136,11 @@ def test_pipeline_runs_whole(spark):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == {d for d, _ in left}
     assert all(0 <= r.taken <= 2 * r.size for r in got.values())
+
+
+def test_toxicity_of_text_ids(spark):
+    """doc_ids that are no numbers."""
+    docs = spark.createDataFrame([(f"d{i}", "you idiot and fool" if i % 3 == 0 else f"a calm word {i}") for i in range(60)], "doc_id string, text string")
+    marked = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    rows = toxicity.toxicity(docs, marked).collect()
+    assert len(rows) == 60 and all(0 <= r.score <= 1 for r in rows)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from revlens.session import scratch_path
 
-# Keyed processors need a state store with column families; state off the JVM heap suits
-# all others too. A session that names a provider of its own keeps it.
+# Keyed processors need a state store with column families, which the heap's (Spark's
+# default) has not; state off the JVM heap suits all others too. Any other provider that
+# the session names is kept.
 _IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"

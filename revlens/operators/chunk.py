@@ -5,168 +5,209 @@ chunk is non-empty and current_lines + file_lines > max_lines; files are never
 split (an oversize file sits alone or starts a chunk). `total_chunks` is
 back-filled on every chunk.
 
-The walk is sequential, but its state is small: before any file the packer is
-in one of S = max_lines + 3 states (empty, non-empty holding 0..max_lines
-lines, or "over" after an oversize file). A run of files is therefore a
-function from S states to (end state, chunks opened), and such functions
-compose associatively. That gives a parallel prefix scan that never puts a
-whole review in one task, however many files it has:
-
-1. Files are cut into blocks of <= `block_files` consecutive ordinals; each
-   block is summarised by its transition table (applyInPandas, bounded group).
+The walk is sequential, but all that a run of files does to it fits in a short
+table. Before a file the open chunk holds `held` lines (max_lines + 1 stands for
+"over" and for "no chunk yet": either way the next file opens one). A run then
+adds its lines to the open chunk up to the first file whose running sum passes
+max_lines - held; that file opens a chunk, and what follows depends on that file
+only. So a run is (lines, steps): a step for each file that can be the first to
+open, with its running sum (`reach`), the lines held after the run (`held`) and
+the chunks opened (`opens`). Reaches grow strictly, and none follows one beyond
+max_lines, so there are at most max_lines + 2 steps, in practice as many as files
+fit in one chunk. Tables compose associatively, which gives a parallel prefix
+scan that never puts a whole review in one task, however many files it has:
+
+1. Files are cut into blocks of `block_files` consecutive ordinals; each block
+   is folded into its table.
 2. Block tables are composed up a tree with fan-in `fan_in` until each review
-   has at most `fan_in` nodes; the top nodes are scanned in order from the
-   empty state, and start states are pushed back down the tree.
-3. Each block is replayed from its start state to number its files.
+   has at most `fan_in` nodes; the top nodes are walked in order from "no chunk
+   yet", and what each begins with is pushed back down the tree.
+3. Each block is walked from its beginning to number its files.
 
-Every group handled by Python holds at most max(block_files, fan_in) items.
+No row gathers more than max(block_files, fan_in) items. Everything is higher-order
+functions on arrays; no Python runs in the tasks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens import rules
 
-_SUMMARY_SCHEMA = "review_id string, node long, end_state array<int>, opens array<int>"
-_START_SCHEMA = "review_id string, node long, start_state int, start_opens long, total_opens long"
-
-
-def _n_states(max_lines: int) -> int:
-    return max_lines + 3  # 0 empty, 1..max+1 holding (state-1) lines, max+2 over
-
-
-def _step(state: np.ndarray, lines: int, max_lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Apply one file to a vector of states; returns (new states, opened 0/1)."""
-    over = max_lines + 2
-    cur = np.where(state == over, max_lines + 1, state - 1)  # lines held (over: > max)
-    opened = (state == 0) | (cur + lines > max_lines)
-    new_cur = np.where(opened, lines, cur + lines)
-    new_state = np.where(new_cur > max_lines, over, new_cur + 1)
-    return new_state.astype(np.int32), opened.astype(np.int32)
-
-
-def _step_scalar(state: int, lines: int, max_lines: int) -> tuple[int, int]:
-    """`_step` for a single state with plain ints (the per-file replay)."""
-    over = max_lines + 2
-    cur = max_lines + 1 if state == over else state - 1
-    opened = 1 if (state == 0 or cur + lines > max_lines) else 0
-    new_cur = lines if opened else cur + lines
-    return (over if new_cur > max_lines else new_cur + 1), opened
-
-
-def _replay(lines, state: int, opened_so_far: int, max_lines: int) -> tuple[np.ndarray, int]:
-    """Chunk index of each file from a start state; returns (indices, opens)."""
-    idx = np.empty(len(lines), dtype=np.int64)
-    for i, n in enumerate(lines.tolist()):
-        state, opened = _step_scalar(state, n, max_lines)
-        opened_so_far += opened
-        idx[i] = opened_so_far - 1
-    return idx, opened_so_far
-
-
-def _summarise(max_lines: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        state = np.arange(_n_states(max_lines), dtype=np.int32)
-        opens = np.zeros_like(state)
-        for lines in pdf["lines"].to_numpy():
-            state, opened = _step(state, int(lines), max_lines)
-            opens += opened
-        return pd.DataFrame(
-            {"review_id": [pdf["review_id"].iat[0]], "node": [int(pdf["node"].iat[0])],
-             "end_state": [state.tolist()], "opens": [opens.tolist()]}
+_TABLE = "struct<lines: bigint, steps: array<struct<reach: bigint, held: bigint, opens: bigint>>>"
+_ONE = "struct<reach: bigint, held: bigint, opens: bigint>"
+
+
+def _long(value) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of `value`, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _first(steps: Column) -> Column:
+    return F.try_element_at(steps, F.lit(1))
+
+
+def _empty_table() -> Column:
+    return F.struct(_long(0).alias("lines"), F.array().cast(f"array<{_ONE}>").alias("steps")).cast(_TABLE)
+
+
+def _after_file(held: Column, lines: Column, limit: int) -> tuple[Column, Column]:
+    """(does the file open a chunk, lines held after it)."""
+    opens = held + lines > limit
+    return opens, F.when(opens, F.least(lines, _long(limit + 1))).otherwise(held + lines)
+
+
+def _after_run(table: Column, held: Column, limit: int) -> Column:
+    """What a run makes of an open chunk of `held` lines: struct(held, opens)."""
+    hit = _first(F.filter(table["steps"], lambda s: s["reach"] > limit - held))
+    return _let(
+        hit,
+        lambda h: F.struct(
+            F.coalesce(h["held"], held + table["lines"]).alias("held"), F.coalesce(h["opens"], _long(0)).alias("opens")
+        ),
+    )
+
+
+def _add_file(limit: int):
+    """A run's table and one more file."""
+
+    def run(table: Column, file: Column) -> Column:
+        lines = file["lines"]
+
+        def step(s: Column) -> Column:
+            opens, held = _after_file(s["held"], lines, limit)
+            return F.struct(s["reach"].alias("reach"), held.alias("held"), (s["opens"] + opens.cast("bigint")).alias("opens"))
+
+        own = F.struct(
+            (table["lines"] + lines).alias("reach"), F.least(lines, _long(limit + 1)).alias("held"), _long(1).alias("opens")
         )
+        first_to_open = (table["lines"] <= limit) & ((lines > 0) | (F.size(table["steps"]) == 0))
+        steps = F.transform(table["steps"], step)
+        return F.struct(
+            (table["lines"] + lines).alias("lines"), F.when(first_to_open, F.concat(steps, F.array(own))).otherwise(steps).alias("steps")
+        ).cast(_TABLE)
 
     return run
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Compose the children of one parent node, in order."""
-    pdf = pdf.sort_values("node")
-    n = len(pdf["end_state"].iat[0])
-    state = np.arange(n, dtype=np.int64)
-    opens = np.zeros(n, dtype=np.int64)
-    for end, op in zip(pdf["end_state"], pdf["opens"]):
-        end = np.asarray(end, dtype=np.int64)
-        op = np.asarray(op, dtype=np.int64)
-        opens += op[state]
-        state = end[state]
-    return pd.DataFrame(
-        {"review_id": [pdf["review_id"].iat[0]], "node": [int(pdf["parent"].iat[0])],
-         "end_state": [state.astype(np.int32).tolist()], "opens": [opens.astype(np.int32).tolist()]}
-    )
+def _compose(limit: int):
+    """The table of one run followed by another."""
 
+    def run(a: Column, node: Column) -> Column:
+        b = node["table"]
 
-def _scan_top(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential scan over the (few) top nodes of one review from the empty state."""
-    pdf = pdf.sort_values("node")
-    state, total = 0, 0
-    starts, offs = [], []
-    for end, op in zip(pdf["end_state"], pdf["opens"]):
-        starts.append(state)
-        offs.append(total)
-        total += int(op[state])
-        state = int(end[state])
-    return pd.DataFrame(
-        {"review_id": pdf["review_id"].to_numpy(), "node": pdf["node"].to_numpy(),
-         "start_state": starts, "start_opens": offs, "total_opens": [total] * len(pdf)}
-    )
+        def step(s: Column) -> Column:
+            return _let(
+                _after_run(b, s["held"], limit),
+                lambda r: F.struct(s["reach"].alias("reach"), r["held"].alias("held"), (s["opens"] + r["opens"]).alias("opens")),
+            )
+
+        later = F.transform(
+            F.filter(b["steps"], lambda s: (s["reach"] > 0) | (F.size(a["steps"]) == 0)),
+            lambda s: F.struct((s["reach"] + a["lines"]).alias("reach"), s["held"].alias("held"), s["opens"].alias("opens")),
+        )
+        # those within the limit and the first one beyond it
+        reached = _let(
+            later,
+            lambda all_: F.concat(
+                F.filter(all_, lambda s: s["reach"] <= limit), F.slice(F.filter(all_, lambda s: s["reach"] > limit), 1, 1)
+            ),
+        )
+        steps = F.transform(a["steps"], step)
+        return F.struct(
+            (a["lines"] + b["lines"]).alias("lines"), F.when(a["lines"] <= limit, F.concat(steps, reached)).otherwise(steps).alias("steps")
+        ).cast(_TABLE)
+
+    return run
 
 
-def _push_down(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Given a parent's start, derive the start of each of its children."""
-    pdf = pdf.sort_values("node")
-    state = int(pdf["p_start_state"].iat[0])
-    total = int(pdf["p_start_opens"].iat[0])
-    starts, offs = [], []
-    for end, op in zip(pdf["end_state"], pdf["opens"]):
-        starts.append(state)
-        offs.append(total)
-        total += int(op[state])
-        state = int(end[state])
-    return pd.DataFrame(
-        {"review_id": pdf["review_id"].to_numpy(), "node": pdf["node"].to_numpy(),
-         "start_state": starts, "start_opens": offs, "total_opens": pdf["p_total_opens"].to_numpy()}
+def _walk(nodes: Column, held: Column, opens: Column, limit: int) -> Column:
+    """Walk the children of a node in order: struct(held, opens, starts), where starts has
+    (node, held, opens) as each child begins."""
+    begin = "array<struct<node: bigint, held: bigint, opens: bigint>>"
+    kind = f"struct<held: bigint, opens: bigint, starts: {begin}>"
+
+    def step(acc: Column, node: Column) -> Column:
+        start = F.struct(node["node"].alias("node"), acc["held"].alias("held"), acc["opens"].alias("opens"))
+        return _let(
+            _after_run(node["table"], acc["held"], limit),
+            lambda r: F.struct(
+                r["held"].alias("held"), (acc["opens"] + r["opens"]).alias("opens"), F.concat(acc["starts"], F.array(start)).alias("starts")
+            ),
+        ).cast(kind)
+
+    zero = F.struct(held.cast("bigint").alias("held"), opens.cast("bigint").alias("opens"), F.array().cast(begin).alias("starts")).cast(kind)
+    return F.aggregate(nodes, zero, step)
+
+
+def _gathered(nodes: DataFrame, *keys: str) -> DataFrame:
+    """The nodes of each key in order, as one array."""
+    return nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", "table"))).alias("nodes"))
+
+
+def _starts(nodes: DataFrame, limit: int, fan_in: int, n_nodes: int) -> DataFrame:
+    """(review_id, node, held, opens, total) as every node of a tree level begins; nodes are
+    numbered below `n_nodes`."""
+    if n_nodes <= fan_in:
+        walked = _gathered(nodes, "review_id").select("review_id", _walk(F.col("nodes"), _long(limit + 1), _long(0), limit).alias("w"))
+        return walked.select("review_id", F.col("w.opens").alias("total"), F.inline("w.starts"))
+    level = nodes.withColumn("parent", F.floor(F.col("node") / fan_in).cast("bigint"))
+    children = _gathered(level, "review_id", "parent")
+    parents = children.select(
+        "review_id", F.col("parent").alias("node"), F.aggregate("nodes", _empty_table(), _compose(limit)).alias("table")
+    )
+    above = _starts(parents, limit, fan_in, -(-n_nodes // fan_in)).withColumnRenamed("node", "parent")
+    walked = children.join(above, ["review_id", "parent"]).select(
+        "review_id", "total", _walk(F.col("nodes"), F.col("held"), F.col("opens"), limit).alias("w")
     )
+    return walked.select("review_id", "total", F.inline("w.starts"))
 
 
-def _block_starts(summaries: DataFrame, fan_in: int, nodes: int) -> DataFrame:
-    """Start state of every node of a tree level whose nodes are numbered below
-    `nodes`."""
-    if nodes <= fan_in:
-        return summaries.groupBy("review_id").applyInPandas(_scan_top, _START_SCHEMA)
-    with_parent = summaries.withColumn("parent", F.floor(F.col("node") / fan_in).cast("long"))
-    parents = with_parent.groupBy("review_id", "parent").applyInPandas(_compose, _SUMMARY_SCHEMA)
-    parent_starts = _block_starts(parents, fan_in, -(-nodes // fan_in)).select(
+def number_files(
+    files: DataFrame, max_lines: int = rules.MAX_CHUNK_LINES, block_files: int = 1024, fan_in: int = 256
+) -> DataFrame:
+    """(review_id, ordinal, lines, chunk_index, total_chunks) of `files`, which need review_id,
+    ordinal (unique, from 0, increasing within a review) and lines (null counts as none).
+
+    All sizes take this one path; the largest ordinal (one scalar) says how many levels the
+    tree has.
+    """
+    limit = int(max_lines)
+    slim = files.select(
         "review_id",
-        F.col("node").alias("parent"),
-        F.col("start_state").alias("p_start_state"),
-        F.col("start_opens").alias("p_start_opens"),
-        F.col("total_opens").alias("p_total_opens"),
+        F.floor(F.col("ordinal") / block_files).cast("bigint").alias("node"),
+        F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), F.coalesce(F.col("lines").cast("bigint"), _long(0)).alias("lines")).alias("file"),
     )
-    return (
-        with_parent.join(parent_starts, ["review_id", "parent"])
-        .groupBy("review_id", "parent")
-        .applyInPandas(_push_down, _START_SCHEMA)
+    n_nodes = (slim.agg(F.max("node")).first()[0] or 0) + 1
+    blocks = slim.groupBy("review_id", "node").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    tables = blocks.select("review_id", "node", F.aggregate("files", _empty_table(), _add_file(limit)).alias("table"))
+    starts = _starts(tables, limit, fan_in, n_nodes)
+
+    kind = "struct<held: bigint, opens: bigint, numbers: array<bigint>>"
+
+    def step(acc: Column, file: Column) -> Column:
+        opens, held = _after_file(acc["held"], file["lines"], limit)
+        return _let(
+            acc["opens"] + opens.cast("bigint"),
+            lambda n: F.struct(held.alias("held"), n.alias("opens"), F.concat(acc["numbers"], F.array(n - 1)).alias("numbers")),
+        ).cast(kind)
+
+    zero = F.struct(F.col("held"), F.col("opens"), F.array().cast("array<bigint>").alias("numbers")).cast(kind)
+    numbered = blocks.join(starts, ["review_id", "node"]).select(
+        "review_id", "total", F.inline(F.arrays_zip("files", F.aggregate("files", zero, step)["numbers"].alias("numbers")))
+    )
+    return numbered.select(
+        "review_id", "files.ordinal", "files.lines", F.col("numbers").alias("chunk_index"), F.col("total").alias("total_chunks")
     )
 
 
-def _assign(max_lines: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        idx, _ = _replay(
-            pdf["lines"].to_numpy(), int(pdf["start_state"].iat[0]), int(pdf["start_opens"].iat[0]), max_lines
-        )
-        return pd.DataFrame(
-            {"review_id": pdf["review_id"].to_numpy(), "ordinal": pdf["ordinal"].to_numpy(),
-             "chunk_index": idx, "total_chunks": pdf["total_opens"].to_numpy()}
-        )
-
-    return run
+def _lines() -> Column:
+    return (F.col("additions") + F.col("deletions")).cast("bigint").alias("lines")
 
 
 def assign_chunks(
@@ -178,32 +219,23 @@ def assign_chunks(
     """Add `chunk_index` and `total_chunks` to kept files.
 
     `files` needs review_id, ordinal (unique, increasing within a review) and
-    additions / deletions. Only (review_id, ordinal, lines) travel through
-    Python; the result is joined back to the full rows on (review_id, ordinal).
-    Blocks are ordinal ranges of width `block_files`, so no block holds more
-    than `block_files` files. All sizes take this one path; the largest ordinal
-    (one scalar) says how many levels the tree has.
+    additions / deletions. The numbers are joined back to the full rows on
+    (review_id, ordinal); `number_files` alone moves no text.
     """
-    slim = files.select(
-        "review_id",
-        "ordinal",
-        (F.col("additions") + F.col("deletions")).cast("long").alias("lines"),
-        F.floor(F.col("ordinal") / block_files).cast("long").alias("node"),
-    )
-    out_schema = "review_id string, ordinal long, chunk_index long, total_chunks long"
-    summaries = slim.groupBy("review_id", "node").applyInPandas(_summarise(max_lines), _SUMMARY_SCHEMA)
-    nodes = (slim.agg(F.max("node")).first()[0] or 0) + 1
-    starts = _block_starts(summaries, fan_in, nodes)
-    numbered = (
-        slim.join(starts, ["review_id", "node"]).groupBy("review_id", "node").applyInPandas(_assign(max_lines), out_schema)
-    )
+    numbered = number_files(files.select("review_id", "ordinal", _lines()), max_lines, block_files, fan_in).drop("lines")
     return files.join(numbered, ["review_id", "ordinal"])
 
 
-def chunk_table(assigned: DataFrame) -> DataFrame:
-    """One row per chunk: review_id, chunk_index, total_chunks, total_lines, n_files."""
-    return assigned.groupBy("review_id", "chunk_index").agg(
+def chunk_table(files: DataFrame, max_lines: int = rules.MAX_CHUNK_LINES) -> DataFrame:
+    """One row per chunk of kept files: review_id, chunk_index, total_chunks, total_lines,
+    n_files. Files that have their numbers keep them; others are numbered, without a join."""
+    numbered = (
+        files.withColumn("lines", _lines())
+        if "chunk_index" in files.columns
+        else number_files(files.select("review_id", "ordinal", _lines()), max_lines)
+    )
+    return numbered.groupBy("review_id", "chunk_index").agg(
         F.max("total_chunks").alias("total_chunks"),
-        F.sum(F.col("additions") + F.col("deletions")).cast("bigint").alias("total_lines"),
+        F.sum("lines").cast("bigint").alias("total_lines"),
         F.count(F.lit(1)).alias("n_files"),
     )

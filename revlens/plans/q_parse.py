@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.paths import map_file_status
-from revlens.operators.chunk import assign_chunks, chunk_table
+from revlens.operators.chunk import chunk_table, number_files
 from revlens.operators.parse import drop_generated, file_changes, pr_stats
 from revlens.operators.scan import patch_lines, secret_scan
 from revlens.plans.oracle import kept_changes_sql, secret_findings_sql, with_views
@@ -143,7 +143,7 @@ FROM assigned GROUP BY review_id, chunk_index""",
 )
 def q_chunk_pack(spark, sf_dir):
     kept = drop_generated(changes(spark, sf_dir))
-    return chunk_table(assign_chunks(kept))
+    return chunk_table(kept)
 
 
 @register(
@@ -152,4 +152,5 @@ def q_chunk_pack(spark, sf_dir):
 )
 def q_chunk_assign(spark, sf_dir):
     kept = drop_generated(changes(spark, sf_dir))
-    return assign_chunks(kept).select("review_id", "ordinal", "chunk_index", "total_chunks")
+    lines = (F.col("additions") + F.col("deletions")).alias("lines")
+    return number_files(kept.select("review_id", "ordinal", lines)).drop("lines")

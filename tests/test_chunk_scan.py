@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators.chunk import assign_chunks, chunk_table
+from revlens.operators.chunk import assign_chunks, chunk_table, number_files
 from revlens.operators.parse import file_changes
 from revlens.operators.scan import secret_scan
 
@@ -146,3 +146,23 @@ def test_nested_parsed_event(spark):
     assert ev.event_type == "pr.parsed" and ev.stats.total_files == 3
     assert [len(c.files) for c in ev.chunks] == [1, 2] and [c.total_lines for c in ev.chunks] == [300, 310]
     assert ev.chunks[1].files[0].path == "f1.py"
+
+
+def test_steps_stay_few(spark):
+    """A block's table has at most max_lines + 2 steps, whatever its files are."""
+    from revlens.operators import chunk
+
+    lines = [0, 0, *[1] * 900, 0, 700, 0, 0, 3] * 2
+    files = spark.createDataFrame([(i, n) for i, n in enumerate(lines)], "ordinal long, lines long")
+    rows = files.agg(F.sort_array(F.collect_list(F.struct("ordinal", "lines"))).alias("files"))
+    for limit in (5, 500):
+        table = rows.select(F.aggregate("files", chunk._empty_table(), chunk._add_file(limit)).alias("t")).first()["t"]
+        reaches = [s["reach"] for s in table["steps"]]
+        assert reaches == sorted(set(reaches)) and len(reaches) <= limit + 2
+        assert sum(r > limit for r in reaches) == 1 and table["lines"] == sum(lines)
+
+
+def test_null_lines_count_as_none(spark):
+    df = spark.createDataFrame([("r", 0, 400), ("r", 1, None), ("r", 2, 200)], "review_id string, ordinal long, lines long")
+    got = {r.ordinal: (r.lines, r.chunk_index, r.total_chunks) for r in number_files(df).collect()}
+    assert got == {0: (400, 0, 2), 1: (0, 0, 2), 2: (200, 1, 2)}

@@ -43,6 +43,13 @@ def test_no_python_udfs_outside_user_code(q):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, key
 
 
+def test_chunk_packing_runs_in_the_jvm_and_moves_no_text(q):
+    for key in ("chunk_pack", "chunk_assign"):
+        p = plan(q(key))
+        assert "Pandas" not in p and "Python" not in p, key
+        assert "patch" not in p[p.index("Exchange"):].split("Project")[0], key
+
+
 def test_topk_is_take_ordered(q):
     assert "TakeOrderedAndProject" in plan(q("recent_reviews_topk"))
 

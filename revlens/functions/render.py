@@ -95,13 +95,37 @@ def finding_markdown(
     return F.when(sev == "critical", critical).when(sev.isin("warning", "info"), collapsible).otherwise(fallback)
 
 
-def _section(count: Column, items: Column, heading: str, empty: str, opener: str | None) -> Column:
-    body = items if opener is None else F.concat(F.lit(opener), items, F.lit(DETAILS_CLOSE))
-    return F.concat(
-        F.lit(heading), count.cast("string"), F.lit(")\n"),
-        F.when(count > 0, body).otherwise(F.lit(empty)),
+def comment_frame(
+    verdict: Column, n_critical: Column, n_warning: Column, n_info: Column, files: Column, additions: Column, execution_ms: Column,
+    brand: str = DEFAULT_BRAND,
+) -> list[Column]:
+    """The four fixed texts of a comment: before the critical findings, between them and the
+    warnings, between those and the info findings, and after all."""
+    banner = (
+        F.when(verdict == "approve", F.lit(BANNER_APPROVE.format(brand=brand)))
+        .when(verdict == "comment", F.lit(BANNER_COMMENT.format(brand=brand)))
+        .otherwise(F.lit(BANNER_CHANGES.format(brand=brand)))
     )
 
+    def heading(text: str, count: Column, opener: str, none: str) -> Column:
+        return F.concat(F.lit(text), count.cast("string"), F.lit(")\n"), F.when(count > 0, F.lit(opener)).otherwise(F.lit(none)))
+
+    def close(count: Column) -> Column:
+        return F.when(count > 0, F.lit(DETAILS_CLOSE)).otherwise(F.lit(""))
+
+    return [
+        F.concat(
+            F.lit(COMMENT_HEADER.format(brand=brand) + "\n\n"), banner, F.lit("\n\n---\n\n"),
+            heading(CRITICAL_HEADING, n_critical, "", NO_CRITICAL),
+        ),
+        F.concat(F.lit("\n---\n\n"), heading(WARNING_HEADING, n_warning, WARNING_OPEN, NO_WARNING)),
+        F.concat(close(n_warning), F.lit("\n---\n\n"), heading(INFO_HEADING, n_info, INFO_OPEN, NO_INFO)),
+        F.concat(
+            close(n_info), F.lit("\n---\n" + FOOTER.format(brand=brand)), files.cast("string"), F.lit(" files ("),
+            additions.cast("string"), F.lit(" additions) in "), execution_ms.cast("string"), F.lit("ms.*"),
+        ),
+    ]
+
 
 def review_comment_parts(
     verdict: Column,
@@ -118,18 +142,11 @@ def review_comment_parts(
 ) -> Column:
     """The whole review comment. `*_items` are the concatenated finding
     partials of a bucket, each followed by a newline."""
-    banner = (
-        F.when(verdict == "approve", F.lit(BANNER_APPROVE.format(brand=brand)))
-        .when(verdict == "comment", F.lit(BANNER_COMMENT.format(brand=brand)))
-        .otherwise(F.lit(BANNER_CHANGES.format(brand=brand)))
-    )
+    head, to_warnings, to_info, foot = comment_frame(verdict, n_critical, n_warning, n_info, files, additions, execution_ms, brand)
+
+    def items(count: Column, text: Column) -> Column:
+        return F.when(count > 0, text).otherwise(F.lit(""))
+
     return F.concat(
-        F.lit(COMMENT_HEADER.format(brand=brand) + "\n\n"), banner, F.lit("\n\n---\n\n"),
-        _section(n_critical, critical_items, CRITICAL_HEADING, NO_CRITICAL, None),
-        F.lit("\n---\n\n"),
-        _section(n_warning, warning_items, WARNING_HEADING, NO_WARNING, WARNING_OPEN),
-        F.lit("\n---\n\n"),
-        _section(n_info, info_items, INFO_HEADING, NO_INFO, INFO_OPEN),
-        F.lit("\n---\n" + FOOTER.format(brand=brand)), files.cast("string"), F.lit(" files ("),
-        additions.cast("string"), F.lit(" additions) in "), execution_ms.cast("string"), F.lit("ms.*"),
+        head, items(n_critical, critical_items), to_warnings, items(n_warning, warning_items), to_info, items(n_info, info_items), foot
     )

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens import rules
-from revlens.functions.render import DEFAULT_BRAND, finding_markdown, review_comment_parts
+from revlens.functions.render import DEFAULT_BRAND, comment_frame, finding_markdown, review_comment_parts
 from revlens.functions.text import severity_normalise
+from revlens.operators.chunk import number_files
 from revlens.operators.ordering import first_by_order, row_position
+from revlens.session import materialise
 
 FINDING_FIELDS = ["severity", "category", "file", "line", "message", "suggestion", "agent"]
+#: Bytes of a page of a comment: the hosting service takes 65,536 characters.
+PAGE_BYTES = 60_000
 
 
 def security_dedupe(findings: DataFrame) -> DataFrame:
@@ -125,8 +129,8 @@ def review_comments(verdict_df: DataFrame, rendered: DataFrame, brand: str = DEF
 
     The partials of a bucket are concatenated in `sk` order. This is the one
     place where a review's findings meet in one row: the comment *is* one
-    string. `comment_parts` gives the same text as ordered rows for consumers
-    that must not build it in one piece.
+    string. `comment_pages` gives the same text in pages of a stated size, and
+    no row of it holds a review.
     """
     items = rendered.groupBy("review_id").agg(
         *[
@@ -161,10 +165,52 @@ def review_comments(verdict_df: DataFrame, rendered: DataFrame, brand: str = DEF
     )
 
 
-def comment_parts(rendered: DataFrame) -> DataFrame:
-    """Ordered comment items as rows (review_id, bucket_rank, sk, md): the
-    distributed form of the finding sections, never gathered per review."""
-    return rendered.select("review_id", "bucket_rank", "sk", "md")
+def comment_parts(verdict_df: DataFrame, rendered: DataFrame, brand: str = DEFAULT_BRAND) -> DataFrame:
+    """The comment of each review in `verdict_df` as rows (review_id, section, sk, text):
+    heading, findings and footer, which joined by (section, sk) give `review_comments`.
+    A finding without text is no part, as it leaves nothing in the comment."""
+    frame = comment_frame(
+        F.col("verdict"), F.col("n_critical"), F.col("n_warning"), F.col("n_info"), F.col("distinct_files"), F.lit(0), F.col("latency_ms"),
+        brand=brand,
+    )
+    frames = verdict_df.select(
+        "review_id",
+        F.inline(F.array(*[F.struct(F.lit(2 * i).alias("section"), F.lit("").alias("sk"), t.alias("text")) for i, t in enumerate(frame)])),
+    )
+    items = rendered.where(F.col("md").isNotNull()).join(verdict_df.select("review_id"), "review_id", "left_semi")
+    return frames.unionByName(
+        items.select("review_id", (2 * F.col("bucket_rank") + 1).cast("int").alias("section"), "sk", F.concat("md", F.lit("\n")).alias("text"))
+    )
+
+
+def comment_pages(verdict_df: DataFrame, rendered: DataFrame, page_bytes: int = PAGE_BYTES, brand: str = DEFAULT_BRAND) -> DataFrame:
+    """The comment of each review in pages of at most `page_bytes` UTF-8 bytes: review_id,
+    page (from 0), pages, text. The pages joined in order are the comment of
+    `review_comments`. Parts are packed in order (`number_files`, by bytes instead of lines),
+    so a finding stands on one page, unless it is larger than a page itself: then it is cut.
+
+    Only (review_id, section, sk, piece, bytes) is numbered; texts move once to their place
+    in a page and meet there. No row and no group holds more than a page.
+    """
+    if page_bytes < 4:
+        raise ValueError("a page holds one code point at least: page_bytes >= 4")
+    width = page_bytes // 4  # code points that fit for certain
+    text = F.col("text")
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")),
+        lambda i: F.substring(text, i * width + 1, F.lit(width)),
+    )
+    pieces = F.when(F.octet_length(text) > page_bytes, cut).otherwise(F.array(text))
+    place = ["review_id", "section", "sk", "piece"]
+    parts = comment_parts(verdict_df, rendered, brand).select("review_id", "section", "sk", F.posexplode_outer(pieces).alias("piece", "text"))
+    slim = materialise(parts.select(*place, F.octet_length("text").cast("bigint").alias("lines")))
+    placed = row_position(slim, ["review_id"], place[1:], out="ordinal")
+    numbered = number_files(placed.select("review_id", "ordinal", "lines"), page_bytes).drop("lines")
+    paged = parts.join(placed.drop("lines").join(numbered, ["review_id", "ordinal"]), place)
+    return paged.groupBy("review_id", F.col("chunk_index").alias("page")).agg(
+        F.max("total_chunks").alias("pages"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda p: p["text"]), "").alias("text"),
+    )
 
 
 def sorted_findings(findings: DataFrame) -> DataFrame:
@@ -191,6 +237,7 @@ def reviewer_counts(findings: DataFrame) -> DataFrame:
 __all__ = [
     "FINDING_FIELDS",
     "assign_finding_keys",
+    "comment_pages",
     "comment_parts",
     "commit_status",
     "cross_reviewer_dedupe",

@@ -230,6 +230,67 @@ def q_review_comment_render(spark, sf_dir):
     return merge.review_comments(merge.verdicts(reviews, ranked), ranked)
 
 
+# A small page, so that most reviews have several; the largest parts are cut.
+_PAGE = 300
+
+
+def _pages_sql() -> str:
+    """Next-fit pages over the parts of `comment_tail_sql`'s comment: a recursive walk."""
+    from revlens.functions import render as r
+
+    brand, nl = r.DEFAULT_BRAND, "chr(10)"
+    md = o.finding_md_sql("severity", "category", "file", "line", "message", "suggestion")
+
+    def heading(n, text, opener, none):
+        return f"{o.u(text)} || cast({n} AS varchar) || ')' || {nl} || CASE WHEN {n} > 0 THEN {o.u(opener)} ELSE {o.q(none)} END"
+
+    def close(n):
+        return f"CASE WHEN {n} > 0 THEN {o.q(r.DETAILS_CLOSE)} ELSE '' END || {nl} || '---' || {nl}"
+
+    banner = (
+        f"CASE verdict WHEN 'approve' THEN {o.u(r.BANNER_APPROVE.format(brand=brand))} "
+        f"WHEN 'comment' THEN {o.u(r.BANNER_COMMENT.format(brand=brand))} ELSE {o.u(r.BANNER_CHANGES.format(brand=brand))} END"
+    )
+    rule = f"{nl} || '---' || {nl} || {nl} || "
+    frames = [
+        f"{o.q(r.COMMENT_HEADER.format(brand=brand))} || {nl} || {nl} || {banner} || {nl} || {rule}{heading('n_critical', r.CRITICAL_HEADING, '', r.NO_CRITICAL)}",
+        f"{rule}{heading('n_warning', r.WARNING_HEADING, r.WARNING_OPEN, r.NO_WARNING)}",
+        f"{close('n_warning')} || {nl} || {heading('n_info', r.INFO_HEADING, r.INFO_OPEN, r.NO_INFO)}",
+        f"{close('n_info')} || {o.q(r.FOOTER.format(brand=brand))} || cast(distinct_files AS varchar) || ' files (0 additions) in ' || cast(latency_ms AS varchar) || 'ms.*'",
+    ]
+    framed = " UNION ALL ".join(f"SELECT review_id, {2 * i} AS section, '' AS sk, {t} AS text FROM verdicts" for i, t in enumerate(frames))
+    width = _PAGE // 4
+    return (
+        _KEYED.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+        + f""", parts AS ({framed}
+  UNION ALL SELECT review_id, 2 * bucket_rank + 1, sk, {md} || {nl} FROM ranked SEMI JOIN verdicts USING (review_id)),
+pieces AS (
+  SELECT review_id, section, sk, piece,
+         CASE WHEN strlen(text) > {_PAGE} THEN substring(text, cast(piece * {width} + 1 AS INT), {width}) ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN strlen(text) > {_PAGE} THEN (length(text) - 1) // {width} + 1 ELSE 1 END)) AS piece
+        FROM parts WHERE text IS NOT NULL)),
+placed AS (
+  SELECT review_id, text, strlen(text) AS bytes, row_number() OVER (PARTITION BY review_id ORDER BY section, sk, piece) AS rn FROM pieces),
+walk AS (
+  SELECT review_id, rn, bytes AS cur, 0 AS page, text FROM placed WHERE rn = 1
+  UNION ALL
+  SELECT p.review_id, p.rn, CASE WHEN w.cur + p.bytes > {_PAGE} THEN p.bytes ELSE w.cur + p.bytes END,
+         CASE WHEN w.cur + p.bytes > {_PAGE} THEN w.page + 1 ELSE w.page END, p.text
+  FROM walk w JOIN placed p ON p.review_id = w.review_id AND p.rn = w.rn + 1)
+SELECT review_id, cast(page AS BIGINT) AS page, cast(max(max(page)) OVER (PARTITION BY review_id) + 1 AS BIGINT) AS pages,
+  string_agg(text, '' ORDER BY rn) AS text
+FROM walk GROUP BY review_id, page"""
+    )
+
+
+@register("review_comment_pages", _pages_sql())
+def q_review_comment_pages(spark, sf_dir):
+    """The comments of `review_comment_render` in pages: no row holds a review."""
+    ranked = merge.rendered_findings(ranked_findings(spark, sf_dir))
+    reviews = reviews_from_events(derived(spark, sf_dir, "review_events"))
+    return merge.comment_pages(merge.verdicts(reviews, ranked), ranked, page_bytes=_PAGE)
+
+
 # --- model replies -----------------------------------------------------------
 def decoded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)

@@ -8,8 +8,9 @@ of a level have come together, they are merged into one of the next level, dealt
 by key ranges: after n micro-batches a key range stands in O(log n) parts, and a row is
 rewritten O(log n) times.
 
-Rows of a key merge by `latest` (the last write by the order columns, then by micro-batch)
-or by `sum` (additive changes). A table has one writer at a time, its stream. Paths live
+Rows of a key merge by `latest` (the last write by the order columns, then by micro-batch),
+by `sum` (additive changes) or by `presence` (sums, of which those that are zero are no rows).
+With `partition` columns each part is dealt by key ranges into folders of their values. A table has one writer at a time, its stream. Paths live
 under spark.checkpoint.dir; manifests are handled by Hadoop's file system, so any store that
 Spark writes to will do.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def _publish(spark: SparkSession, path: str, new: dict) -> None:
 
 def commit(
     df: DataFrame, path: str, batch_id: int, keys: list[str], order: list[str] | None = None, merge: str = "latest",
-    replace: bool = False, fan: int = FAN,
+    replace: bool = False, fan: int = FAN, partition: tuple[str, ...] = (),
 ) -> int:
     """Add a micro-batch's rows to the table (as its whole content with `replace`) and
     return the new version. Replaying a batch_id replaces what it wrote before."""
@@ -82,10 +84,12 @@ def commit(
         raise ValueError(f"micro-batch {batch_id} of {path} has been merged; only the last one can be replayed")
     folder = f"data/{int(batch_id)}-{uuid.uuid4().hex[:12]}"
     marked = df.withColumn(BATCH, F.lit(int(batch_id)).cast("long"))
-    marked.sortWithinPartitions(*keys).write.parquet(f"{path}/{folder}")
+    if partition:
+        marked = marked.repartitionByRange(*keys)
+    marked.sortWithinPartitions(*keys).write.partitionBy(*partition).parquet(f"{path}/{folder}")
     kept = [] if replace else [p for p in old["parts"] if not (p["level"] == 0 and p["first"] == batch_id)]
     new = {
-        "version": old["version"] + 1, "schema": json.loads(marked.schema.json()), "keys": keys, "order": order or [], "merge": merge,
+        "version": old["version"] + 1, "schema": json.loads(marked.schema.json()), "keys": keys, "order": order or [], "merge": merge, "partition": list(partition),
         "parts": [*kept, {"folder": folder, "first": int(batch_id), "last": int(batch_id), "level": 0}],
     }
     _publish(spark, path, new)
@@ -108,7 +112,8 @@ def _merged(spark: SparkSession, path: str, now: dict, fan: int) -> dict:
             continue
         folder = f"data/m{level + 1}-{uuid.uuid4().hex[:12]}"
         rows = _merge(_rows(spark, path, now, due), now)
-        rows.repartitionByRange(*now["keys"]).sortWithinPartitions(*now["keys"]).write.parquet(f"{path}/{folder}")
+        dealt = rows.repartitionByRange(*now["keys"]).sortWithinPartitions(*now["keys"])
+        dealt.write.partitionBy(*now.get("partition", [])).parquet(f"{path}/{folder}")
         one = {"folder": folder, "first": min(p["first"] for p in due), "last": max(p["last"] for p in due), "level": level + 1}
         now = {**now, "version": now["version"] + 1, "parts": [one, *[p for p in now["parts"] if p not in due]]}
         _publish(spark, path, now)
@@ -119,13 +124,17 @@ def _rows(spark: SparkSession, path: str, of: dict, parts: list[dict]) -> DataFr
     schema = T.StructType.fromJson(of["schema"])
     if not parts:
         return spark.createDataFrame([], schema)
+    if of.get("partition"):  # a reader takes the folders of one part at a time for values
+        each = [spark.read.schema(schema).parquet(f"{path}/{p['folder']}").select(*schema.names) for p in parts]
+        return reduce(DataFrame.unionByName, each)
     return spark.read.schema(schema).parquet(*[f"{path}/{p['folder']}" for p in parts])
 
 
 def _merge(rows: DataFrame, of: dict) -> DataFrame:
-    if of["merge"] == "sum":
+    if of["merge"] in ("sum", "presence"):
         sums = [c for c in rows.columns if c not in (*of["keys"], BATCH)]
-        return rows.groupBy(*of["keys"]).agg(*[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in sums], F.max(BATCH).alias(BATCH)).select(rows.columns)
+        summed = rows.groupBy(*of["keys"]).agg(*[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in sums], F.max(BATCH).alias(BATCH)).select(rows.columns)
+        return summed if of["merge"] == "sum" else summed.where(" OR ".join(f"`{c}` <> 0" for c in sums))
     return first_by_order(rows, of["keys"], [*of["order"], BATCH], descending=True).select(rows.columns)
 
 

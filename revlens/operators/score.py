@@ -136,10 +136,11 @@ def request_key(*parts) -> str:
 
 
 class _Pace:
-    """Spaces a task's calls so that all tasks together stay below a rate."""
+    """Spaces a task's calls: each of `callers` tasks has its share of the rate, so all of
+    them together stay below it however many run side by side."""
 
-    def __init__(self, calls_per_second: float | None, tasks: int, sleep):
-        self.gap = tasks / calls_per_second if calls_per_second else 0.0
+    def __init__(self, calls_per_second: float | None, callers: int, sleep):
+        self.gap = callers / calls_per_second if calls_per_second else 0.0
         self.sleep, self.next = sleep, 0.0
 
     def wait(self) -> None:
@@ -176,6 +177,7 @@ def score(
     max_attempts: int = rules.MAX_MODEL_ATTEMPTS,
     backoff_base: float = rules.BACKOFF_BASE_SECONDS,
     calls_per_second: float | None = None,
+    callers: int | None = None,
     temperature: float = rules.MODEL_TEMPERATURE,
     max_tokens: int = rules.MODEL_MAX_TOKENS,
 ) -> DataFrame:
@@ -186,15 +188,19 @@ def score(
     called with (prompt, system prompt, model) and the keywords temperature,
     max_tokens and request_key, returns a dict with text / tokens_in /
     tokens_out / latency_ms and raises `ModelError(code)` on failure.
-    `calls_per_second` bounds the rate of all tasks together, whatever the
-    partitioning; calls of one task run one after another.
+    `calls_per_second` bounds the rate of all tasks of the job together: the rows
+    are dealt to `callers` tasks (by default as many as the session runs side by
+    side), each of which has its share, so the bound holds with any number of
+    executors; fewer slots than callers leave rate unused. Calls of one task run one
+    after another. Without a rate the rows stay where they are.
     """
     back = [f for f in rows.schema.fields if f.name not in ("prompt", "system_prompt")]
-    names, tasks = [f.name for f in back], _slots(rows.sparkSession)
+    names = [f.name for f in back]
+    rows, callers = _dealt(rows, calls_per_second, callers)
     params = _call_params(temperature, max_tokens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, pace = scorer_factory(), _Pace(calls_per_second, tasks, sleep)
+        scorer, pace = scorer_factory(), _Pace(calls_per_second, callers, sleep)
         for pdf in batches:
             replies = [
                 _reply(scorer, pace, p, s, m, sleep, max_attempts, backoff_base, {**params, "request_key": request_key(p, s, m)})
@@ -213,22 +219,25 @@ def score_chunks(
     max_attempts: int = rules.MAX_MODEL_ATTEMPTS,
     backoff_base: float = rules.BACKOFF_BASE_SECONDS,
     calls_per_second: float | None = None,
+    callers: int | None = None,
     temperature: float = rules.MODEL_TEMPERATURE,
     max_tokens: int = rules.MODEL_MAX_TOKENS,
 ) -> DataFrame:
     """Every reviewer's reply to every chunk of `chunk_prompts`: keys, reviewer
     columns and reply columns. A prompt crosses to Python once; the reviewers
     take turns with it inside the task. `reviewers` are rows as of
-    `reviewer_rows()`, the configured four by default."""
+    `reviewer_rows()`, the configured four by default. `calls_per_second` and
+    `callers` as in `score`."""
     rows = reviewer_rows() if reviewers is None else reviewers
     back = [f for f in prompts.schema.fields if f.name != "prompt"]
-    names, tasks = [f.name for f in back], _slots(prompts.sparkSession)
+    names = [f.name for f in back]
+    prompts, callers = _dealt(prompts, calls_per_second, callers, "review_id", "chunk_index")
     params, at = _call_params(temperature, max_tokens), {k: i for i, k in enumerate(_REVIEWER_FIELDS)}
     shown = [k for k in _REVIEWER_FIELDS if k != "system_prompt"]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in back), *(f"{k} string" for k in shown), SCORED_SCHEMA])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, pace = scorer_factory(), _Pace(calls_per_second, tasks, sleep)
+        scorer, pace = scorer_factory(), _Pace(calls_per_second, callers, sleep)
         for pdf in batches:
             out = []
             for row, prompt in zip(pdf[names].itertuples(index=False, name=None), pdf["prompt"]):
@@ -243,6 +252,15 @@ def score_chunks(
     return prompts.mapInPandas(run, ddl)
 
 
+def _dealt(rows: DataFrame, calls_per_second: float | None, callers: int | None, *keys: str) -> tuple[DataFrame, int]:
+    """Rows in exactly `callers` partitions if there is a rate (a stated number is not
+    coalesced), and that number."""
+    if not calls_per_second:
+        return rows, 1
+    callers = callers or _slots(rows.sparkSession)
+    return rows.repartition(callers, *keys), callers
+
+
 def _slots(spark: SparkSession) -> int:
     """Tasks that run side by side."""
     try:

@@ -98,6 +98,11 @@ class BatchReview:
     def comments(self) -> DataFrame:
         return merge.review_comments(self.verdicts, self.rendered, **({} if self._brand is None else {"brand": self._brand}))
 
+    def comment_pages(self, page_bytes: int = merge.PAGE_BYTES) -> DataFrame:
+        """The comments in pages; no row holds a review."""
+        brand = {} if self._brand is None else {"brand": self._brand}
+        return merge.comment_pages(self.verdicts, self.rendered, page_bytes, **brand)
+
 
 def reviewer_findings(kept: DataFrame, decoded: DataFrame) -> DataFrame:
     """All reviewers' findings with store keys, in each reviewer's order."""

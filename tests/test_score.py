@@ -116,3 +116,29 @@ def test_pipeline_on_empty_and_all_generated_input(spark):
     assert (stats.total_files, stats.generated_files_filtered, stats.has_generated_files) == (0, 1, True)
     c = b.comments.first()
     assert c.verdict == "approve" and "*No critical issues found.*" in c.comment
+
+
+def test_rate_holds_for_any_number_of_slots(spark):
+    """With a rate, rows are dealt to exactly so many tasks as share it; without one they stay."""
+    rows = spark.createDataFrame([(str(i), "s", "m", i) for i in range(200)], "prompt string, system_prompt string, model_id string, id long")
+    few = rows.repartition(31)
+    paced = score(few, OfflineScorer, sleep=lambda s: None, calls_per_second=1000.0, callers=3)
+    assert paced.rdd.getNumPartitions() == 3 and paced.count() == 200
+    assert score(few, OfflineScorer, sleep=lambda s: None).rdd.getNumPartitions() == 31
+    chunks = rows.select(F.lit("r").alias("review_id"), F.col("id").alias("chunk_index"), "prompt")
+    spread = score_chunks(chunks, OfflineScorer, sleep=lambda s: None, calls_per_second=1000.0, callers=5)
+    assert spread.rdd.getNumPartitions() == 5 and spread.count() == 4 * 200
+
+
+def test_batch_comments_in_pages(spark):
+    from revlens.plans.batch import review_batch
+    from revlens.plans.offline import no_sleep, offline_scorer_factory
+
+    patch = "@@ -1 +1 @@\n" + "\n".join(f"+password = \"hunter2hunter{i}\"" for i in range(40))
+    files = spark.createDataFrame(
+        [("r", i, f"src/f{i}.py", "modified", 40, 0, patch, None) for i in range(3)],
+        "review_id string, ordinal long, filename string, status string, additions long, deletions long, patch string, previous_filename string",
+    )
+    b = review_batch(files, offline_scorer_factory, sleep=no_sleep)
+    pages = b.comment_pages(2000).orderBy("page").collect()
+    assert len(pages) > 3 and "".join(p.text for p in pages) == b.comments.first().comment

@@ -155,7 +155,7 @@ def _starts(nodes: DataFrame, limit: int, fan_in: int, n_nodes: int) -> DataFram
     numbered below `n_nodes`."""
     if n_nodes <= fan_in:
         walked = _gathered(nodes, "review_id").select("review_id", _walk(F.col("nodes"), _long(limit + 1), _long(0), limit).alias("w"))
-        return walked.select("review_id", F.col("w.opens").alias("total"), F.inline("w.starts"))
+        return walked.select("review_id", F.col("w.opens").alias("total"), F.inline_outer("w.starts"))
     level = nodes.withColumn("parent", F.floor(F.col("node") / fan_in).cast("bigint"))
     children = _gathered(level, "review_id", "parent")
     parents = children.select(
@@ -165,14 +165,15 @@ def _starts(nodes: DataFrame, limit: int, fan_in: int, n_nodes: int) -> DataFram
     walked = children.join(above, ["review_id", "parent"]).select(
         "review_id", "total", _walk(F.col("nodes"), F.col("held"), F.col("opens"), limit).alias("w")
     )
-    return walked.select("review_id", "total", F.inline("w.starts"))
+    return walked.select("review_id", "total", F.inline_outer("w.starts"))
 
 
 def number_files(
     files: DataFrame, max_lines: int = rules.MAX_CHUNK_LINES, block_files: int = 1024, fan_in: int = 256
 ) -> DataFrame:
     """(review_id, ordinal, lines, chunk_index, total_chunks) of `files`, which need review_id,
-    ordinal (unique, from 0, increasing within a review) and lines (null counts as none).
+    ordinal (unique, from 0, increasing within a review) and lines (null counts as none). Rows
+    without a review_id or an ordinal are of no review and get no number.
 
     All sizes take this one path; the largest ordinal (one scalar) says how many levels the
     tree has.
@@ -183,6 +184,9 @@ def number_files(
         F.floor(F.col("ordinal") / block_files).cast("bigint").alias("node"),
         F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), F.coalesce(F.col("lines").cast("bigint"), _long(0)).alias("lines")).alias("file"),
     )
+    # stated here, the join below brings no filter of its own to one of its two sides, and both
+    # read one exchange
+    slim = slim.where(F.col("review_id").isNotNull() & F.col("node").isNotNull())
     n_nodes = (slim.agg(F.max("node")).first()[0] or 0) + 1
     blocks = slim.groupBy("review_id", "node").agg(F.sort_array(F.collect_list("file")).alias("files"))
     tables = blocks.select("review_id", "node", F.aggregate("files", _empty_table(), _add_file(limit)).alias("table"))
@@ -199,7 +203,7 @@ def number_files(
 
     zero = F.struct(F.col("held"), F.col("opens"), F.array().cast("array<bigint>").alias("numbers")).cast(kind)
     numbered = blocks.join(starts, ["review_id", "node"]).select(
-        "review_id", "total", F.inline(F.arrays_zip("files", F.aggregate("files", zero, step)["numbers"].alias("numbers")))
+        "review_id", "total", F.inline_outer(F.arrays_zip("files", F.aggregate("files", zero, step)["numbers"].alias("numbers")))
     )
     return numbered.select(
         "review_id", "files.ordinal", "files.lines", F.col("numbers").alias("chunk_index"), F.col("total").alias("total_chunks")

@@ -164,5 +164,6 @@ def test_steps_stay_few(spark):
 
 def test_null_lines_count_as_none(spark):
     df = spark.createDataFrame([("r", 0, 400), ("r", 1, None), ("r", 2, 200)], "review_id string, ordinal long, lines long")
-    got = {r.ordinal: (r.lines, r.chunk_index, r.total_chunks) for r in number_files(df).collect()}
+    nowhere = spark.createDataFrame([(None, 0, 9), ("r", None, 9)], df.schema)
+    got = {r.ordinal: (r.lines, r.chunk_index, r.total_chunks) for r in number_files(df.unionByName(nowhere)).collect()}
     assert got == {0: (400, 0, 2), 1: (0, 0, 2), 2: (200, 1, 2)}

@@ -48,6 +48,10 @@ def test_chunk_packing_runs_in_the_jvm_and_moves_no_text(q):
         p = plan(q(key))
         assert "Pandas" not in p and "Python" not in p, key
         assert "patch" not in p[p.index("Exchange"):].split("Project")[0], key
+    df = q("chunk_assign")
+    df.collect()
+    ran = plan(df).split("== Initial Plan ==")[0]
+    assert ran.count("ReusedExchange") == 1
 
 
 def test_topk_is_take_ordered(q):

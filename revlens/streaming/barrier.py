@@ -64,12 +64,13 @@ def barrier_stream(events: DataFrame, timeout_s: int = rules.BARRIER_TIMEOUT_SEC
     review goes that long after it fired; events older than that of a review without state
     then come out as late and decide nothing. Without it state stays, a few bytes a review."""
     slim = keyed.with_clock(events, "ts", watermark, [
-        F.col("review_id"), F.col("agent"), F.col("ts").cast("timestamp").alias("event_ts"),
+        F.col("review_id"), F.col("agent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("event_us"),
         (F.lit(None) if event_key is None else event_key).cast("string").alias("event_key"),
-    ])
-    return slim.groupBy("review_id").transformWithState(
-        keyed.Barrier(timeout_s, expected, retention_s), keyed.BARRIER_SCHEMA, "Append", "EventTime"
+    ], counted=F.col("agent").isNotNull())
+    rows = slim.groupBy("review_id").transformWithState(
+        keyed.Barrier(timeout_s, expected, retention_s), keyed.as_longs(keyed.BARRIER_SCHEMA), "Append", "EventTime"
     )
+    return keyed.times(rows, "fired_at", "ts")
 
 
 def barrier_micro_batches(out_dir: str) -> Callable[[DataFrame, int], None]:

@@ -10,6 +10,13 @@ and each row ends in one of its outputs.
 * `FirstPerKey`: at-least-once deliveries to one event per key, with corrections.
 * `Receives`: the fate of a queue message, with retraction on change.
 
+A call to the state store, and the answer of a key, cost Python far more than a row does.
+Keys that need no timers are therefore dealt to `BUCKETS` buckets by their hash
+(`by_bucket`, `KeyBuckets`): a micro-batch reads and writes the state of a bucket once for
+all of its keys in it, so these calls have a bound that no input raises. A bucket is small
+beside a partition; more of them suit long histories under short micro-batches. Their
+number stays for as long as the checkpoint does.
+
 State of keys that are done goes after a stated time. The processors need the RocksDB
 state store (`runner.run` sets it where the session names none).
 """
@@ -17,31 +24,73 @@ state store (`runner.run` sets it where the session names none).
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from revlens import rules
 
-_EPOCH = dt.datetime(1970, 1, 1)
+BUCKETS = 1 << 15
+
 
+def with_clock(events: DataFrame, ts: str, delay: str, keep: list[Column], counted: Column | None = None) -> DataFrame:
+    """`keep` of all rows, with event time moved on by `ts` less `delay`. The watermark
+    column itself is not among them, so no row is filtered by it. Rows that are not
+    `counted` (a test of kept columns) only move the clock: they end here."""
+    timed = events.select(F.col(ts).cast("timestamp").alias("__clock"), *keep).withWatermark("__clock", delay)
+    if counted is not None:
+        # the test names the clock, so it stays above the watermark, which sees all rows
+        timed = timed.where(counted | F.col("__clock").isNull())
+    return timed.drop("__clock")
 
-def _us(ts: dt.datetime) -> int:
-    """Microseconds of a UTC time (the session's zone is UTC)."""
-    return (ts.replace(tzinfo=None) - _EPOCH) // dt.timedelta(microseconds=1)
 
+def times(rows: DataFrame, *columns: str) -> DataFrame:
+    """`columns`, microseconds, as timestamps. Python passes times on as whole numbers."""
+    return rows.withColumns({c: F.timestamp_micros(c) for c in columns})
 
-def _time(us: int) -> dt.datetime:
-    return _EPOCH + dt.timedelta(microseconds=us)
 
+def as_longs(schema: str) -> str:
+    """A schema with its timestamps as microseconds."""
+    return schema.replace(" timestamp", " long")
+
+
+# ---- many keys in one state ----------------------------------------------------------
+
+
+def by_bucket(rows: DataFrame, *keys: str, buckets: int = BUCKETS) -> GroupedData:
+    """`rows` grouped by the bucket of their key."""
+    return rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).groupBy("__bucket")
 
-def with_clock(events: DataFrame, ts: str, delay: str, keep: list[Column]) -> DataFrame:
-    """`keep` of all rows, with event time moved on by `ts` less `delay`. The watermark
-    column itself is not among them, so no row is filtered by it."""
-    timed = events.select(F.col(ts).cast("timestamp").alias("__clock"), *keep)
-    return timed.withWatermark("__clock", delay).drop("__clock")
+
+class KeyBuckets(StatefulProcessor):
+    """State of many keys under one bucket: {key: [..]}, kept as one JSON text. With `ttl`
+    the last item of a key's list is the processing time of its last row; a key is forgotten
+    `ttl` after that, as a state of its own would be."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bucket = handle.getValueState("bucket", "keys string", self.ttl_ms)
+
+    def load(self, timerValues) -> dict:  # noqa: N803
+        got = self.bucket.get()
+        if got is None:
+            return {}
+        alive = json.loads(got[0])
+        if self.ttl_ms is not None:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            alive = [(k, v) for k, v in alive if v[-1] + self.ttl_ms > now]
+        return {tuple(k) if isinstance(k, list) else k: v for k, v in alive}
+
+    def save(self, keys: dict) -> None:
+        self.bucket.update((json.dumps(list(keys.items()), separators=(",", ":")),))
+
+    def close(self) -> None:
+        pass
 
 
 # ---- completion barrier --------------------------------------------------------------
@@ -81,14 +130,14 @@ class Barrier(StatefulProcessor):
 
     def _row(self, review_id, kind, version, decision, events) -> Row:
         seen, complete, fired_at = decision
-        return Row(review_id=review_id, kind=kind, version=version, seen_agents=seen, complete=complete, fired_at=_time(fired_at),
+        return Row(review_id=review_id, kind=kind, version=version, seen_agents=seen, complete=complete, fired_at=fired_at,
                    events=events, agent=None, ts=None, event_key=None)
 
     def _save(self, firsts, events, version, decision) -> None:
         self.review.update((list(firsts), list(firsts.values()), events, version, *(decision or (None, None, None))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N803
-        found = [(r["agent"], _us(r["event_ts"]), r["event_key"]) for r in rows if r["agent"] is not None and r["event_ts"] is not None]
+        found = [(r["agent"], r["event_us"], r["event_key"]) for r in rows if r["agent"] is not None and r["event_us"] is not None]
         if not found:  # rows without a reviewer only move the clock
             return
         got = self.review.get()
@@ -125,7 +174,7 @@ class Barrier(StatefulProcessor):
     def _late(self, review_id, decision, agent, t, event_key) -> Row:
         seen, complete, fired_at = decision or (0, False, None)
         return Row(review_id=review_id, kind="late", version=None, seen_agents=seen, complete=complete,
-                   fired_at=None if fired_at is None else _time(fired_at), events=1, agent=agent, ts=_time(t), event_key=event_key)
+                   fired_at=fired_at, events=1, agent=agent, ts=t, event_key=event_key)
 
     def _fire(self, review_id, firsts, events, decision) -> Iterator[Row]:
         self._save(firsts, events, 0, decision)
@@ -151,44 +200,41 @@ class Barrier(StatefulProcessor):
 # ---- first delivery of a key ---------------------------------------------------------
 
 
-class FirstPerKey(StatefulProcessor):
+class FirstPerKey(KeyBuckets):
     """Every input row comes out once: the first arrival of its key as `first`; a later
     arrival that is earlier by (order, tie) as `earlier`, which replaces it for readers
     of the table; all others as `duplicate`. A key is forgotten `ttl` after its last row."""
 
-    def __init__(self, columns: list[str], ttl_ms: int | None):
-        self.columns, self.ttl_ms = columns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "at long, tie long", self.ttl_ms)
+    def __init__(self, columns: list[str], key: str, ttl_ms: int | None):
+        super().__init__(ttl_ms)
+        self.columns, self.key = columns, key
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N803
-        best = self.best.get()
-        known, best = best is not None, None if best is None else (best[0], best[1])
-        first = None
-        # only the earliest row of a micro-batch is held back, the others pass
+        best = self.load(timerValues)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = {}
+        # only the earliest row of each key in a micro-batch is held back, the others pass
         for r in rows:
-            place = (r["__at"], r["__tie"])
-            if first is None or place < (first["__at"], first["__tie"]):
-                r, first = first, r
+            place, k = (r["__at"], r["__tie"]), r[self.key]
+            first = held.get(k)
+            if first is None or place < first[0]:
+                held[k] = (place, r)
+                r = None if first is None else first[1]
             if r is not None:
                 yield self._out(r, "duplicate")
-        place = (first["__at"], first["__tie"])
-        kind = "first" if not known else "earlier" if place < best else "duplicate"
-        if kind != "duplicate":
-            best = place
-        if kind != "duplicate" or self.ttl_ms is not None:  # writing renews the time to live
-            self.best.update(best)
-        yield self._out(first, kind)
+        for k, (place, first) in held.items():
+            known = best.get(k)
+            kind = "first" if known is None else "earlier" if place < tuple(known[:2]) else "duplicate"
+            best[k] = [*(known[:2] if kind == "duplicate" else place), now]
+            yield self._out(first, kind)
+        self.save(best)
 
     def _out(self, row: Row, kind: str) -> Row:
         return Row(**{c: row[c] for c in self.columns}, kind=kind)
 
-    def close(self) -> None:
-        pass
 
-
-def first_per_key(events: DataFrame, key: str, order: str, tie: Column | None = None, ttl_s: int | None = None) -> DataFrame:
+def first_per_key(events: DataFrame, key: str, order: str, tie: Column | None = None, ttl_s: int | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
     """All rows of a stream with `kind`: one `first` per `key`, `earlier` corrections and
     duplicates. `order` is a time column, `tie` a whole number that makes it unique. No
     watermark is needed and no row is dropped, however late it is."""
@@ -197,8 +243,8 @@ def first_per_key(events: DataFrame, key: str, order: str, tie: Column | None =
         "__tie", (F.lit(0) if tie is None else tie).cast("long")
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", kind string"
-    return timed.groupBy(key).transformWithState(
-        FirstPerKey(columns, None if ttl_s is None else ttl_s * 1000), schema, "Append", "ProcessingTime"
+    return by_bucket(timed, key, buckets=buckets).transformWithState(
+        FirstPerKey(columns, key, None if ttl_s is None else ttl_s * 1000), schema, "Append", "ProcessingTime"
     )
 
 
@@ -208,13 +254,9 @@ ROUTE_SCHEMA = (
     "message_id string, change int, version long, queue string, first_received_at timestamp, last_received_at timestamp, "
     "receives long, failures long, route string"
 )
-_RECEIVES_STATE = (
-    "version long, queue string, first_at long, first_seq long, last_at long, receives long, ok_at long, ok_seq long, "
-    "fail_at array<long>, fail_seq array<long>"
-)
 
 
-class Receives(StatefulProcessor):
+class Receives(KeyBuckets):
     """The fate of each message over all its receives, in whatever order they arrive: how
     many failed before the first success, and so `acked`, `dead` (as many failures as are
     allowed) or `retry`. When the fate changes, the row it replaces comes out again with
@@ -223,56 +265,53 @@ class Receives(StatefulProcessor):
     forgotten `ttl` after the last receive."""
 
     def __init__(self, max_receives: int, ttl_ms: int | None):
-        self.max_receives, self.ttl_ms = max_receives, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.message = handle.getValueState("message", _RECEIVES_STATE, self.ttl_ms)
+        super().__init__(ttl_ms)
+        self.max_receives = max_receives
 
     def _fate(self, message_id, change, state) -> Row:
-        version, queue, first_at, _, last_at, receives, ok_at, _, fail_at, _ = state
-        route = "dead" if len(fail_at) >= self.max_receives else "retry" if ok_at is None else "acked"
-        return Row(message_id=message_id, change=change, version=version, queue=queue, first_received_at=_time(first_at),
-                   last_received_at=_time(last_at), receives=receives, failures=len(fail_at), route=route)
+        version, queue, first_at, _, last_at, receives, ok, fails, _ = state
+        route = "dead" if len(fails) >= self.max_receives else "retry" if ok is None else "acked"
+        return Row(message_id=message_id, change=change, version=version, queue=queue, first_received_at=first_at,
+                   last_received_at=last_at, receives=receives, failures=len(fails), route=route)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N803
-        got = self.message.get()
-        if got is None:
-            old, version, queue, first, last, receives, ok, fails = None, -1, None, None, None, 0, None, []
-        else:
-            old = tuple(got)
-            version, queue, first_at, first_seq, last, receives, ok_at, ok_seq, fail_at, fail_seq = old
-            first = (first_at, first_seq)
-            ok = None if ok_at is None else (ok_at, ok_seq)
-            fails = list(zip(fail_at, fail_seq, strict=True))
+        messages = self.load(timerValues)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        new = {}
         for r in rows:
-            place = (r["__at"], r["receive_seq"])
-            receives += 1
-            if first is None or place < first:
-                first, queue = place, r["queue"]
-            last = place[0] if last is None else max(last, place[0])
+            k, place = r["message_id"], [r["__at"], r["receive_seq"]]
+            state = new.get(k)
+            if state is None:
+                old = messages.get(k)
+                # version, queue, first place, last time, receives, first success, failures before it
+                state = new[k] = [0, None, None, None, None, 0, None, [], now] if old is None else [old[0] + 1, *old[1:7], list(old[7]), now]
+            _, _, *first, last, receives, ok, fails, _ = state
+            if receives == 0 or place < first:
+                state[1], state[2:4] = r["queue"], place
+            state[4] = place[0] if last is None else max(last, place[0])
+            state[5] = receives + 1
             if r["succeeded"]:
-                ok = place if ok is None else min(ok, place)
+                if ok is None or place < ok:  # failures after a success never count
+                    state[6], state[7] = place, [f for f in fails if f < place]
             elif ok is None or place < ok:
                 fails.append(place)
-        if ok is not None:  # failures after a success never count
-            fails = [f for f in fails if f < ok]
-        state = (version + 1, queue, *first, last, receives, *(ok or (None, None)), [f[0] for f in fails], [f[1] for f in fails])
-        self.message.update(state)
-        if old is not None:
-            yield self._fate(key[0], -1, old)
-        yield self._fate(key[0], 1, state)
-
-    def close(self) -> None:
-        pass
+        for k, state in new.items():
+            if k in messages:
+                yield self._fate(k, -1, messages[k])
+            yield self._fate(k, 1, state)
+        messages.update(new)
+        self.save(messages)
 
 
-def message_fates(receives: DataFrame, max_receives: int = rules.MAX_RECEIVES, ttl_s: int | None = 14 * 86_400) -> DataFrame:
+def message_fates(receives: DataFrame, max_receives: int = rules.MAX_RECEIVES, ttl_s: int | None = 14 * 86_400,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Stream of fates (ROUTE_SCHEMA) from a receive log (message_id, queue, received_at,
     receive_seq, succeeded). Work follows the new receives, never the history."""
     timed = receives.select(
         "message_id", "queue", F.unix_micros(F.col("received_at").cast("timestamp")).alias("__at"),
         F.col("receive_seq").cast("long").alias("receive_seq"), "succeeded",
     )
-    return timed.groupBy("message_id").transformWithState(
-        Receives(max_receives, None if ttl_s is None else ttl_s * 1000), ROUTE_SCHEMA, "Append", "ProcessingTime"
+    fates = by_bucket(timed, "message_id", buckets=buckets).transformWithState(
+        Receives(max_receives, None if ttl_s is None else ttl_s * 1000), as_longs(ROUTE_SCHEMA), "Append", "ProcessingTime"
     )
+    return times(fates, "first_received_at", "last_received_at")

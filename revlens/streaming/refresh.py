@@ -12,49 +12,49 @@ the overview is a fold over the totals.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from revlens import rules
 from revlens.operators import dashboard as dash
-from revlens.streaming import snapshots
+from revlens.streaming import keyed, snapshots
 
 PANE_SECONDS = 3600
 
 
-class LatestValue(StatefulProcessor):
+class LatestValue(keyed.KeyBuckets):
     """The value of each key by its last write. A write that is newer than all before
     takes the old value back (change -1) and counts its own (change 1); an older one that
-    arrives late changes nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long, tie long, value string")
+    arrives late changes nothing. Changes come out summed by metric and value."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N803
-        got = self.last.get()
-        best = max(((r["__at"], r["__tie"], r["value"]) for r in rows), key=lambda x: x[:2])
-        if got is not None:
-            if best[:2] <= (got[0], got[1]):
-                return
-            if got[2] != best[2]:
-                yield Row(metric=key[0], name=got[2], value=-1)
-        if got is None or got[2] != best[2]:
-            yield Row(metric=key[0], name=best[2], value=1)
-        self.last.update(best)
-
-    def close(self) -> None:
-        pass
-
-
-def latest_values(writes: DataFrame) -> DataFrame:
+        last, changes = self.load(timerValues), Counter()
+        for r in rows:
+            k, write = (r["metric"], r["key"]), [r["__at"], r["__tie"], r["value"]]
+            got = last.get(k)
+            if got is not None:
+                if write[:2] <= got[:2]:
+                    continue
+                changes[k[0], got[2]] -= 1
+            changes[k[0], write[2]] += 1
+            last[k] = write
+        self.save(last)
+        for (metric, name), value in changes.items():
+            if value:
+                yield Row(metric=metric, name=name, value=value)
+
+
+def latest_values(writes: DataFrame, buckets: int = keyed.BUCKETS) -> DataFrame:
     """Changes (metric, name, value) of a stream of writes (metric, key, value, ts, tie)."""
     timed = writes.select(
         "metric", "key", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"), F.col("tie").cast("long").alias("__tie")
     )
-    return timed.groupBy("metric", "key").transformWithState(LatestValue(), "metric string, name string, value long", "Append", "None")
+    return keyed.by_bucket(timed, "metric", "key", buckets=buckets).transformWithState(
+        LatestValue(), "metric string, name string, value long", "Append", "None"
+    )
 
 
 def finding_writes(findings: DataFrame, key: Column, tie: Column) -> DataFrame:

@@ -342,15 +342,15 @@ SELECT request_id, kind, bad, bad = 0 FROM (
 def q_typed_event_parse(spark, sf_dir):
     """Each event ends in the table of its model or in its quarantine; both are read back."""
     ev = adm.serialise_events(accepted_events(spark, sf_dir))
-    flat = ev.select("request_id", F.lit("flat").alias("kind"), F.col("value").alias("text"))
-    nested = ev.select("request_id", F.lit("nested").alias("kind"), F.col("body_text").alias("text"))
+    texts = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text")) for kind, c in (("flat", "value"), ("nested", "body_text"))]
+    webhook = ev.select("request_id", F.inline(F.array(*texts)))  # a request is admitted once for both of its texts
     parsed = derived(spark, sf_dir, "pr_files").select(F.col("ordinal").alias("request_id"), F.lit("parsed").alias("kind"), F.expr(_PARSED_JSON).alias("text"))
     reviews = derived(spark, sf_dir, "findings_in").select(F.col("ordinal").alias("request_id"), F.lit("review").alias("kind"), F.expr(_REVIEW_JSON).alias("text"))
     from revlens.streaming import quarantine, sinks, snapshots
 
     keys, out = ["request_id", "kind"], None
     folder = sinks.table_path(spark, f"typed-{uuid.uuid4().hex[:12]}")
-    for rows, model in ((flat.unionByName(nested), "webhook"), (parsed, "parsed"), (reviews, "review")):
+    for rows, model in ((webhook, "webhook"), (parsed, "parsed"), (reviews, "review")):
         quarantine.typed_micro_batches(f"{folder}/{model}", landed.EVENT_MODELS[model], keys)(rows, 0)
         good = snapshots.read(spark, f"{folder}/{model}/events").select(*keys, F.lit(0).alias("n_violations"), F.lit(True).alias("valid"))
         bad = quarantine.held(spark, f"{folder}/{model}").select(*keys, "n_violations", F.lit(False).alias("valid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import dropped, stored
+from revlens.llm.common import by_shuffle, dropped, released, stored
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -28,14 +28,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             links.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
         )
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo"))
+        large = both.join(by_shuffle(least), "n").where("m > n").select(F.col("m").alias("hi"), F.col("least").alias("lo"))
         down = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(down, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        small = large.join(by_shuffle(down), "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         loops = now.where("hi = lo")
         then = small.unionByName(down.select("hi", F.col("least").alias("lo"))).unionByName(loops).distinct()
         then = stored(then, "edges")
         dropped(now)
         now = then
+        released(edges.sparkSession)
     named = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return named.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

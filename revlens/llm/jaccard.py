@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import arrow_texts, chunks, dropped, maybe_broadcast, mix, released, stored, word_hashes
+from revlens.llm.common import arrow_texts, by_shuffle, chunks, dropped, maybe_broadcast, mix, released, stored, word_hashes
 from revlens.llm.components import connected_components
 
 WORDS = 5
@@ -225,11 +225,11 @@ def _partnered(shared: DataFrame, percent: int) -> DataFrame:
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     least = F.expr(f"((n * {percent} + 99) DIV 100) DIV 16 + 1")  # demanded(n)
     w = Window.partitionBy("class").orderBy(F.desc("size"), "key")
-    ranked = shared.where("plain").join(sizes, "key").withColumn("place", F.row_number().over(w))
+    ranked = shared.where("plain").join(by_shuffle(sizes), "key").withColumn("place", F.row_number().over(w))
     kept = ranked.where(F.col("place") >= least).select("key", "class", "n")
     kept = stored(kept.unionByName(shared.where("NOT plain").select("key", "class", "n")), "kept")
     several = kept.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-    out = stored(kept.join(several.select("key"), "key", "left_semi"), "partnered")
+    out = stored(kept.join(by_shuffle(several.select("key")), "key", "left_semi"), "partnered")
     dropped(kept, shared)
     return out
 
@@ -273,7 +273,7 @@ def _sets_of(texts: DataFrame, firsts: DataFrame, classes: DataFrame) -> DataFra
     """(class, set) of the wanted classes, computed from one document each (`firsts`:
     class, doc_id). Classes are looked up in a list if it is short, else joined."""
     spark = texts.sparkSession
-    wanted = stored(classes.distinct().join(firsts, "class"), "wanted")
+    wanted = stored(classes.distinct().join(by_shuffle(firsts), "class"), "wanted")
     schema = "doc_id long, class long, set array<bigint>"
     if wanted.count() <= BROADCAST_CLASSES:
         listed = wanted.where("doc_id IS NOT NULL").toArrow()  # BROADCAST_CLASSES rows at most
@@ -285,10 +285,10 @@ def _sets_of(texts: DataFrame, firsts: DataFrame, classes: DataFrame) -> DataFra
         if nameless.isEmpty():
             return named
         others = texts.where("doc_id IS NULL").mapInArrow(_sets(None), schema)
-        return named.unionByName(others.join(nameless.select("class"), "class", "left_semi").select("class", "set"))
+        return named.unionByName(others.join(by_shuffle(nameless.select("class")), "class", "left_semi").select("class", "set"))
     one = wanted.select(F.col("class").alias("c"), F.col("doc_id").alias("d"))
     rows = texts.mapInArrow(_sets(None), schema)
-    return rows.join(one, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("class", "set")
+    return rows.join(by_shuffle(one), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("class", "set")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     similar = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    links = pairs.join(left, "a").join(right, "b").where(similar)
+    links = by_shuffle(pairs).join(left, "a").join(by_shuffle(right), "b").where(similar)
     return stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
@@ -306,9 +306,9 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, class, n, label): rows of keys whose classes are of two components or
     more; a class without a link is its own component."""
     named = labels.select(F.col("node").alias("class"), F.col("component").alias("named"))
-    rows = shared.join(named, "class", "left").select("key", "class", "n", F.coalesce("named", "class").alias("label"))
+    rows = shared.join(by_shuffle(named), "class", "left").select("key", "class", "n", F.coalesce("named", "class").alias("label"))
     several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return rows.join(several.select("key"), "key", "left_semi")
+    return rows.join(by_shuffle(several.select("key")), "key", "left_semi")
 
 
 def _star(rows: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _star(rows: DataFrame, percent: int) -> DataFrame:
     place = F.xxhash64("class")
     leaders = rows.groupBy("key").agg(F.min(F.struct(place.alias("p"), "class", "n", "label")).alias("x"))
     leaders = leaders.select("key", F.col("x.class").alias("lc"), F.col("x.n").alias("ln"), F.col("x.label").alias("ll"))
-    pairs = rows.join(leaders, "key").where(
+    pairs = rows.join(by_shuffle(leaders), "key").where(
         (F.col("ll") != F.col("label")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln"))
     )
     return stored(pairs.select(F.least("class", "lc").alias("a"), F.greatest("class", "lc").alias("b")).distinct(), "pairs")
@@ -328,7 +328,7 @@ def _small_key_pairs(rows: DataFrame, percent: int) -> DataFrame:
     left = rows.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = rows.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
+    pairs = left.join(by_shuffle(right), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
     return stored(pairs.select("a", "b").distinct(), "pairs")
 
 
@@ -377,8 +377,8 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     into blocks of about BLOCK classes, and a pair of blocks is one comparison.
     """
     first = rows.groupBy("key").agg(F.min("class").alias("first"))
-    group = stored(connected_components(rows.join(first, "key").select(F.col("class").alias("u"), F.col("first").alias("v"))), "groups")
-    members = rows.select("class", "label", "n").distinct().join(group, F.col("class") == F.col("node"))
+    group = stored(connected_components(rows.join(by_shuffle(first), "key").select(F.col("class").alias("u"), F.col("first").alias("v"))), "groups")
+    members = rows.select("class", "label", "n").distinct().join(by_shuffle(group), F.col("class") == F.col("node"))
     members = stored(members.select("class", "label", "n", F.col("component").alias("group")), "members")
     by_label = members.groupBy("group", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     per_group = by_label.groupBy("group").agg(
@@ -405,7 +405,7 @@ def _large_key_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
         F.pmod(h, "right_blocks").cast("int").alias("j"),
     )
     # sets come in last, by class: a group's rows never meet in one task
-    blocked = left.unionByName(right).join(sets, "class")
+    blocked = by_shuffle(left.unionByName(right)).join(sets, "class")
     links = blocked.groupBy("group", "i", "j").applyInArrow(_compare(percent), "u long, v long")
     out = stored(links, "links")
     dropped(members, group)
@@ -426,8 +426,8 @@ def _labels(texts: DataFrame, firsts: DataFrame, shared: DataFrame, percent: int
     released(spark)
     rows = stored(_open(shared, labels), "open")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    small = rows.join(sizes.where(F.col("size") <= SMALL).select("key"), "key", "left_semi")
-    large = rows.join(sizes.where(F.col("size") > SMALL).select("key"), "key", "left_semi")
+    small = rows.join(by_shuffle(sizes.where(F.col("size") <= SMALL).select("key")), "key", "left_semi")
+    large = rows.join(by_shuffle(sizes.where(F.col("size") > SMALL).select("key")), "key", "left_semi")
     pairs = _small_key_pairs(small, percent)
     more = _verified(sets, pairs, percent)
     if not large.isEmpty():
@@ -470,11 +470,11 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     released(spark)
     firsts = known.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     labels = _labels(texts, firsts, shared, percent)
-    named = known.join(labels, known["class"] == labels["node"], "left").select(
+    named = known.join(by_shuffle(labels), known["class"] == labels["node"], "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("group")
     )
     least = named.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "group", "left")
+    out = named.join(by_shuffle(least), "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 

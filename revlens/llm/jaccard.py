@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import arrow_texts, by_shuffle, chunks, dropped, maybe_broadcast, mix, released, stored, word_hashes
+from revlens.llm.common import arrow_texts, by_shuffle, chunks, dropped, mix, released, stored, word_hashes
 from revlens.llm.components import connected_components
 
 WORDS = 5
@@ -485,5 +485,21 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = similar_components(docs, percent)
     spare = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
     spare = stored(spare.select(F.col("doc_id").alias("__spare")).distinct(), "copies")
-    spare = maybe_broadcast(spare, spare.count(), BROADCAST_CLASSES)
-    return docs.join(spare, F.col("doc_id") == F.col("__spare"), "left_anti")
+    if spare.count() > BROADCAST_CLASSES:
+        return docs.join(by_shuffle(spare), F.col("doc_id") == F.col("__spare"), "left_anti")
+    ids = np.sort(np.asarray(spare.toArrow().column("__spare").combine_chunks()))  # BROADCAST_CLASSES at most, 8 bytes each
+    return docs.where(~_listed(docs.sparkSession.sparkContext.broadcast(ids))(F.col("doc_id").cast("long")))
+
+
+def _listed(ids):
+    """Is a number in the sorted list `ids`? A null is not."""
+
+    @F.arrow_udf("boolean")
+    def listed(numbers: pa.Array) -> pa.Array:
+        known, n = ids.value, numbers.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(known):
+            return pa.array(np.zeros(len(n), bool))
+        found = known[np.minimum(np.searchsorted(known, n), len(known) - 1)] == n
+        return pa.array(found & numbers.is_valid().to_numpy(zero_copy_only=False))
+
+    return listed

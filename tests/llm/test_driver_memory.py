@@ -5,6 +5,21 @@ from __future__ import annotations
 from revlens.llm import jaccard
 from revlens.llm.components import connected_components
 
+TEXT = "one two three four five six seven eight nine ten eleven twelve"
+
+
+def test_copies_are_no_broadcast_table_and_exact_beyond_doubles(spark):
+    """Ids a double cannot tell apart, null ids and texts, and columns as they are."""
+    big = 1 << 60
+    rows = [(big, TEXT, "a"), (big + 1, TEXT, "b"), (big + 2, "other " + TEXT[::-1], "c"), (None, TEXT, "d"), (5, None, "e"), (6, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert "BroadcastExchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.extra for r in kept.collect()) == ["a", "c", "d", "e", "f"]
+    alone = jaccard.one_of_each(docs.where("extra IN ('a', 'c')"))
+    assert sorted(r.extra for r in alone.collect()) == ["a", "c"]
+
 
 def test_joins_of_what_grows_are_shuffled(spark):
     shared = spark.createDataFrame([(1, 10, 9), (1, 11, 9), (2, 11, 9), (2, 12, 9)], "key long, class long, n int")
